@@ -44,3 +44,50 @@ def q_registrations_flat(spark, sf_dir):
 )
 def q_rate_by_topic(spark, sf_dir):
     return A.rate_by(flat(spark, sf_dir), "topic")
+
+
+# ---- M1 feature pipeline ---------------------------------------------------------------
+def _feature_names() -> list[str]:
+    from rollcall import constants as K
+    from rollcall.functions.scalar import one_hot_names
+    from rollcall.plans.features import DERIVED, RAW_NUMERIC
+
+    vocab = {
+        "department": K.DEPARTMENTS,
+        "topic": K.TOPICS,
+        "speaker_type": K.SPEAKER_TYPES,
+        "time_slot": K.TIME_SLOTS,
+        "day_of_week": K.DAY_ORDER,
+    }
+    return RAW_NUMERIC + DERIVED + [n for c in K.NOMINAL_COLUMNS for n in one_hot_names(c, vocab[c])]
+
+
+def _quote(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def _feature_select_sql() -> str:
+    cols = ["student_id", "event_id", "attended"] + [
+        "round_even(student_attendance_std, 6) AS student_attendance_std" if c == "student_attendance_std" else _quote(c)
+        for c in _feature_names()
+    ]
+    return "SELECT " + ", ".join(cols) + " FROM r_features"
+
+
+def features_table(spark: SparkSession, sf_dir: str):
+    from rollcall.plans.features import run_feature_pipeline
+
+    return run_feature_pipeline(flat(spark, sf_dir))
+
+
+@register("feature_pipeline", O.with_features(_feature_select_sql()))
+def q_feature_pipeline(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    df, cols, _ = features_table(spark, sf_dir)
+    return df.select(
+        "student_id",
+        "event_id",
+        "attended",
+        *[F.bround(c, 6).alias(c) if c == "student_attendance_std" else F.col(f"`{c}`") for c in cols],
+    )

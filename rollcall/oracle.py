@@ -111,3 +111,108 @@ r_flat AS (
 
 def with_flat(select_sql: str) -> str:
     return FLAT_CTE + select_sql
+
+
+def _ordinal(col: str, mapping: dict) -> str:
+    whens = " ".join(f"WHEN {col} = '{k}' THEN {v}" for k, v in mapping.items())
+    return f"CAST(CASE {whens} END AS INTEGER)"
+
+
+def _onehot_sql() -> str:
+    parts = []
+    for col, values in (
+        ("department", K.DEPARTMENTS),
+        ("topic", K.TOPICS),
+        ("speaker_type", K.SPEAKER_TYPES),
+        ("time_slot", K.TIME_SLOTS),
+        ("day_of_week", K.DAY_ORDER),
+    ):
+        for v in sorted(values)[1:]:
+            name = f"{col}_{v}".replace('"', '""')
+            parts.append(f"CASE WHEN {col} = '{v}' THEN 1 ELSE 0 END AS \"{name}\"")
+    return ",\n    ".join(parts)
+
+
+_W = "PARTITION BY student_id ORDER BY event_date, event_id"
+_DBL = "CAST({} AS DOUBLE)"
+
+HISTORY_CTE = f""",
+r_overall AS (
+  SELECT avg(CAST(attended AS DOUBLE)) AS overall, avg(CAST(num_registrations AS DOUBLE)) AS mean_regs FROM r_flat),
+r_h1 AS (
+  SELECT *, row_number() OVER (w) AS rn, coalesce(attended <> lag(attended) OVER (w), true) AS chg
+  FROM r_flat WINDOW w AS ({_W})),
+r_h2 AS (
+  SELECT *, max(CASE WHEN chg THEN rn END) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS st FROM r_h1),
+r_h3 AS (SELECT *, (CASE WHEN attended = 1 THEN 1 ELSE -1 END) * (rn - st + 1) AS run FROM r_h2),
+r_hist AS (
+  SELECT r_h3.*,
+    coalesce(avg(attended) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), o.overall)
+      AS student_rolling_attendance,
+    CAST(coalesce(sum(attended) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)
+      AS student_cumulative_attended,
+    CAST(rn - 1 AS BIGINT) AS student_total_events,
+    CAST(coalesce(lag(run) OVER ({_W}), 0) AS BIGINT) AS attendance_streak,
+    coalesce(stddev_samp(attended) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.5)
+      AS student_attendance_std,
+    coalesce(avg(attended) OVER ({_W} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), o.overall) AS student_recent_3_rate,
+    o.mean_regs
+  FROM r_h3 CROSS JOIN r_overall o)"""
+
+_RATE_CTES = "".join(
+    f",\nr_rate_{c} AS (SELECT {c} AS k, avg(CAST(attended AS DOUBLE)) AS rate FROM r_flat GROUP BY {c})"
+    for c in ["topic", "speaker_type", "department", "time_slot", "day_of_week"]
+)
+
+FEATURES_CTE = HISTORY_CTE + _RATE_CTES + f""",
+r_pop AS (
+  SELECT h.*,
+    CAST(month(event_date) AS INTEGER) AS month,
+    CASE WHEN day_of_week IN ('Saturday', 'Sunday') THEN 1 ELSE 0 END AS is_weekend,
+    CAST(greatest(1, date_diff('day', make_date(year(event_date), CASE WHEN month(event_date) >= 8 THEN 8 ELSE 1 END, 1),
+         event_date) // 7 + 1) AS INTEGER) AS semester_week,
+    CASE WHEN cgpa >= 8.0 THEN 1 ELSE 0 END AS cgpa_band_high,
+    CASE WHEN cgpa < 6.0 THEN 1 ELSE 0 END AS cgpa_band_low,
+    rt.rate AS topic_popularity, rs.rate AS speaker_pull, rd.rate AS dept_engagement,
+    rl.rate AS timeslot_popularity, ry.rate AS day_popularity,
+    num_registrations / mean_regs AS registration_density,
+    CASE WHEN exam_proximity = 1 THEN 1 ELSE 0 END AS exam_is_near,
+    CASE WHEN duration_minutes > 120 THEN 1 ELSE 0 END AS is_long_workshop,
+    {_ordinal('club_activity_level', K.LEVEL_CODE)} AS club_activity_numeric,
+    CASE WHEN (department = 'School of Technology' AND topic IN ({_q(K.SCHOOL_TOPICS['School of Technology'])}))
+           OR (department = 'School of Design' AND topic IN ({_q(K.SCHOOL_TOPICS['School of Design'])}))
+           OR (department = 'School of Business' AND topic IN ({_q(K.SCHOOL_TOPICS['School of Business'])}))
+           OR (department = 'School of Music' AND topic IN ({_q(K.SCHOOL_TOPICS['School of Music'])}))
+         THEN 1 ELSE 0 END AS dept_topic_match,
+    {_ordinal('registration_timing', K.TIMING_CODE)} AS reg_timing_numeric,
+    {_ordinal('registration_timing', K.TIMING_CODE)} AS registration_timing_encoded,
+    {_ordinal('promotion_level', K.LEVEL_CODE)} AS promotion_level_encoded,
+    {_ordinal('mode', K.MODE_CODE)} AS mode_encoded
+  FROM r_hist h
+  LEFT JOIN r_rate_topic rt ON h.topic = rt.k
+  LEFT JOIN r_rate_speaker_type rs ON h.speaker_type = rs.k
+  LEFT JOIN r_rate_department rd ON h.department = rd.k
+  LEFT JOIN r_rate_time_slot rl ON h.time_slot = rl.k
+  LEFT JOIN r_rate_day_of_week ry ON h.day_of_week = ry.k),
+r_int AS (
+  SELECT *,
+    CASE WHEN promotion_level = 'High' THEN 1 ELSE 0 END * topic_popularity AS high_promo_popular_topic,
+    student_rolling_attendance * club_activity_numeric AS student_engagement_score,
+    cgpa / CAST(10 AS DOUBLE) * 0.3e0 + club_activity_numeric / CAST(3 AS DOUBLE) * 0.3e0
+      + student_rolling_attendance * 0.4e0 AS student_quality_score,
+    speaker_pull * 0.35e0 + topic_popularity * 0.35e0 + timeslot_popularity * 0.15e0 + day_popularity * 0.15e0
+      AS event_attractiveness,
+    exam_is_near * (3 - club_activity_numeric) AS exam_pressure,
+    reg_timing_numeric * registration_density AS registration_commitment
+  FROM r_pop),
+r_features AS (
+  SELECT *,
+    student_quality_score * event_attractiveness AS combined_quality_attract,
+    student_recent_3_rate * event_attractiveness AS recent_att_x_event,
+    {_onehot_sql()}
+  FROM r_int)
+"""
+
+
+def with_features(select_sql: str) -> str:
+    return FLAT_CTE + FEATURES_CTE + select_sql
