@@ -91,3 +91,211 @@ def q_feature_pipeline(spark, sf_dir):
         "attended",
         *[F.bround(c, 6).alias(c) if c == "student_attendance_std" else F.col(f"`{c}`") for c in cols],
     )
+
+
+# ---- A1-A19 breakdowns ------------------------------------------------------------------
+def _rate_sql(col: str = "attended") -> str:
+    return f"round_even(avg(CAST({col} AS DOUBLE)), 4)"
+
+
+@register("overview", O.with_flat(
+    "SELECT count(DISTINCT event_id) AS total_events, count(DISTINCT student_id) AS total_students, "
+    f"count(*) AS registrations, coalesce({_rate_sql()}, 0.0) AS avg_attendance FROM r_flat"))
+def q_overview(spark, sf_dir):
+    return A.overview(flat(spark, sf_dir))
+
+
+def _rate_by_sql(col: str) -> str:
+    return O.with_flat(
+        f"SELECT {col} AS label, {_rate_sql()} AS rate FROM r_flat WHERE {col} IS NOT NULL GROUP BY {col} "
+        "ORDER BY rate DESC, label")
+
+
+for _name, _col in [("rate_by_speaker", "speaker_type"), ("rate_by_mode", "mode"),
+                    ("rate_by_department", "department")]:
+    register(_name, _rate_by_sql(_col))(lambda spark, sf_dir, _c=_col: A.rate_by(flat(spark, sf_dir), _c))
+
+
+_DAY_CASE = "CASE " + " ".join(f"WHEN label = '{d}' THEN {i}" for i, d in enumerate(
+    ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"])) + " END"
+
+
+@register("rate_by_day", O.with_flat(
+    f"SELECT * FROM (SELECT day_of_week AS label, {_rate_sql()} AS rate FROM r_flat WHERE day_of_week IS NOT NULL "
+    f"GROUP BY day_of_week) WHERE {_DAY_CASE} IS NOT NULL ORDER BY {_DAY_CASE}"))
+def q_rate_by_day(spark, sf_dir):
+    return A.rate_by_day(flat(spark, sf_dir))
+
+
+@register("rate_by_semester", O.with_flat(
+    f"SELECT CAST(semester AS VARCHAR) AS label, {_rate_sql()} AS rate FROM r_flat WHERE semester IS NOT NULL "
+    "GROUP BY semester ORDER BY semester"))
+def q_rate_by_semester(spark, sf_dir):
+    return A.rate_by_semester(flat(spark, sf_dir))
+
+
+@register("rate_by_exam", O.with_flat(
+    f"SELECT l.label, coalesce(g.r, 0.0) AS rate FROM (SELECT unnest([1, 2, 3]) AS label) l "
+    f"LEFT JOIN (SELECT exam_proximity AS label, {_rate_sql()} AS r FROM r_flat GROUP BY exam_proximity) g "
+    "ON l.label = g.label ORDER BY l.label"))
+def q_rate_by_exam(spark, sf_dir):
+    return A.rate_by_exam(flat(spark, sf_dir))
+
+
+def _club_sql(source: str, dense: bool) -> str:
+    join = "LEFT JOIN" if dense else "JOIN"
+    return (
+        f"SELECT l.label, coalesce(g.r, 0.0) AS rate FROM (SELECT unnest(['Low', 'Medium', 'High']) AS label, "
+        f"unnest([0, 1, 2]) AS pos) l {join} (SELECT club_activity_level AS label, {_rate_sql()} AS r FROM {source} "
+        "GROUP BY club_activity_level) g ON l.label = g.label ORDER BY l.pos")
+
+
+@register("rate_by_club", O.with_flat(_club_sql("r_flat", dense=False)))
+def q_rate_by_club(spark, sf_dir):
+    return A.rate_by_club(flat(spark, sf_dir))
+
+
+@register("monthly_trend", O.with_flat(
+    "SELECT strftime(event_date, '%Y-%m') AS month, count(*) AS registrations, "
+    f"CAST(sum(attended) AS BIGINT) AS attended, {_rate_sql()} AS rate FROM r_flat WHERE event_date IS NOT NULL "
+    "GROUP BY 1 ORDER BY 1"))
+def q_monthly_trend(spark, sf_dir):
+    return A.monthly_trend(flat(spark, sf_dir))
+
+
+_SLOTS = sorted(["Morning (9-11 AM)", "Afternoon (2-4 PM)", "Evening (5-7 PM)"])
+
+
+@register("day_slot_heatmap", O.with_flat(
+    "SELECT day_of_week, " + ", ".join(
+        f"coalesce(round_even(avg(CASE WHEN time_slot = '{s}' THEN CAST(attended AS DOUBLE) END), 4), 0.0) AS \"{s}\""
+        for s in _SLOTS) +
+    " FROM r_flat WHERE day_of_week IS NOT NULL GROUP BY day_of_week"))
+def q_day_slot_heatmap(spark, sf_dir):
+    return A.day_slot_heatmap(flat(spark, sf_dir))
+
+
+# P11 slice used by the topic analysis queries (parameters of the feature, not row caps)
+SLICE = {"topic": "Data Science", "school": "School of Technology", "date_from": "2024-09-01", "date_to": "2025-01-31"}
+_SLICE_SQL = (", r_slice AS (SELECT * FROM r_flat WHERE department = 'School of Technology' "
+              "AND event_date >= DATE '2024-09-01' AND event_date <= DATE '2025-01-31' AND topic = 'Data Science')\n")
+
+
+def _slice(spark, sf_dir):
+    return A.filter_school_topic_dates(flat(spark, sf_dir), **SLICE)
+
+
+@register("filter_school_topic_dates", O.with_flat(_SLICE_SQL + "SELECT * FROM r_slice"))
+def q_filter(spark, sf_dir):
+    return _slice(spark, sf_dir)
+
+
+@register("topic_summary", O.with_flat(
+    _SLICE_SQL + "SELECT count(DISTINCT event_id) AS events, count(*) AS registrations, "
+    f"CAST(coalesce(sum(attended), 0) AS BIGINT) AS attended, coalesce({_rate_sql()}, 0.0) AS rate FROM r_slice"))
+def q_topic_summary(spark, sf_dir):
+    return A.topic_summary(_slice(spark, sf_dir))
+
+
+@register("topic_summary_empty", O.with_flat(
+    ", r_none AS (SELECT * FROM r_flat WHERE topic = 'Underwater Basket Weaving')\n"
+    "SELECT count(DISTINCT event_id) AS events, count(*) AS registrations, "
+    f"CAST(coalesce(sum(attended), 0) AS BIGINT) AS attended, coalesce({_rate_sql()}, 0.0) AS rate FROM r_none"))
+def q_topic_summary_empty(spark, sf_dir):
+    return A.topic_summary(A.filter_school_topic_dates(flat(spark, sf_dir), topic="Underwater Basket Weaving"))
+
+
+@register("topic_mode_breakdown", O.with_flat(
+    _SLICE_SQL + "SELECT mode AS label, count(*) AS count, CAST(sum(attended) AS BIGINT) AS attended, "
+    f"{_rate_sql()} AS rate FROM r_slice WHERE mode IS NOT NULL GROUP BY mode ORDER BY mode"))
+def q_topic_mode(spark, sf_dir):
+    return A.topic_mode_breakdown(_slice(spark, sf_dir))
+
+
+@register("topic_department", O.with_flat(
+    _SLICE_SQL + f"SELECT department AS label, {_rate_sql()} AS rate FROM r_slice WHERE department IS NOT NULL "
+    "GROUP BY department ORDER BY rate DESC, label"))
+def q_topic_department(spark, sf_dir):
+    return A.rate_by(_slice(spark, sf_dir), "department")
+
+
+@register("topic_semester", O.with_flat(
+    _SLICE_SQL + f"SELECT CAST(semester AS VARCHAR) AS label, {_rate_sql()} AS rate FROM r_slice "
+    "WHERE semester IS NOT NULL GROUP BY semester ORDER BY semester"))
+def q_topic_semester(spark, sf_dir):
+    return A.rate_by_semester(_slice(spark, sf_dir))
+
+
+@register("topic_club", O.with_flat(_SLICE_SQL + _club_sql("r_slice", dense=True)))
+def q_topic_club(spark, sf_dir):
+    return A.rate_by_club(_slice(spark, sf_dir), dense=True)
+
+
+_BREAKDOWN_DIMS = [
+    ("topic", "topic"), ("day_of_week", "day_of_week"), ("month", "strftime(event_date, '%Y-%m')"),
+    ("speaker_type", "speaker_type"), ("mode", "mode"), ("club_activity_level", "club_activity_level"),
+    ("exam_proximity", "CAST(exam_proximity AS VARCHAR)"), ("department", "department"),
+    ("semester", "CAST(semester AS VARCHAR)"), ("day_of_week|time_slot", "day_of_week || '|' || time_slot"),
+]
+
+
+@register("all_breakdowns", O.with_flat(" UNION ALL ".join(
+    f"SELECT '{d}' AS dimension, {e} AS label, count(*) AS registrations, CAST(sum(attended) AS BIGINT) AS attended, "
+    f"{_rate_sql()} AS rate FROM r_flat WHERE {e} IS NOT NULL GROUP BY {e}" for d, e in _BREAKDOWN_DIMS)))
+def q_all_breakdowns(spark, sf_dir):
+    return A.all_breakdowns(flat(spark, sf_dir))
+
+
+@register("rate_by_key_factors", O.with_flat(" UNION ALL ".join(
+    f"SELECT '{f}' AS factor, CAST({f} AS VARCHAR) AS value, {_rate_sql()} AS rate FROM r_flat "
+    f"WHERE {f} IS NOT NULL GROUP BY {f}" for f in A.KEY_FACTORS)))
+def q_key_factors(spark, sf_dir):
+    return A.rate_by_key_factors(flat(spark, sf_dir))
+
+
+@register("target_correlations", O.with_flat(
+    "SELECT feature, round_even(c, 6) AS corr FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, corr(CAST({c} AS DOUBLE), CAST(attended AS DOUBLE)) AS c FROM r_flat"
+        for c in A.NUMERIC_COLUMNS) + ") WHERE c IS NOT NULL ORDER BY abs(c) DESC, feature LIMIT 10"))
+def q_target_correlations(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    return A.target_correlations(flat(spark, sf_dir)).select("feature", F.bround("corr", 6).alias("corr"))
+
+
+@register("overall_rate", O.with_flat("SELECT avg(CAST(attended AS DOUBLE)) AS overall_rate FROM r_flat"))
+def q_overall_rate(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    return flat(spark, sf_dir).agg(F.avg(F.col("attended").cast("double")).alias("overall_rate"))
+
+
+@register("class_balance", O.with_flat(
+    "SELECT n, n_pos, n_neg, n_pos / n AS pos_rate, n_neg / n_pos AS scale_pos_weight, n / (2 * n_pos) AS weight_pos, "
+    "n / (2 * n_neg) AS weight_neg FROM (SELECT count(*) AS n, CAST(sum(CASE WHEN attended = 1 THEN 1 ELSE 0 END) AS BIGINT) "
+    "AS n_pos, CAST(sum(CASE WHEN attended = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_neg FROM r_flat)"))
+def q_class_balance(spark, sf_dir):
+    return A.class_balance(flat(spark, sf_dir))
+
+
+_OPTS = [("topics", "topic"), ("speaker_types", "speaker_type"), ("time_slots", "time_slot"), ("modes", "mode"),
+         ("promotion_levels", "promotion_level")]
+
+
+@register("distinct_options", O.with_flat(
+    "SELECT option, value, CAST(row_number() OVER (PARTITION BY option ORDER BY pos, value) - 1 AS INTEGER) AS position "
+    "FROM (" + " UNION ".join(
+        f"SELECT DISTINCT '{k}' AS option, CAST({c} AS VARCHAR) AS value, 0 AS pos FROM r_flat WHERE {c} IS NOT NULL"
+        for k, c in _OPTS) +
+    " UNION SELECT DISTINCT 'days' AS option, day_of_week AS value, " + _DAY_CASE.replace("label", "day_of_week") +
+    " AS pos FROM r_flat WHERE day_of_week IS NOT NULL) "
+    "UNION ALL SELECT 'exam_proximity', unnest(['1', '2', '3']), unnest([0, 1, 2])"))
+def q_distinct_options(spark, sf_dir):
+    return A.distinct_options(flat(spark, sf_dir))
+
+
+@register("percent_and_complement", O.with_flat(
+    "SELECT label, rate, round(rate * 100, 1) AS attended_pct, round((1 - rate) * 100, 1) AS not_attended_pct FROM "
+    f"(SELECT topic AS label, {_rate_sql()} AS rate FROM r_flat WHERE topic IS NOT NULL GROUP BY topic)"))
+def q_percent(spark, sf_dir):
+    return A.percent_and_complement(A.rate_by(flat(spark, sf_dir), "topic"))
