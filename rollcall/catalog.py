@@ -299,3 +299,160 @@ def q_distinct_options(spark, sf_dir):
     f"(SELECT topic AS label, {_rate_sql()} AS rate FROM r_flat WHERE topic IS NOT NULL GROUP BY topic)"))
 def q_percent(spark, sf_dir):
     return A.percent_and_complement(A.rate_by(flat(spark, sf_dir), "topic"))
+
+
+# ---- S2-S9, J2, J4 tables ----------------------------------------------------------------
+from rollcall.sources import tables as TB  # noqa: E402
+
+CUTOFF = "2024-08-01"  # incremental-load boundary: history known before it is "existing"
+
+
+@register("parse_event_date_lenient", O.with_flat(
+    ", r_txt AS (SELECT event_id, CASE WHEN right(event_id, 2) = '00' THEN '2024-13-45' "
+    "ELSE strftime(event_date, '%Y-%m-%d') END AS event_date_text FROM r_events)\n"
+    "SELECT event_id, event_date_text, CAST(try_strptime(event_date_text, '%Y-%m-%d') AS DATE) AS event_date FROM r_txt"))
+def q_parse_dates(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    ev = X.events(spark, sf_dir)
+    txt = ev.select(
+        "event_id",
+        F.when(F.substring("event_id", -2, 2) == "00", F.lit("2024-13-45"))
+        .otherwise(F.date_format("event_date", "yyyy-MM-dd")).alias("event_date_text"),
+    )
+    return txt.withColumn("event_date", TB.parse_event_date(F.col("event_date_text"), lenient=True))
+
+
+_STUDENT_SQL = ("SELECT student_id, department, semester, club_activity_level, cgpa FROM "
+                "(SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY event_date, event_id) AS k FROM r_flat) "
+                "WHERE k = 1")
+
+
+@register("normalise_students", O.with_flat(_STUDENT_SQL))
+def q_norm_students(spark, sf_dir):
+    return TB.normalise_students(flat(spark, sf_dir))
+
+
+@register("normalise_events", O.with_flat(
+    "SELECT event_id, event_date, topic, speaker_type, day_of_week, time_slot, duration_minutes, mode, exam_proximity, "
+    "promotion_level, num_registrations FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY student_id) "
+    "AS k FROM r_flat) WHERE k = 1"))
+def q_norm_events(spark, sf_dir):
+    return TB.normalise_events(flat(spark, sf_dir))
+
+
+@register("project_registrations", O.with_flat(
+    "SELECT student_id, event_id, registration_timing, attended, past_attendance_rate, past_events_count FROM r_flat"))
+def q_project_regs(spark, sf_dir):
+    return TB.project_registrations(flat(spark, sf_dir))
+
+
+@register("event_registration_counts", O.with_flat("SELECT event_id, num_registrations FROM r_events"))
+def q_event_counts(spark, sf_dir):
+    return X.events(spark, sf_dir).select("event_id", "num_registrations")
+
+
+@register("merge_new_dimension_rows", O.with_flat(
+    f", r_existing AS (SELECT DISTINCT student_id FROM r_flat WHERE event_date < DATE '{CUTOFF}')\n"
+    f"SELECT s.* FROM ({_STUDENT_SQL}) s WHERE s.student_id NOT IN (SELECT student_id FROM r_existing)"))
+def q_merge_dims(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    f = flat(spark, sf_dir)
+    existing = TB.normalise_students(f.filter(F.col("event_date") < F.lit(CUTOFF).cast("date")))
+    return TB.merge_new_dimension_rows(TB.normalise_students(f), existing, "student_id")
+
+
+@register("load_fact_once", O.with_flat(
+    "SELECT student_id, event_id, registration_timing, attended, past_attendance_rate, past_events_count FROM r_flat"))
+def q_load_fact_once(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    regs = TB.project_registrations(flat(spark, sf_dir))
+    # the target table is empty before the first load -> every row is loaded
+    target = regs.filter(F.col("student_id").isNull())
+    return TB.load_fact_once(regs, target)
+
+
+@register("denormalise", O.with_flat("SELECT * FROM r_flat"))
+def q_denormalise(spark, sf_dir):
+    s, e, r = X.star_tables(spark, sf_dir)
+    return TB.denormalise(s, e, r)
+
+
+# ---- C1-C3 scorecard ------------------------------------------------------------------------
+from rollcall.functions import scorecard as SC  # noqa: E402
+
+
+@register("rule_scorecard", O.with_flat(
+    f"SELECT student_id, event_id, CAST({O.SCORE_SQL} AS INTEGER) AS score_pct, "
+    f"CAST({O.SCORE_SQL} AS INTEGER) / CAST(100 AS DOUBLE) AS score FROM r_flat"))
+def q_rule_scorecard(spark, sf_dir):
+    return SC.rule_scorecard(flat(spark, sf_dir))
+
+
+@register("scorecard_contributions", O.with_flat(" UNION ALL ".join(
+    f"SELECT * FROM (SELECT student_id, event_id, '{n}' AS rule, CAST({r} AS INTEGER) AS points FROM r_flat) "
+    "WHERE points <> 0" for n, r in O.RULE_SQL)))
+def q_scorecard_contributions(spark, sf_dir):
+    return SC.scorecard_contributions(flat(spark, sf_dir))
+
+
+@register("momentum_score", O.with_flat(
+    "SELECT student_id, event_id, round_even(least(0.90e0, greatest(0.03e0, CASE WHEN r IS NULL THEN b "
+    "ELSE b + (r - 0.3e0) * 0.25e0 END)), 6) AS momentum FROM (SELECT student_id, event_id, "
+    f"CAST({O.SCORE_SQL} AS INTEGER) / CAST(100 AS DOUBLE) AS b, avg(attended) OVER (PARTITION BY student_id "
+    "ORDER BY event_date, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS r FROM r_flat)"))
+def q_momentum(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from rollcall.operators.history import momentum_score
+
+    f = flat(spark, sf_dir)
+    m = momentum_score(f, SC.score_probability(f.columns))
+    return f.select("student_id", "event_id", F.bround(m, 6).alias("momentum"))
+
+
+# ---- W1-W7 history windows ------------------------------------------------------------------
+from rollcall.operators import history as H  # noqa: E402
+
+
+@register("recalculate_history", O.with_flat(
+    "SELECT student_id, event_id, past_attendance_rate, past_events_count FROM r_flat"))
+def q_recalc(spark, sf_dir):
+    return H.recalculate_history(X.labelled_flat(spark, sf_dir)).select(
+        "student_id", "event_id", "past_attendance_rate", "past_events_count")
+
+
+def _history(spark, sf_dir):
+    return H.history_features(flat(spark, sf_dir))
+
+
+for _col in H.HISTORY_COLUMNS:
+    _expr = f"round_even({_col}, 6) AS {_col}" if _col == "student_attendance_std" else _col
+    register(_col, O.with_flat(O.HISTORY_CTE + f"\nSELECT student_id, event_id, {_expr} FROM r_hist"))(
+        lambda spark, sf_dir, _c=_col: _history(spark, sf_dir).select(
+            "student_id", "event_id",
+            (__import__("pyspark.sql.functions", fromlist=["bround"]).bround(_c, 6).alias(_c)
+             if _c == "student_attendance_std" else _c)))
+
+
+@register("history_features", O.with_flat(O.HISTORY_CTE + "\nSELECT student_id, event_id, " + ", ".join(
+    f"round_even({c}, 6) AS {c}" if c == "student_attendance_std" else c for c in H.HISTORY_COLUMNS) + " FROM r_hist"))
+def q_history_all(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    return _history(spark, sf_dir).select(
+        "student_id", "event_id",
+        *[F.bround(c, 6).alias(c) if c == "student_attendance_std" else F.col(c) for c in H.HISTORY_COLUMNS])
+
+
+@register("history_features_skew_route", O.with_flat(O.HISTORY_CTE + "\nSELECT student_id, event_id, " + ", ".join(
+    f"round_even({c}, 6) AS {c}" for c in H.HISTORY_COLUMNS) + " FROM r_hist"))
+def q_history_skew(spark, sf_dir):
+    """Same features with every student routed through the segmented (hot-key) scan."""
+    from pyspark.sql import functions as F
+
+    f = flat(spark, sf_dir)
+    out = H.history_features(f, hot_rows=0, segment_rows=5000)
+    return out.select("student_id", "event_id", *[F.bround(F.col(c).cast("double"), 6).alias(c) for c in H.HISTORY_COLUMNS])

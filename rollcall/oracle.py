@@ -20,35 +20,29 @@ def _case_index(expr: str, values) -> str:
     return f"CASE {expr} {whens} END"
 
 
-SCORE_SQL = f"""
-  LEAST(90, GREATEST(3, 18
-  + CASE WHEN club_activity_level = 'High' THEN 20 WHEN club_activity_level = 'Medium' THEN 6 ELSE -8 END
-  + CASE WHEN registration_timing = 'Early' THEN 14 WHEN registration_timing = 'Late' THEN -8 ELSE 0 END
-  + CASE WHEN cgpa >= 8.5 THEN 10 WHEN cgpa >= 7.0 THEN 4 WHEN cgpa < 5.5 THEN -6 ELSE 0 END
-  + CASE WHEN semester IN (4, 5, 6) THEN 6 WHEN semester <= 2 THEN -4 WHEN semester >= 7 THEN 2 ELSE 0 END
-  + CASE WHEN speaker_type = 'Industry' THEN 16 WHEN speaker_type = 'Alumni' THEN 8 WHEN speaker_type = 'Student' THEN -6 ELSE 0 END
-  + CASE WHEN topic IN ({_q(K.HOT_TOPICS)}) THEN 14 WHEN topic IN ({_q(K.WARM_TOPICS)}) THEN 7
-         WHEN topic IN ({_q(K.MILD_TOPICS)}) THEN 2 WHEN topic IN ({_q(K.COLD_TOPICS)}) THEN -8 ELSE 0 END
-  + CASE WHEN time_slot = 'Afternoon (2-4 PM)' THEN 8 WHEN time_slot = 'Evening (5-7 PM)' THEN 3 ELSE -6 END
-  + CASE WHEN exam_proximity = 1 THEN -18 WHEN exam_proximity = 2 THEN -4 WHEN exam_proximity = 3 THEN 8 ELSE 0 END
-  + CASE WHEN mode = 'Offline' THEN 5 ELSE -4 END
-  + CASE WHEN promotion_level = 'High' THEN 10 WHEN promotion_level = 'Low' THEN -8 ELSE 0 END
-  + CASE WHEN day_of_week IN ('Tuesday', 'Wednesday', 'Thursday') THEN 5 WHEN day_of_week IN ('Saturday', 'Sunday') THEN -10
-         WHEN day_of_week = 'Monday' THEN -4 ELSE 0 END
-  + CASE WHEN duration_minutes > 150 THEN -8 WHEN duration_minutes > 120 THEN -3 WHEN duration_minutes <= 60 THEN 5
-         WHEN duration_minutes <= 90 THEN 3 ELSE 0 END
-  + CASE WHEN num_registrations > 90 THEN 7 WHEN num_registrations > 60 THEN 3 WHEN num_registrations < 25 THEN -5 ELSE 0 END
-  + CASE WHEN (department = 'School of Technology' AND topic IN ({_q(K.SCHOOL_TOPICS['School of Technology'])}))
-           OR (department = 'School of Design' AND topic IN ({_q(K.SCHOOL_TOPICS['School of Design'])}))
-           OR (department = 'School of Business' AND topic IN ({_q(K.SCHOOL_TOPICS['School of Business'])}))
-           OR (department = 'School of Music' AND topic IN ({_q(K.SCHOOL_TOPICS['School of Music'])})) THEN 10 ELSE 0 END
-  + CASE WHEN topic IN ('Career Guidance', 'Entrepreneurship') THEN 5 ELSE 0 END
-  + CASE WHEN department IN ('School of Design', 'School of Music') AND topic = 'Creative Coding' THEN 6 ELSE 0 END
-  + CASE WHEN club_activity_level = 'High' AND registration_timing = 'Early' THEN 8 ELSE 0 END
-  + CASE WHEN club_activity_level = 'Low' AND registration_timing = 'Late' AND exam_proximity = 1 THEN -10 ELSE 0 END
-  + CASE WHEN speaker_type = 'Industry' AND topic IN ({_q(K.HOT_TOPICS)}) THEN 8 ELSE 0 END
-  + CASE WHEN promotion_level = 'High' AND mode = 'Offline' AND time_slot = 'Afternoon (2-4 PM)' THEN 6 ELSE 0 END
-  ))"""
+RULE_SQL = [
+    ("club", f"""CASE WHEN club_activity_level = 'High' THEN 20 WHEN club_activity_level = 'Medium' THEN 6 ELSE -8 END"""),
+    ("timing", f"""CASE WHEN registration_timing = 'Early' THEN 14 WHEN registration_timing = 'Late' THEN -8 ELSE 0 END"""),
+    ("cgpa", f"""CASE WHEN cgpa >= 8.5 THEN 10 WHEN cgpa >= 7.0 THEN 4 WHEN cgpa < 5.5 THEN -6 ELSE 0 END"""),
+    ("semester", f"""CASE WHEN semester IN (4, 5, 6) THEN 6 WHEN semester <= 2 THEN -4 WHEN semester >= 7 THEN 2 ELSE 0 END"""),
+    ("speaker", f"""CASE WHEN speaker_type = 'Industry' THEN 16 WHEN speaker_type = 'Alumni' THEN 8 WHEN speaker_type = 'Student' THEN -6 ELSE 0 END"""),
+    ("topic_tier", f"""CASE WHEN topic IN ({_q(K.HOT_TOPICS)}) THEN 14 WHEN topic IN ({_q(K.WARM_TOPICS)}) THEN 7 WHEN topic IN ({_q(K.MILD_TOPICS)}) THEN 2 WHEN topic IN ({_q(K.COLD_TOPICS)}) THEN -8 ELSE 0 END"""),
+    ("time_slot", f"""CASE WHEN time_slot = 'Afternoon (2-4 PM)' THEN 8 WHEN time_slot = 'Evening (5-7 PM)' THEN 3 ELSE -6 END"""),
+    ("exam", f"""CASE WHEN exam_proximity = 1 THEN -18 WHEN exam_proximity = 2 THEN -4 WHEN exam_proximity = 3 THEN 8 ELSE 0 END"""),
+    ("mode", f"""CASE WHEN mode = 'Offline' THEN 5 ELSE -4 END"""),
+    ("promotion", f"""CASE WHEN promotion_level = 'High' THEN 10 WHEN promotion_level = 'Low' THEN -8 ELSE 0 END"""),
+    ("day", f"""CASE WHEN day_of_week IN ('Tuesday', 'Wednesday', 'Thursday') THEN 5 WHEN day_of_week IN ('Saturday', 'Sunday') THEN -10 WHEN day_of_week = 'Monday' THEN -4 ELSE 0 END"""),
+    ("duration", f"""CASE WHEN duration_minutes > 150 THEN -8 WHEN duration_minutes > 120 THEN -3 WHEN duration_minutes <= 60 THEN 5 WHEN duration_minutes <= 90 THEN 3 ELSE 0 END"""),
+    ("registrations", f"""CASE WHEN num_registrations > 90 THEN 7 WHEN num_registrations > 60 THEN 3 WHEN num_registrations < 25 THEN -5 ELSE 0 END"""),
+    ("school_topic", f"""CASE WHEN (department = 'School of Technology' AND topic IN ({_q(K.SCHOOL_TOPICS['School of Technology'])})) OR (department = 'School of Design' AND topic IN ({_q(K.SCHOOL_TOPICS['School of Design'])})) OR (department = 'School of Business' AND topic IN ({_q(K.SCHOOL_TOPICS['School of Business'])})) OR (department = 'School of Music' AND topic IN ({_q(K.SCHOOL_TOPICS['School of Music'])})) THEN 10 ELSE 0 END"""),
+    ("cross_school", f"""CASE WHEN topic IN ('Career Guidance', 'Entrepreneurship') THEN 5 ELSE 0 END"""),
+    ("creative_coding", f"""CASE WHEN department IN ('School of Design', 'School of Music') AND topic = 'Creative Coding' THEN 6 ELSE 0 END"""),
+    ("club_x_early", f"""CASE WHEN club_activity_level = 'High' AND registration_timing = 'Early' THEN 8 ELSE 0 END"""),
+    ("low_late_near", f"""CASE WHEN club_activity_level = 'Low' AND registration_timing = 'Late' AND exam_proximity = 1 THEN -10 ELSE 0 END"""),
+    ("industry_hot", f"""CASE WHEN speaker_type = 'Industry' AND topic IN ({_q(K.HOT_TOPICS)}) THEN 8 ELSE 0 END"""),
+    ("promo_offline_afternoon", f"""CASE WHEN promotion_level = 'High' AND mode = 'Offline' AND time_slot = 'Afternoon (2-4 PM)' THEN 6 ELSE 0 END"""),
+]
+SCORE_SQL = "LEAST(90, GREATEST(3, 18 + " + " + ".join(r for _, r in RULE_SQL) + "))"
 
 _STU = "'STU_' || lpad(CAST({k} AS VARCHAR), 6, '0')"
 _EVT = "'EVT_' || lpad(CAST({k} AS VARCHAR), 6, '0')"

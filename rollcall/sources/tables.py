@@ -54,7 +54,7 @@ def scan_registrations(spark: SparkSession, path: str, lenient_dates: bool = Tru
 def parse_event_date(col: F.Column, lenient: bool = True) -> F.Column:
     """S2 lenient (``try_to_date``) or S3 strict (``to_date``, fails on bad input under ANSI)."""
     if lenient:
-        return F.try_to_date(col.cast("string"), F.lit("yyyy-MM-dd"))
+        return F.try_to_date(col.cast("string"), "yyyy-MM-dd")
     return F.to_date(col.cast("string"), "yyyy-MM-dd")
 
 
