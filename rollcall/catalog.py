@@ -456,3 +456,120 @@ def q_history_skew(spark, sf_dir):
     f = flat(spark, sf_dir)
     out = H.history_features(f, hot_rows=0, segment_rows=5000)
     return out.select("student_id", "event_id", *[F.bround(F.col(c).cast("double"), 6).alias(c) for c in H.HISTORY_COLUMNS])
+
+
+# ---- M9-M15 metrics kit (scored by the rule scorecard) ----------------------------------------
+from rollcall.operators import metrics as MT  # noqa: E402
+
+
+def scored_by_scorecard(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    f = flat(spark, sf_dir)
+    return f.select("student_id", "event_id", "department", F.col("attended").alias("label"),
+                    SC.score_probability(f.columns).alias("p"))
+
+
+_GRID = MT.threshold_grid()
+_GRID_SQL = ", ".join(f"({i}, CAST('{t!r}' AS DOUBLE))" for i, t in enumerate(_GRID))
+_SCORED_CTE = (f", r_scored AS (SELECT student_id, event_id, department, attended AS label, "
+               f"CAST({O.SCORE_SQL} AS INTEGER) / CAST(100 AS DOUBLE) AS p FROM r_flat)\n")
+_SWEEP_CTE = _SCORED_CTE + (
+    f", r_grid(idx, threshold) AS (VALUES {_GRID_SQL})\n"
+    ", r_tot AS (SELECT CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS P, "
+    "CAST(sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS BIGINT) AS N FROM r_scored)\n"
+    ", r_cnt AS (SELECT g.idx, g.threshold, CAST(count(CASE WHEN s.label = 1 THEN 1 END) AS BIGINT) AS tp, "
+    "CAST(count(CASE WHEN s.label <> 1 THEN 1 END) AS BIGINT) AS fp FROM r_grid g LEFT JOIN r_scored s ON s.p >= g.threshold "
+    "GROUP BY g.idx, g.threshold)\n"
+    ", r_sweep AS (SELECT CAST(idx AS INTEGER) AS idx, threshold, tp, fp, P - tp AS fn, N - fp AS tn, "
+    "CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, "
+    "CASE WHEN P > 0 THEN tp / P ELSE 0.0 END AS recall, "
+    "CASE WHEN 2 * tp + fp + (P - tp) > 0 THEN 2 * tp / (2 * tp + fp + (P - tp)) ELSE 0.0 END AS f1 "
+    "FROM r_cnt CROSS JOIN r_tot)\n"
+    ", r_best AS (SELECT CASE WHEN f1 > 0 THEN threshold ELSE 0.5e0 END AS threshold, f1 FROM r_sweep "
+    "ORDER BY f1 DESC, idx ASC LIMIT 1)\n"
+)
+
+
+@register("threshold_sweep", O.with_flat(_SWEEP_CTE + "SELECT * FROM r_sweep"))
+def q_threshold_sweep(spark, sf_dir):
+    return MT.threshold_sweep(scored_by_scorecard(spark, sf_dir))
+
+
+@register("best_threshold", O.with_flat(_SWEEP_CTE + "SELECT * FROM r_best"))
+def q_best_threshold(spark, sf_dir):
+    return MT.best_threshold(MT.threshold_sweep(scored_by_scorecard(spark, sf_dir)))
+
+
+def _best_scalar(scored):
+    return MT.best_threshold(MT.threshold_sweep(scored)).select("threshold").scalar()
+
+
+_CM_SQL = (", r_cm AS (SELECT CAST(sum(CASE WHEN label <> 1 AND p < t THEN 1 ELSE 0 END) AS BIGINT) AS tn, "
+           "CAST(sum(CASE WHEN label <> 1 AND p >= t THEN 1 ELSE 0 END) AS BIGINT) AS fp, "
+           "CAST(sum(CASE WHEN label = 1 AND p < t THEN 1 ELSE 0 END) AS BIGINT) AS fn, "
+           "CAST(sum(CASE WHEN label = 1 AND p >= t THEN 1 ELSE 0 END) AS BIGINT) AS tp "
+           "FROM r_scored CROSS JOIN (SELECT threshold AS t FROM r_best))\n")
+
+
+@register("confusion_matrix", O.with_flat(_SWEEP_CTE + _CM_SQL + "SELECT * FROM r_cm"))
+def q_confusion(spark, sf_dir):
+    s = scored_by_scorecard(spark, sf_dir)
+    return MT.confusion_matrix(s, _best_scalar(s))
+
+
+@register("accuracy_f1", O.with_flat(_SWEEP_CTE + _CM_SQL + (
+    "SELECT *, CASE WHEN tp + tn + fp + fn > 0 THEN (tp + tn) / (tp + tn + fp + fn) ELSE 0.0 END AS accuracy, "
+    "CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1 FROM r_cm")))
+def q_accuracy_f1(spark, sf_dir):
+    s = scored_by_scorecard(spark, sf_dir)
+    return MT.accuracy_f1(MT.confusion_matrix(s, _best_scalar(s)))
+
+
+@register("auc_roc", O.with_flat(_SCORED_CTE + (
+    ", r_g AS (SELECT p, CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS pos, "
+    "CAST(sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS DOUBLE) AS neg FROM r_scored GROUP BY p)\n"
+    ", r_c AS (SELECT pos, neg, pos * (coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+    "+ 0.5 * neg) AS c FROM r_g)\n"
+    "SELECT CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(c) / (sum(pos) * sum(neg)) END AS auc_roc FROM r_c")))
+def q_auc(spark, sf_dir):
+    return MT.auc_roc(scored_by_scorecard(spark, sf_dir))
+
+
+_REPORT_SQL = """
+, r_pr AS (SELECT CAST(tp AS DOUBLE) AS tp, CAST(fp AS DOUBLE) AS fp, CAST(fn AS DOUBLE) AS fn, CAST(tn AS DOUBLE) AS tn FROM r_cm)
+, r_pr2 AS (SELECT *, tp + fp + fn + tn AS n,
+    CASE WHEN tp + fp <> 0 THEN tp / (tp + fp) ELSE 0.0 END AS p1, CASE WHEN tp + fn <> 0 THEN tp / (tp + fn) ELSE 0.0 END AS r1,
+    CASE WHEN tn + fn <> 0 THEN tn / (tn + fn) ELSE 0.0 END AS p0, CASE WHEN tn + fp <> 0 THEN tn / (tn + fp) ELSE 0.0 END AS r0,
+    tp + fn AS s1, tn + fp AS s0 FROM r_pr)
+, r_pr3 AS (SELECT *, CASE WHEN p1 + r1 <> 0 THEN 2 * p1 * r1 / (p1 + r1) ELSE 0.0 END AS f1_1,
+    CASE WHEN p0 + r0 <> 0 THEN 2 * p0 * r0 / (p0 + r0) ELSE 0.0 END AS f1_0 FROM r_pr2)
+SELECT 'Not Attended' AS class_label, p0 AS precision, r0 AS recall, f1_0 AS f1_score, CAST(s0 AS BIGINT) AS support FROM r_pr3
+UNION ALL SELECT 'Attended', p1, r1, f1_1, CAST(s1 AS BIGINT) FROM r_pr3
+UNION ALL SELECT 'accuracy', NULL, NULL, CASE WHEN n <> 0 THEN (tp + tn) / n ELSE 0.0 END, CAST(n AS BIGINT) FROM r_pr3
+UNION ALL SELECT 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f1_0 + f1_1) / 2, CAST(n AS BIGINT) FROM r_pr3
+UNION ALL SELECT 'weighted avg', CASE WHEN n <> 0 THEN (p0 * s0 + p1 * s1) / n ELSE 0.0 END,
+  CASE WHEN n <> 0 THEN (r0 * s0 + r1 * s1) / n ELSE 0.0 END, CASE WHEN n <> 0 THEN (f1_0 * s0 + f1_1 * s1) / n ELSE 0.0 END,
+  CAST(n AS BIGINT) FROM r_pr3
+"""
+
+
+@register("classification_report", O.with_flat(_SWEEP_CTE + _CM_SQL + _REPORT_SQL))
+def q_report(spark, sf_dir):
+    s = scored_by_scorecard(spark, sf_dir)
+    return MT.classification_report(MT.confusion_matrix(s, _best_scalar(s)))
+
+
+@register("metrics_by_school", O.with_flat(_SWEEP_CTE + (
+    ", r_d AS (SELECT department, CAST(sum(CASE WHEN label = 1 AND p >= t THEN 1 ELSE 0 END) AS BIGINT) AS tp, "
+    "CAST(sum(CASE WHEN label <> 1 AND p >= t THEN 1 ELSE 0 END) AS BIGINT) AS fp, "
+    "CAST(sum(CASE WHEN label = 1 AND p < t THEN 1 ELSE 0 END) AS BIGINT) AS fn, "
+    "CAST(sum(CASE WHEN label <> 1 AND p < t THEN 1 ELSE 0 END) AS BIGINT) AS tn "
+    "FROM r_scored CROSS JOIN (SELECT threshold AS t FROM r_best) GROUP BY department)\n"
+    "SELECT department, tp, fp, fn, tn, CASE WHEN tp + fp <> 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END AS precision, "
+    "CASE WHEN tp + fn <> 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END AS recall, "
+    "CASE WHEN 2 * tp + fp + fn <> 0 THEN 2 * CAST(tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0.0 END AS f1, "
+    "tp + fn AS support FROM r_d")))
+def q_metrics_by_school(spark, sf_dir):
+    s = scored_by_scorecard(spark, sf_dir)
+    return MT.metrics_by_group(s, _best_scalar(s), by=["department"])
