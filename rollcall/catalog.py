@@ -573,3 +573,34 @@ def q_report(spark, sf_dir):
 def q_metrics_by_school(spark, sf_dir):
     s = scored_by_scorecard(spark, sf_dir)
     return MT.metrics_by_group(s, _best_scalar(s), by=["department"])
+
+
+# ---- T6/T7 split and folds --------------------------------------------------------------------
+from rollcall.operators import sampling as SP  # noqa: E402
+
+_SPLIT_CTE = """
+, r_keyed AS (SELECT student_id, event_id, attended, md5('42|' || student_id || '|' || event_id) AS h FROM r_flat)
+, r_rk AS (SELECT *, row_number() OVER (PARTITION BY attended ORDER BY h) - 1 AS rk FROM r_keyed)
+, r_cls AS (SELECT attended, count(*) AS n_c FROM r_flat GROUP BY attended)
+, r_cls2 AS (SELECT attended, n_c, sum(n_c) OVER () AS n, (sum(n_c) OVER () + 4) // 5 AS n_test FROM r_cls)
+, r_cls3 AS (SELECT *, (n_test * n_c) // n AS q, (n_test * n_c) % n AS r FROM r_cls2)
+, r_cls4 AS (SELECT *, n_test - sum(q) OVER () AS short, row_number() OVER (ORDER BY r DESC, attended) AS pos FROM r_cls3)
+, r_sizes AS (SELECT attended, CAST(q + CASE WHEN pos <= short THEN 1 ELSE 0 END AS BIGINT) AS test_n FROM r_cls4)
+, r_split AS (SELECT k.student_id, k.event_id, k.attended, k.rk < s.test_n AS is_test,
+    CASE WHEN k.rk >= s.test_n THEN CAST((k.rk - s.test_n) % 5 AS INTEGER) END AS fold
+    FROM r_rk k JOIN r_sizes s ON k.attended = s.attended)
+"""
+
+
+def _split(spark, sf_dir):
+    return SP.stratified_split(flat(spark, sf_dir).select("student_id", "event_id", "attended"), label="attended")
+
+
+@register("stratified_split", O.with_flat(_SPLIT_CTE + "SELECT student_id, event_id, attended, is_test FROM r_split"))
+def q_split(spark, sf_dir):
+    return _split(spark, sf_dir).select("student_id", "event_id", "attended", "is_test")
+
+
+@register("stratified_folds", O.with_flat(_SPLIT_CTE + "SELECT student_id, event_id, attended, fold FROM r_split"))
+def q_folds(spark, sf_dir):
+    return _split(spark, sf_dir).select("student_id", "event_id", "attended", "fold")
