@@ -604,3 +604,374 @@ def q_split(spark, sf_dir):
 @register("stratified_folds", O.with_flat(_SPLIT_CTE + "SELECT student_id, event_id, attended, fold FROM r_split"))
 def q_folds(spark, sf_dir):
     return _split(spark, sf_dir).select("student_id", "event_id", "attended", "fold")
+
+
+# ---- M2-M19 training, R1-R7 registry (one shared training run per process) ----------------------
+_RUNS: dict = {}
+
+
+def trained(spark, sf_dir):
+    """Prepare + fit the three models once per (session, tables); the registry lives in
+    the shared checkpoint folder."""
+    import uuid
+
+    from rollcall.plans import registry as RG
+    from rollcall.plans.training import train_all_models
+    from rollcall.session import ensure_checkpoint_dir
+
+    key = (id(spark), sf_dir)
+    if key not in _RUNS:
+        results, prep = train_all_models(flat(spark, sf_dir), cv=False)
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rollcall_registry/{uuid.uuid4().hex}"
+        reg = RG.Registry(spark, root)
+        comp = RG.publish(reg, results, prep)
+        reg.log_retrain(comp.filter('is_winner').first()['model_name'],
+                        comp.filter('is_winner').first()['f1_score'], comp.filter('is_winner').first()['auc_roc'],
+                        True, prep.n_rows)
+        _RUNS[key] = (results, prep, reg)
+    return _RUNS[key]
+
+
+def _prep_only(spark, sf_dir):
+    key = ("prep", id(spark), sf_dir)
+    if key not in _RUNS:
+        from rollcall.plans.training import prepare_data
+
+        _RUNS[key] = prepare_data(flat(spark, sf_dir))
+    return _RUNS[key]
+
+
+_TRAIN_SPLIT = (", r_train AS (SELECT s.attended AS label FROM r_split s WHERE NOT s.is_test)\n")
+
+
+@register("smote_plan", O.with_flat(_SPLIT_CTE + _TRAIN_SPLIT + (
+    ", r_p AS (SELECT count(*) AS n, CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS minority, "
+    "CAST(sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS BIGINT) AS majority FROM r_train)\n"
+    ", r_p2 AS (SELECT *, minority / n AS ratio, least(0.45e0, minority / n * 2.0e0) AS target_ratio FROM r_p)\n"
+    ", r_p3 AS (SELECT *, CAST(trunc(target_ratio * majority - minority) AS BIGINT) AS raw FROM r_p2)\n"
+    "SELECT n, minority, majority, ratio, target_ratio, ratio < 0.35e0 AS active, raw > 0 AS reachable, "
+    "CAST(CASE WHEN ratio < 0.35e0 AND raw > 0 THEN raw ELSE 0 END AS BIGINT) AS n_synthetic FROM r_p3")))
+def q_smote_plan(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from rollcall.operators.smote import smote_plan
+
+    s = _split(spark, sf_dir)
+    return smote_plan(s.filter(~F.col("is_test")).withColumnRenamed("attended", "label"))
+
+
+@register("class_weights", O.with_flat(_SPLIT_CTE + _TRAIN_SPLIT + (
+    ", r_c AS (SELECT count(*) AS n, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos FROM r_train)\n"
+    "SELECT n, CAST(pos AS BIGINT) AS n_pos, CAST(n - pos AS BIGINT) AS n_neg, n / (2.0e0 * pos) AS balanced_pos, "
+    "n / (2.0e0 * (n - pos)) AS balanced_neg, (n - pos) / CAST(pos AS DOUBLE) AS scale_pos_weight FROM r_c")))
+def q_class_weights(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    s = _split(spark, sf_dir).filter(~F.col("is_test"))
+    c = s.agg(F.count(F.lit(1)).alias("n"), F.sum("attended").cast("long").alias("n_pos"))
+    return c.select("n", "n_pos", (F.col("n") - F.col("n_pos")).alias("n_neg"),
+                    (F.col("n") / (2.0 * F.col("n_pos"))).alias("balanced_pos"),
+                    (F.col("n") / (2.0 * (F.col("n") - F.col("n_pos")))).alias("balanced_neg"),
+                    ((F.col("n") - F.col("n_pos")) / F.col("n_pos").cast("double")).alias("scale_pos_weight"))
+
+
+@register("fill_median", O.with_features(
+    "SELECT * FROM (SELECT 'cgpa' AS feature, median(cgpa) AS median FROM r_features UNION ALL "
+    "SELECT 'student_quality_score', median(student_quality_score) FROM r_features UNION ALL "
+    "SELECT 'combined_quality_attract', median(combined_quality_attract) FROM r_features) WHERE median IS NOT NULL"))
+def q_fill_median(spark, sf_dir):
+    from rollcall.operators.quantile import exact_medians
+
+    df, cols, _ = features_table(spark, sf_dir)
+    from pyspark.sql import functions as F
+
+    nulls = df.agg(*[F.sum(F.col(f"`{c}`").isNull().cast("int")).alias(c) for c in cols]).first()
+    med = exact_medians(df, [c for c in cols if nulls[c]])
+    return spark.createDataFrame([(k, float(v)) for k, v in med.items() if v is not None], "feature string, median double")
+
+
+@register("prepare_data", None)
+def q_prepare(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    p = _prep_only(spark, sf_dir)
+    tr = p.train.select("student_id", "event_id", "label", F.lit(False).alias("is_test"), "is_synthetic", "fold")
+    te = p.test.select("student_id", "event_id", "label", F.lit(True).alias("is_test"), F.lit(False).alias("is_synthetic"),
+                       F.lit(None).cast("int").alias("fold"))
+    return tr.unionByName(te)
+
+
+@register("smote_oversample", None)
+def q_smote(spark, sf_dir):
+    p = _prep_only(spark, sf_dir)
+    return p.train.filter("is_synthetic").select("student_id", "label", "x", "fold")
+
+
+def _metrics_df(spark, results):
+    rows = [(r.name, float(r.metrics["accuracy"]), float(r.metrics["f1_score"]), float(r.metrics["auc_roc"] or 0.0),
+             float(r.metrics["threshold"])) for r in results]
+    return spark.createDataFrame(rows, "model_name string, accuracy double, f1_score double, auc_roc double, threshold double")
+
+
+for _qname, _mname in [("train_gbt", "xgboost"), ("train_random_forest", "random_forest"),
+                       ("train_logistic", "logistic_regression")]:
+    register(_qname, None)(lambda spark, sf_dir, _m=_mname: _metrics_df(
+        spark, [r for r in trained(spark, sf_dir)[0] if r.name == _m]))
+
+
+@register("cv_f1", None)
+def q_cv(spark, sf_dir):
+    """5-fold F1 at 0.5 on the over-sampled train set (logistic model; the tree models
+    use the same function, ``training.cv_f1``)."""
+    from rollcall.plans.training import _pop_std, cv_f1
+
+    p = _prep_only(spark, sf_dir)
+    s = cv_f1("logistic_regression", p.train)
+    return spark.createDataFrame([("logistic_regression", i, float(v)) for i, v in enumerate(s)],
+                                 "model_name string, fold int, f1 double").withColumns(
+        {"mean_f1": __import__("pyspark.sql.functions", fromlist=["lit"]).lit(sum(s) / len(s)),
+         "std_f1": __import__("pyspark.sql.functions", fromlist=["lit"]).lit(_pop_std(s))})
+
+
+@register("feature_importance", None)
+def q_importance(spark, sf_dir):
+    results, _, _ = trained(spark, sf_dir)
+    rows = [(r.name, f, float(v)) for r in results for f, v in (r.importances or [])]
+    return spark.createDataFrame(rows, "model_name string, feature string, importance double")
+
+
+@register("top_features", None)
+def q_top_features(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    _, _, reg = trained(spark, sf_dir)
+    imp = spark.read.parquet(f"{reg.root}/feature_importance")
+    return imp.orderBy(F.col("importance").desc(), "feature").limit(15)
+
+
+@register("model_comparison", None)
+def q_comparison(spark, sf_dir):
+    return trained(spark, sf_dir)[2].comparison()
+
+
+@register("pick_winner", None)
+def q_pick_winner(spark, sf_dir):
+    return trained(spark, sf_dir)[2].comparison().filter("is_winner")
+
+
+@register("train_all_models", None)
+def q_train_all(spark, sf_dir):
+    return trained(spark, sf_dir)[2].meta().select("model_name", "timestamp", "metrics", "threshold", "model_path")
+
+
+@register("log_model_version", None)
+def q_log_version(spark, sf_dir):
+    return trained(spark, sf_dir)[2].versions()
+
+
+@register("active_model", None)
+def q_active(spark, sf_dir):
+    from rollcall.plans.registry import active_model
+
+    return active_model(trained(spark, sf_dir)[2].versions())
+
+
+@register("resolve_winner", None)
+def q_resolve(spark, sf_dir):
+    from rollcall.plans.registry import resolve_winner
+
+    reg = trained(spark, sf_dir)[2]
+    return resolve_winner(reg.comparison(), reg.meta())
+
+
+@register("retrain_decision", None)
+def q_decision(spark, sf_dir):
+    """Gate the logistic model alone (a challenger) against the active winner."""
+    from rollcall.plans.registry import active_model, retrain_decision
+
+    reg = trained(spark, sf_dir)[2]
+    new = reg.comparison().filter("model_name = 'logistic_regression'").select("model_name", "f1_score")
+    return retrain_decision(active_model(reg.versions()), new)
+
+
+@register("retrain", None)
+def q_retrain(spark, sf_dir):
+    from rollcall.plans.registry import retrain
+
+    reg = trained(spark, sf_dir)[2]
+    return retrain(reg, flat(spark, sf_dir), cv=False)
+
+
+@register("model_details", None)
+def q_details(spark, sf_dir):
+    from rollcall.plans.registry import model_details
+
+    return model_details(trained(spark, sf_dir)[2])
+
+
+@register("retrain_log_tail", None)
+def q_log_tail(spark, sf_dir):
+    from rollcall.sources.tables import retrain_log_tail
+
+    return retrain_log_tail(trained(spark, sf_dir)[2].retrain_log())
+
+
+TRAINED_ON = "2025-03-01"
+
+
+@register("retrain_due", O.with_flat(
+    f"SELECT new_events, new_events >= 10 AS due FROM (SELECT CAST(count(DISTINCT event_id) AS BIGINT) AS new_events "
+    f"FROM r_flat WHERE event_date > DATE '{TRAINED_ON}')"))
+def q_retrain_due(spark, sf_dir):
+    from rollcall.plans.registry import retrain_due
+
+    return retrain_due(flat(spark, sf_dir), TRAINED_ON)
+
+
+# ---- D1-D3, P13, J5-J7, U1, A18 prediction ---------------------------------------------------------
+from rollcall.plans import predict as PR  # noqa: E402
+
+_PLANNED_SQL = (
+    ", r_planned AS (SELECT 'PLN_' || substr(event_id, 5) AS event_id, topic, speaker_type, day_of_week, time_slot, "
+    "duration_minutes, mode, exam_proximity, promotion_level, num_registrations, event_date + 364 AS event_date "
+    "FROM r_events)\n")
+
+
+def planned(spark, sf_dir):
+    return PR.planned_events_from_history(X.events(spark, sf_dir))
+
+
+@register("required_fields", O.with_flat(_PLANNED_SQL + (
+    "SELECT event_id, topic, speaker_type, day_of_week, time_slot, mode, promotion_level, "
+    "CAST(duration_minutes AS INTEGER) AS duration_minutes, CAST(exam_proximity AS INTEGER) AS exam_proximity, "
+    "CAST(num_registrations AS BIGINT) AS num_registrations, coalesce(event_date, current_date) AS event_date, "
+    "list_filter([" + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in PR.REQUIRED) +
+    "], lambda x: x IS NOT NULL) AS missing FROM r_planned")))
+def q_required(spark, sf_dir):
+    return PR.required_fields(planned(spark, sf_dir))
+
+
+_CAND_SQL = _PLANNED_SQL + (
+    ", r_stu AS (" + _STUDENT_SQL + ")\n"
+    ", r_stu_rank AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || student_id)) - 1 AS rank FROM r_stu)\n"
+    ", r_cand AS (SELECT s.student_id, p.event_id, s.rank, p.event_date, p.num_registrations FROM r_planned p "
+    "JOIN r_stu_rank s ON s.rank < p.num_registrations)\n")
+
+
+@register("sample_students_per_event", O.with_flat(_CAND_SQL + "SELECT event_id, student_id, rank FROM r_cand"))
+def q_sample(spark, sf_dir):
+    from rollcall.operators.sampling import sample_students_per_event
+    from rollcall.sources.tables import normalise_students
+
+    s = sample_students_per_event(planned(spark, sf_dir), normalise_students(flat(spark, sf_dir)))
+    return s.select("event_id", "student_id", "rank")
+
+
+@register("candidate_cross", O.with_flat(_CAND_SQL + (
+    "SELECT c.student_id, c.event_id, 'On-time' AS registration_timing, s.department, s.semester, s.club_activity_level, "
+    "s.cgpa, p.topic, p.speaker_type, p.day_of_week, p.time_slot, p.duration_minutes, p.mode, p.exam_proximity, "
+    "p.promotion_level, p.num_registrations, p.event_date FROM r_cand c JOIN r_stu s ON c.student_id = s.student_id "
+    "JOIN r_planned p ON c.event_id = p.event_id")))
+def q_candidates(spark, sf_dir):
+    c = PR.candidate_rows(planned(spark, sf_dir), flat(spark, sf_dir))
+    return c.select("student_id", "event_id", "registration_timing", "department", "semester", "club_activity_level",
+                    "cgpa", "topic", "speaker_type", "day_of_week", "time_slot", "duration_minutes", "mode",
+                    "exam_proximity", "promotion_level", "num_registrations", "event_date")
+
+
+@register("union_history_candidates", O.with_flat(_CAND_SQL + (
+    "SELECT student_id, event_id, event_date, 0 AS is_candidate FROM r_flat UNION ALL "
+    "SELECT student_id, event_id, event_date, 1 FROM r_cand")))
+def q_union(spark, sf_dir):
+    f = flat(spark, sf_dir)
+    c = PR.candidate_rows(planned(spark, sf_dir), f)
+    u = PR.union_history_candidates(f.select("student_id", "event_id", "event_date"), c.select("student_id", "event_id", "event_date"))
+    return u.withColumnRenamed("_cand", "is_candidate")
+
+
+_ASOF_SQL = _CAND_SQL + f"""
+, r_hs1 AS (SELECT student_id, event_id, event_date, attended, row_number() OVER (w) AS rn,
+    coalesce(attended <> lag(attended) OVER (w), true) AS chg FROM r_flat WINDOW w AS ({O._W}))
+, r_hs2 AS (SELECT *, max(CASE WHEN chg THEN rn END) OVER ({O._W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS st FROM r_hs1)
+, r_hs AS (SELECT student_id, event_id, event_date, 0 AS cand,
+    avg(attended) OVER ({O._W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rolling,
+    CAST(sum(attended) OVER ({O._W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum,
+    CAST(rn AS BIGINT) AS total,
+    CAST((CASE WHEN attended = 1 THEN 1 ELSE -1 END) * (rn - st + 1) AS BIGINT) AS streak,
+    stddev_samp(attended) OVER ({O._W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sd,
+    avg(attended) OVER ({O._W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS recent3 FROM r_hs2)
+, r_both AS (SELECT * FROM r_hs UNION ALL SELECT student_id, event_id, event_date, 1, NULL, NULL, NULL, NULL, NULL, NULL FROM r_cand)
+, r_asof AS (SELECT *, max(CASE WHEN cand = 0 THEN struct_pack(d := event_date, e := event_id) END) OVER (PARTITION BY student_id
+    ORDER BY event_date, cand, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_key FROM r_both)
+, r_ov AS (SELECT avg(CAST(attended AS DOUBLE)) AS overall FROM r_flat)
+"""
+
+
+@register("asof_student_state", O.with_flat(_ASOF_SQL + """
+SELECT a.student_id, a.event_id,
+  coalesce(h.rolling, o.overall) AS student_rolling_attendance, coalesce(h.cum, 0) AS student_cumulative_attended,
+  coalesce(h.total, 0) AS student_total_events, coalesce(h.streak, 0) AS attendance_streak,
+  round_even(coalesce(h.sd, 0.5), 6) AS student_attendance_std, coalesce(h.recent3, o.overall) AS student_recent_3_rate
+FROM r_asof a CROSS JOIN r_ov o
+LEFT JOIN r_hs h ON a.student_id = h.student_id AND h.event_date = a.prev_key.d AND h.event_id = a.prev_key.e
+WHERE a.cand = 1"""))
+def q_asof(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from rollcall.operators.history import overall_rate
+
+    f = flat(spark, sf_dir)
+    c = PR.candidate_rows(planned(spark, sf_dir), f)
+    s = PR.asof_student_state(f, c, overall_rate(f))
+    return s.withColumn("student_attendance_std", F.bround("student_attendance_std", 6))
+
+
+@register("topic_history_reference", O.with_flat(_PLANNED_SQL + (
+    ", r_ts AS (SELECT topic, count(DISTINCT event_id) AS events, round_even(avg(CAST(attended AS DOUBLE)), 4) AS rate "
+    "FROM r_flat GROUP BY topic)\n"
+    "SELECT p.event_id, p.topic, t.events AS historical_events, t.rate AS historical_rate FROM r_planned p "
+    "LEFT JOIN r_ts t ON p.topic = t.topic")))
+def q_topic_ref(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    f = flat(spark, sf_dir)
+    ts = f.groupBy("topic").agg(F.count_distinct("event_id").cast("long").alias("historical_events"),
+                                F.bround(F.avg(F.col("attended").cast("double")), 4).alias("historical_rate"))
+    return planned(spark, sf_dir).select("event_id", "topic").join(F.broadcast(ts), "topic", "left").select(
+        "event_id", "topic", "historical_events", "historical_rate")
+
+
+def _served(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from rollcall.plans.features import FeatureState
+    import json
+
+    _, _, reg = trained(spark, sf_dir)
+    model, meta = reg.load_winner()
+    state = FeatureState.from_dict(json.loads(meta["feature_state"]))
+    return model, state, float(meta["threshold"]), F
+
+
+@register("planned_event_features", None)
+def q_planned_features(spark, sf_dir):
+    _, state, _, _ = _served(spark, sf_dir)
+    valid = PR.required_fields(planned(spark, sf_dir)).filter("size(missing) = 0").drop("missing")
+    return PR.planned_event_features(flat(spark, sf_dir), valid, state)
+
+
+@register("predict_planned_events", None)
+def q_predict(spark, sf_dir):
+    model, state, t, _ = _served(spark, sf_dir)
+    return PR.predict_planned_events(model, state, t, flat(spark, sf_dir), planned(spark, sf_dir))
+
+
+@register("event_turnout", None)
+def q_event_turnout(spark, sf_dir):
+    return q_predict(spark, sf_dir)
+
+
+@register("predict_batch", None)
+def q_predict_batch(spark, sf_dir):
+    model, state, _, _ = _served(spark, sf_dir)
+    return PR.predict_batch(model, state, flat(spark, sf_dir))
