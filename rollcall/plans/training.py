@@ -62,6 +62,7 @@ def prepare_data(flat: DataFrame, oversample: bool = True, seed: int = K.SEED) -
     """M2: features (M1) -> median fill over the whole matrix (P14) -> stratified split
     (T6) with folds (T7) -> over-sampling of the training part only (M3/M4)."""
     featured, cols, state = run_feature_pipeline(flat)
+    featured = cut_lineage(featured)  # medians, split and matrix all read it
     filled, medians = fill_median(featured, cols)
     state.medians = {k: v for k, v in medians.items() if v is not None}
     data = feature_matrix(filled, cols, extra=("department",))
@@ -110,8 +111,6 @@ def gbt_estimator(seed: int = K.SEED) -> Pipeline:
         featureSubsetStrategy="0.7",
         minInstancesPerNode=3,
         seed=seed,
-        cacheNodeIds=True,
-        checkpointInterval=10,
     )
     return Pipeline(stages=[gbt])
 
@@ -202,10 +201,11 @@ def feature_importance(model: PipelineModel, feature_cols: list[str]) -> list[tu
 
 
 def train_one(name: str, prep: Prepared, cv: bool = True) -> TrainedModel:
-    weighted = cut_lineage(class_weights(prep.train, WEIGHT_MODE[name]))
-    model = estimator_for(name, weighted).fit(_vec(weighted))
+    weighted = _vec(class_weights(prep.train, WEIGHT_MODE[name])).persist()
+    model = estimator_for(name, weighted).fit(weighted)
     metrics = evaluate(score(model, prep.test))
     scores = cv_f1(name, prep.train) if cv else []
+    weighted.unpersist()
     return TrainedModel(name, model, metrics, scores, feature_importance(model, prep.feature_cols))
 
 
