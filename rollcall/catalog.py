@@ -975,3 +975,142 @@ def q_event_turnout(spark, sf_dir):
 def q_predict_batch(spark, sf_dir):
     model, state, _, _ = _served(spark, sf_dir)
     return PR.predict_batch(model, state, flat(spark, sf_dir))
+
+
+# ---- P17-P21 bands and display labels ------------------------------------------------------------
+from rollcall.functions import scalar as SS  # noqa: E402
+
+_EVENT_STATS_SQL = (
+    f", r_es AS (SELECT event_id, CAST(sum(attended) AS BIGINT) AS attendees, avg(CAST(attended AS DOUBLE)) AS rate, "
+    f"avg(CAST({O.SCORE_SQL} AS INTEGER)) / CAST(100 AS DOUBLE) AS mean_score FROM r_flat GROUP BY event_id)\n")
+
+
+def _event_stats(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    f = flat(spark, sf_dir)
+    return f.groupBy("event_id").agg(
+        F.sum("attended").cast("long").alias("attendees"),
+        F.avg(F.col("attended").cast("double")).alias("rate"),
+        # mean of the integer hundredths, divided once: exact summation on every engine
+        (F.avg(SC.score_pct(f.columns)) / F.lit(100.0)).alias("mean_score"),
+    )
+
+
+@register("advice_band", O.with_flat(_EVENT_STATS_SQL + (
+    "SELECT event_id, attendees, CASE WHEN attendees < 20 THEN 'Low' WHEN attendees < 40 THEN 'Moderate' ELSE 'High' END "
+    "AS advice FROM r_es")))
+def q_advice(spark, sf_dir):
+    return _event_stats(spark, sf_dir).select("event_id", "attendees", SS.advice_band("attendees").alias("advice"))
+
+
+@register("rate_band", O.with_flat(_EVENT_STATS_SQL + (
+    "SELECT event_id, round_even(rate, 6) AS rate, CASE WHEN rate >= 0.7 THEN 'high' WHEN rate >= 0.4 THEN 'medium' "
+    "ELSE 'low' END AS band FROM r_es")))
+def q_rate_band(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    return _event_stats(spark, sf_dir).select("event_id", F.bround("rate", 6).alias("rate"), SS.rate_band("rate").alias("band"))
+
+
+@register("confidence_band", O.with_flat(_EVENT_STATS_SQL + (
+    "SELECT event_id, round_even(mean_score, 6) AS mean_score, CASE WHEN mean_score > 0.3 THEN 'High' "
+    "WHEN mean_score > 0.15 THEN 'Medium' ELSE 'Low' END AS confidence FROM r_es")))
+def q_confidence(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    s = _event_stats(spark, sf_dir)
+    return s.select("event_id", F.bround("mean_score", 6).alias("mean_score"), SS.confidence_band("mean_score").alias("confidence"))
+
+
+@register("planning_band", O.with_flat(_EVENT_STATS_SQL + (
+    "SELECT event_id, CASE WHEN rate > 0.75 THEN 'large' WHEN rate >= 0.5 THEN 'medium' ELSE 'small' END AS hall FROM r_es")))
+def q_planning(spark, sf_dir):
+    return _event_stats(spark, sf_dir).select("event_id", SS.planning_band("rate").alias("hall"))
+
+
+@register("label_display", O.with_flat(
+    "SELECT event_id, CASE exam_proximity WHEN 1 THEN 'Near' WHEN 2 THEN 'Moderate' WHEN 3 THEN 'Far' END AS exam_label, "
+    "substr(day_of_week, 1, 3) AS day_short FROM r_events"))
+def q_label_display(spark, sf_dir):
+    return X.events(spark, sf_dir).select("event_id", SS.exam_label("exam_proximity").alias("exam_label"),
+                                          SS.day_short("day_of_week").alias("day_short"))
+
+
+# ---- S1/S10/S11 CSV source and sink round trip --------------------------------------------------
+@register("scan_registrations", O.with_flat("SELECT * FROM r_flat"))
+def q_scan_csv(spark, sf_dir):
+    """Write the flat table as CSV (sink) into the shared folder, read it back with the
+    declared schema (source) and the lenient date parse."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from rollcall.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rollcall_csv/{uuid.uuid4().hex}"
+    f = flat(spark, sf_dir).withColumn("event_date", F.date_format("event_date", "yyyy-MM-dd"))
+    f.write.mode("overwrite").option("header", True).csv(path)
+    return TB.scan_registrations(spark, path)
+
+
+@register("load_with_fallback", O.with_flat("SELECT * FROM r_flat"))
+def q_fallback(spark, sf_dir):
+    """Star tables are absent in a fresh folder -> the loader falls back to the CSV."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from rollcall.session import ensure_checkpoint_dir
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rollcall_fallback/{uuid.uuid4().hex}"
+    f = flat(spark, sf_dir).withColumn("event_date", F.date_format("event_date", "yyyy-MM-dd"))
+    f.write.mode("overwrite").option("header", True).csv(f"{root}/flat_csv")
+    return TB.load_with_fallback(spark, f"{root}/star", f"{root}/flat_csv")
+
+
+# ---- the same window operators on the driver's activity stream (entity = user) --------------------
+_UW = "PARTITION BY user_id ORDER BY ts, event_id"
+
+
+@register("activity_history", f"""
+WITH a AS (SELECT user_id, ts, event_id, CAST(event_type = 'purchase' AS INTEGER) AS outcome FROM events),
+o AS (SELECT avg(CAST(outcome AS DOUBLE)) AS overall FROM a),
+h1 AS (SELECT *, row_number() OVER (w) AS rn, coalesce(outcome <> lag(outcome) OVER (w), true) AS chg FROM a WINDOW w AS ({_UW})),
+h2 AS (SELECT *, max(CASE WHEN chg THEN rn END) OVER ({_UW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS st FROM h1),
+h3 AS (SELECT *, (CASE WHEN outcome = 1 THEN 1 ELSE -1 END) * (rn - st + 1) AS run FROM h2)
+SELECT user_id, event_id,
+  round_even(coalesce(avg(outcome) OVER ({_UW} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), o.overall), 9) AS rolling_rate,
+  CAST(coalesce(sum(outcome) OVER ({_UW} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior_outcomes,
+  CAST(rn - 1 AS BIGINT) AS prior_events,
+  CAST(coalesce(lag(run) OVER ({_UW}), 0) AS BIGINT) AS streak,
+  round_even(coalesce(stddev_samp(outcome) OVER ({_UW} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.5), 6) AS consistency,
+  round_even(coalesce(avg(outcome) OVER ({_UW} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), o.overall), 9) AS recent_3_rate
+FROM h3 CROSS JOIN o""")
+def q_activity_history(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from rollcall.operators.history import history_features
+
+    a = X.activity_events(spark, sf_dir)
+    h = history_features(a, entity="user_id", order=("ts", "event_id"), outcome="outcome")
+    return h.select(
+        "user_id", "event_id",
+        F.bround("student_rolling_attendance", 9).alias("rolling_rate"),
+        F.col("student_cumulative_attended").alias("prior_outcomes"),
+        F.col("student_total_events").alias("prior_events"),
+        F.col("attendance_streak").alias("streak"),
+        F.bround("student_attendance_std", 6).alias("consistency"),
+        F.bround("student_recent_3_rate", 9).alias("recent_3_rate"),
+    )
+
+
+@register("activity_rate_by_type", """
+SELECT event_type AS label, round_even(avg(CAST(event_type = 'purchase' AS INTEGER)), 4) AS rate, count(*) AS n
+FROM events WHERE event_type IS NOT NULL GROUP BY event_type""")
+def q_activity_rates(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    a = X.activity_events(spark, sf_dir)
+    return a.filter(F.col("event_type").isNotNull()).groupBy(F.col("event_type").alias("label")).agg(
+        F.bround(F.avg("outcome"), 4).alias("rate"), F.count(F.lit(1)).alias("n"))
