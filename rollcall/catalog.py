@@ -1005,22 +1005,22 @@ def q_advice(spark, sf_dir):
 
 
 @register("rate_band", O.with_flat(_EVENT_STATS_SQL + (
-    "SELECT event_id, round_even(rate, 6) AS rate, CASE WHEN rate >= 0.7 THEN 'high' WHEN rate >= 0.4 THEN 'medium' "
+    "SELECT event_id, rate, CASE WHEN rate >= 0.7 THEN 'high' WHEN rate >= 0.4 THEN 'medium' "
     "ELSE 'low' END AS band FROM r_es")))
 def q_rate_band(spark, sf_dir):
     from pyspark.sql import functions as F
 
-    return _event_stats(spark, sf_dir).select("event_id", F.bround("rate", 6).alias("rate"), SS.rate_band("rate").alias("band"))
+    return _event_stats(spark, sf_dir).select("event_id", "rate", SS.rate_band("rate").alias("band"))
 
 
 @register("confidence_band", O.with_flat(_EVENT_STATS_SQL + (
-    "SELECT event_id, round_even(mean_score, 6) AS mean_score, CASE WHEN mean_score > 0.3 THEN 'High' "
+    "SELECT event_id, mean_score, CASE WHEN mean_score > 0.3 THEN 'High' "
     "WHEN mean_score > 0.15 THEN 'Medium' ELSE 'Low' END AS confidence FROM r_es")))
 def q_confidence(spark, sf_dir):
     from pyspark.sql import functions as F
 
     s = _event_stats(spark, sf_dir)
-    return s.select("event_id", F.bround("mean_score", 6).alias("mean_score"), SS.confidence_band("mean_score").alias("confidence"))
+    return s.select("event_id", "mean_score", SS.confidence_band("mean_score").alias("confidence"))
 
 
 @register("planning_band", O.with_flat(_EVENT_STATS_SQL + (
