@@ -25,10 +25,29 @@ def register(name: str, sql: str | None):
     return deco
 
 
+_MATERIALIZED: dict[str, str] = {}
+
+
+def materialize(spark: SparkSession, sf_dir: str) -> str:
+    """Build the registration table once (ETL step) into the shared checkpoint folder;
+    later queries on ``sf_dir`` read the stored table instead of re-deriving it."""
+    import uuid
+
+    from rollcall.session import ensure_checkpoint_dir, tune
+
+    tune(spark)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rollcall_flat/{uuid.uuid4().hex}"
+    X.registrations_flat(spark, sf_dir).write.mode("overwrite").parquet(path)
+    _MATERIALIZED[sf_dir] = path
+    return path
+
+
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rollcall.session import tune
 
     tune(spark)
+    if sf_dir in _MATERIALIZED:
+        return spark.read.parquet(_MATERIALIZED[sf_dir])
     return X.registrations_flat(spark, sf_dir)
 
 

@@ -36,8 +36,12 @@ def threshold_sweep(scored: DataFrame, label: str = "label", score: str = "p", g
     counts per (bucket, label) are a 26-row aggregate; a second aggregate over that
     tiny table turns them into reverse running sums. One shuffle for any data size."""
     grid = grid or threshold_grid()
-    arr = F.array(*[F.lit(t) for t in grid])
-    bucket = F.size(F.filter(arr, lambda t: t <= F.col(score))) - 1
+    # highest grid index with t <= p, as a CASE chain (codegen, no lambda per row)
+    p = F.col(score)
+    bucket = None
+    for i in range(len(grid) - 1, -1, -1):
+        bucket = F.when(p >= F.lit(grid[i]), F.lit(i)) if bucket is None else bucket.when(p >= F.lit(grid[i]), F.lit(i))
+    bucket = bucket.otherwise(F.lit(-1))
     y = F.col(label)
     counts = scored.groupBy(bucket.alias("b")).agg(
         F.sum(F.when(y == 1, 1).otherwise(0)).cast("long").alias("pos"),
@@ -122,6 +126,7 @@ def auc_roc(scored: DataFrame, label: str = "label", score: str = "p", buckets:
         F.sum(F.when(y == 1, 1).otherwise(0)).cast("double").alias("pos"),
         F.sum(F.when(y == 1, 0).otherwise(1)).cast("double").alias("neg"),
     )
+    g = g.persist()  # one row per distinct score; read by the quantile pass and the scan
     probs = [i / buckets for i in range(1, buckets)]
     q = g.agg(F.percentile_approx("s", probs, 10000).alias("q")).first()["q"] or []
     splits = [-float("inf")] + sorted(set(float(v) for v in q)) + [float("inf")]

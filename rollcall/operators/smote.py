@@ -6,8 +6,8 @@ minority neighbours -- with exact neighbours:
 
 * minority rows get a dense 0-based id (seeded hash rank) and a block number;
 * every (query block, reference block) pair is one ``applyInPandas`` group
-  holding at most 2 x ``block_rows`` rows, which keeps every task bounded no
-  matter how large the class is; it emits each query's k best candidates in that
+  holding at most 2 x ``block_rows`` rows (distances computed in 1024-row tiles),
+  which keeps every task bounded no matter how large the class is; it emits each query's k best candidates in that
   block (partial top-k), and a ``row_number`` over (query) merges them;
 * the i-th synthetic row draws its base, neighbour slot and lambda from seeded
   hashes of i, and meets its two parents through equi-joins on the ids; the
@@ -64,25 +64,30 @@ def _block_knn(k: int):
         r = pdf[pdf["_side"] == 1]
         if q.empty or r.empty:
             return pd.DataFrame({"qid": pd.Series(dtype="int64"), "rid": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
-        qx = np.stack(q["x"].to_numpy()).astype(np.float64)
+        qx_all = np.stack(q["x"].to_numpy()).astype(np.float64)
         rx = np.stack(r["x"].to_numpy()).astype(np.float64)
-        d = (qx * qx).sum(1)[:, None] + (rx * rx).sum(1)[None, :] - 2.0 * qx @ rx.T
-        np.maximum(d, 0.0, out=d)
-        qid = q["id"].to_numpy()
+        r2 = (rx * rx).sum(1)
+        qid_all = q["id"].to_numpy()
         rid = r["id"].to_numpy()
-        d[qid[:, None] == rid[None, :]] = np.inf  # a row is not its own neighbour
-        kk = min(k, d.shape[1])
-        idx = np.argpartition(d, kk - 1, axis=1)[:, :kk]
-        rows = np.repeat(np.arange(d.shape[0]), kk)
-        cols = idx.ravel()
-        dist = d[rows, cols]
-        keep = np.isfinite(dist)
-        return pd.DataFrame({"qid": qid[rows][keep], "rid": rid[cols][keep], "dist": dist[keep]})
+        kk = min(k, rx.shape[0])
+        parts = []
+        for lo in range(0, qx_all.shape[0], 1024):  # bounded distance tile (1024 x block)
+            qx, qid = qx_all[lo : lo + 1024], qid_all[lo : lo + 1024]
+            d = (qx * qx).sum(1)[:, None] + r2[None, :] - 2.0 * qx @ rx.T
+            np.maximum(d, 0.0, out=d)
+            d[qid[:, None] == rid[None, :]] = np.inf  # a row is not its own neighbour
+            idx = np.argpartition(d, kk - 1, axis=1)[:, :kk]
+            rows = np.repeat(np.arange(d.shape[0]), kk)
+            cols = idx.ravel()
+            dist = d[rows, cols]
+            keep = np.isfinite(dist)
+            parts.append(pd.DataFrame({"qid": qid[rows][keep], "rid": rid[cols][keep], "dist": dist[keep]}))
+        return pd.concat(parts, ignore_index=True)
 
     return run
 
 
-def knn_minority(minority: DataFrame, k: int = K.SMOTE_K, block_rows: int = 2048) -> DataFrame:
+def knn_minority(minority: DataFrame, k: int = K.SMOTE_K, block_rows: int = 8192) -> DataFrame:
     """Exact k nearest neighbours (euclidean) among ``minority`` rows (columns id, x).
     Returns (qid, rid, dist, nn) with nn = 0..k-1 in distance order (ties by rid)."""
     m = minority.agg(F.max("id").alias("m")).first()["m"]
@@ -113,7 +118,7 @@ def smote_oversample(
     k: int = K.SMOTE_K,
     seed: int = K.SEED,
     folds: int = K.N_FOLDS,
-    block_rows: int = 2048,
+    block_rows: int = 8192,
 ) -> DataFrame:
     """M4: ``train`` plus ``n_synthetic`` interpolated minority rows (is_synthetic=true)."""
     out = train.withColumn("is_synthetic", F.lit(False))
@@ -121,7 +126,10 @@ def smote_oversample(
         return out
     spark = train.sparkSession
     minority = hash_rank(train.filter(F.col(label) == 1).select(*key_cols, x), list(key_cols), [], seed, out="id").select("id", x)
-    minority = minority.withColumnRenamed(x, "x")
+    # ranked once: the kNN pass and both parent joins read the stored ids
+    from rollcall.session import cut_lineage
+
+    minority = cut_lineage(minority.withColumnRenamed(x, "x"))
     m = minority.count()
     if m < 2:
         return out

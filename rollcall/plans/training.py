@@ -126,6 +126,7 @@ def rf_estimator(seed: int = K.SEED) -> Pipeline:
         minInstancesPerNode=4,
         featureSubsetStrategy="sqrt",
         seed=seed,
+        maxMemoryInMB=1024,  # more tree nodes per pass over the data (fewer passes)
     )
     return Pipeline(stages=[rf])
 

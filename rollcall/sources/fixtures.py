@@ -119,16 +119,19 @@ def registration_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (student, event) with the hidden draw ``qty`` and the timing."""
     li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    # priorities are "<digit>-<NAME>": the minimum string is the one with the smallest
+    # leading digit, so aggregate the digit (hash aggregate instead of a sort aggregate)
+    prio = F.substring("o_orderpriority", 1, 1).cast("int")
     g = (
         li.join(o, li.l_orderkey == o.o_orderkey)
         .groupBy("o_custkey", "l_partkey")
-        .agg(F.min("l_quantity").alias("qty"), F.min("o_orderpriority").alias("pr"))
+        .agg(F.min("l_quantity").alias("qty"), F.min(prio).alias("pr"))
     )
     pr = F.col("pr")
     return g.select(
         _key("STU_", "o_custkey").alias("student_id"),
         _key("EVT_", "l_partkey").alias("event_id"),
-        F.when(pr == "1-URGENT", "Early").when(pr.isin("2-HIGH", "3-MEDIUM"), "On-time").otherwise("Late").alias("registration_timing"),
+        F.when(pr == 1, "Early").when(pr.isin(2, 3), "On-time").otherwise("Late").alias("registration_timing"),
         "qty",
     )
 
