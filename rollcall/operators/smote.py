@@ -87,16 +87,24 @@ def _block_knn(k: int):
     return run
 
 
-def knn_minority(minority: DataFrame, k: int = K.SMOTE_K, block_rows: int = 8192) -> DataFrame:
-    """Exact k nearest neighbours (euclidean) among ``minority`` rows (columns id, x).
+def knn_minority(minority: DataFrame, k: int = K.SMOTE_K, block_rows: int = 8192, query_ids: DataFrame | None = None) -> DataFrame:
+    """Exact k nearest neighbours (euclidean) among ``minority`` rows (columns id, x),
+    for every row or only for the ids in ``query_ids`` (column id).
     Returns (qid, rid, dist, nn) with nn = 0..k-1 in distance order (ties by rid)."""
     m = minority.agg(F.max("id").alias("m")).first()["m"]
     m = 0 if m is None else m + 1
-    blocks = max(1, -(-m // block_rows))
-    base = minority.select("id", "x", (F.col("id") % blocks).cast("int").alias("_blk"))
-    all_blocks = F.sequence(F.lit(0), F.lit(blocks - 1))
-    queries = base.select("id", "x", F.lit(0).alias("_side"), F.col("_blk").alias("qb"), F.explode(all_blocks).alias("rb"))
-    refs = base.select("id", "x", F.lit(1).alias("_side"), F.explode(all_blocks).alias("qb"), F.col("_blk").alias("rb"))
+    qsrc = minority if query_ids is None else minority.join(query_ids.select("id").distinct(), "id", "left_semi")
+    nq = m if query_ids is None else qsrc.count()
+    rblocks = max(1, -(-m // block_rows))
+    qblocks = max(1, -(-nq // block_rows))
+    refs = minority.select(
+        "id", "x", F.lit(1).alias("_side"), F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))).alias("qb"),
+        (F.col("id") % rblocks).cast("int").alias("rb"),
+    )
+    queries = qsrc.select(
+        "id", "x", F.lit(0).alias("_side"), (F.xxhash64("id") % qblocks).cast("int").alias("_qb0"),
+        F.explode(F.sequence(F.lit(0), F.lit(rblocks - 1))).alias("rb"),
+    ).withColumn("qb", F.pmod(F.col("_qb0"), F.lit(qblocks))).drop("_qb0")
     pairs = queries.unionByName(refs)
     partial = pairs.groupBy("qb", "rb").applyInPandas(_block_knn(k), _knn_schema(k))
     w = Window.partitionBy("qid").orderBy("dist", "rid")
@@ -133,7 +141,6 @@ def smote_oversample(
     m = minority.count()
     if m < 2:
         return out
-    knn = knn_minority(minority, k, block_rows)
     kk = min(k, m - 1)
     j = F.col("j")
     draws = spark.range(n_synthetic).withColumnRenamed("id", "j").select(
@@ -142,6 +149,8 @@ def smote_oversample(
         F.pmod(F.xxhash64(F.lit(seed), F.lit("nn"), j), F.lit(kk)).cast("int").alias("slot"),
         _unit(seed, j, "lambda").alias("lam"),
     )
+    # neighbours are needed only for the rows drawn as a base
+    knn = knn_minority(minority, k, block_rows, query_ids=draws.select(F.col("base").alias("id")))
     a = minority.select(F.col("id").alias("base"), F.col("x").alias("xa"))
     nb = knn.select(F.col("qid").alias("base"), F.col("nn").cast("int").alias("slot"), F.col("rid"))
     b = minority.select(F.col("id").alias("rid"), F.col("x").alias("xb"))
