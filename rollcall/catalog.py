@@ -466,15 +466,18 @@ def q_history_all(spark, sf_dir):
         *[F.bround(c, 6).alias(c) if c == "student_attendance_std" else F.col(c) for c in H.HISTORY_COLUMNS])
 
 
+_HIST_DOUBLES = ("student_rolling_attendance", "student_attendance_std", "student_recent_3_rate")
+
+
 @register("history_features_skew_route", O.with_flat(O.HISTORY_CTE + "\nSELECT student_id, event_id, " + ", ".join(
-    f"round_even({c}, 6) AS {c}" for c in H.HISTORY_COLUMNS) + " FROM r_hist"))
+    f"round_even({c}, 6) AS {c}" if c in _HIST_DOUBLES else c for c in H.HISTORY_COLUMNS) + " FROM r_hist"))
 def q_history_skew(spark, sf_dir):
     """Same features with every student routed through the segmented (hot-key) scan."""
     from pyspark.sql import functions as F
 
     f = flat(spark, sf_dir)
     out = H.history_features(f, hot_rows=0, segment_rows=5000)
-    return out.select("student_id", "event_id", *[F.bround(F.col(c).cast("double"), 6).alias(c) for c in H.HISTORY_COLUMNS])
+    return out.select("student_id", "event_id", *[F.bround(c, 6).alias(c) if c in _HIST_DOUBLES else F.col(c) for c in H.HISTORY_COLUMNS])
 
 
 # ---- M9-M15 metrics kit (scored by the rule scorecard) ----------------------------------------
