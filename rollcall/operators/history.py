@@ -44,7 +44,7 @@ def overall_rate(df: DataFrame, outcome: str = "attended") -> Column:
     return df.agg(F.avg(F.col(outcome).cast("double"))).scalar()
 
 
-def _plain(df: DataFrame, entity, order, outcome: str, overall: Column) -> DataFrame:
+def _plain(df: DataFrame, entity, order, outcome: str, overall: Column, prior: bool = False) -> DataFrame:
     w = _window(entity, order)
     prior = w.rowsBetween(Window.unboundedPreceding, -1)
     last3 = w.rowsBetween(-3, -1)
@@ -64,10 +64,13 @@ def _plain(df: DataFrame, entity, order, outcome: str, overall: Column) -> DataF
         F.coalesce(F.lag("_run").over(w), F.lit(0)).cast("long").alias("attendance_streak"),
         F.coalesce(F.stddev_samp(y).over(prior), F.lit(0.5)).alias("student_attendance_std"),
         F.coalesce(F.avg(y).over(last3), overall).alias("student_recent_3_rate"),
+        *([F.reverse(F.collect_list(y).over(last3)).alias("prior_outcomes")] if prior else []),
     )
 
 
-def _segmented(df: DataFrame, entity: str, order: Sequence[str], outcome: str, overall: Column, segments: int) -> DataFrame:
+def _segmented(
+    df: DataFrame, entity: str, order: Sequence[str], outcome: str, overall: Column, segments: int, prior: bool = False
+) -> DataFrame:
     """History features for hot entities only (see module docstring)."""
     y = F.col(outcome)
     seg_df = df.repartitionByRange(segments, entity, *order).withColumn("_seg", F.spark_partition_id())
@@ -150,6 +153,7 @@ def _segmented(df: DataFrame, entity: str, order: Sequence[str], outcome: str, o
         streak.cast("long").alias("attendance_streak"),
         F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(F.lit(0.5)).alias("student_attendance_std"),
         F.when(F.size(merged) > 0, recent3).otherwise(overall).alias("student_recent_3_rate"),
+        *([merged.alias("prior_outcomes")] if prior else []),
     )
 
 
@@ -161,24 +165,26 @@ def history_features(
     overall: Column | None = None,
     hot_rows: int | None = DEFAULT_HOT_ROWS,
     segment_rows: int = DEFAULT_SEGMENT_ROWS,
+    prior_outcomes: bool = False,
 ) -> DataFrame:
-    """W1-W6 on ``df`` (outcome non-null). ``hot_rows=None`` disables the skew route."""
+    """W1-W6 on ``df`` (outcome non-null). ``hot_rows=None`` disables the skew route.
+    ``prior_outcomes`` adds the up-to-three previous outcomes, most recent first."""
     order = list(order)
     overall = overall if overall is not None else overall_rate(df, outcome)
     if hot_rows is None:
-        return _plain(df, entity, order, outcome, overall)
+        return _plain(df, entity, order, outcome, overall, prior_outcomes)
     sizes = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_cnt"))
     hot = sizes.filter(F.col("_cnt") > hot_rows)
     # the hot list is bounded by (rows / hot_rows), so it is small by construction
     hot_keys = hot.agg(F.count(F.lit(1)).alias("k"), F.sum("_cnt").alias("rows")).collect()[0]
     if not hot_keys["k"]:
-        return _plain(df, entity, order, outcome, overall)
+        return _plain(df, entity, order, outcome, overall, prior_outcomes)
     hot_b = F.broadcast(hot.select(entity))
     cold_part = df.join(hot_b, entity, "left_anti")
     hot_part = df.join(hot_b, entity, "left_semi")
     segments = max(2, int(-(-hot_keys["rows"] // segment_rows)))
-    return _plain(cold_part, entity, order, outcome, overall).unionByName(
-        _segmented(hot_part, entity, order, outcome, overall, segments)
+    return _plain(cold_part, entity, order, outcome, overall, prior_outcomes).unionByName(
+        _segmented(hot_part, entity, order, outcome, overall, segments, prior_outcomes)
     )
 
 

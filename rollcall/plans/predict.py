@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from rollcall import constants as K
 from rollcall.functions.scalar import confidence_band
+from rollcall.operators.history import history_features
 from rollcall.operators.sampling import sample_students_per_event
 from rollcall.plans.features import (
     FeatureState,
@@ -106,37 +107,45 @@ STATE_COLUMNS = [
 ]
 
 
-def history_state(history: DataFrame) -> DataFrame:
-    """The history features a row placed right AFTER each history row would get
-    (inclusive frames on the shared student window)."""
-    w = Window.partitionBy("student_id").orderBy("event_date", "event_id")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+def history_state(history: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """One row per (student, date): the history features a row placed right after that
+    date's last history row would get (0/1 outcomes).
+
+    Built from ``history_features`` (which splits hot students over many tasks) plus the
+    row's own outcome, then reduced per (student, date) with ``max_by`` -- a partial
+    aggregate -- so later per-student windows see at most one row per calendar day."""
+    kw = {} if hot_rows is None else {"hot_rows": hot_rows}
+    h = history_features(history.select("student_id", "event_id", "event_date", "attended"), overall=F.lit(0.0),
+                         prior_outcomes=True, **kw)
     y = F.col("attended")
-    rn = F.row_number().over(w)
-    changed = F.coalesce(y != F.lag(y).over(w), F.lit(True))
-    s = history.select("student_id", "event_id", "event_date", "attended").withColumn("_rn", rn).withColumn("_chg", changed)
-    s = s.withColumn("_start", F.max(F.when(F.col("_chg"), F.col("_rn"))).over(upto))
-    run = F.when(y == 1, F.lit(1)).otherwise(F.lit(-1)) * (F.col("_rn") - F.col("_start") + 1)
-    return s.select(
-        "student_id",
-        "event_id",
-        "event_date",
-        F.struct(
-            F.avg(y).over(upto).alias("rolling"),
-            F.sum(y).over(upto).cast("long").alias("cum"),
-            F.col("_rn").cast("long").alias("total"),
-            run.cast("long").alias("streak"),
-            F.stddev_samp(y).over(upto).alias("std"),
-            F.avg(y).over(w.rowsBetween(-2, 0)).alias("recent3"),
-        ).alias("_state"),
+    n = F.col("student_total_events") + 1
+    s = F.col("student_cumulative_attended") + y
+    prev = F.col("attendance_streak")
+    streak = F.when(y == 1, F.when(prev > 0, prev + 1).otherwise(F.lit(1))).otherwise(
+        F.when(prev < 0, prev - 1).otherwise(F.lit(-1))
+    )
+    var = (s - s * s / n) / (n - 1)  # outcomes are 0/1, so the sum of squares is the sum
+    last3 = F.concat(F.array(y), F.slice(F.col("prior_outcomes"), 1, 2))
+    state = F.struct(
+        (s / n).alias("rolling"),
+        s.cast("long").alias("cum"),
+        n.cast("long").alias("total"),
+        streak.cast("long").alias("streak"),
+        F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("std"),
+        (F.aggregate(last3, F.lit(0.0), lambda acc, v: acc + v) / F.size(last3)).alias("recent3"),
+    )
+    per_row = h.select("student_id", "event_id", "event_date", state.alias("_state"))
+    return per_row.groupBy("student_id", "event_date").agg(
+        F.max("event_id").alias("event_id"), F.max_by("_state", "event_id").alias("_state")
     )
 
 
-def asof_student_state(history: DataFrame, candidates: DataFrame, overall: Column) -> DataFrame:
+def asof_student_state(history: DataFrame, candidates: DataFrame, overall: Column, hot_rows: int | None = None) -> DataFrame:
     """History features of each candidate row computed from the student's history
     rows before it (history rows first on the same date). Candidate rows carry a null
-    state, so ``last(..., ignorenulls)`` skips them: planned rows never see each other."""
-    hs = history_state(history)
+    state, so ``last(..., ignorenulls)`` skips them: planned rows never see each other.
+    The window runs over one row per (student, history date) plus the candidates."""
+    hs = history_state(history, hot_rows)
     both = union_history_candidates(hs, candidates.select("student_id", "event_id", "event_date"))
     w = Window.partitionBy("student_id").orderBy("event_date", "_cand", "event_id")
     prev = F.last("_state", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))

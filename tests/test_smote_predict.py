@@ -41,7 +41,11 @@ def test_smote_unreachable_band(spark):
     assert plan["active"] and not plan["reachable"] and plan["n_synthetic"] == 0
 
 
-def test_asof_planned_rows_do_not_see_each_other(spark):
+import pytest
+
+
+@pytest.mark.parametrize("hot_rows", [None, 0])
+def test_asof_planned_rows_do_not_see_each_other(spark, hot_rows):
     from rollcall.plans.predict import asof_student_state
 
     h = spark.createDataFrame(
@@ -52,7 +56,7 @@ def test_asof_planned_rows_do_not_see_each_other(spark):
         [("A", "P1", dt.date(2024, 9, 2)), ("A", "P2", dt.date(2025, 1, 1)), ("A", "P3", dt.date(2025, 1, 1)), ("B", "P1", dt.date(2024, 9, 2))],
         "student_id string, event_id string, event_date date",
     )
-    out = {(r["student_id"], r["event_id"]): r for r in asof_student_state(h, c, F.lit(0.25)).collect()}
+    out = {(r["student_id"], r["event_id"]): r for r in asof_student_state(h, c, F.lit(0.25), hot_rows=hot_rows).collect()}
     p1 = out[("A", "P1")]  # sees E1 and E2 (history first on equal date)
     assert p1["student_total_events"] == 2 and p1["attendance_streak"] == 2 and p1["student_rolling_attendance"] == 1.0
     for k in ("P2", "P3"):
