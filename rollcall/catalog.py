@@ -429,7 +429,7 @@ def q_momentum(spark, sf_dir):
 
     f = flat(spark, sf_dir)
     m = momentum_score(f, SC.score_probability(f.columns))
-    return f.select("student_id", "event_id", F.bround(m, 6).alias("momentum"))
+    return m.select("student_id", "event_id", F.bround("momentum", 6).alias("momentum"))
 
 
 # ---- W1-W7 history windows ------------------------------------------------------------------

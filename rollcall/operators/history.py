@@ -193,16 +193,16 @@ def recalculate_history(
     entity: str = "student_id",
     order: Sequence[str] = ("event_date", "event_id"),
     outcome: str = "attended",
+    hot_rows: int | None = DEFAULT_HOT_ROWS,
 ) -> DataFrame:
-    """``past_attendance_rate`` (3-decimal half-even, first 0.0) and ``past_events_count``."""
-    w = _window(entity, list(order))
-    prior = w.rowsBetween(Window.unboundedPreceding, -1)
-    y = F.col(outcome)
+    """``past_attendance_rate`` (3-decimal half-even, first 0.0) and ``past_events_count``.
+    Same window family as W1/W3 (hot entities take the segmented route)."""
     keep = [c for c in df.columns if c not in ("past_attendance_rate", "past_events_count")]
-    return df.select(
+    h = history_features(df.select(*keep), entity, order, outcome, overall=F.lit(0.0), hot_rows=hot_rows)
+    return h.select(
         *keep,
-        F.bround(F.coalesce(F.avg(y).over(prior), F.lit(0.0)), 3).alias("past_attendance_rate"),
-        F.count(y).over(prior).cast("long").alias("past_events_count"),
+        F.bround(F.col("student_rolling_attendance"), 3).alias("past_attendance_rate"),
+        F.col("student_total_events").alias("past_events_count"),
     )
 
 
@@ -212,9 +212,14 @@ def momentum_score(
     entity: str = "student_id",
     order: Sequence[str] = ("event_date", "event_id"),
     outcome: str = "attended",
-) -> Column:
-    """Base + (mean of up to three prior outcomes - 0.3) * 0.25, clamped [0.03, 0.90]."""
-    w = _window(entity, list(order)).rowsBetween(-3, -1)
-    recent = F.avg(F.col(outcome)).over(w)
-    adjusted = F.when(recent.isNull(), base).otherwise(base + (recent - F.lit(0.3)) * F.lit(0.25))
-    return F.least(F.lit(0.90), F.greatest(F.lit(0.03), adjusted))
+    hot_rows: int | None = DEFAULT_HOT_ROWS,
+) -> DataFrame:
+    """``df`` plus ``momentum`` = base + (mean of up to three prior outcomes - 0.3) * 0.25,
+    clamped to [0.03, 0.90]; rows without history keep the base."""
+    h = history_features(df.withColumn("_base", base), entity, order, outcome, overall=F.lit(0.0), hot_rows=hot_rows)
+    recent = F.col("student_recent_3_rate")
+    adjusted = F.when(F.col("student_total_events") == 0, F.col("_base")).otherwise(
+        F.col("_base") + (recent - F.lit(0.3)) * F.lit(0.25)
+    )
+    m = F.least(F.lit(0.90), F.greatest(F.lit(0.03), adjusted))
+    return h.select(*df.columns, m.alias("momentum"))

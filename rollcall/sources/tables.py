@@ -1,15 +1,15 @@
 """Table loading, star <-> flat conversion and sinks.
 
-Dimension rows are de-duplicated with ``row_number()`` over the key and an
-explicit order (first occurrence in (event_date, event_id) order for students,
-the row itself for events) instead of ``dropDuplicates``, whose survivor is not
+Dimension rows are de-duplicated with ``min_by`` over the key and an explicit
+order (first occurrence in (event_date, event_id) order for students, the row
+itself for events) instead of ``dropDuplicates``, whose survivor is not
 deterministic.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,8 +59,11 @@ def parse_event_date(col: F.Column, lenient: bool = True) -> F.Column:
 
 
 def _first_per_key(df: DataFrame, key: str, columns: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") == 1).select(*columns)
+    """The row with the smallest ``order`` per key, as a partial/final aggregate
+    (``min_by``): a key holding many rows never gathers them in one task."""
+    rest = [c for c in columns if c != key]
+    picked = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return picked.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*columns)
 
 
 def normalise_students(flat: DataFrame) -> DataFrame:
