@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rollcall import constants as K
 from rollcall import oracle as O
 from rollcall.operators import summaries as A
 from rollcall.sources import fixtures as X
@@ -975,11 +976,93 @@ def _served(spark, sf_dir):
     return model, state, float(meta["threshold"]), F
 
 
-@register("planned_event_features", None)
+def _serving_state(spark, sf_dir):
+    """Feature state fitted on the history alone (rates, means, categories, medians)."""
+    from pyspark.sql import functions as F
+
+    from rollcall.operators.quantile import exact_medians
+    from rollcall.plans.features import run_feature_pipeline
+
+    df, cols, state = run_feature_pipeline(flat(spark, sf_dir))
+    nulls = df.agg(*[F.sum(F.col(f"`{c}`").isNull().cast("int")).alias(c) for c in cols]).first()
+    state.medians = {k: v for k, v in exact_medians(df, [c for c in cols if nulls[c]]).items() if v is not None}
+    return state
+
+
+_D3_SQL = (
+    ", r_med AS (SELECT median(cgpa) AS m_cgpa, median(student_quality_score) AS m_sqs, "
+    "median(combined_quality_attract) AS m_cqa FROM r_features)\n"
+    ", r_cst AS (SELECT a.student_id, a.event_id, coalesce(h.rolling, o.overall) AS student_rolling_attendance, "
+    "coalesce(h.cum, 0) AS student_cumulative_attended, coalesce(h.total, 0) AS student_total_events, "
+    "coalesce(h.streak, 0) AS attendance_streak, coalesce(h.sd, 0.5) AS student_attendance_std, "
+    "coalesce(h.recent3, o.overall) AS student_recent_3_rate FROM r_asof a CROSS JOIN r_ov o "
+    "LEFT JOIN r_hs h ON a.student_id = h.student_id AND h.event_date = a.prev_key.d AND h.event_id = a.prev_key.e "
+    "WHERE a.cand = 1)\n"
+    ", r_c0 AS (SELECT c.student_id, c.event_id, 'On-time' AS registration_timing, s.department, s.semester, "
+    "s.club_activity_level, s.cgpa, p.event_date, p.topic, p.speaker_type, p.day_of_week, p.time_slot, "
+    "p.duration_minutes, p.mode, p.exam_proximity, p.promotion_level, p.num_registrations, 0.0e0 AS past_attendance_rate, "
+    "CAST(0 AS BIGINT) AS past_events_count, st.* EXCLUDE (student_id, event_id) FROM r_cand c "
+    "JOIN r_stu s ON c.student_id = s.student_id JOIN r_planned p ON c.event_id = p.event_id "
+    "JOIN r_cst st ON st.student_id = c.student_id AND st.event_id = c.event_id)\n"
+    ", r_c1 AS (SELECT c.*, CAST(month(event_date) AS INTEGER) AS month, "
+    "CASE WHEN day_of_week IN ('Saturday', 'Sunday') THEN 1 ELSE 0 END AS is_weekend, "
+    "CAST(greatest(1, date_diff('day', make_date(year(event_date), CASE WHEN month(event_date) >= 8 THEN 8 ELSE 1 END, 1), "
+    "event_date) // 7 + 1) AS INTEGER) AS semester_week, "
+    "CASE WHEN cgpa >= 8.0 THEN 1 ELSE 0 END AS cgpa_band_high, CASE WHEN cgpa < 6.0 THEN 1 ELSE 0 END AS cgpa_band_low, "
+    "coalesce(rt.rate, o.overall) AS topic_popularity, coalesce(rs.rate, o.overall) AS speaker_pull, "
+    "coalesce(rd.rate, o.overall) AS dept_engagement, coalesce(rl.rate, o.overall) AS timeslot_popularity, "
+    "coalesce(ry.rate, o.overall) AS day_popularity, num_registrations / o.mean_regs AS registration_density "
+    "FROM r_c0 c CROSS JOIN r_overall o LEFT JOIN r_rate_topic rt ON c.topic = rt.k "
+    "LEFT JOIN r_rate_speaker_type rs ON c.speaker_type = rs.k LEFT JOIN r_rate_department rd ON c.department = rd.k "
+    "LEFT JOIN r_rate_time_slot rl ON c.time_slot = rl.k LEFT JOIN r_rate_day_of_week ry ON c.day_of_week = ry.k)\n"
+)
+
+
+def _d3_interactions_sql() -> str:
+    t = O._ordinal
+    return (
+        ", r_c2 AS (SELECT *, CASE WHEN exam_proximity = 1 THEN 1 ELSE 0 END AS exam_is_near, "
+        "CASE WHEN duration_minutes > 120 THEN 1 ELSE 0 END AS is_long_workshop, "
+        f"{t('club_activity_level', K.LEVEL_CODE)} AS club_activity_numeric, "
+        f"{t('registration_timing', K.TIMING_CODE)} AS reg_timing_numeric, "
+        f"{t('registration_timing', K.TIMING_CODE)} AS registration_timing_encoded, "
+        f"{t('promotion_level', K.LEVEL_CODE)} AS promotion_level_encoded, {t('mode', K.MODE_CODE)} AS mode_encoded, "
+        "CASE WHEN " + " OR ".join(
+            f"(department = '{d}' AND topic IN ({O._q(ts)}))" for d, ts in K.SCHOOL_TOPICS.items()) +
+        " THEN 1 ELSE 0 END AS dept_topic_match FROM r_c1)\n"
+        ", r_c3 AS (SELECT *, CASE WHEN promotion_level = 'High' THEN 1 ELSE 0 END * topic_popularity AS high_promo_popular_topic, "
+        "student_rolling_attendance * club_activity_numeric AS student_engagement_score, "
+        "cgpa / CAST(10 AS DOUBLE) * 0.3e0 + club_activity_numeric / CAST(3 AS DOUBLE) * 0.3e0 "
+        "+ student_rolling_attendance * 0.4e0 AS student_quality_score, "
+        "speaker_pull * 0.35e0 + topic_popularity * 0.35e0 + timeslot_popularity * 0.15e0 + day_popularity * 0.15e0 "
+        "AS event_attractiveness, exam_is_near * (3 - club_activity_numeric) AS exam_pressure, "
+        "reg_timing_numeric * registration_density AS registration_commitment FROM r_c2)\n"
+        ", r_c4 AS (SELECT *, student_quality_score * event_attractiveness AS combined_quality_attract, "
+        "student_recent_3_rate * event_attractiveness AS recent_att_x_event, " + O._onehot_sql() + " FROM r_c3)\n"
+    )
+
+
+def _d3_select_sql() -> str:
+    fills = {"cgpa": "m_cgpa", "student_quality_score": "m_sqs", "combined_quality_attract": "m_cqa"}
+    cols = []
+    for c in _feature_names():
+        if c in fills:
+            cols.append(f"coalesce(CAST({c} AS DOUBLE), {fills[c]}) AS {c}")
+        elif c == "student_attendance_std":
+            cols.append("round_even(student_attendance_std, 6) AS student_attendance_std")
+        else:
+            cols.append(_quote(c))
+    return "SELECT student_id, event_id, num_registrations, " + ", ".join(cols) + " FROM r_c4 CROSS JOIN r_med"
+
+
+@register("planned_event_features", O.with_features(_ASOF_SQL + _D3_SQL + _d3_interactions_sql() + _d3_select_sql()))
 def q_planned_features(spark, sf_dir):
-    _, state, _, _ = _served(spark, sf_dir)
+    from pyspark.sql import functions as F
+
+    state = _serving_state(spark, sf_dir)
     valid = PR.required_fields(planned(spark, sf_dir)).filter("size(missing) = 0").drop("missing")
-    return PR.planned_event_features(flat(spark, sf_dir), valid, state)
+    out = PR.planned_event_features(flat(spark, sf_dir), valid, state)
+    return out.withColumn("student_attendance_std", F.bround("student_attendance_std", 6))
 
 
 @register("predict_planned_events", None)
