@@ -127,6 +127,7 @@ def rf_estimator(seed: int = K.SEED) -> Pipeline:
         featureSubsetStrategy="sqrt",
         seed=seed,
         maxMemoryInMB=1024,  # more tree nodes per pass over the data (fewer passes)
+        cacheNodeIds=True,  # node ids cached with the data: no tree traversal per pass
     )
     return Pipeline(stages=[rf])
 
