@@ -82,6 +82,18 @@ def _vec(df: DataFrame) -> DataFrame:
     return df.withColumn("features", array_to_vector("x"))
 
 
+ROW_BYTES_PER_FEATURE = 8
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def fit_partitions(df: DataFrame, rows: int, n_features: int) -> DataFrame:
+    """Repartition the training input once before an iterative fit: one partition per
+    core, or more when that would exceed ~128 MB per partition (large data)."""
+    dp = df.sparkSession.sparkContext.defaultParallelism
+    target = max(dp, -(-rows * n_features * ROW_BYTES_PER_FEATURE // TARGET_PARTITION_BYTES))
+    return df if df.rdd.getNumPartitions() == target else df.repartition(target)
+
+
 def class_weights(train: DataFrame, mode: str) -> DataFrame:
     """M5: ``balanced`` -> n / (2 n_c); ``pos_ratio`` -> 1 for negatives, neg/pos for positives."""
     stats = train.agg(
@@ -203,7 +215,8 @@ def feature_importance(model: PipelineModel, feature_cols: list[str]) -> list[tu
 
 
 def train_one(name: str, prep: Prepared, cv: bool = True) -> TrainedModel:
-    weighted = _vec(class_weights(prep.train, WEIGHT_MODE[name])).persist()
+    rows = prep.plan["n"] + (prep.plan["n_synthetic"] or 0)
+    weighted = fit_partitions(_vec(class_weights(prep.train, WEIGHT_MODE[name])), rows, len(prep.feature_cols)).persist()
     model = estimator_for(name, weighted).fit(weighted)
     metrics = evaluate(score(model, prep.test))
     scores = cv_f1(name, prep.train) if cv else []
