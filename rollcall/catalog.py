@@ -960,7 +960,7 @@ def q_topic_ref(spark, sf_dir):
     f = flat(spark, sf_dir)
     ts = f.groupBy("topic").agg(F.count_distinct("event_id").cast("long").alias("historical_events"),
                                 F.bround(F.avg(F.col("attended").cast("double")), 4).alias("historical_rate"))
-    return planned(spark, sf_dir).select("event_id", "topic").join(F.broadcast(ts), "topic", "left").select(
+    return planned(spark, sf_dir).select("event_id", "topic").join(ts, "topic", "left").select(
         "event_id", "topic", "historical_events", "historical_rate")
 
 

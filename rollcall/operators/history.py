@@ -32,6 +32,7 @@ HISTORY_COLUMNS = [
 
 DEFAULT_HOT_ROWS = 5_000_000
 DEFAULT_SEGMENT_ROWS = 1_000_000
+MAX_BROADCAST_KEYS = 1_000_000
 
 
 def _window(entity: str | Sequence[str], order: Sequence[str]):
@@ -179,7 +180,8 @@ def history_features(
     hot_keys = hot.agg(F.count(F.lit(1)).alias("k"), F.sum("_cnt").alias("rows")).collect()[0]
     if not hot_keys["k"]:
         return _plain(df, entity, order, outcome, overall, prior_outcomes)
-    hot_b = F.broadcast(hot.select(entity))
+    # at most rows / hot_rows keys; broadcast only below a checked count
+    hot_b = F.broadcast(hot.select(entity)) if hot_keys["k"] <= MAX_BROADCAST_KEYS else hot.select(entity)
     cold_part = df.join(hot_b, entity, "left_anti")
     hot_part = df.join(hot_b, entity, "left_semi")
     segments = max(2, int(-(-hot_keys["rows"] // segment_rows)))

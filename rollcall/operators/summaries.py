@@ -115,7 +115,10 @@ def day_slot_heatmap(df: DataFrame, slots: Sequence[str] | None = None) -> DataF
     The slot list is fitted with one small distinct aggregate when not given."""
     base = df.filter(F.col("day_of_week").isNotNull())
     if slots is None:
-        slots = [r[0] for r in base.select("time_slot").where(F.col("time_slot").isNotNull()).distinct().collect()]
+        limit = 1000  # pivot columns are categories; refuse a runaway pivot instead of collecting it
+        slots = [r[0] for r in base.select("time_slot").where(F.col("time_slot").isNotNull()).distinct().limit(limit + 1).collect()]
+        if len(slots) > limit:
+            raise ValueError(f"more than {limit} time slots; a pivot is not meaningful")
     slots = sorted(slots)
     pivoted = base.groupBy("day_of_week").pivot("time_slot", slots).agg(_rate())
     return (
