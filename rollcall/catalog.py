@@ -1065,6 +1065,14 @@ def q_planned_features(spark, sf_dir):
     return out.withColumn("student_attendance_std", F.bround("student_attendance_std", 6))
 
 
+@register("planned_event_features_include", None)
+def q_planned_features_include(spark, sf_dir):
+    """D3 with placeholder='include' (each event's own planned rows enter its rates)."""
+    state = _serving_state(spark, sf_dir)
+    valid = PR.required_fields(planned(spark, sf_dir)).filter("size(missing) = 0").drop("missing")
+    return PR.planned_event_features(flat(spark, sf_dir), valid, state, placeholder="include")
+
+
 @register("predict_planned_events", None)
 def q_predict(spark, sf_dir):
     model, state, t, _ = _served(spark, sf_dir)

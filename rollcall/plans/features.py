@@ -86,6 +86,12 @@ class FeatureState:
     mean_registrations: float
     has_cgpa: bool = True
     medians: dict[str, float] = field(default_factory=dict)
+    # outcome sums and row counts per category and overall (for placeholder arithmetic)
+    sums: dict[str, dict[str, float]] = field(default_factory=dict)
+    counts: dict[str, dict[str, int]] = field(default_factory=dict)
+    total_sum: float = 0.0
+    total_count: int = 0
+    registrations_sum: float = 0.0
 
     def feature_columns(self) -> list[str]:
         """The model input columns, in table order (raw, derived, one-hot)."""
@@ -114,21 +120,28 @@ def fit_feature_state(df: DataFrame, outcome: str = "attended") -> FeatureState:
         F.grouping_id(*cols).alias("gid"),
         F.avg(F.col(outcome).cast("double")).alias("rate"),
         F.avg(F.col("num_registrations").cast("double")).alias("mean_regs"),
+        F.sum(F.col(outcome).cast("double")).alias("y_sum"),
+        F.count(F.col(outcome)).alias("y_n"),
+        F.sum(F.col("num_registrations").cast("double")).alias("regs_sum"),
     )
     n = len(cols)
     key = F.coalesce(*[F.col(c).cast("string") for c in cols])
-    rows = g.select("gid", key.alias("value"), "rate", "mean_regs").limit(MAX_CATEGORIES + 1).collect()
+    rows = g.select("gid", key.alias("value"), "rate", "mean_regs", "y_sum", "y_n", "regs_sum").limit(MAX_CATEGORIES + 1).collect()
     if len(rows) > MAX_CATEGORIES:
         raise ValueError(f"more than {MAX_CATEGORIES} categories; one-hot encoding would not be meaningful")
     rates: dict[str, dict[str, float]] = {c: {} for c in cols}
-    overall, mean_regs = None, None
+    sums: dict[str, dict[str, float]] = {c: {} for c in cols}
+    counts: dict[str, dict[str, int]] = {c: {} for c in cols}
+    overall, mean_regs, tot = None, None, None
     for r in rows:
         if r["gid"] == (1 << n) - 1:
-            overall, mean_regs = r["rate"], r["mean_regs"]
+            overall, mean_regs, tot = r["rate"], r["mean_regs"], r
             continue
         for i, c in enumerate(cols):
             if r["gid"] == (1 << n) - 1 - (1 << (n - 1 - i)) and r["value"] is not None:
                 rates[c][r["value"]] = r["rate"]
+                sums[c][r["value"]] = r["y_sum"] or 0.0
+                counts[c][r["value"]] = r["y_n"] or 0
     categories = {c: sorted(rates[c]) for c in cols}
     return FeatureState(
         categories=categories,
@@ -136,6 +149,11 @@ def fit_feature_state(df: DataFrame, outcome: str = "attended") -> FeatureState:
         overall_rate=overall if overall is not None else 0.0,
         mean_registrations=mean_regs if mean_regs is not None else 0.0,
         has_cgpa="cgpa" in df.columns,
+        sums=sums,
+        counts=counts,
+        total_sum=float((tot["y_sum"] if tot else 0.0) or 0.0),
+        total_count=int((tot["y_n"] if tot else 0) or 0),
+        registrations_sum=float((tot["regs_sum"] if tot else 0.0) or 0.0),
     )
 
 

@@ -162,22 +162,67 @@ def asof_student_state(history: DataFrame, candidates: DataFrame, overall: Colum
     )
 
 
-def planned_event_features(history: DataFrame, planned_valid: DataFrame, state: FeatureState, seed: int = K.SEED) -> DataFrame:
-    """D3: model-ready features of the candidate rows (keys + feature columns)."""
-    cands = candidate_rows(planned_valid, history, seed)
-    overall = F.lit(float(state.overall_rate))
-    hist_state = asof_student_state(history, cands, overall)
-    rows = cands.join(hist_state, ["student_id", "event_id"])
-    out = temporal_features(rows)
-    if "cgpa" in out.columns:
-        from rollcall.functions import scalar as S
+def _lookup(col: str, mapping: dict) -> Column:
+    if not mapping:
+        return F.lit(None).cast("double")
+    m = F.create_map(*[x for k, v in sorted(mapping.items()) for x in (F.lit(k), F.lit(float(v)))])
+    return F.try_element_at(m, F.col(col))
+
+
+def _include_placeholders(rows: DataFrame, state: FeatureState) -> DataFrame:
+    """placeholder='include': each planned event's own rows (outcome 0) count in the
+    overall rate, the five target rates and the mean registrations, exactly as when
+    the planned rows are appended to the history before fitting. Per event, by
+    arithmetic on the stored sums and counts: rate = sum / (count + planned rows
+    sharing the key). Planned events never affect each other."""
+    from rollcall.plans.features import RATE_FEATURES
 
-        out = out.withColumns({"cgpa_band_high": S.cgpa_band_high("cgpa"), "cgpa_band_low": S.cgpa_band_low("cgpa")})
-    out = popularity_features(out, state)
-    # an unseen category falls back to the overall rate
+    # planned rows per (event, department) and per event: partial aggregates joined back
+    per_dept = rows.groupBy("event_id", "department").agg(F.count(F.lit(1)).cast("double").alias("_md"))
+    per_event = per_dept.groupBy("event_id").agg(F.sum("_md").alias("_m"))
+    out = rows.join(per_dept, ["event_id", "department"], "left").join(per_event, "event_id", "left")
+    n_tot = F.lit(float(state.total_count)) + F.col("_m")
+    out = out.withColumn("_overall", F.lit(state.total_sum) / n_tot)
+    out = out.withColumn(
+        "_mean_regs", (F.lit(state.registrations_sum) + F.col("_m") * F.col("num_registrations")) / n_tot
+    )
+    for col, name in RATE_FEATURES.items():
+        # topic, speaker, slot and day are the event's own: all its planned rows share them
+        same = F.col("_md") if col == "department" else F.col("_m")
+        s_ = F.coalesce(_lookup(col, state.sums.get(col, {})), F.lit(0.0))
+        c_ = F.coalesce(_lookup(col, state.counts.get(col, {})), F.lit(0.0))
+        out = out.withColumn(name, s_ / (c_ + same))
+    return out.withColumn("registration_density", F.col("num_registrations") / F.col("_mean_regs"))
+
+
+def planned_event_features(
+    history: DataFrame, planned_valid: DataFrame, state: FeatureState, seed: int = K.SEED, placeholder: str = "exclude"
+) -> DataFrame:
+    """D3: model-ready features of the candidate rows (keys + feature columns).
+
+    ``placeholder='exclude'`` (default): rates and means come from the history only,
+    an unseen category gets the overall rate. ``'include'``: the original behaviour,
+    where each event's placeholder rows enter its own rates (an unseen category -> 0.0)."""
+    from rollcall.functions import scalar as S
     from rollcall.plans.features import RATE_FEATURES
 
-    out = out.withColumns({name: F.coalesce(F.col(name), overall) for name in RATE_FEATURES.values()})
+    cands = candidate_rows(planned_valid, history, seed)
+    if placeholder == "include":
+        hist_state = asof_student_state(history, cands, F.lit(None).cast("double"))
+        rows = cands.join(hist_state, ["student_id", "event_id"])
+        out = _include_placeholders(rows, state)
+        out = out.withColumns({c: F.coalesce(F.col(c), F.col("_overall")) for c in ("student_rolling_attendance", "student_recent_3_rate")})
+        out = temporal_features(out)
+    else:
+        overall = F.lit(float(state.overall_rate))
+        hist_state = asof_student_state(history, cands, overall)
+        rows = cands.join(hist_state, ["student_id", "event_id"])
+        out = temporal_features(rows)
+        out = popularity_features(out, state)
+        # an unseen category falls back to the overall rate
+        out = out.withColumns({name: F.coalesce(F.col(name), overall) for name in RATE_FEATURES.values()})
+    if "cgpa" in out.columns:
+        out = out.withColumns({"cgpa_band_high": S.cgpa_band_high("cgpa"), "cgpa_band_low": S.cgpa_band_low("cgpa")})
     out = interaction_features(out)
     out = encode_categoricals(out, state)
     cols = state.feature_columns()
@@ -219,11 +264,13 @@ def event_turnout(scored: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def predict_planned_events(model: PipelineModel, state: FeatureState, threshold: float, history: DataFrame, planned: DataFrame) -> DataFrame:
+def predict_planned_events(
+    model: PipelineModel, state: FeatureState, threshold: float, history: DataFrame, planned: DataFrame, placeholder: str = "exclude"
+) -> DataFrame:
     """D1 for a whole table of planned events."""
     checked = required_fields(planned)
     valid = checked.filter(F.size("missing") == 0).drop("missing")
-    feats = planned_event_features(history, valid, state)
+    feats = planned_event_features(history, valid, state, placeholder=placeholder)
     return event_turnout(score_rows(model, feats, state.feature_columns()), threshold)
 
 

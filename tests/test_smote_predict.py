@@ -76,3 +76,41 @@ def test_logistic_beats_constant_on_planted_signal(spark):
     r = train_one("logistic_regression", prep, cv=False)
     assert r.metrics["auc_roc"] > 0.6 and r.metrics["f1_score"] > 0.4
     assert len(prep.feature_cols) == 69
+
+
+def test_placeholder_include_matches_appending_the_rows(spark):
+    """'include' equals fitting the rates on history + that event's placeholder rows."""
+    from rollcall.plans.features import fit_feature_state
+    from rollcall.plans.predict import planned_event_features, required_fields
+
+    d = dt.date(2024, 9, 2)
+    hist = spark.createDataFrame(
+        [
+            ("A", "E1", "Early", "School of Design", 3, "High", 7.5, d, "Data Science", "Industry", "Monday", "Morning (9-11 AM)", 90, "Offline", 2, "High", 40, 1, 0.0, 0),
+            ("B", "E1", "Late", "School of Music", 5, "Low", 6.5, d, "Data Science", "Industry", "Monday", "Morning (9-11 AM)", 90, "Offline", 2, "High", 40, 0, 0.0, 0),
+            ("C", "E2", "On-time", "School of Design", 1, "Medium", None, d, "Sound Design", "Student", "Tuesday", "Evening (5-7 PM)", 60, "Online", 1, "Low", 20, 1, 0.0, 0),
+        ],
+        "student_id string, event_id string, registration_timing string, department string, semester int, club_activity_level string, "
+        "cgpa double, event_date date, topic string, speaker_type string, day_of_week string, time_slot string, duration_minutes int, "
+        "mode string, exam_proximity int, promotion_level string, num_registrations long, attended int, past_attendance_rate double, "
+        "past_events_count long",
+    )
+    state = fit_feature_state(hist)
+    planned = spark.createDataFrame(
+        [("P1", "Data Science", "Industry", "Monday", "Morning (9-11 AM)", 90, "Offline", 3, "High", 2, dt.date(2025, 1, 6))],
+        "event_id string, topic string, speaker_type string, day_of_week string, time_slot string, duration_minutes int, mode string, "
+        "exam_proximity int, promotion_level string, num_registrations long, event_date date",
+    )
+    valid = required_fields(planned).drop("missing")
+    out = {r["student_id"]: r for r in planned_event_features(hist, valid, state, placeholder="include").collect()}
+    assert len(out) == 2
+    # topic "Data Science": history 1 of 2 attended, plus 2 placeholder rows -> 1 / 4
+    for r in out.values():
+        assert abs(r["topic_popularity"] - 0.25) < 1e-12
+        assert abs(r["registration_density"] - 2 / ((40 + 40 + 20 + 2 * 2) / 5)) < 1e-12
+    # department rates see only the planned rows of their own department
+    depts = {r["student_id"]: r["department"] for r in hist.select("student_id", "department").collect()}
+    for sid, r in out.items():
+        want = {"School of Design": (1 + 1) / (2 + sum(1 for x in out if depts[x] == "School of Design")),
+                "School of Music": 0 / (1 + sum(1 for x in out if depts[x] == "School of Music"))}[depts[sid]]
+        assert abs(r["dept_engagement"] - want) < 1e-12
