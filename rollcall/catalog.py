@@ -9,6 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F_
+
 from rollcall import constants as K
 from rollcall import oracle as O
 from rollcall.operators import summaries as A
@@ -634,29 +636,31 @@ _RUNS: dict = {}
 
 
 def trained(spark, sf_dir):
-    """Prepare + fit the three models once per (session, tables); the registry lives in
-    the shared checkpoint folder."""
+    """Prepare + fit the three models once per table folder; the registry lives in the
+    shared checkpoint folder. Later calls -- also from a new session -- reopen the
+    registry tables instead of training again."""
     import uuid
 
     from rollcall.plans import registry as RG
     from rollcall.plans.training import train_all_models
     from rollcall.session import ensure_checkpoint_dir
 
-    key = (id(spark), sf_dir)
+    key = ("registry", sf_dir)
     if key not in _RUNS:
         results, prep = train_all_models(flat(spark, sf_dir), cv=False)
         root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rollcall_registry/{uuid.uuid4().hex}"
         reg = RG.Registry(spark, root)
         comp = RG.publish(reg, results, prep)
-        reg.log_retrain(comp.filter('is_winner').first()['model_name'],
-                        comp.filter('is_winner').first()['f1_score'], comp.filter('is_winner').first()['auc_roc'],
-                        True, prep.n_rows)
-        _RUNS[key] = (results, prep, reg)
-    return _RUNS[key]
+        win = comp.filter("is_winner").first()
+        reg.log_retrain(win["model_name"], win["f1_score"], win["auc_roc"], True, prep.n_rows)
+        _RUNS[key] = root
+    from rollcall.plans.registry import Registry
+
+    return None, None, Registry(spark, _RUNS[key])
 
 
 def _prep_only(spark, sf_dir):
-    key = ("prep", id(spark), sf_dir)
+    key = ("prep", id(spark), sf_dir)  # DataFrames belong to their session
     if key not in _RUNS:
         from rollcall.plans.training import prepare_data
 
@@ -730,16 +734,15 @@ def q_smote(spark, sf_dir):
     return p.train.filter("is_synthetic").select("student_id", "label", "x", "fold")
 
 
-def _metrics_df(spark, results):
-    rows = [(r.name, float(r.metrics["accuracy"]), float(r.metrics["f1_score"]), float(r.metrics["auc_roc"] or 0.0),
-             float(r.metrics["threshold"])) for r in results]
-    return spark.createDataFrame(rows, "model_name string, accuracy double, f1_score double, auc_roc double, threshold double")
+def _model_metrics(spark, sf_dir, model_name):
+    meta = trained(spark, sf_dir)[2].meta()
+    return meta.filter(F_.col("model_name") == model_name).select(
+        "model_name", "metrics.accuracy", "metrics.f1_score", "metrics.auc_roc", "metrics.threshold", "model_path")
 
 
 for _qname, _mname in [("train_gbt", "xgboost"), ("train_random_forest", "random_forest"),
                        ("train_logistic", "logistic_regression")]:
-    register(_qname, None)(lambda spark, sf_dir, _m=_mname: _metrics_df(
-        spark, [r for r in trained(spark, sf_dir)[0] if r.name == _m]))
+    register(_qname, None)(lambda spark, sf_dir, _m=_mname: _model_metrics(spark, sf_dir, _m))
 
 
 @register("cv_f1", None)
@@ -758,9 +761,8 @@ def q_cv(spark, sf_dir):
 
 @register("feature_importance", None)
 def q_importance(spark, sf_dir):
-    results, _, _ = trained(spark, sf_dir)
-    rows = [(r.name, f, float(v)) for r in results for f, v in (r.importances or [])]
-    return spark.createDataFrame(rows, "model_name string, feature string, importance double")
+    reg = trained(spark, sf_dir)[2]
+    return spark.read.parquet(f"{reg.root}/feature_importance_all")
 
 
 @register("top_features", None)

@@ -199,6 +199,11 @@ def publish(reg: Registry, results, prep, deploy: bool = True) -> DataFrame:
     winner = comp.filter("is_winner").first()["model_name"]
     best = next(r for r in results if r.name == winner)
     reg.save_importance(best.importances)
+    rows = [(r.name, f, float(v)) for r in results for f, v in (r.importances or [])]
+    if rows:
+        reg.spark.createDataFrame(rows, "model_name string, feature string, importance double").write.mode("overwrite").parquet(
+            f"{reg.root}/feature_importance_all"
+        )
     reg.log_version(winner, prep.n_rows, best.metrics, paths[winner])
     return comp
 
