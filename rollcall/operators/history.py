@@ -167,12 +167,14 @@ def history_features(
     hot_rows: int | None = DEFAULT_HOT_ROWS,
     segment_rows: int = DEFAULT_SEGMENT_ROWS,
     prior_outcomes: bool = False,
+    total_rows: int | None = None,
 ) -> DataFrame:
     """W1-W6 on ``df`` (outcome non-null). ``hot_rows=None`` disables the skew route.
-    ``prior_outcomes`` adds the up-to-three previous outcomes, most recent first."""
+    ``prior_outcomes`` adds the up-to-three previous outcomes, most recent first.
+    ``total_rows`` (when known) skips the hot-entity count if no entity can be hot."""
     order = list(order)
     overall = overall if overall is not None else overall_rate(df, outcome)
-    if hot_rows is None:
+    if hot_rows is None or (total_rows is not None and total_rows <= hot_rows):
         return _plain(df, entity, order, outcome, overall, prior_outcomes)
     sizes = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_cnt"))
     hot = sizes.filter(F.col("_cnt") > hot_rows)

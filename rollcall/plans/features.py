@@ -92,6 +92,7 @@ class FeatureState:
     total_sum: float = 0.0
     total_count: int = 0
     registrations_sum: float = 0.0
+    row_count: int = 0
 
     def feature_columns(self) -> list[str]:
         """The model input columns, in table order (raw, derived, one-hot)."""
@@ -123,10 +124,11 @@ def fit_feature_state(df: DataFrame, outcome: str = "attended") -> FeatureState:
         F.sum(F.col(outcome).cast("double")).alias("y_sum"),
         F.count(F.col(outcome)).alias("y_n"),
         F.sum(F.col("num_registrations").cast("double")).alias("regs_sum"),
+        F.count(F.lit(1)).alias("rows"),
     )
     n = len(cols)
     key = F.coalesce(*[F.col(c).cast("string") for c in cols])
-    rows = g.select("gid", key.alias("value"), "rate", "mean_regs", "y_sum", "y_n", "regs_sum").limit(MAX_CATEGORIES + 1).collect()
+    rows = g.select("gid", key.alias("value"), "rate", "mean_regs", "y_sum", "y_n", "regs_sum", "rows").limit(MAX_CATEGORIES + 1).collect()
     if len(rows) > MAX_CATEGORIES:
         raise ValueError(f"more than {MAX_CATEGORIES} categories; one-hot encoding would not be meaningful")
     rates: dict[str, dict[str, float]] = {c: {} for c in cols}
@@ -154,6 +156,7 @@ def fit_feature_state(df: DataFrame, outcome: str = "attended") -> FeatureState:
         total_sum=float((tot["y_sum"] if tot else 0.0) or 0.0),
         total_count=int((tot["y_n"] if tot else 0) or 0),
         registrations_sum=float((tot["regs_sum"] if tot else 0.0) or 0.0),
+        row_count=int((tot["rows"] if tot else 0) or 0),
     )
 
 
@@ -176,9 +179,9 @@ def temporal_features(df: DataFrame) -> DataFrame:
     )
 
 
-def student_history(df: DataFrame, overall: Column, hot_rows: int | None = None) -> DataFrame:
+def student_history(df: DataFrame, overall: Column, hot_rows: int | None = None, total_rows: int | None = None) -> DataFrame:
     """W1-W6 plus P2 cgpa bands."""
-    kw = {} if hot_rows is None else {"hot_rows": hot_rows}
+    kw = {"total_rows": total_rows} if hot_rows is None else {"hot_rows": hot_rows}
     out = history_features(df, overall=overall, **kw)
     if "cgpa" in df.columns:
         out = out.withColumns({"cgpa_band_high": S.cgpa_band_high("cgpa"), "cgpa_band_low": S.cgpa_band_low("cgpa")})
@@ -248,11 +251,13 @@ def encode_categoricals(df: DataFrame, state: FeatureState) -> DataFrame:
     return out.select("*", *onehot)
 
 
-def transform_features(df: DataFrame, state: FeatureState, overall: Column | None = None, hot_rows: int | None = None) -> DataFrame:
+def transform_features(
+    df: DataFrame, state: FeatureState, overall: Column | None = None, hot_rows: int | None = None, total_rows: int | None = None
+) -> DataFrame:
     """Apply the pipeline with a fitted state. ``overall`` defaults to the state's rate."""
     overall = overall if overall is not None else F.lit(float(state.overall_rate))
     out = temporal_features(df)
-    out = student_history(out, overall, hot_rows)
+    out = student_history(out, overall, hot_rows, total_rows=total_rows)
     out = popularity_features(out, state)
     out = interaction_features(out)
     return encode_categoricals(out, state)
@@ -261,7 +266,8 @@ def transform_features(df: DataFrame, state: FeatureState, overall: Column | Non
 def run_feature_pipeline(df: DataFrame, hot_rows: int | None = None) -> tuple[DataFrame, list[str], FeatureState]:
     """M1 on one table (fit and transform on the same rows, as the original pipeline)."""
     state = fit_feature_state(df)
-    out = transform_features(df, state, hot_rows=hot_rows)
+    # the fit counted the rows of this same table
+    out = transform_features(df, state, hot_rows=hot_rows, total_rows=state.row_count or None)
     return out, state.feature_columns(), state
 
 
