@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from rollcall.llm import fingerprints, pii, warc
+from rollcall.llm import fingerprints, pii, substring, warc
 from rollcall.llm.common import table
 
 QUERIES = {
     "op1_pii": lambda spark, d: pii.op1_pii(table(spark, d, "documents")),
     "op5_warc": lambda spark, d: warc.op5_warc(table(spark, d, "pages")),
     "op9_document_fingerprints": lambda spark, d: fingerprints.op9_document_fingerprints(table(spark, d, "documents")),
+    "op10_substring_dedup": lambda spark, d: substring.op10_substring_dedup(table(spark, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE, "op10_substring_dedup": substring.ORACLE}
