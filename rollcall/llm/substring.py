@@ -28,11 +28,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm import kernels as K
-from rollcall.llm.common import in_batches, stored
+from rollcall.llm.common import in_batches, numbered, stored
 
 #: Words of a window, words of the runs that its key is chosen from, and counters of
 #: the sketch.
@@ -103,29 +103,6 @@ def _window_hashes(words: np.ndarray, starts: np.ndarray, window: int) -> np.nda
     return K.gram_hashes(words, window)[starts]
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """Documents with ``row_id``: the id itself, where it is unique and not null; other
-    rows are numbered behind each other in the order of (id, words). Row ids order
-    documents as their ids do."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    odd = base.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").limit(1).count()
-    if not odd:
-        return base.withColumn("row_id", F.col("doc_id"))
-    # rare: ids that occur more than once. Ranks are found within buckets of the id
-    # and added up over the buckets, never in one task
-    digest = F.sha2(F.encode("text", "UTF-8"), 256)
-    keyed = base.withColumn("_d", digest).withColumn("_k", F.xxhash64("doc_id", "_d"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("_d")]
-    parts = stored(keyed.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "numbered")
-    sizes = {r["_p"]: r["n"] for r in parts.groupBy("_p").agg(F.count("*").alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    starts = F.create_map(*[F.lit(x) for p in before.items() for x in p]) if before else F.lit(0)
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return parts.withColumn("row_id", (starts[F.col("_p")] + rank).cast("long")).select("doc_id", "text", "row_id")
-
-
 def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH, text_out: bool = False) -> DataFrame:
     """One row per document: words, words removed, digest of the kept words joined by
     single spaces (and these themselves with ``text_out``)."""
