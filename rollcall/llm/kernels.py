@@ -19,6 +19,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Letters and digits; every byte of a letter outside ASCII counts as one.
+LETTER = np.zeros(256, bool)
+LETTER[48:58] = LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 #: Bytes of text treated at once; one longer text is treated alone.
 GROUP_BYTES = 1 << 20
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
@@ -72,10 +75,10 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and the number of words before each text (and
-    after the last)."""
-    inside = ~_SPACE[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, part: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes that ``part`` marks), and the number
+    of words before each text (and after the last)."""
+    inside = part[data]
     fresh = np.zeros(len(data) + 1, bool)
     fresh[offsets] = True
     before = np.empty(len(data), bool)
@@ -91,6 +94,11 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the number of words before each text."""
     if lower:

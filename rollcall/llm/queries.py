@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from rollcall.llm import fingerprints, ngram_join, pii, substring, warc
+from rollcall.llm import decontaminate, fingerprints, ngram_join, pii, quality, substring, warc
 from rollcall.llm.common import table
 
 QUERIES = {
     "op1_pii": lambda spark, d: pii.op1_pii(table(spark, d, "documents")),
     "op5_warc": lambda spark, d: warc.op5_warc(table(spark, d, "pages")),
     "op6_ngram_jaccard_join": lambda spark, d: ngram_join.op6_ngram_jaccard_join(table(spark, d, "documents")),
+    "op7_quality_classifier": lambda spark, d: quality.op7_quality_classifier(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op8_benchmark_decontamination": lambda spark, d: decontaminate.op8_benchmark_decontamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_document_fingerprints": lambda spark, d: fingerprints.op9_document_fingerprints(table(spark, d, "documents")),
     "op10_substring_dedup": lambda spark, d: substring.op10_substring_dedup(table(spark, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE, "op10_substring_dedup": substring.ORACLE, "op6_ngram_jaccard_join": ngram_join.ORACLE}
+ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE, "op10_substring_dedup": substring.ORACLE, "op6_ngram_jaccard_join": ngram_join.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE}
