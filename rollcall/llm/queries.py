@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from rollcall.llm import attribution, decontaminate, fingerprints, ngram_join, packing, pii, quality, substring, warc
+from rollcall.llm import attribution, decontaminate, fingerprints, html, ngram_join, packing, pii, quality, substring, warc
 from rollcall.llm.common import table
 
 QUERIES = {
     "op1_pii": lambda spark, d: pii.op1_pii(table(spark, d, "documents")),
     "op2_packing": lambda spark, d: packing.op2_packing(table(spark, d, "documents")),
     "op3_token_counts": lambda spark, d: attribution.op3_token_counts(table(spark, d, "documents")),
+    "op4_html_extraction": lambda spark, d: html.op4_html_extraction(table(spark, d, "pages")),
     "op5_warc": lambda spark, d: warc.op5_warc(table(spark, d, "pages")),
     "op6_ngram_jaccard_join": lambda spark, d: ngram_join.op6_ngram_jaccard_join(table(spark, d, "documents")),
     "op7_quality_classifier": lambda spark, d: quality.op7_quality_classifier(table(spark, d, "documents"), table(spark, d, "labels")),
