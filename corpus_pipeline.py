@@ -1,16 +1,77 @@
-"""Corpus pipeline: the stages are added as their operators are finished."""
+"""Corpus pipeline: good documents, one of each group of near copies, without benchmark
+items and personal data, packed into sequences.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
+the columns of ``documents``. Stages keep extra columns, work on all rows that they are
+given, and give an empty result for an empty table. Of documents with equal ids (or
+none) each row is judged on its own, but a contaminated id goes with all its rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rollcall.llm import decontaminate, ngram_join, packing, pii, quality
+from rollcall.llm.common import numbered, table
+
+#: Near copies: word shingles and the likeness from which two documents are linked.
+NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier gives the top grade."""
+    weights, cuts = quality.model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = quality.scored(docs, weights, cuts)
+    return out.filter(F.col("p_top") >= quality.LEAST).select(*docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of exact or near copies."""
+    rows = numbered(docs, *docs.columns)
+    groups = ngram_join.classes(rows.select(F.col("row_id").alias("doc_id"), "text"), NEAR_WORDS, NEAR_NUM, NEAR_DEN)
+    first = groups.filter("row_id = component").select("row_id")
+    return rows.join(first, "row_id", "left_semi").select(*docs.columns)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.contained(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_id")).distinct()
+    return docs.join(found, docs.doc_id.eqNullSafe(found.bad_id), "left_anti")
+
+
+def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    full = docs.withColumn("_given", F.col("text")).withColumn("text", F.coalesce("text", F.lit("")))
+    found = pii.find_pii(full)
+    every = F.concat(*[F.col(f"pii_{k}") for k in pii.PATTERNS])
+    text = F.when(F.col("_given").isNull(), None).otherwise(pii.redacted(F.col("text"), every))
+    return found.withColumn("_new", text).select(
+        *[F.col("_new").alias(c) if c == "text" else F.coalesce(F.length("_new").cast("long"), F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    )
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 tokens."""
+    return packing.op2_packing(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", good),
+    ("n-gram Jaccard join", distinct),
+    ("benchmark decontamination", uncontaminated),
+    ("PII", without_pii),
+    ("packing", sequences),
+]
 
+#: A fitted classifier and a tokenizer have no SQL; the stages are tested against
+#: brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on ``documents``."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

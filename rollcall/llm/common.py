@@ -34,12 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+#: Spark's own setting to remove the shuffle files of a query when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a reliable cut of the
-    lineage that any executor can reread after a loss."""
+    lineage that any executor can reread after a loss. What was shuffled for it is not
+    needed any more, and its files go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -70,19 +80,22 @@ def shingle_hashes(word_hashes: Column, n: int) -> Column:
     return F.when(k >= n, runs).when(k > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
+def numbered(docs: DataFrame, *more: str) -> DataFrame:
     """Documents with ``row_id``: the id itself, where it is unique and not null; other
     rows are numbered behind each other in the order of (id, words). Row ids order
-    documents as their ids do."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    documents as their ids do. Without ``more`` columns the result has doc_id and text,
+    a null text as an empty one; with them it has those, as they are."""
+    keep = more or ("doc_id", "text")
+    base = docs.select(*more) if more else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     odd = base.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").limit(1).count()
     if not odd:
-        return base.withColumn("row_id", F.col("doc_id"))
+        return base.withColumn("row_id", F.col("doc_id").cast("long"))
     # rare: ids that occur more than once. Ranks are found within buckets of the id
     # and added up over the buckets, never in one task
-    digest = F.sha2(F.encode("text", "UTF-8"), 256)
-    keyed = base.withColumn("_d", digest).withColumn("_k", F.xxhash64("doc_id", "_d"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("_d")]
+    digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+    # equal rows are told apart by a number that is stored with them
+    keyed = base.withColumn("_d", digest).withColumn("_m", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_d"), F.col("_m")]
     parts = stored(keyed.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "numbered")
     sizes = {r["_p"]: r["n"] for r in parts.groupBy("_p").agg(F.count("*").alias("n")).collect()}
     before, total = {}, 0
@@ -90,4 +103,4 @@ def numbered(docs: DataFrame) -> DataFrame:
         before[p], total = total, total + sizes[p]
     starts = F.create_map(*[F.lit(x) for p in before.items() for x in p]) if before else F.lit(0)
     rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return parts.withColumn("row_id", (starts[F.col("_p")] + rank).cast("long")).select("doc_id", "text", "row_id")
+    return parts.withColumn("row_id", (starts[F.col("_p")] + rank).cast("long")).select(*keep, "row_id")
