@@ -479,7 +479,7 @@ def q_history_skew(spark, sf_dir):
     from pyspark.sql import functions as F
 
     f = flat(spark, sf_dir)
-    out = H.history_features(f, hot_rows=0, segment_rows=5000)
+    out = H.history_features(f, hot_rows=0)
     return out.select("student_id", "event_id", *[F.bround(c, 6).alias(c) if c in _HIST_DOUBLES else F.col(c) for c in H.HISTORY_COLUMNS])
 
 

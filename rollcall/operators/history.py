@@ -6,12 +6,14 @@ Sort for the whole family; the global fill value is a scalar subquery (one
 partial/final aggregate, no join).
 
 Skew: an entity holding a large share of all rows would make its window
-partition a single task. ``history_features`` therefore routes entities above
-``hot_rows`` rows through a segmented scan: their rows are range-partitioned on
-(entity, order...) so one entity spans many balanced tasks, each segment is
-scanned locally and a small per-segment summary table supplies the carry-in
-(counts, sums, squares, trailing run, last three outcomes). Both routes give
-identical values; the hot route is only planned when such entities exist.
+partition a single task. With ``hot_rows`` set, entities above that many rows go
+through a segmented scan instead: a segment is one (entity, calendar day), a
+function of the row alone, so a segment never depends on how the rows happen to
+be dealt out. Each segment is scanned locally and a summary of one row per
+segment supplies the carry-in (counts, sums, trailing run, last three outcomes).
+Both routes give identical values and neither starts a job while the plan is
+built. The default is the plain route: a student registers for an event once, so
+a student has at most as many rows as there are events, and the window spills.
 """
 
 from __future__ import annotations
@@ -30,11 +32,6 @@ HISTORY_COLUMNS = [
     "student_recent_3_rate",
 ]
 
-DEFAULT_HOT_ROWS = 5_000_000
-DEFAULT_SEGMENT_ROWS = 1_000_000
-MAX_BROADCAST_KEYS = 1_000_000
-
-
 def _window(entity: str | Sequence[str], order: Sequence[str]):
     ents = [entity] if isinstance(entity, str) else list(entity)
     return Window.partitionBy(*ents).orderBy(*order)
@@ -45,116 +42,119 @@ def overall_rate(df: DataFrame, outcome: str = "attended") -> Column:
     return df.agg(F.avg(F.col(outcome).cast("double"))).scalar()
 
 
-def _plain(df: DataFrame, entity, order, outcome: str, overall: Column, prior: bool = False) -> DataFrame:
+def _std(n: Column, total: Column) -> Column:
+    """Sample standard deviation of ``n`` 0/1 outcomes with sum ``total``, from exact
+    integer sums on both routes (the sum of squares is the sum)."""
+    n, total = n.cast("double"), total.cast("double")
+    return F.when(n > 1, F.sqrt(F.greatest(F.try_divide(total - F.try_divide(total * total, n), n - 1), F.lit(0.0)))).otherwise(F.lit(0.5))
+
+
+def _runs(df: DataFrame, y: Column, w) -> DataFrame:
+    """Add ``_known`` (outcomes so far), ``_first_run`` (still in the first run) and
+    ``_run``: the signed length of the run of equal outcomes that ends here. A null
+    outcome has run 0 and does not break the run around it."""
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(y, ignorenulls=True).over(before)
+    df = df.withColumn("_known", F.count(y).over(upto)).withColumn("_chg", y.isNotNull() & F.coalesce(last != y, F.lit(True)))
+    df = df.withColumn("_start", F.max(F.when(F.col("_chg"), F.col("_known"))).over(upto))
+    sign = F.when(y == 1, F.lit(1)).otherwise(F.lit(-1))
+    run = F.when(y.isNull(), F.lit(0)).otherwise(sign * (F.col("_known") - F.col("_start") + 1))
+    return df.withColumn("_run", run.cast("long")).withColumn("_first_run", F.coalesce(F.col("_start") == 1, F.lit(True)))
+
+
+def _plain(df: DataFrame, entity, order, outcome: str, overall: Column, prior_outcomes: bool = False) -> DataFrame:
     w = _window(entity, order)
-    prior = w.rowsBetween(Window.unboundedPreceding, -1)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
     last3 = w.rowsBetween(-3, -1)
     y = F.col(outcome)
-    rn = F.row_number().over(w)
-    changed = F.coalesce(y != F.lag(y).over(w), F.lit(True))
-    tmp = df.withColumn("_rn", rn).withColumn("_chg", changed)
-    start = F.max(F.when(F.col("_chg"), F.col("_rn"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    tmp = tmp.withColumn("_start", start)
-    run = F.when(y == 1, F.lit(1)).otherwise(F.lit(-1)) * (F.col("_rn") - F.col("_start") + 1)
-    tmp = tmp.withColumn("_run", run.cast("long"))
+    tmp = _runs(df, y, w)
+    known, total = F.count(y).over(before), F.coalesce(F.sum(y).over(before), F.lit(0))
     return tmp.select(
         *df.columns,
-        F.coalesce(F.avg(y).over(prior), overall).alias("student_rolling_attendance"),
-        F.coalesce(F.sum(y).over(prior), F.lit(0)).cast("long").alias("student_cumulative_attended"),
-        (F.col("_rn") - 1).cast("long").alias("student_total_events"),
+        F.coalesce(F.avg(y).over(before), overall).alias("student_rolling_attendance"),
+        total.cast("long").alias("student_cumulative_attended"),
+        (F.row_number().over(w) - 1).cast("long").alias("student_total_events"),
         F.coalesce(F.lag("_run").over(w), F.lit(0)).cast("long").alias("attendance_streak"),
-        F.coalesce(F.stddev_samp(y).over(prior), F.lit(0.5)).alias("student_attendance_std"),
+        _std(known, total).alias("student_attendance_std"),
         F.coalesce(F.avg(y).over(last3), overall).alias("student_recent_3_rate"),
-        *([F.reverse(F.collect_list(y).over(last3)).alias("prior_outcomes")] if prior else []),
+        *([F.reverse(F.collect_list(y).over(last3)).alias("prior_outcomes")] if prior_outcomes else []),
     )
 
 
-def _segmented(
-    df: DataFrame, entity: str, order: Sequence[str], outcome: str, overall: Column, segments: int, prior: bool = False
-) -> DataFrame:
+def _segment_of(df: DataFrame, column: str) -> Column:
+    """Segment of a row by its first order column: the calendar day of a time, else the
+    value itself."""
+    return F.to_date(column) if df.schema[column].dataType.typeName().startswith("timestamp") else F.col(column)
+
+
+def _segmented(df: DataFrame, entity: str, order: Sequence[str], outcome: str, overall: Column, prior_outcomes: bool = False) -> DataFrame:
     """History features for hot entities only (see module docstring)."""
     y = F.col(outcome)
-    seg_df = df.repartitionByRange(segments, entity, *order).withColumn("_seg", F.spark_partition_id())
     w = Window.partitionBy(entity, "_seg").orderBy(*order)
-    prior = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rn = F.row_number().over(w)
-    changed = F.coalesce(y != F.lag(y).over(w), F.lit(True))
-    loc = seg_df.withColumn("_rn", rn).withColumn("_chg", changed)
-    loc = loc.withColumn("_start", F.max(F.when(F.col("_chg"), F.col("_rn"))).over(upto))
-    sign = F.when(y == 1, F.lit(1)).otherwise(F.lit(-1))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    loc = _runs(df.withColumn("_seg", _segment_of(df, order[0])), y, w)
+    recent = [F.lag(y, i).over(w) for i in (1, 2, 3)]
     loc = (
-        loc.withColumn("_run", (sign * (F.col("_rn") - F.col("_start") + 1)).cast("long"))
-        .withColumn("_lead_run", F.col("_start") == 1)  # row still in the segment's first run
-        .withColumn("_n0", (F.col("_rn") - 1).cast("long"))
-        .withColumn("_s0", F.coalesce(F.sum(y).over(prior), F.lit(0)).cast("double"))
-        .withColumn("_q0", F.coalesce(F.sum(y * y).over(prior), F.lit(0)).cast("double"))
+        loc.withColumn("_n0", (F.row_number().over(w) - 1).cast("long"))
+        .withColumn("_m0", F.count(y).over(before))
+        .withColumn("_s0", F.coalesce(F.sum(y).over(before), F.lit(0)).cast("long"))
         .withColumn("_prev_run", F.lag("_run").over(w))
-        .withColumn("_prev_lead", F.lag("_lead_run").over(w))
-        .withColumn("_prev3", F.collect_list(y).over(w.rowsBetween(-3, -1)))
+        .withColumn("_prev_first", F.lag("_first_run").over(w))
+        .withColumn("_prev3", F.slice(F.array(*recent), F.lit(1), F.least(F.col("_n0"), F.lit(3)).cast("int")))
     )
-    # per-segment summary: size, sums, trailing run, whether uniform, last three outcomes
-    rw = Window.partitionBy(entity, "_seg").orderBy(*[F.col(c).desc() for c in order])
-    tail = loc.withColumn("_rrn", F.row_number().over(rw))
-    summary = tail.groupBy(entity, "_seg").agg(
+    # one row per segment; its last three outcomes, latest first
+    latest = F.struct(*[F.col(c) for c in order])
+    one = F.col("_n0") + 1  # place in the segment
+    summary = loc.groupBy(entity, "_seg").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(y).cast("double").alias("s"),
-        F.sum(y * y).cast("double").alias("q"),
-        F.max(F.when(F.col("_rrn") == 1, F.col("_run"))).alias("trail"),
-        F.min(F.col("_lead_run").cast("int")).alias("uniform"),
-        F.array_sort(
-            F.collect_list(F.when(F.col("_rrn") <= 3, F.struct(F.col("_rrn").alias("k"), y.alias("v"))))
-        ).alias("tail3"),
+        F.count(y).alias("m"),
+        F.coalesce(F.sum(y), F.lit(0)).cast("long").alias("s"),
+        F.max_by("_run", F.when(y.isNotNull(), one)).alias("trail"),
+        F.max_by(y.isNull(), latest).alias("ends_null"),
+        F.max_by(F.slice(F.concat(F.array(y), F.col("_prev3")), 1, 3), latest).alias("tail3"),
     )
     sw = Window.partitionBy(entity).orderBy("_seg")
-    before = sw.rowsBetween(Window.unboundedPreceding, -1)
-    # trailing run of the concatenation: runs chain through uniform segments of the same sign
-    trail_len = F.abs(F.col("trail"))
-    same_sign_prev = F.signum(F.lag("trail").over(sw)) == F.signum(F.col("trail"))
-    summary = summary.withColumn("_reset", ~(F.coalesce((F.col("uniform") == 1) & same_sign_prev, F.lit(False))))
-    summary = summary.withColumn("_cum", F.sum(trail_len).over(sw.rowsBetween(Window.unboundedPreceding, 0)))
-    summary = summary.withColumn(
-        "_base", F.max(F.when(F.col("_reset"), F.col("_cum") - trail_len)).over(sw.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    summary = summary.withColumn("_chain", F.signum(F.col("trail")).cast("long") * (F.col("_cum") - F.col("_base")))
-    # the last three outcomes of all earlier segments (each segment has >= 1 row)
-    recent = F.flatten(F.collect_list(F.transform(F.reverse(F.col("tail3")), lambda t: t["v"])).over(sw.rowsBetween(-3, -1)))
+    earlier, upto = sw.rowsBetween(Window.unboundedPreceding, -1), sw.rowsBetween(Window.unboundedPreceding, 0)
+    # trailing run of the concatenation: a segment of one run goes on with the run
+    # before it if that has the same sign; a segment without outcomes changes nothing
+    size, sign = F.coalesce(F.abs("trail"), F.lit(0)), F.signum("trail")
+    sign_before = F.last(sign, ignorenulls=True).over(earlier)
+    goes_on = (F.col("m") == 0) | F.coalesce((size == F.col("m")) & (sign_before == sign), F.lit(False))
+    summary = summary.withColumn("_reset", ~goes_on).withColumn("_cum", F.sum(size).over(upto))
+    summary = summary.withColumn("_base", F.max(F.when(F.col("_reset"), F.col("_cum") - size)).over(upto))
+    summary = summary.withColumn("_chain", F.when(F.col("m") > 0, sign.cast("long") * (F.col("_cum") - F.coalesce("_base", F.lit(0)))))
+    tails = F.flatten(F.reverse(F.collect_list("tail3").over(sw.rowsBetween(-3, -1))))  # latest segment first
     carry = summary.select(
         entity,
         "_seg",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("c_n"),
-        F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("c_s"),
-        F.coalesce(F.sum("q").over(before), F.lit(0.0)).alias("c_q"),
-        F.coalesce(F.lag("_chain").over(sw), F.lit(0)).cast("long").alias("c_run"),
-        F.slice(F.reverse(recent), 1, 3).alias("c_last3"),  # most recent first
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("c_n"),
+        F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("c_m"),
+        F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("c_s"),
+        F.coalesce(F.last("_chain", ignorenulls=True).over(earlier), F.lit(0)).cast("long").alias("c_run"),
+        F.coalesce(F.lag("ends_null").over(sw), F.lit(False)).alias("c_null"),
+        F.slice(tails, 1, 3).alias("c_last3"),
     )
-    j = loc.join(carry, [entity, "_seg"])
-    n = F.col("_n0") + F.col("c_n")
-    s = F.col("_s0") + F.col("c_s")
-    q = F.col("_q0") + F.col("c_q")
-    var = (q - s * s / n) / (n - 1)
-    # streak before this row: previous row's run inside the segment (continued from the
-    # carry while still in the first run), or the carry itself on the segment's first row
-    prev_in_seg = F.col("_prev_run")
-    continues = F.col("_prev_lead") & (F.signum(F.col("c_run")) == F.signum(prev_in_seg))
-    streak = (
-        F.when(F.col("_rn") == 1, F.col("c_run"))
-        .when(continues, prev_in_seg + F.col("c_run"))
-        .otherwise(prev_in_seg)
-    )
-    # recent three: the in-segment previous rows, topped up from the carry
-    local3 = F.reverse(F.col("_prev3"))  # most recent first
-    merged = F.slice(F.concat(local3, F.coalesce(F.col("c_last3"), F.array().cast("array<int>"))), 1, 3)
-    recent3 = F.aggregate(merged, F.lit(0.0), lambda acc, v: acc + v) / F.size(merged)
+    lost = F.raise_error(F.lit("a history row has no segment"))
+    j = loc.join(carry, [entity, "_seg"], "left").withColumn("c_n", F.when(F.col("c_n").isNull(), lost.cast("long")).otherwise(F.col("c_n")))
+    n, m, s = F.col("_n0") + F.col("c_n"), F.col("_m0") + F.col("c_m"), F.col("_s0") + F.col("c_s")
+    # streak before this row: the previous row's run inside the segment (with the carry
+    # while still in the first run), or the carry itself on the segment's first row
+    run = F.col("_prev_run")
+    joined = F.when(F.col("_prev_first") & (F.signum("c_run") == F.signum(run)), run + F.col("c_run")).otherwise(run)
+    streak = F.when(F.col("_n0") > 0, joined).when(F.col("c_null"), F.lit(0)).otherwise(F.col("c_run"))
+    # the last three rows; null outcomes take a place but no part
+    merged = F.filter(F.slice(F.concat("_prev3", "c_last3"), 1, 3), lambda v: v.isNotNull())
+    recent3 = F.try_divide(F.aggregate(merged, F.lit(0.0), lambda acc, v: acc + v), F.size(merged))
     return j.select(
         *df.columns,
-        F.when(n > 0, s / n).otherwise(overall).alias("student_rolling_attendance"),
+        F.coalesce(F.try_divide(s.cast("double"), m), overall).alias("student_rolling_attendance"),
         s.cast("long").alias("student_cumulative_attended"),
         n.cast("long").alias("student_total_events"),
         streak.cast("long").alias("attendance_streak"),
-        F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(F.lit(0.5)).alias("student_attendance_std"),
-        F.when(F.size(merged) > 0, recent3).otherwise(overall).alias("student_recent_3_rate"),
-        *([merged.alias("prior_outcomes")] if prior else []),
+        _std(m, s).alias("student_attendance_std"),
+        F.coalesce(recent3, overall).alias("student_recent_3_rate"),
+        *([merged.alias("prior_outcomes")] if prior_outcomes else []),
     )
 
 
@@ -164,31 +164,22 @@ def history_features(
     order: Sequence[str] = ("event_date", "event_id"),
     outcome: str = "attended",
     overall: Column | None = None,
-    hot_rows: int | None = DEFAULT_HOT_ROWS,
-    segment_rows: int = DEFAULT_SEGMENT_ROWS,
+    hot_rows: int | None = None,
     prior_outcomes: bool = False,
-    total_rows: int | None = None,
 ) -> DataFrame:
-    """W1-W6 on ``df`` (outcome non-null). ``hot_rows=None`` disables the skew route.
-    ``prior_outcomes`` adds the up-to-three previous outcomes, most recent first.
-    ``total_rows`` (when known) skips the hot-entity count if no entity can be hot."""
+    """W1-W6 on ``df``. A null outcome counts as an event, takes part in no rate, and
+    leaves a streak of 0 behind without ending the run. ``hot_rows`` sends entities
+    with more rows through the segmented route. ``prior_outcomes`` adds the up-to-three
+    previous outcomes, most recent first."""
     order = list(order)
     overall = overall if overall is not None else overall_rate(df, outcome)
-    if hot_rows is None or (total_rows is not None and total_rows <= hot_rows):
-        return _plain(df, entity, order, outcome, overall, prior_outcomes)
-    sizes = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_cnt"))
-    hot = sizes.filter(F.col("_cnt") > hot_rows)
-    # the hot list is bounded by (rows / hot_rows), so it is small by construction
-    hot_keys = hot.agg(F.count(F.lit(1)).alias("k"), F.sum("_cnt").alias("rows")).collect()[0]
-    if not hot_keys["k"]:
+    if hot_rows is None:
         return _plain(df, entity, order, outcome, overall, prior_outcomes)
-    # at most rows / hot_rows keys; broadcast only below a checked count
-    hot_b = F.broadcast(hot.select(entity)) if hot_keys["k"] <= MAX_BROADCAST_KEYS else hot.select(entity)
-    cold_part = df.join(hot_b, entity, "left_anti")
-    hot_part = df.join(hot_b, entity, "left_semi")
-    segments = max(2, int(-(-hot_keys["rows"] // segment_rows)))
+    # at most rows / hot_rows keys; Spark broadcasts them if they are few
+    hot = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_cnt")).filter(F.col("_cnt") > hot_rows).select(entity)
+    cold_part, hot_part = df.join(hot, entity, "left_anti").select(*df.columns), df.join(hot, entity, "left_semi").select(*df.columns)
     return _plain(cold_part, entity, order, outcome, overall, prior_outcomes).unionByName(
-        _segmented(hot_part, entity, order, outcome, overall, segments, prior_outcomes)
+        _segmented(hot_part, entity, order, outcome, overall, prior_outcomes)
     )
 
 
@@ -197,7 +188,7 @@ def recalculate_history(
     entity: str = "student_id",
     order: Sequence[str] = ("event_date", "event_id"),
     outcome: str = "attended",
-    hot_rows: int | None = DEFAULT_HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """``past_attendance_rate`` (3-decimal half-even, first 0.0) and ``past_events_count``.
     Same window family as W1/W3 (hot entities take the segmented route)."""
@@ -216,7 +207,7 @@ def momentum_score(
     entity: str = "student_id",
     order: Sequence[str] = ("event_date", "event_id"),
     outcome: str = "attended",
-    hot_rows: int | None = DEFAULT_HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """``df`` plus ``momentum`` = base + (mean of up to three prior outcomes - 0.3) * 0.25,
     clamped to [0.03, 0.90]; rows without history keep the base."""

@@ -179,10 +179,9 @@ def temporal_features(df: DataFrame) -> DataFrame:
     )
 
 
-def student_history(df: DataFrame, overall: Column, hot_rows: int | None = None, total_rows: int | None = None) -> DataFrame:
+def student_history(df: DataFrame, overall: Column, hot_rows: int | None = None) -> DataFrame:
     """W1-W6 plus P2 cgpa bands."""
-    kw = {"total_rows": total_rows} if hot_rows is None else {"hot_rows": hot_rows}
-    out = history_features(df, overall=overall, **kw)
+    out = history_features(df, overall=overall, hot_rows=hot_rows)
     if "cgpa" in df.columns:
         out = out.withColumns({"cgpa_band_high": S.cgpa_band_high("cgpa"), "cgpa_band_low": S.cgpa_band_low("cgpa")})
     return out
@@ -252,12 +251,12 @@ def encode_categoricals(df: DataFrame, state: FeatureState) -> DataFrame:
 
 
 def transform_features(
-    df: DataFrame, state: FeatureState, overall: Column | None = None, hot_rows: int | None = None, total_rows: int | None = None
+    df: DataFrame, state: FeatureState, overall: Column | None = None, hot_rows: int | None = None
 ) -> DataFrame:
     """Apply the pipeline with a fitted state. ``overall`` defaults to the state's rate."""
     overall = overall if overall is not None else F.lit(float(state.overall_rate))
     out = temporal_features(df)
-    out = student_history(out, overall, hot_rows, total_rows=total_rows)
+    out = student_history(out, overall, hot_rows)
     out = popularity_features(out, state)
     out = interaction_features(out)
     return encode_categoricals(out, state)
@@ -267,7 +266,7 @@ def run_feature_pipeline(df: DataFrame, hot_rows: int | None = None) -> tuple[Da
     """M1 on one table (fit and transform on the same rows, as the original pipeline)."""
     state = fit_feature_state(df)
     # the fit counted the rows of this same table
-    out = transform_features(df, state, hot_rows=hot_rows, total_rows=state.row_count or None)
+    out = transform_features(df, state, hot_rows=hot_rows)
     return out, state.feature_columns(), state
 
 

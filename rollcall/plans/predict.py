@@ -114,9 +114,8 @@ def history_state(history: DataFrame, hot_rows: int | None = None) -> DataFrame:
     Built from ``history_features`` (which splits hot students over many tasks) plus the
     row's own outcome, then reduced per (student, date) with ``max_by`` -- a partial
     aggregate -- so later per-student windows see at most one row per calendar day."""
-    kw = {} if hot_rows is None else {"hot_rows": hot_rows}
     h = history_features(history.select("student_id", "event_id", "event_date", "attended"), overall=F.lit(0.0),
-                         prior_outcomes=True, **kw)
+                         prior_outcomes=True, hot_rows=hot_rows)
     y = F.col("attended")
     n = F.col("student_total_events") + 1
     s = F.col("student_cumulative_attended") + y

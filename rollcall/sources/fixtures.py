@@ -72,7 +72,9 @@ def _pick(index: F.Column, values: list[str]) -> F.Column:
 
 
 def _key(prefix: str, key: str) -> F.Column:
-    return F.concat(F.lit(prefix), F.lpad(F.col(key).cast("string"), 6, "0"))
+    """Prefix and the key with at least six digits; longer keys stay whole."""
+    digits = F.col(key).cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.lit(6), F.length(digits)), "0"))
 
 
 def students(spark: SparkSession, sf_dir: str) -> DataFrame:

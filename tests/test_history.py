@@ -19,8 +19,7 @@ def _streak6(spark):
 @pytest.mark.parametrize("hot_rows", [None, 0])
 def test_streak_6(spark, hot_rows):
     df = _streak6(spark)
-    kw = {"hot_rows": hot_rows, "segment_rows": 2} if hot_rows is not None else {"hot_rows": None}
-    out = history_features(df, **kw).orderBy("event_date").collect()
+    out = history_features(df, hot_rows=hot_rows).orderBy("event_date").collect()
     assert [r["attendance_streak"] for r in out] == [0, 1, 2, -1, -2, 1]
     assert [round(r["student_rolling_attendance"], 3) for r in out] == [0.5, 1.0, 1.0, 0.667, 0.5, 0.6]
     assert [round(r["student_attendance_std"], 3) for r in out] == [0.5, 0.5, 0.0, 0.577, 0.577, 0.548]
@@ -47,16 +46,57 @@ def test_date_tie_breaks_on_event_id(spark):
     assert out["E2"]["student_total_events"] == 1 and out["E2"]["attendance_streak"] == 1
 
 
-def test_segmented_route_equals_plain_on_fixture(spark):
-    from tests.conftest import SF0001
+def _same(a, b):
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+@pytest.mark.parametrize("hot_rows", [0, 45])
+def test_segmented_route_equals_plain_written_out(spark, tmp_path, hot_rows):
+    """All columns of the registration table, written out on both routes."""
     from rollcall.sources.fixtures import registrations_flat
+    from tests.conftest import SF0001
+
+    flat = registrations_flat(spark, SF0001)
+    for name, rows in (("plain", None), ("hot", hot_rows)):
+        history_features(flat, hot_rows=rows).write.parquet(str(tmp_path / name))
+    a, b = spark.read.parquet(str(tmp_path / "plain")), spark.read.parquet(str(tmp_path / "hot"))
+    assert a.columns == b.columns and len(a.columns) >= 20
+    assert a.count() == b.count() == flat.count() and _same(a, b)
+
+
+def test_routes_agree_with_nulls_and_many_rows_a_day(spark):
+    import random
+
+    random.seed(4)
+    rows = [(f"S{random.randint(0, 3)}", f"E{i:04d}", dt.date(2024, 9, 1) + dt.timedelta(days=random.randint(0, 25)), random.choice([0, 1, 1, None])) for i in range(900)]
+    df = _hist(spark, rows)
+    kw = {"overall": F.lit(0.5), "prior_outcomes": True}
+    a, b = history_features(df, **kw), history_features(df, hot_rows=0, **kw)
+    assert a.count() == len(rows) and _same(a, b)
+
+
+@pytest.mark.parametrize("hot_rows", [None, 0])
+def test_null_outcome_gives_zero_and_does_not_end_the_run(spark, hot_rows):
+    base = dt.date(2024, 9, 1)
+    df = _hist(spark, [("S", f"E{i}", base + dt.timedelta(days=i), y) for i, y in enumerate([1, 1, None, 1, 0])])
+    out = history_features(df, hot_rows=hot_rows).orderBy("event_date").collect()
+    assert [r["attendance_streak"] for r in out] == [0, 1, 2, 0, 3]
+    assert out[4]["student_rolling_attendance"] == 1.0
+
+
+def test_no_job_while_the_plan_is_built(spark):
+    df = _streak6(spark)
+    seen = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    history_features(df, hot_rows=3)
+    recalculate_history(df)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) == seen
+
+
+def test_long_keys_stay_whole(spark, tmp_path):
+    from rollcall.sources import fixtures
 
-    flat = registrations_flat(spark, SF0001).select("student_id", "event_id", "event_date", "attended")
-    a = history_features(flat, hot_rows=None)
-    b = history_features(flat, hot_rows=0, segment_rows=50)
-    cols = ["student_id", "event_id"] + HISTORY_COLUMNS
-    r = lambda df: df.select(*[F.round(F.col(c).cast("double"), 9).alias(c) if c in HISTORY_COLUMNS else c for c in cols])
-    assert r(a).exceptAll(r(b)).count() == 0 and r(b).exceptAll(r(a)).count() == 0
+    df = spark.createDataFrame([(1,), (1000000,), (1000001,), (100000,)], "k long").select(fixtures._key("STU_", "k").alias("id"))
+    assert sorted(r["id"] for r in df.collect()) == ["STU_000001", "STU_100000", "STU_1000000", "STU_1000001"]
 
 
 def test_later_rows_do_not_change_earlier_features(spark):
