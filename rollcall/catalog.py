@@ -472,15 +472,29 @@ def q_history_all(spark, sf_dir):
 _HIST_DOUBLES = ("student_rolling_attendance", "student_attendance_std", "student_recent_3_rate")
 
 
-@register("history_features_skew_route", O.with_flat(O.HISTORY_CTE + "\nSELECT student_id, event_id, " + ", ".join(
-    f"round_even({c}, 6) AS {c}" if c in _HIST_DOUBLES else c for c in H.HISTORY_COLUMNS) + " FROM r_hist"))
+_FLAT_SQL = ", ".join(X.FLAT_COLUMNS)
+
+
+@register("history_features_skew_route", O.with_flat(O.HISTORY_CTE + f"\nSELECT {_FLAT_SQL}, " + ", ".join(
+    f"round_even({c}, 6) AS {c}" if c == "student_attendance_std" else c for c in H.HISTORY_COLUMNS) + " FROM r_hist"))
 def q_history_skew(spark, sf_dir):
-    """Same features with every student routed through the segmented (hot-key) scan."""
+    """All columns, with every student routed through the segmented (hot-key) scan."""
     from pyspark.sql import functions as F
 
-    f = flat(spark, sf_dir)
-    out = H.history_features(f, hot_rows=0)
-    return out.select("student_id", "event_id", *[F.bround(c, 6).alias(c) if c in _HIST_DOUBLES else F.col(c) for c in H.HISTORY_COLUMNS])
+    out = H.history_features(flat(spark, sf_dir), hot_rows=0)
+    return out.withColumn("student_attendance_std", F.bround("student_attendance_std", 6))
+
+
+@register("feature_pipeline_skew_route", CATALOG["feature_pipeline"][1])
+def q_features_skew(spark, sf_dir):
+    """M1 with students of more than 45 rows on the segmented route, the others not."""
+    from pyspark.sql import functions as F
+
+    from rollcall.plans.features import run_feature_pipeline
+
+    df, cols, _ = run_feature_pipeline(flat(spark, sf_dir), hot_rows=45)
+    return df.select("student_id", "event_id", "attended",
+                     *[F.bround(c, 6).alias(c) if c == "student_attendance_std" else F.col(f"`{c}`") for c in cols])
 
 
 # ---- M9-M15 metrics kit (scored by the rule scorecard) ----------------------------------------
@@ -631,41 +645,11 @@ def q_folds(spark, sf_dir):
     return _split(spark, sf_dir).select("student_id", "event_id", "attended", "fold")
 
 
-# ---- M2-M19 training, R1-R7 registry (one shared training run per process) ----------------------
-_RUNS: dict = {}
-
-
-def trained(spark, sf_dir):
-    """Prepare + fit the three models once per table folder; the registry lives in the
-    shared checkpoint folder. Later calls -- also from a new session -- reopen the
-    registry tables instead of training again."""
-    import uuid
-
-    from rollcall.plans import registry as RG
-    from rollcall.plans.training import train_all_models
-    from rollcall.session import ensure_checkpoint_dir
-
-    key = ("registry", sf_dir)
-    if key not in _RUNS:
-        results, prep = train_all_models(flat(spark, sf_dir), cv=False)
-        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rollcall_registry/{uuid.uuid4().hex}"
-        reg = RG.Registry(spark, root)
-        comp = RG.publish(reg, results, prep)
-        win = comp.filter("is_winner").first()
-        reg.log_retrain(win["model_name"], win["f1_score"], win["auc_roc"], True, prep.n_rows)
-        _RUNS[key] = root
-    from rollcall.plans.registry import Registry
-
-    return None, None, Registry(spark, _RUNS[key])
+# ---- M2-M19 training: each query prepares and fits what it needs, nothing is shared ---------------
+def _prepared(spark, sf_dir):
+    from rollcall.plans.training import prepare_data
 
-
-def _prep_only(spark, sf_dir):
-    key = ("prep", id(spark), sf_dir)  # DataFrames belong to their session
-    if key not in _RUNS:
-        from rollcall.plans.training import prepare_data
-
-        _RUNS[key] = prepare_data(flat(spark, sf_dir))
-    return _RUNS[key]
+    return prepare_data(flat(spark, sf_dir))
 
 
 _TRAIN_SPLIT = (", r_train AS (SELECT s.attended AS label FROM r_split s WHERE NOT s.is_test)\n")
@@ -694,12 +678,9 @@ def q_smote_plan(spark, sf_dir):
 def q_class_weights(spark, sf_dir):
     from pyspark.sql import functions as F
 
-    s = _split(spark, sf_dir).filter(~F.col("is_test"))
-    c = s.agg(F.count(F.lit(1)).alias("n"), F.sum("attended").cast("long").alias("n_pos"))
-    return c.select("n", "n_pos", (F.col("n") - F.col("n_pos")).alias("n_neg"),
-                    (F.col("n") / (2.0 * F.col("n_pos"))).alias("balanced_pos"),
-                    (F.col("n") / (2.0 * (F.col("n") - F.col("n_pos")))).alias("balanced_neg"),
-                    ((F.col("n") - F.col("n_pos")) / F.col("n_pos").cast("double")).alias("scale_pos_weight"))
+    from rollcall.plans.training import weight_table
+
+    return weight_table(_split(spark, sf_dir).filter(~F.col("is_test")), "attended")
 
 
 @register("fill_median", O.with_features(
@@ -721,7 +702,7 @@ def q_fill_median(spark, sf_dir):
 def q_prepare(spark, sf_dir):
     from pyspark.sql import functions as F
 
-    p = _prep_only(spark, sf_dir)
+    p = _prepared(spark, sf_dir)
     tr = p.train.select("student_id", "event_id", "label", F.lit(False).alias("is_test"), "is_synthetic", "fold")
     te = p.test.select("student_id", "event_id", "label", F.lit(True).alias("is_test"), F.lit(False).alias("is_synthetic"),
                        F.lit(None).cast("int").alias("fold"))
@@ -730,123 +711,287 @@ def q_prepare(spark, sf_dir):
 
 @register("smote_oversample", None)
 def q_smote(spark, sf_dir):
-    p = _prep_only(spark, sf_dir)
+    p = _prepared(spark, sf_dir)
     return p.train.filter("is_synthetic").select("student_id", "label", "x", "fold")
 
 
-def _model_metrics(spark, sf_dir, model_name):
-    meta = trained(spark, sf_dir)[2].meta()
-    return meta.filter(F_.col("model_name") == model_name).select(
-        "model_name", "metrics.accuracy", "metrics.f1_score", "metrics.auc_roc", "metrics.threshold", "model_path")
+def _fit(spark, sf_dir, model_name):
+    """One model, prepared and fitted in this query."""
+    from rollcall.plans.training import train_one
+
+    prep = _prepared(spark, sf_dir)
+    return train_one(model_name, prep, cv=False), prep
+
+
+def _fit_metrics(spark, sf_dir, model_name):
+    fitted, prep = _fit(spark, sf_dir, model_name)
+    m = fitted.metrics
+    row = (model_name, float(m["accuracy"]), float(m["f1_score"]), float(m["auc_roc"]), float(m["threshold"]), int(prep.n_rows), len(prep.feature_cols))
+    return spark.createDataFrame([row], "model_name string, accuracy double, f1_score double, auc_roc double, threshold double, n_rows long, n_features int")
 
 
 for _qname, _mname in [("train_gbt", "xgboost"), ("train_random_forest", "random_forest"),
                        ("train_logistic", "logistic_regression")]:
-    register(_qname, None)(lambda spark, sf_dir, _m=_mname: _model_metrics(spark, sf_dir, _m))
+    register(_qname, None)(lambda spark, sf_dir, _m=_mname: _fit_metrics(spark, sf_dir, _m))
 
 
 def _cv(spark, sf_dir, model_name):
     """5-fold F1 at 0.5 on the over-sampled train set, with mean and population std."""
     from rollcall.plans.training import _pop_std, cv_f1
 
-    p = _prep_only(spark, sf_dir)
-    s = cv_f1(model_name, p.train)
+    s = cv_f1(model_name, _prepared(spark, sf_dir).train)
     rows = [(model_name, i, float(v), float(sum(s) / len(s)), float(_pop_std(s))) for i, v in enumerate(s)]
     return spark.createDataFrame(rows, "model_name string, fold int, f1 double, mean_f1 double, std_f1 double")
 
 
-@register("cv_f1", None)
-def q_cv(spark, sf_dir):
-    """Logistic model (the boosted model's 5 x 300 iterations run through the same
-    ``training.cv_f1`` but are too slow for a smoke check)."""
-    return _cv(spark, sf_dir, "logistic_regression")
-
-
-@register("cv_f1_random_forest", None)
-def q_cv_rf(spark, sf_dir):
-    return _cv(spark, sf_dir, "random_forest")
+for _qname, _mname in [("cv_f1", "logistic_regression"), ("cv_f1_random_forest", "random_forest"), ("cv_f1_gbt", "xgboost")]:
+    register(_qname, None)(lambda spark, sf_dir, _m=_mname: _cv(spark, sf_dir, _m))
 
 
 @register("feature_importance", None)
 def q_importance(spark, sf_dir):
-    reg = trained(spark, sf_dir)[2]
-    return spark.read.parquet(f"{reg.root}/feature_importance_all")
+    fitted, _ = _fit(spark, sf_dir, "logistic_regression")
+    return spark.createDataFrame([("logistic_regression", f, float(v)) for f, v in fitted.importances],
+                                 "model_name string, feature string, importance double")
 
 
-@register("top_features", None)
-def q_top_features(spark, sf_dir):
-    from pyspark.sql import functions as F
+@register("train_all_models", None)
+def q_train_all(spark, sf_dir):
+    """The three models, each with its cross-validation, and their comparison."""
+    from rollcall.plans.training import comparison_frame, train_all_models
 
-    _, _, reg = trained(spark, sf_dir)
-    imp = spark.read.parquet(f"{reg.root}/feature_importance")
-    return imp.orderBy(F.col("importance").desc(), "feature").limit(15)
+    results, _ = train_all_models(flat(spark, sf_dir))
+    return comparison_frame(spark, results)
 
 
-@register("model_comparison", None)
-def q_comparison(spark, sf_dir):
-    return trained(spark, sf_dir)[2].comparison()
+@register("retrain", None)
+def q_retrain(spark, sf_dir):
+    """R5 on a registry of its own: the first training, then a second one that is gated
+    against it."""
+    import uuid
 
+    from rollcall.plans.registry import Registry, retrain
+    from rollcall.session import shared_folder
 
-@register("pick_winner", None)
-def q_pick_winner(spark, sf_dir):
-    return trained(spark, sf_dir)[2].comparison().filter("is_winner")
+    reg = Registry(spark, f"{shared_folder(spark)}/rollcall_registry/{uuid.uuid4().hex}")
+    first = retrain(reg, flat(spark, sf_dir))
+    return first.unionByName(retrain(reg, flat(spark, sf_dir)))
 
 
-@register("train_all_models", None)
-def q_train_all(spark, sf_dir):
-    return trained(spark, sf_dir)[2].meta().select("model_name", "timestamp", "metrics", "threshold", "model_path")
+# ---- R1-R4, R7, M18, T2, T4, S13: the registry's tables -------------------------------------------
+# The registry's decisions are functions of small tables. Here these come from the
+# mapped data: the scorecard is one "model" in each department, dated behind each other.
+_RUN_NAMES = ("xgboost", "random_forest", "logistic_regression", "scorecard")
+_RUNS_SQL = _SCORED_CTE + (
+    ", r_dep AS (SELECT department, row_number() OVER (ORDER BY department) - 1 AS i, count(*) AS n, "
+    "sum(CASE WHEN p >= 0.5e0 AND label = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN p >= 0.5e0 AND label = 0 THEN 1 ELSE 0 END) AS fp, "
+    "sum(CASE WHEN p < 0.5e0 AND label = 1 THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN p < 0.5e0 AND label = 0 THEN 1 ELSE 0 END) AS tn "
+    "FROM r_scored GROUP BY department)\n"
+    ", r_runs AS (SELECT CAST(i AS INTEGER) AS train_order, " + f"list_extract({list(_RUN_NAMES)!r}, CAST(i % 4 + 1 AS INTEGER)) AS model_name, "
+    "TIMESTAMP '2025-01-01' + INTERVAL 1 DAY * i AS trained_on, CAST(n AS BIGINT) AS num_training_rows, "
+    "round_even(2 * tp / CAST(2 * tp + fp + fn AS DOUBLE), 6) AS f1_score, round_even((tp / CAST(tp + fn AS DOUBLE) + tn / CAST(tn + fp AS DOUBLE)) / 2, 6) AS auc_roc, "
+    "round_even((tp + tn) / CAST(n AS DOUBLE), 6) AS accuracy, 'models/' || department AS model_path FROM r_dep)\n")
+
+
+def _runs(spark, sf_dir):
+    """One row per department: the scorecard's metrics there as a training run."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    hit, y = F.col("p") >= 0.5, F.col("label") == 1
+    count = lambda c: F.count(F.when(c, 1)).cast("double")
+    d = scored_by_scorecard(spark, sf_dir).groupBy("department").agg(
+        F.count(F.lit(1)).alias("num_training_rows"), count(hit & y).alias("tp"), count(hit & ~y).alias("fp"), count(~hit & y).alias("fn"), count(~hit & ~y).alias("tn"))
+    # one row per department: a bounded window
+    d = d.withColumn("train_order", (F.row_number().over(Window.orderBy("department")) - 1).cast("int"))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    names = F.array(*[F.lit(n) for n in _RUN_NAMES])
+    return d.select(
+        "train_order", F.get(names, F.col("train_order") % 4).alias("model_name"),
+        F.expr("timestamp '2025-01-01' + make_interval(0, 0, 0, train_order)").alias("trained_on"), "num_training_rows",
+        F.bround(F.try_divide(2 * tp, 2 * tp + fp + fn), 6).alias("f1_score"),
+        F.bround((F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2, 6).alias("auc_roc"),
+        F.bround((tp + tn) / F.col("num_training_rows"), 6).alias("accuracy"),
+        F.concat(F.lit("models/"), F.col("department")).alias("model_path"))
+
 
+def _versions(spark, sf_dir):
+    """Two generations: the third run is the active version."""
+    from rollcall.plans.registry import log_model_version
 
-@register("log_model_version", None)
+    runs = _runs(spark, sf_dir)
+    old = runs.filter("train_order < 2").withColumn("is_active", F_.lit(True)).drop("train_order")
+    return log_model_version(old, runs.filter("train_order = 2").drop("train_order"))
+
+
+_VERSION_COLUMNS = "model_name, trained_on, num_training_rows, f1_score, auc_roc, accuracy, model_path"
+
+
+@register("log_model_version", O.with_flat(_RUNS_SQL + f"SELECT {_VERSION_COLUMNS}, train_order = 2 AS is_active FROM r_runs WHERE train_order <= 2"))
 def q_log_version(spark, sf_dir):
-    return trained(spark, sf_dir)[2].versions()
+    return _versions(spark, sf_dir)
 
 
-@register("active_model", None)
+@register("active_model", O.with_flat(_RUNS_SQL + f"SELECT {_VERSION_COLUMNS}, true AS is_active FROM r_runs WHERE train_order = 2"))
 def q_active(spark, sf_dir):
     from rollcall.plans.registry import active_model
 
-    return active_model(trained(spark, sf_dir)[2].versions())
+    return active_model(_versions(spark, sf_dir))
+
+
+def _compared(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from rollcall.plans.registry import compare_models
+
+    f = flat(spark, sf_dir)
+    scored = f.select("department", (F.month("event_date") % 5).alias("fold"), F.col("attended").alias("label"), (SC.score_probability(f.columns) >= 0.5).alias("hit"))
+    y = F.col("label") == 1
+    parts = scored.groupBy("department", "fold").agg(F.count(F.when(F.col("hit") & y, 1)).alias("tp"), F.count(F.when(F.col("hit") != y, 1)).alias("wrong"))
+    folds = parts.select(F.concat(F.lit("models/"), "department").alias("model_path"),
+                         F.bround(F.try_divide(2.0 * F.col("tp"), 2.0 * F.col("tp") + F.col("wrong")), 6).alias("f1"))
+    runs = _runs(spark, sf_dir)
+    out = compare_models(runs.drop("trained_on", "num_training_rows"), folds.join(runs.select("model_path", "model_name"), "model_path").drop("model_path"))
+    return out.withColumn("cv_f1_mean", F.bround("cv_f1_mean", 6)).withColumn("cv_f1_std", F.bround("cv_f1_std", 6))
+
+
+_COMPARISON_SQL = _RUNS_SQL + (
+    f", r_fold AS (SELECT department, month(event_date) % 5 AS fold, attended AS label, CAST({O.SCORE_SQL} AS INTEGER) / CAST(100 AS DOUBLE) AS p FROM r_flat)\n"
+    ", r_foldf AS (SELECT department, round_even(2 * sum(CASE WHEN p >= 0.5e0 AND label = 1 THEN 1 ELSE 0 END) / "
+    "CAST(2 * sum(CASE WHEN p >= 0.5e0 AND label = 1 THEN 1 ELSE 0 END) + sum(CASE WHEN (p >= 0.5e0) <> (label = 1) THEN 1 ELSE 0 END) AS DOUBLE), 6) AS f1 "
+    "FROM r_fold GROUP BY department, fold)\n"
+    ", r_cv AS (SELECT 'models/' || department AS model_path, round_even(avg(f1), 6) AS cv_f1_mean, round_even(stddev_pop(f1), 6) AS cv_f1_std FROM r_foldf GROUP BY department)\n"
+    ", r_comp AS (SELECT model_name, train_order, f1_score, auc_roc, accuracy, model_path, cv_f1_mean, cv_f1_std, "
+    "row_number() OVER (ORDER BY f1_score DESC, train_order) = 1 AS is_winner FROM r_runs LEFT JOIN r_cv USING (model_path))\n")
+
+
+@register("model_comparison", O.with_flat(_COMPARISON_SQL + "SELECT * FROM r_comp"))
+def q_comparison(spark, sf_dir):
+    return _compared(spark, sf_dir)
 
 
-@register("resolve_winner", None)
+@register("pick_winner", O.with_flat(_COMPARISON_SQL + "SELECT * FROM r_comp WHERE is_winner"))
+def q_pick_winner(spark, sf_dir):
+    return _compared(spark, sf_dir).filter("is_winner")
+
+
+def _meta(spark, sf_dir):
+    """Metadata rows of the runs: two generations of each model, features named by topic."""
+    from pyspark.sql import functions as F
+
+    runs = _runs(spark, sf_dir)
+    names = F.array(*[F.concat(F.lit(f"feature_{i:02d}_of_"), F.col("model_name")) for i in range(20)])
+    both = runs.withColumn("generation", F.explode(F.array(F.lit(1), F.lit(2))))
+    return both.select(
+        "model_name", F.concat(F.date_format("trained_on", "yyyyMMdd"), F.lit("_"), F.col("generation").cast("string")).alias("timestamp"),
+        F.slice(names, F.lit(1), F.col("train_order") + 14).alias("feature_columns"),
+        F.struct("accuracy", F.bround(F.col("f1_score") / F.col("generation"), 6).alias("f1_score"), "auc_roc", F.lit(0.42).alias("threshold")).alias("metrics"),
+        F.when(F.col("train_order") != 1, F.lit(0.42)).alias("threshold"),
+        F.concat_ws("_", "model_path", F.col("generation").cast("string")).alias("model_path"))
+
+
+@register("resolve_winner", O.with_flat(_COMPARISON_SQL + (
+    "SELECT 'comparison' AS asked, model_name, 'comparison' AS source FROM r_comp WHERE is_winner "
+    "UNION ALL SELECT 'no comparison', model_name, 'metadata' FROM (SELECT model_name FROM r_runs ORDER BY round_even(f1_score / 2, 6) DESC, "
+    "list_position(['xgboost', 'random_forest', 'logistic_regression', 'scorecard'], model_name) LIMIT 1) "
+    "UNION ALL SELECT 'winner missing', model_name, 'metadata' FROM (SELECT r.model_name FROM r_runs r JOIN r_comp c USING (model_name) WHERE NOT c.is_winner "
+    "ORDER BY round_even(r.f1_score / 2, 6) DESC, list_position(['xgboost', 'random_forest', 'logistic_regression', 'scorecard'], r.model_name) LIMIT 1)")))
 def q_resolve(spark, sf_dir):
+    """R3 with a comparison, with metadata alone, and with the winner's folder missing."""
+    from pyspark.sql import functions as F
+
     from rollcall.plans.registry import resolve_winner
 
-    reg = trained(spark, sf_dir)[2]
-    return resolve_winner(reg.comparison(), reg.meta())
+    comp, meta = _compared(spark, sf_dir), _meta(spark, sf_dir)
+    there = meta.join(comp.filter("is_winner").select("model_name"), "model_name", "left_anti").select("model_path")
+    asked = {"comparison": resolve_winner(comp, meta), "no comparison": resolve_winner(None, meta), "winner missing": resolve_winner(comp, meta, there)}
+    parts = [df.select(F.lit(k).alias("asked"), "model_name", "source") for k, df in asked.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@register("retrain_decision", None)
+@register("retrain_decision", O.with_flat(_RUNS_SQL + (
+    "SELECT n.model_name AS new_model, n.f1_score AS new_f1, o.model_name AS old_model, o.f1_score AS old_f1, "
+    "round_even(n.f1_score - o.f1_score, 6) AS improvement, n.f1_score - o.f1_score >= 0.01e0 AS deploy, "
+    "CASE WHEN n.f1_score - o.f1_score >= 0.01e0 THEN 'improved' ELSE 'kept current' END AS reason "
+    "FROM r_runs n CROSS JOIN (SELECT * FROM r_runs WHERE train_order = 2) o")))
 def q_decision(spark, sf_dir):
-    """Gate the logistic model alone (a challenger) against the active winner."""
-    from rollcall.plans.registry import active_model, retrain_decision
+    """Every run as a challenger of the active version."""
+    from pyspark.sql import functions as F
 
-    reg = trained(spark, sf_dir)[2]
-    new = reg.comparison().filter("model_name = 'logistic_regression'").select("model_name", "f1_score")
-    return retrain_decision(active_model(reg.versions()), new)
+    from rollcall.plans.registry import active_model, retrain_decision
 
+    out = retrain_decision(active_model(_versions(spark, sf_dir)), _runs(spark, sf_dir))
+    return out.withColumn("improvement", F.bround("improvement", 6))
 
-@register("retrain", None)
-def q_retrain(spark, sf_dir):
-    from rollcall.plans.registry import retrain
 
-    reg = trained(spark, sf_dir)[2]
-    return retrain(reg, flat(spark, sf_dir), cv=False)
+def _log(spark, sf_dir):
+    """Retrain log: a row per event topic, dated by its rank."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
 
+    t = flat(spark, sf_dir).groupBy("topic").agg(F.count(F.lit(1)).alias("rows"), F.bround(F.avg(F.col("attended").cast("double")), 6).alias("f1"))
+    t = t.withColumn("i", F.row_number().over(Window.orderBy("topic")))  # one row per topic
+    return t.select(F.expr("timestamp '2025-01-01' + make_interval(0, 0, 0, i)").alias("ts"), F.col("topic").alias("model"), "f1",
+                    (F.col("f1") / 2).alias("auc"), (F.col("i") % 3 == 0).alias("deployed"), "rows")
 
-@register("model_details", None)
-def q_details(spark, sf_dir):
-    from rollcall.plans.registry import model_details
 
-    return model_details(trained(spark, sf_dir)[2])
+_LOG_SQL = (", r_log AS (SELECT TIMESTAMP '2025-01-01' + INTERVAL 1 DAY * row_number() OVER (ORDER BY topic) AS ts, topic AS model, f1, f1 / 2 AS auc, "
+            "row_number() OVER (ORDER BY topic) % 3 = 0 AS deployed, n AS rows FROM (SELECT topic, count(*) AS n, "
+            "round_even(avg(CAST(attended AS DOUBLE)), 6) AS f1 FROM r_flat GROUP BY topic))\n")
 
 
-@register("retrain_log_tail", None)
+@register("retrain_log_tail", O.with_flat(_LOG_SQL + "SELECT * FROM r_log ORDER BY ts DESC LIMIT 10"))
 def q_log_tail(spark, sf_dir):
-    from rollcall.sources.tables import retrain_log_tail
+    """The log appended in two parts to a table, read back, its last ten rows."""
+    import uuid
+
+    from rollcall.session import shared_folder
+    from rollcall.sources.tables import RETRAIN_LOG_SCHEMA, retrain_log_tail
+
+    path = f"{shared_folder(spark)}/rollcall_log/{uuid.uuid4().hex}"
+    log = _log(spark, sf_dir)
+    for part in ("ts < timestamp '2025-01-06'", "ts >= timestamp '2025-01-06'"):
+        log.filter(part).write.mode("append").parquet(path)
+    return retrain_log_tail(spark.read.schema(RETRAIN_LOG_SCHEMA).parquet(path))
 
-    return retrain_log_tail(trained(spark, sf_dir)[2].retrain_log())
+
+_IMPORTANCE_SQL = (", r_imp AS (SELECT 'topic=' || topic AS feature, round_even(avg(CAST(attended AS DOUBLE)), 6) AS importance FROM r_flat GROUP BY topic "
+                   "UNION ALL SELECT 'day=' || day_of_week, round_even(avg(CAST(attended AS DOUBLE)), 6) FROM r_flat GROUP BY day_of_week)\n")
+
+
+@register("top_features", O.with_flat(_IMPORTANCE_SQL + "SELECT * FROM r_imp ORDER BY importance DESC, feature LIMIT 15"))
+def q_top_features(spark, sf_dir):
+    """T2 over a table of feature weights (attendance rates by topic and day)."""
+    from pyspark.sql import functions as F
+
+    from rollcall.plans.registry import top_features
+
+    f = flat(spark, sf_dir)
+    rate = F.bround(F.avg(F.col("attended").cast("double")), 6).alias("importance")
+    by = lambda col, name: f.groupBy(F.concat(F.lit(f"{name}="), F.col(col)).alias("feature")).agg(rate)
+    return top_features(by("topic", "topic").unionByName(by("day_of_week", "day")))
+
+
+_TITLES = {"xgboost": "XGBoost", "random_forest": "Random Forest", "logistic_regression": "Logistic Regression", "scorecard": "Scorecard"}
+
+
+@register("model_details", O.with_flat(_COMPARISON_SQL + _LOG_SQL.replace("r_log AS", "r_log AS") + (
+    "SELECT w.model_name AS winner, CASE w.model_name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TITLES.items()) + " END AS winner_display, "
+    "round_even(w.f1_score / 2, 6) AS f1_score, 0.42e0 AS threshold, CAST(w.train_order + 14 AS INTEGER) AS feature_count, "
+    "array_to_string(list_transform(range(0, least(15, CAST(w.train_order + 14 AS INTEGER))), lambda j: 'feature_' || lpad(CAST(j AS VARCHAR), 2, '0') || '_of_' || w.model_name), ',') AS first_features, "
+    "(SELECT string_agg(model_name || ':' || CAST(is_winner AS VARCHAR), ',' ORDER BY train_order) FROM r_comp) AS comparison, "
+    "(SELECT string_agg(model, ',' ORDER BY ts) FROM (SELECT * FROM r_log ORDER BY ts DESC LIMIT 10)) AS retrain_history "
+    "FROM r_comp w WHERE is_winner")))
+def q_details(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from rollcall.plans.registry import model_details
+
+    d = model_details(_compared(spark, sf_dir), _meta(spark, sf_dir), _log(spark, sf_dir))
+    comparison = F.transform("comparison", lambda c: F.concat(c["model_name"], F.lit(":"), c["is_winner"].cast("string")))
+    return d.select("winner", "winner_display", F.col("metrics.f1_score").alias("f1_score"), "threshold", "feature_count",
+                    F.array_join("first_features", ",").alias("first_features"), F.array_join(comparison, ",").alias("comparison"),
+                    F.array_join(F.transform("retrain_history", lambda h: h["model"]), ",").alias("retrain_history"))
 
 
 TRAINED_ON = "2025-03-01"
@@ -933,21 +1078,20 @@ _ASOF_SQL = _CAND_SQL + f"""
     CAST((CASE WHEN attended = 1 THEN 1 ELSE -1 END) * (rn - st + 1) AS BIGINT) AS streak,
     stddev_samp(attended) OVER ({O._W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sd,
     avg(attended) OVER ({O._W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS recent3 FROM r_hs2)
-, r_both AS (SELECT * FROM r_hs UNION ALL SELECT student_id, event_id, event_date, 1, NULL, NULL, NULL, NULL, NULL, NULL FROM r_cand)
-, r_asof AS (SELECT *, max(CASE WHEN cand = 0 THEN struct_pack(d := event_date, e := event_id) END) OVER (PARTITION BY student_id
-    ORDER BY event_date, cand, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_key FROM r_both)
+, r_asof AS (SELECT c.student_id, c.event_id, h.rolling, h.cum, h.total, h.streak, h.sd, h.recent3 FROM r_cand c
+    ASOF LEFT JOIN (SELECT student_id, event_date, max_by(rolling, event_id) AS rolling, max(cum) AS cum, max(total) AS total, max_by(streak, event_id) AS streak,
+      max_by(sd, event_id) AS sd, max_by(recent3, event_id) AS recent3 FROM r_hs GROUP BY student_id, event_date) h
+    ON c.student_id = h.student_id AND c.event_date >= h.event_date)
 , r_ov AS (SELECT avg(CAST(attended AS DOUBLE)) AS overall FROM r_flat)
 """
 
 
 @register("asof_student_state", O.with_flat(_ASOF_SQL + """
 SELECT a.student_id, a.event_id,
-  coalesce(h.rolling, o.overall) AS student_rolling_attendance, coalesce(h.cum, 0) AS student_cumulative_attended,
-  coalesce(h.total, 0) AS student_total_events, coalesce(h.streak, 0) AS attendance_streak,
-  round_even(coalesce(h.sd, 0.5), 6) AS student_attendance_std, coalesce(h.recent3, o.overall) AS student_recent_3_rate
-FROM r_asof a CROSS JOIN r_ov o
-LEFT JOIN r_hs h ON a.student_id = h.student_id AND h.event_date = a.prev_key.d AND h.event_id = a.prev_key.e
-WHERE a.cand = 1"""))
+  coalesce(a.rolling, o.overall) AS student_rolling_attendance, coalesce(a.cum, 0) AS student_cumulative_attended,
+  coalesce(a.total, 0) AS student_total_events, coalesce(a.streak, 0) AS attendance_streak,
+  round_even(coalesce(a.sd, 0.5), 6) AS student_attendance_std, coalesce(a.recent3, o.overall) AS student_recent_3_rate
+FROM r_asof a CROSS JOIN r_ov o"""))
 def q_asof(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -975,15 +1119,9 @@ def q_topic_ref(spark, sf_dir):
 
 
 def _served(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    from rollcall.plans.features import FeatureState
-    import json
-
-    _, _, reg = trained(spark, sf_dir)
-    model, meta = reg.load_winner()
-    state = FeatureState.from_dict(json.loads(meta["feature_state"]))
-    return model, state, float(meta["threshold"]), F
+    """The logistic model, fitted in this query."""
+    fitted, prep = _fit(spark, sf_dir, "logistic_regression")
+    return fitted.model, prep.state, float(fitted.metrics["threshold"])
 
 
 def _serving_state(spark, sf_dir):
@@ -1002,12 +1140,10 @@ def _serving_state(spark, sf_dir):
 _D3_SQL = (
     ", r_med AS (SELECT median(cgpa) AS m_cgpa, median(student_quality_score) AS m_sqs, "
     "median(combined_quality_attract) AS m_cqa FROM r_features)\n"
-    ", r_cst AS (SELECT a.student_id, a.event_id, coalesce(h.rolling, o.overall) AS student_rolling_attendance, "
-    "coalesce(h.cum, 0) AS student_cumulative_attended, coalesce(h.total, 0) AS student_total_events, "
-    "coalesce(h.streak, 0) AS attendance_streak, coalesce(h.sd, 0.5) AS student_attendance_std, "
-    "coalesce(h.recent3, o.overall) AS student_recent_3_rate FROM r_asof a CROSS JOIN r_ov o "
-    "LEFT JOIN r_hs h ON a.student_id = h.student_id AND h.event_date = a.prev_key.d AND h.event_id = a.prev_key.e "
-    "WHERE a.cand = 1)\n"
+    ", r_cst AS (SELECT a.student_id, a.event_id, coalesce(a.rolling, o.overall) AS student_rolling_attendance, "
+    "coalesce(a.cum, 0) AS student_cumulative_attended, coalesce(a.total, 0) AS student_total_events, "
+    "coalesce(a.streak, 0) AS attendance_streak, coalesce(a.sd, 0.5) AS student_attendance_std, "
+    "coalesce(a.recent3, o.overall) AS student_recent_3_rate FROM r_asof a CROSS JOIN r_ov o)\n"
     ", r_c0 AS (SELECT c.student_id, c.event_id, 'On-time' AS registration_timing, s.department, s.semester, "
     "s.club_activity_level, s.cgpa, p.event_date, p.topic, p.speaker_type, p.day_of_week, p.time_slot, "
     "p.duration_minutes, p.mode, p.exam_proximity, p.promotion_level, p.num_registrations, 0.0e0 AS past_attendance_rate, "
@@ -1062,7 +1198,7 @@ def _d3_select_sql() -> str:
             cols.append("round_even(student_attendance_std, 6) AS student_attendance_std")
         else:
             cols.append(_quote(c))
-    return "SELECT student_id, event_id, num_registrations, " + ", ".join(cols) + " FROM r_c4 CROSS JOIN r_med"
+    return "SELECT student_id, event_id, " + ", ".join(cols) + " FROM r_c4 CROSS JOIN r_med"
 
 
 @register("planned_event_features", O.with_features(_ASOF_SQL + _D3_SQL + _d3_interactions_sql() + _d3_select_sql()))
@@ -1085,18 +1221,31 @@ def q_planned_features_include(spark, sf_dir):
 
 @register("predict_planned_events", None)
 def q_predict(spark, sf_dir):
-    model, state, t, _ = _served(spark, sf_dir)
+    model, state, t = _served(spark, sf_dir)
     return PR.predict_planned_events(model, state, t, flat(spark, sf_dir), planned(spark, sf_dir))
 
 
-@register("event_turnout", None)
+@register("event_turnout", O.with_flat(_CAND_SQL + (
+    f", r_cs AS (SELECT c.event_id, p.num_registrations, p.p FROM r_cand c JOIN (SELECT student_id, event_id, CAST({O.SCORE_SQL} AS INTEGER) / CAST(100 AS DOUBLE) AS p, "
+    "num_registrations FROM (SELECT s.*, p.*, 'On-time' AS registration_timing FROM r_cand k JOIN r_stu s USING (student_id) "
+    "JOIN (SELECT event_id, topic, speaker_type, day_of_week, time_slot, duration_minutes, mode, exam_proximity, promotion_level, num_registrations, event_date FROM r_planned) p USING (event_id))) p "
+    "USING (student_id, event_id))\n"
+    "SELECT event_id, CAST(sum(CASE WHEN p >= 0.5e0 THEN 1 ELSE 0 END) AS BIGINT) AS predicted_attendees, CAST(min(num_registrations) AS BIGINT) AS total_registered, "
+    "round_even(sum(CASE WHEN p >= 0.5e0 THEN 1 ELSE 0 END) / CAST(greatest(min(num_registrations), 1) AS DOUBLE), 6) AS attendance_rate, "
+    "round_even(avg(p), 6) AS avg_probability, CAST(count(*) AS BIGINT) AS scored_students FROM r_cs GROUP BY event_id")))
 def q_event_turnout(spark, sf_dir):
-    return q_predict(spark, sf_dir)
+    """A18 over the candidates of planned events, scored by the scorecard."""
+    from pyspark.sql import functions as F
+
+    c = PR.candidate_rows(planned(spark, sf_dir), flat(spark, sf_dir))
+    scored = c.select("event_id", "num_registrations", SC.score_probability(c.columns).alias("p"))
+    out = PR.event_turnout(scored, 0.5).drop("confidence")
+    return out.withColumn("attendance_rate", F.bround("attendance_rate", 6)).withColumn("avg_probability", F.bround("avg_probability", 6))
 
 
 @register("predict_batch", None)
 def q_predict_batch(spark, sf_dir):
-    model, state, _, _ = _served(spark, sf_dir)
+    model, state, _ = _served(spark, sf_dir)
     return PR.predict_batch(model, state, flat(spark, sf_dir))
 
 

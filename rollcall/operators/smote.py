@@ -35,10 +35,11 @@ def smote_plan(train: DataFrame, label: str = "label") -> DataFrame:
     y = F.col(label)
     g = train.agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(y == 1, 1).otherwise(0)).cast("long").alias("minority"),
-        F.sum(F.when(y == 1, 0).otherwise(1)).cast("long").alias("majority"),
+        F.count(F.when(y == 1, 1)).alias("minority"),
+        F.count(F.when(F.coalesce(y != 1, F.lit(True)), 1)).alias("majority"),
     )
-    r = F.col("minority") / F.col("n")
+    # without rows there is no share, and nothing to add
+    r = F.coalesce(F.try_divide(F.col("minority").cast("double"), F.col("n").cast("double")), F.lit(0.0))
     target = F.least(F.lit(K.SMOTE_TARGET_CAP), r * F.lit(2.0))
     raw = (target * F.col("majority") - F.col("minority")).cast("long")
     active = r < F.lit(K.SMOTE_TRIGGER)

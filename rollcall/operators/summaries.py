@@ -304,21 +304,23 @@ def target_correlations(df: DataFrame, columns: Sequence[str] = NUMERIC_COLUMNS,
 
 # ---- A17 ----------------------------------------------------------------------------
 def class_balance(df: DataFrame, label: str = "attended") -> DataFrame:
-    """Class counts, positive share, neg/pos ratio and balanced class weights."""
+    """Class counts, positive share, neg/pos ratio and balanced class weights; a
+    ratio over a class without rows is null."""
     y = F.col(label)
     g = df.agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(y == 1, 1).otherwise(0)).cast("long").alias("n_pos"),
-        F.sum(F.when(y == 0, 1).otherwise(0)).cast("long").alias("n_neg"),
+        F.count(F.when(y == 1, 1)).alias("n_pos"),
+        F.count(F.when(y == 0, 1)).alias("n_neg"),
     )
+    share = lambda a, b: F.try_divide(F.col(a).cast("double"), b.cast("double"))
     return g.select(
         "n",
         "n_pos",
         "n_neg",
-        (F.col("n_pos") / F.col("n")).alias("pos_rate"),
-        (F.col("n_neg") / F.col("n_pos")).alias("scale_pos_weight"),
-        (F.col("n") / (2 * F.col("n_pos"))).alias("weight_pos"),
-        (F.col("n") / (2 * F.col("n_neg"))).alias("weight_neg"),
+        share("n_pos", F.col("n")).alias("pos_rate"),
+        share("n_neg", F.col("n_pos")).alias("scale_pos_weight"),
+        share("n", 2 * F.col("n_pos")).alias("weight_pos"),
+        share("n", 2 * F.col("n_neg")).alias("weight_neg"),
     )
 
 

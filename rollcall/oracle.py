@@ -44,8 +44,8 @@ RULE_SQL = [
 ]
 SCORE_SQL = "LEAST(90, GREATEST(3, 18 + " + " + ".join(r for _, r in RULE_SQL) + "))"
 
-_STU = "'STU_' || lpad(CAST({k} AS VARCHAR), greatest(6, length(CAST({k} AS VARCHAR))), '0')"
-_EVT = "'EVT_' || lpad(CAST({k} AS VARCHAR), greatest(6, length(CAST({k} AS VARCHAR))), '0')"
+_STU = "'STU_' || lpad(CAST({k} AS VARCHAR), CAST(greatest(6, length(CAST({k} AS VARCHAR))) AS INTEGER), '0')"
+_EVT = "'EVT_' || lpad(CAST({k} AS VARCHAR), CAST(greatest(6, length(CAST({k} AS VARCHAR))) AS INTEGER), '0')"
 _EDATE = "(DATE '2024-07-15' + CAST(p_partkey * 37 % 300 AS INTEGER))"
 
 FLAT_CTE = f"""

@@ -225,7 +225,9 @@ def planned_event_features(
     out = interaction_features(out)
     out = encode_categoricals(out, state)
     cols = state.feature_columns()
-    aligned = align_features(out, cols, keep=["student_id", "event_id", "num_registrations"])
+    # num_registrations is a feature itself: once is enough
+    keep = [c for c in ("student_id", "event_id", "num_registrations") if c not in cols]
+    aligned = align_features(out, cols, keep=keep)
     fills = {c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(v)) for c, v in state.medians.items() if c in cols}
     return aligned.withColumns(fills) if fills else aligned
 

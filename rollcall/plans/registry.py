@@ -46,11 +46,22 @@ def active_model(versions: DataFrame) -> DataFrame:
 
 
 # ---- R3 ----------------------------------------------------------------------------------
-def resolve_winner(comparison: DataFrame | None, meta: DataFrame | None) -> DataFrame:
+def resolve_winner(comparison: DataFrame | None, meta: DataFrame | None, saved: DataFrame | None = None) -> DataFrame:
     """The comparison's winner; else the best F1 among saved models (first model
-    of the train order when none has a metric); else any saved model. Empty -> none."""
+    of the train order when none has a metric); else any saved model. Empty -> none.
+
+    ``saved`` (model_path) lists the model folders that exist. With it, a winner or a
+    model whose folder is missing, or that has no metadata, is passed over."""
+    if saved is not None and meta is not None:
+        meta = meta.join(saved.select("model_path").distinct(), "model_path", "left_semi")
+        if comparison is not None:
+            comparison = comparison.join(meta.select("model_name").distinct(), "model_name", "left_semi")
+    if comparison is None and meta is None:
+        raise ValueError("pass a comparison or a metadata table")
     spark = (comparison if comparison is not None else meta).sparkSession
-    order = F.array_position(F.array(*[F.lit(m) for m in K.MODEL_ORDER]), F.col("model_name"))
+    known = F.array_position(F.array(*[F.lit(m) for m in K.MODEL_ORDER]), F.col("model_name"))
+    # an unknown name comes after the known ones
+    order = F.when(known > 0, known).otherwise(F.lit(len(K.MODEL_ORDER) + 1))
     picks = []
     if comparison is not None:
         picks.append(comparison.filter(F.col("is_winner")).select("model_name", F.lit(1).alias("src"), F.lit(0.0).alias("k1"), order.alias("k2")))
@@ -69,31 +80,37 @@ def resolve_winner(comparison: DataFrame | None, meta: DataFrame | None) -> Data
 
 # ---- R4 / R6 ---------------------------------------------------------------------------------
 def retrain_decision(current: DataFrame | None, new: DataFrame, force: bool = False, min_improvement: float = K.MIN_IMPROVEMENT) -> DataFrame:
-    """Deploy when forced, when no current model exists, or when the new F1 beats
-    the old one by at least ``min_improvement`` (absolute)."""
-    j = new.select(F.col("model_name").alias("new_model"), F.col("f1_score").alias("new_f1")).limit(1)
-    if current is None or current.isEmpty():
+    """For each new model, deploy when forced, when no current model exists, or when
+    its F1 beats the old one by at least ``min_improvement`` (absolute)."""
+    j = new.select(F.col("model_name").alias("new_model"), F.col("f1_score").alias("new_f1"))
+    if current is None:
         j = j.withColumns({"old_model": F.lit(None).cast("string"), "old_f1": F.lit(None).cast("double")})
     else:
         cur = current.limit(1)
-        # one-row scalar subqueries: no join between the two one-row tables
-        j = j.withColumns({"old_model": cur.select("model_name").scalar(), "old_f1": cur.select("f1_score").scalar()})
+        # one-row scalar subqueries, null where there is no current model
+        j = j.withColumns({"old_model": cur.select("model_name").scalar(), "old_f1": cur.select(F.col("f1_score").cast("double")).scalar()})
     improvement = F.col("new_f1") - F.col("old_f1")
-    # a tiny float slack keeps differences such as 0.7437 - 0.7337 on the deploy side
-    deploy = (
-        F.lit(force)
-        | F.col("old_f1").isNull()
-        | (improvement >= F.lit(min_improvement) - F.lit(1e-12))
-    )
-    reason = (
-        F.when(F.lit(force), "forced")
-        .when(F.col("old_f1").isNull(), "no current model")
-        .when(improvement >= F.lit(min_improvement) - F.lit(1e-12), "improved")
-        .otherwise("kept current")
-    )
+    better = improvement >= F.lit(min_improvement)
+    deploy = F.lit(force) | F.col("old_f1").isNull() | better
+    reason = F.when(F.lit(force), "forced").when(F.col("old_f1").isNull(), "no current model").when(better, "improved").otherwise("kept current")
     return j.select("new_model", "new_f1", "old_model", "old_f1", improvement.alias("improvement"), deploy.alias("deploy"), reason.alias("reason"))
 
 
+# ---- M18 / T2 ----------------------------------------------------------------------------------
+def compare_models(metrics: DataFrame, folds: DataFrame) -> DataFrame:
+    """A row per model with its metrics, the mean and population deviation of its
+    fold F1 (``folds``: model_name, f1), and the winner: best F1, first in train order
+    on ties. One row per model, so the ranking window is bounded."""
+    cv = folds.groupBy("model_name").agg(F.avg("f1").alias("cv_f1_mean"), F.stddev_pop("f1").alias("cv_f1_std"))
+    w = Window.orderBy(F.col("f1_score").desc(), F.col("train_order").asc())
+    return metrics.join(cv, "model_name", "left").withColumn("is_winner", F.row_number().over(w) == 1)
+
+
+def top_features(importance: DataFrame, n: int = 15) -> DataFrame:
+    """The ``n`` most important features, ties by name."""
+    return importance.orderBy(F.col("importance").desc(), "feature").limit(n)
+
+
 def retrain_due(history: DataFrame, trained_on: str, min_new_events: int = K.RETRAIN_MIN_NEW_EVENTS) -> DataFrame:
     """Number of distinct events dated after the last training and whether it
     reaches the documented trigger."""
@@ -111,8 +128,10 @@ class Registry:
     def _read(self, name: str) -> DataFrame | None:
         try:
             return self.spark.read.parquet(f"{self.root}/{name}")
-        except AnalysisException:
-            return None
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
 
     def versions(self) -> DataFrame | None:
         df = self._read("model_versions")
@@ -175,15 +194,28 @@ class Registry:
     def retrain_log(self) -> DataFrame | None:
         return self._read("retrain_log")
 
+    def saved_models(self) -> DataFrame:
+        """Model folders that exist, by their metadata files; the list is as long as the
+        registry has models."""
+        schema = "model_path string"
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/models")
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [str(f.getPath().getName()) for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        return self.spark.createDataFrame([(f"{self.root}/models/{n}",) for n in names], schema)
+
     def load_winner(self):
-        """(PipelineModel, meta row) of the resolved winner."""
+        """(PipelineModel, meta row) of the resolved winner; a winner whose folder or
+        metadata is missing gives way to the best saved model."""
         from pyspark.ml import PipelineModel
 
-        win = resolve_winner(self.comparison(), self.meta()).first()
+        meta = self.meta()
+        saved = self.saved_models()
+        win = resolve_winner(self.comparison(), meta, saved).first() if meta is not None else None
         if win is None:
             raise FileNotFoundError("no trained model in the registry")
-        meta = self.meta().filter(F.col("model_name") == win["model_name"]).orderBy(F.col("timestamp").desc()).first()
-        return PipelineModel.load(meta["model_path"]), meta
+        there = meta.join(saved, "model_path", "left_semi").filter(F.col("model_name") == win["model_name"])
+        row = there.orderBy(F.col("timestamp").desc()).first()
+        return PipelineModel.load(row["model_path"]), row
 
 
 def publish(reg: Registry, results, prep, deploy: bool = True) -> DataFrame:
@@ -229,12 +261,13 @@ def retrain(reg: Registry, flat: DataFrame, force: bool = False, cv: bool = True
     return decision
 
 
-def model_details(reg: Registry) -> DataFrame:
+def model_details(comparison: DataFrame | None, meta: DataFrame, log: DataFrame | None) -> DataFrame:
     """Winner, display name, metrics, threshold, feature count, the FIRST 15 feature
-    names (as shown by the dashboard) and the last 10 retrain attempts."""
-    win = resolve_winner(reg.comparison(), reg.meta())
-    meta = reg.meta()
-    latest = meta.withColumn("_r", F.row_number().over(Window.partitionBy("model_name").orderBy(F.col("timestamp").desc()))).filter("_r = 1")
+    names (as shown by the dashboard), the comparison of all models and the last 10
+    retrain attempts."""
+    win = resolve_winner(comparison, meta)
+    newest = F.row_number().over(Window.partitionBy("model_name").orderBy(F.col("timestamp").desc()))
+    latest = meta.withColumn("_r", newest).filter("_r = 1")
     d = win.join(latest, "model_name", "left").select(
         F.col("model_name").alias("winner"),
         model_display_name(F.col("model_name")).alias("winner_display"),
@@ -243,10 +276,12 @@ def model_details(reg: Registry) -> DataFrame:
         F.size("feature_columns").alias("feature_count"),
         F.slice("feature_columns", 1, K.FIRST_FEATURES_SHOWN).alias("first_features"),
     )
-    log = reg.retrain_log()
+    if comparison is not None:
+        rows = comparison.agg(F.sort_array(F.collect_list(F.struct("train_order", "model_name", "f1_score", "is_winner"))).alias("c"))
+        d = d.withColumn("comparison", rows.scalar())
     if log is not None:
         from rollcall.sources.tables import retrain_log_tail
 
-        tail = retrain_log_tail(log, K.LOG_TAIL).agg(F.collect_list(F.struct("ts", "model", "f1", "auc", "deployed", "rows")).alias("retrain_history"))
+        tail = retrain_log_tail(log, K.LOG_TAIL).agg(F.sort_array(F.collect_list(F.struct("ts", "model", "f1", "auc", "deployed", "rows"))).alias("h"))
         d = d.withColumn("retrain_history", tail.scalar())
     return d

@@ -94,18 +94,27 @@ def fit_partitions(df: DataFrame, rows: int, n_features: int) -> DataFrame:
     return df if df.rdd.getNumPartitions() == target else df.repartition(target)
 
 
+def weight_table(train: DataFrame, label: str = "label") -> DataFrame:
+    """M5 as one row: class counts and weights; null where a class has no rows."""
+    c = train.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(label), F.lit(0)).cast("long").alias("n_pos"))
+    c = c.withColumn("n_neg", F.col("n") - F.col("n_pos"))
+    half = F.col("n") / F.lit(2.0)
+    return c.select(
+        "n", "n_pos", "n_neg",
+        F.try_divide(half, F.col("n_pos").cast("double")).alias("balanced_pos"),
+        F.try_divide(half, F.col("n_neg").cast("double")).alias("balanced_neg"),
+        F.try_divide(F.col("n_neg").cast("double"), F.col("n_pos").cast("double")).alias("scale_pos_weight"),
+    )
+
+
 def class_weights(train: DataFrame, mode: str) -> DataFrame:
-    """M5: ``balanced`` -> n / (2 n_c); ``pos_ratio`` -> 1 for negatives, neg/pos for positives."""
-    stats = train.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("label")).alias("pos"),
-    ).first()
-    n, pos = stats["n"], stats["pos"] or 0
-    neg = n - pos
+    """M5: ``balanced`` -> n / (2 n_c); ``pos_ratio`` -> 1 for negatives, neg/pos for positives.
+    A class without rows has no weight to give, so the other one has 1."""
+    stats = weight_table(train).first()
     if mode == "balanced":
-        w_pos, w_neg = n / (2.0 * max(pos, 1)), n / (2.0 * max(neg, 1))
+        w_pos, w_neg = stats["balanced_pos"] or 1.0, stats["balanced_neg"] or 1.0
     else:
-        w_pos, w_neg = neg / max(pos, 1), 1.0
+        w_pos, w_neg = stats["scale_pos_weight"] or 1.0, 1.0
     return train.withColumn("weight", F.when(F.col("label") == 1, F.lit(w_pos)).otherwise(F.lit(w_neg)))
 
 
@@ -123,6 +132,9 @@ def gbt_estimator(seed: int = K.SEED) -> Pipeline:
         featureSubsetStrategy="0.7",
         minInstancesPerNode=3,
         seed=seed,
+        maxMemoryInMB=1024,
+        cacheNodeIds=True,
+        checkpointInterval=10,
     )
     return Pipeline(stages=[gbt])
 
@@ -181,12 +193,14 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def evaluate(scored: DataFrame) -> dict:
     """Threshold tuned on the scored rows (M9/M10), then accuracy, F1 (M12) and AUC."""
+    scored = scored.select("label", "p").persist()  # read by the sweep, the counts and the AUC
     sweep = MT.threshold_sweep(scored).cache()
     best = MT.best_threshold(sweep).first()
     t = best["threshold"]
     cm = MT.accuracy_f1(MT.confusion_matrix(scored, t)).first()
     auc = MT.auc_roc(scored).first()["auc_roc"]
     sweep.unpersist()
+    scored.unpersist()
     return {"accuracy": cm["accuracy"], "f1_score": cm["f1"], "auc_roc": auc, "threshold": t}
 
 
