@@ -34,10 +34,10 @@ def hash_rank(df: DataFrame, key_cols: Sequence[str], group_cols: Sequence[str]
     ow = Window.partitionBy(*groups).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1) if groups else (
         Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     )
-    # at most (#groups x 4096) rows
+    # (#groups x buckets) rows; Spark broadcasts them if they are few
     offsets = counts.select(*groups, "_bk", F.coalesce(F.sum("_n").over(ow), F.lit(0)).alias("_off"))
     within = Window.partitionBy(*groups, "_bk").orderBy("_h")
-    ranked = h.join(F.broadcast(offsets), [*groups, "_bk"]).withColumn(
+    ranked = h.join(offsets, [*groups, "_bk"]).withColumn(
         out, (F.col("_off") + F.row_number().over(within) - 1).cast("long")
     )
     return ranked.drop("_h", "_bk", "_off")
@@ -89,18 +89,25 @@ def first_n_per_group(df: DataFrame, n_col: Column | int, key_cols: Sequence[str
     return hash_rank(df, key_cols, group_cols, seed).filter(F.col("_rank") < n).drop("_rank")
 
 
-def sample_students_per_event(planned: DataFrame, students: DataFrame, n_col: str = "num_registrations", seed: int = K.SEED, block: int = 4096) -> DataFrame:
+SALTS = 16
+
+
+def sample_students_per_event(planned: DataFrame, students: DataFrame, n_col: str = "num_registrations", seed: int = K.SEED, block: int = 4096, salts: int = SALTS) -> DataFrame:
     """T5 + J7: for each planned event, the first ``n`` students of ONE seeded
     permutation of all students (all of them when n >= #students).
 
     No cross product: each event is expanded to the positions 0..n-1 it needs
     (in blocks, so a very large n is spread over tasks) and positions meet the
-    ranked students in an equi-join on rank."""
+    ranked students in an equi-join on rank. Every event wants the first ranks, so
+    the join is salted by event; only the students that some event asks for are
+    repeated for the salts."""
     ranked = hash_rank(students, ["student_id"], [], seed, out="rank")
+    most = planned.agg(F.max(n_col)).scalar()
+    ranked = ranked.filter(F.col("rank") < most).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     pos = planned.withColumn("_nb", F.ceil(F.col(n_col) / F.lit(block)).cast("int"))
     blocks = pos.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_nb") - 1, F.lit(0)))).alias("_blk"))
-    blocks = blocks.filter(F.col(n_col) > 0)
+    blocks = blocks.filter(F.col(n_col) > 0).withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int"))
     lo = F.col("_blk") * F.lit(block)
     hi = F.least(lo + F.lit(block), F.col(n_col).cast("long")) - 1
     positions = blocks.select("*", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))).alias("rank")).drop("_nb", "_blk")
-    return positions.join(ranked, "rank")
+    return positions.join(ranked, ["rank", "_salt"]).drop("_salt")

@@ -143,12 +143,15 @@ def asof_student_state(history: DataFrame, candidates: DataFrame, overall: Colum
     """History features of each candidate row computed from the student's history
     rows before it (history rows first on the same date). Candidate rows carry a null
     state, so ``last(..., ignorenulls)`` skips them: planned rows never see each other.
-    The window runs over one row per (student, history date) plus the candidates."""
-    hs = history_state(history, hot_rows)
-    both = union_history_candidates(hs, candidates.select("student_id", "event_id", "event_date"))
-    w = Window.partitionBy("student_id").orderBy("event_date", "_cand", "event_id")
+    All events of a day see the same state, so the window runs over one row per
+    (student, day) with history or a question, and the answers are joined back."""
+    hs = history_state(history, hot_rows).drop("event_id")
+    asked = candidates.select("student_id", "event_date").distinct()
+    both = union_history_candidates(hs, asked)
+    w = Window.partitionBy("student_id").orderBy("event_date", "_cand")
     prev = F.last("_state", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    c = both.withColumn("_prev", prev).filter(F.col("_cand") == 1)
+    answers = both.withColumn("_prev", prev).filter(F.col("_cand") == 1).select("student_id", "event_date", "_prev")
+    c = candidates.select("student_id", "event_id", "event_date").join(answers, ["student_id", "event_date"], "left")
     return c.select(
         "student_id",
         "event_id",
