@@ -137,30 +137,36 @@ def filter_school_topic_dates(
     date_to: str | None = None,
 ) -> DataFrame:
     """Conditional filter chain. "All ..." or empty means no filter; date bounds are
-    inclusive, an unparsable bound is ignored, null dates drop out when a bound applies."""
-    out = df
-    school = (school or "All Schools").strip()
-    if school and school != "All Schools":
-        out = out.filter(F.col("department") == school)
-    d = F.col("event_date").cast("date")
-    for bound, op in ((date_from, "ge"), (date_to, "le")):
-        if bound:
-            parsed = _parse_bound(bound)
-            if parsed is not None:
-                out = out.filter(d >= F.lit(parsed).cast("date") if op == "ge" else d <= F.lit(parsed).cast("date"))
-    topic = (topic or "All Topics").strip()
-    if topic and topic != "All Topics":
-        out = out.filter(F.col("topic") == topic)
-    return out
-
-
-def _parse_bound(text: str):
-    import datetime as _dt
-
-    try:
-        return _dt.date.fromisoformat(text.strip()[:10]).isoformat()
-    except ValueError:
+    inclusive and compared as times (an event counts as midnight of its day), an
+    unparsable bound is ignored, null dates drop out when a bound applies."""
+    day = F.col("event_date").cast("timestamp")
+    asked = [
+        (F.col("department"), "=", _choice(school, "All Schools")),
+        (day, ">=", _parse_bound(date_from)),
+        (day, "<=", _parse_bound(date_to)),
+        (F.col("topic"), "=", _choice(topic, "All Topics")),
+    ]
+    for column, op, value in asked:
+        if value is not None:
+            df = df.filter(column == value if op == "=" else column >= value if op == ">=" else column <= value)
+    return df
+
+
+def _choice(text: str | None, every: str) -> str | None:
+    text = (text or "").strip()
+    return text if text and text != every else None
+
+
+def _parse_bound(text: str | None) -> Column | None:
+    """A bound in any common notation, with or without a time; None if there is none."""
+    import pandas as pd
+
+    parsed = pd.to_datetime(text, errors="coerce") if text else None
+    if parsed is None or pd.isna(parsed):
         return None
+    if parsed.tzinfo is not None:
+        parsed = parsed.tz_convert(None)
+    return F.lit(parsed.isoformat(sep=" ")).cast("timestamp")
 
 
 def topic_summary(df: DataFrame) -> DataFrame:
@@ -337,15 +343,16 @@ OPTION_COLUMNS = {
 def distinct_options(df: DataFrame) -> DataFrame:
     """(option, value, position). Sorted distinct non-null values of five columns,
     days in canonical order (all seven when none present), exam proximity 1..3."""
-    stacked = df.select(
-        F.explode(
-            F.array(
-                *[F.struct(F.lit(k).alias("option"), F.col(c).cast("string").alias("value")) for k, c in OPTION_COLUMNS.items()],
-                F.struct(F.lit("days").alias("option"), F.col("day_of_week").alias("value")),
-            )
-        ).alias("o")
-    ).select("o.option", "o.value")
-    d = stacked.filter(F.col("value").isNotNull()).distinct()
+    options = {**OPTION_COLUMNS, "days": "day_of_week"}
+    names = list(options.values())
+    # one scan: each option is a grouping set of its own
+    g = df.select(*[F.col(c).cast("string").alias(c) for c in names]).groupingSets([[c] for c in names], *names)
+    g = g.agg(F.grouping_id(*names).alias("_gid"))
+    option, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (key, c) in enumerate(options.items()):
+        here = F.col("_gid") == (1 << len(names)) - 1 - (1 << (len(names) - 1 - i))
+        option, value = F.when(here, F.lit(key)).otherwise(option), F.when(here, F.col(c)).otherwise(value)
+    d = g.select(option.alias("option"), value.alias("value")).filter(F.col("value").isNotNull())
     is_day = F.col("option") == "days"
     d = d.filter(~is_day | day_index("value").isNotNull())
     from pyspark.sql import Window
@@ -353,17 +360,10 @@ def distinct_options(df: DataFrame) -> DataFrame:
     w = Window.partitionBy("option").orderBy(F.when(is_day, day_index("value")), "value")
     ranked = d.withColumn("position", (F.row_number().over(w) - 1).cast("int"))
     # all seven days when none is present; exam proximity always 1..3
-    any_day = d.filter(is_day).limit(1).count() > 0
-    extra = []
-    if not any_day:
-        extra.append(_lit_table(df, "value", K.DAY_ORDER).select(F.lit("days").alias("option"), "value", F.col("position").cast("int")))
-    extra.append(
-        _lit_table(df, "value", ["1", "2", "3"]).select(F.lit("exam_proximity").alias("option"), "value", F.col("position").cast("int"))
-    )
-    out = ranked
-    for e in extra:
-        out = out.unionByName(e)
-    return out
+    days = d.filter(is_day).agg(F.count(F.lit(1))).scalar()
+    week = _lit_table(df, "value", K.DAY_ORDER).filter(days == 0).select(F.lit("days").alias("option"), "value", F.col("position").cast("int"))
+    exams = _lit_table(df, "value", ["1", "2", "3"]).select(F.lit("exam_proximity").alias("option"), "value", F.col("position").cast("int"))
+    return ranked.unionByName(week).unionByName(exams)
 
 
 # ---- P16 ------------------------------------------------------------------------------
