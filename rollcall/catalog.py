@@ -1211,12 +1211,33 @@ def q_planned_features(spark, sf_dir):
     return out.withColumn("student_attendance_std", F.bround("student_attendance_std", 6))
 
 
-@register("planned_event_features_include", None)
+def _d3_include_sql() -> str:
+    """D3 where each event's own planned rows (outcome 0) enter its rates and means."""
+    sums = "".join(
+        f", r_sum_{c} AS (SELECT {c} AS k, CAST(sum(attended) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS c FROM r_flat GROUP BY {c})\n"
+        for c in ("topic", "speaker_type", "department", "time_slot", "day_of_week"))
+    sums += (
+        ", r_t AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(attended) AS DOUBLE) AS s, CAST(sum(num_registrations) AS DOUBLE) AS regs FROM r_flat)\n"
+        ", r_m AS (SELECT c.event_id, s.department, CAST(count(*) AS DOUBLE) AS md, CAST(sum(count(*)) OVER (PARTITION BY c.event_id) AS DOUBLE) AS m "
+        "FROM r_cand c JOIN r_stu s ON c.student_id = s.student_id GROUP BY c.event_id, s.department)\n")
+    sql = _D3_SQL.replace("coalesce(a.rolling, o.overall)", "a.rolling").replace("coalesce(a.recent3, o.overall)", "a.recent3")
+    for alias, name, own in (("rt", "topic_popularity", "m"), ("rs", "speaker_pull", "m"), ("rd", "dept_engagement", "md"), ("rl", "timeslot_popularity", "m"), ("ry", "day_popularity", "m")):
+        sql = sql.replace(f"coalesce({alias}.rate, o.overall) AS {name}", f"coalesce({alias}.s, 0) / (coalesce({alias}.c, 0) + mm.{own}) AS {name}")
+    whole = "t.s / (t.n + mm.m)"
+    sql = sql.replace("num_registrations / o.mean_regs", "num_registrations / ((t.regs + mm.m * num_registrations) / (t.n + mm.m))")
+    sql = sql.replace(", r_c1 AS (SELECT c.*, ", f", r_c1 AS (SELECT c.* REPLACE (coalesce(c.student_rolling_attendance, {whole}) AS student_rolling_attendance, "
+                      f"coalesce(c.student_recent_3_rate, {whole}) AS student_recent_3_rate), ")
+    sql = sql.replace("FROM r_c0 c CROSS JOIN r_overall o ", "FROM r_c0 c CROSS JOIN r_t t JOIN r_m mm ON mm.event_id = c.event_id AND mm.department = c.department ")
+    return sums + sql.replace("r_rate_", "r_sum_") + _d3_interactions_sql() + _d3_select_sql()
+
+
+@register("planned_event_features_include", O.with_features(_ASOF_SQL + _d3_include_sql()))
 def q_planned_features_include(spark, sf_dir):
     """D3 with placeholder='include' (each event's own planned rows enter its rates)."""
     state = _serving_state(spark, sf_dir)
     valid = PR.required_fields(planned(spark, sf_dir)).filter("size(missing) = 0").drop("missing")
-    return PR.planned_event_features(flat(spark, sf_dir), valid, state, placeholder="include")
+    out = PR.planned_event_features(flat(spark, sf_dir), valid, state, placeholder="include")
+    return out.withColumn("student_attendance_std", F_.bround("student_attendance_std", 6))
 
 
 @register("predict_planned_events", None)
