@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from rollcall.llm import kernels as K
 from rollcall.llm.common import in_batches
 
-SAMPLE, BUCKETS, SHAPES, LEAST = 20_000, 2**20, 1024, 0.6
+#: Values come to the driver as whole parts of this.
+SCALE = 1000
+SAMPLE, BUCKETS, SHAPES, LEAST = 16_000, 2**20, 1024, 0.6
 #: Bytes of the word beginnings that are features beside the whole words.
 BEGINNINGS = (4, 5)
 #: Documents of the sample that a feature must occur in to get a weight, so that the
@@ -101,16 +103,16 @@ def grade_probabilities(score: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.diff(below, axis=1)
 
 
-def fit(docs: np.ndarray, index: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int = GRADES, epochs: int = EPOCHS, seed: int = 7):
+def fit(first: np.ndarray, index: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int = GRADES, epochs: int = EPOCHS, seed: int = 7):
     """Weights and thresholds by seeded mini-batch gradient steps with per-weight
-    rates. ``docs`` is sorted: the document of each feature."""
+    rates. The features of document i are those from first[i] to first[i + 1]."""
     rng = np.random.default_rng(seed)
-    often = np.bincount(index, minlength=BUCKETS) >= min(OCCURS, len(grade) // 100)
-    docs, value, index = docs[often[index]], value[often[index]], index[often[index]]
+    often = (np.bincount(index, minlength=BUCKETS) >= min(OCCURS, len(grade) // 100))[index]
+    first = np.concatenate([[0], np.cumsum(often)])[first]
+    value, index = value[often], index[often]
     w, seen = np.zeros(BUCKETS), np.full(BUCKETS, 1e-3)
     share = np.cumsum(np.bincount(grade, minlength=grades)[:-1] + 1.0) / (len(grade) + grades)
     cuts = np.log(share / (1 - share))
-    first = np.searchsorted(docs, np.arange(len(grade) + 1))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs) + 0.005
         order = rng.permutation(len(grade))
@@ -141,8 +143,9 @@ def graded(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
     marked = labels.filter("quality is not null and toxic is not null").select("doc_id", grade.alias("grade"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
-    # at most `sample` rows of two numbers
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id")).limit(sample)
+    # at most `sample` rows of two numbers; an id that occurs again counts once
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
 
 def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
@@ -152,21 +155,21 @@ def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
 
     def rows(batches):
         for batch in batches:
-            grades = batch.column("grade")
+            ids, grades = batch.column("doc_id"), batch.column("grade")
             for row, texts, doc, index, value in features(batch.column("text")):
                 order = np.argsort(doc, kind="stable")
                 cut = np.searchsorted(doc[order], np.arange(texts + 1)).astype(np.int32)
                 i = pa.ListArray.from_arrays(pa.array(cut), pa.array(index[order].astype(np.int32)))
-                x = pa.ListArray.from_arrays(pa.array(cut), pa.array(value[order].astype(np.float32)))
-                yield pa.RecordBatch.from_arrays([grades.slice(row, texts), i, x], ["grade", "index", "value"])
+                x = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.rint(value[order] * SCALE).astype(np.int16)))
+                yield pa.RecordBatch.from_arrays([ids.slice(row, texts), grades.slice(row, texts), i, x], ["doc_id", "grade", "index", "value"])
 
-    got = graded(docs, labels, sample).mapInArrow(rows, "grade int, index array<int>, value array<float>").toArrow()
+    got = graded(docs, labels, sample).mapInArrow(rows, "doc_id long, grade int, index array<int>, value array<short>").toArrow()
     if not got.num_rows:
         return np.zeros(BUCKETS), np.full(GRADES - 1, -35.0)
-    got = got.combine_chunks()
-    index, value = got.column("index").combine_chunks(), got.column("value").combine_chunks()
-    doc = np.repeat(np.arange(got.num_rows), np.diff(index.offsets.to_numpy()))
-    return fit(doc, index.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy().astype(np.float64), got.column("grade").to_numpy().astype(np.int64))
+    # the same order on every run
+    got = got.sort_by([("doc_id", "ascending"), ("grade", "ascending")]).combine_chunks()
+    index, value = (got.column(c).chunk(0) for c in ("index", "value"))
+    return fit(index.offsets.to_numpy(), index.flatten().to_numpy(), value.flatten().to_numpy() / np.float32(SCALE), got.column("grade").to_numpy().astype(np.int64))
 
 
 def scored(docs: DataFrame, weights: np.ndarray, cuts: np.ndarray) -> DataFrame:
