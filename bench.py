@@ -40,6 +40,8 @@ def main() -> None:
         print(f"[bench] {name}: {times[name]}s", file=sys.stderr, flush=True)
         return out
 
+    # one query straight from the driver's tables, plan and joins included
+    run("rate_by_topic_unstored", lambda: C.CATALOG["rate_by_topic"][0](spark, sf_dir).collect())
     # ETL: derive the registration table from the driver tables once and store it;
     # every timed operator below reads the stored table (as a deployed job would)
     run("registrations_flat", lambda: C.materialize(spark, sf_dir))
@@ -52,8 +54,10 @@ def main() -> None:
     prep = run("prepare_data", lambda: T.prepare_data(C.flat(spark, sf_dir)))
     models = {}
     if prep is not None:
-        for name, q in [("train_logistic", "logistic_regression"), ("train_random_forest", "random_forest"), ("train_gbt", "xgboost")]:
-            r = run(name, lambda q=q: T.train_one(q, prep, cv=False))
+        # the logistic fit with its 5-fold cross-validation, as training does it; the folds
+        # of the two tree models would take five times their own time each
+        for name, q in [("train_logistic_cv", "logistic_regression"), ("train_random_forest", "random_forest"), ("train_gbt", "xgboost")]:
+            r = run(name, lambda q=q: T.train_one(q, prep, cv=q == "logistic_regression"))
             if r is not None:
                 models[q] = r
         if models:

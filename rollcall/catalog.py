@@ -115,6 +115,16 @@ def q_feature_pipeline(spark, sf_dir):
     )
 
 
+@register("align_features", O.with_features(
+    "SELECT student_id, event_id, num_registrations, 0 AS feature_unknown_here, is_weekend FROM r_features"))
+def q_align(spark, sf_dir):
+    """Trained columns in trained order; one of them is absent and 0, the rest go."""
+    from rollcall.plans.features import align_features
+
+    df, _, _ = features_table(spark, sf_dir)
+    return align_features(df, ["num_registrations", "feature_unknown_here", "is_weekend"], keep=["student_id", "event_id"])
+
+
 # ---- A1-A19 breakdowns ------------------------------------------------------------------
 def _rate_sql(col: str = "attended") -> str:
     return f"round_even(avg(CAST({col} AS DOUBLE)), 4)"
@@ -396,6 +406,39 @@ def q_load_fact_once(spark, sf_dir):
     return TB.load_fact_once(regs, target)
 
 
+@register("load_fact_once_branches", O.with_flat(
+    "SELECT 'empty target' AS target, CAST(count(*) AS BIGINT) AS loaded FROM r_flat UNION ALL SELECT 'loaded target', CAST(0 AS BIGINT)"))
+def q_load_fact_branches(spark, sf_dir):
+    """S8 against an empty and against a filled target."""
+    from pyspark.sql import functions as F
+
+    regs = TB.project_registrations(flat(spark, sf_dir))
+    loads = {"empty target": TB.load_fact_once(regs, regs.filter("student_id is null")), "loaded target": TB.load_fact_once(regs, regs)}
+    counts = [df.agg(F.count(F.lit(1)).alias("loaded")).select(F.lit(name).alias("target"), "loaded") for name, df in loads.items()]
+    return counts[0].unionByName(counts[1])
+
+
+@register("parse_event_date_strict", O.with_flat("SELECT event_id, CAST(strftime(event_date, '%Y-%m-%d') AS DATE) AS event_date FROM r_events"))
+def q_parse_strict(spark, sf_dir):
+    """S3: every date is valid here; a bad one raises."""
+    from pyspark.sql import functions as F
+
+    text = X.events(spark, sf_dir).select("event_id", F.date_format("event_date", "yyyy-MM-dd").alias("t"))
+    return text.select("event_id", TB.parse_event_date(F.col("t"), lenient=False).alias("event_date"))
+
+
+@register("load_from_star", O.with_flat("SELECT * FROM r_flat"))
+def q_load_from_star(spark, sf_dir):
+    """S10's first branch: the star tables are there and are joined."""
+    import uuid
+
+    from rollcall.session import shared_folder
+
+    root = f"{shared_folder(spark)}/rollcall_star/{uuid.uuid4().hex}"
+    TB.write_star(*X.star_tables(spark, sf_dir), f"{root}/star")
+    return TB.load_with_fallback(spark, f"{root}/star", f"{root}/no_csv")
+
+
 @register("denormalise", O.with_flat("SELECT * FROM r_flat"))
 def q_denormalise(spark, sf_dir):
     s, e, r = X.star_tables(spark, sf_dir)
@@ -1029,6 +1072,24 @@ def q_required(spark, sf_dir):
     return PR.required_fields(planned(spark, sf_dir))
 
 
+_GAPS_SQL = (
+    ", r_gaps AS (SELECT event_id, CASE WHEN right(event_id, 1) <> '5' THEN topic END AS topic, speaker_type, day_of_week, time_slot, duration_minutes, mode, "
+    "exam_proximity, CASE WHEN right(event_id, 1) NOT IN ('5', '7') THEN promotion_level END AS promotion_level, num_registrations FROM r_planned)\n")
+
+
+@register("required_fields_missing", O.with_flat(_PLANNED_SQL + _GAPS_SQL + (
+    "SELECT event_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in PR.REQUIRED) +
+    "], lambda x: x IS NOT NULL), ',') AS missing FROM r_gaps WHERE topic IS NULL OR promotion_level IS NULL")))
+def q_required_missing(spark, sf_dir):
+    """P13 on planned events that lack fields: only these, with what they lack."""
+    from pyspark.sql import functions as F
+
+    p, last = planned(spark, sf_dir), F.substring("event_id", -1, 1)
+    p = p.withColumn("topic", F.when(last != "5", F.col("topic"))).withColumn("promotion_level", F.when(~last.isin("5", "7"), F.col("promotion_level")))
+    out = PR.required_fields(p).filter(F.size("missing") > 0)
+    return out.select("event_id", F.array_join("missing", ",").alias("missing"))
+
+
 _CAND_SQL = _PLANNED_SQL + (
     ", r_stu AS (" + _STUDENT_SQL + ")\n"
     ", r_stu_rank AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || student_id)) - 1 AS rank FROM r_stu)\n"

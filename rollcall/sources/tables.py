@@ -98,9 +98,11 @@ def merge_new_dimension_rows(incoming: DataFrame, existing: DataFrame, key: str)
 
 def load_fact_once(incoming: DataFrame, target: DataFrame | None) -> DataFrame:
     """The fact rows to load -- all of them when the target is empty, none otherwise."""
-    if target is None or target.isEmpty():
+    if target is None:
         return incoming
-    return incoming.limit(0)
+    # looked at when the query runs: no job while the plan is built
+    held = target.limit(1).agg(F.count(F.lit(1))).scalar()
+    return incoming.filter(held == 0)
 
 
 def denormalise(students: DataFrame, events: DataFrame, registrations: DataFrame) -> DataFrame:
@@ -119,8 +121,9 @@ def load_with_fallback(spark: SparkSession, table_dir: str | None, csv_path: str
             e = spark.read.parquet(f"{table_dir}/events")
             r = spark.read.parquet(f"{table_dir}/registrations")
             return denormalise(s, e, r)
-        except AnalysisException:
-            pass
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
     return scan_registrations(spark, csv_path)
 
 
