@@ -36,7 +36,7 @@ from rollcall.llm.common import in_batches, numbered, stored
 
 #: Words of a window, words of the runs that its key is chosen from, and counters of
 #: the sketch.
-WINDOW, GRAM, WIDTH = 20, 8, 2**44
+WINDOW, GRAM, WIDTH = 20, 5, 2**44
 
 
 def _keys(words: np.ndarray, counts: np.ndarray, window: int, gram: int):
@@ -124,8 +124,9 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width:
     first = whole.groupBy("digest").agg(F.min("row_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     copies = whole.join(first, "digest").filter("row_id != first").select("row_id", F.lit(True).alias("copy"))
 
-    flagged = key_places(docs, window, gram, width).join(repeated_keys(docs, window, gram, width), "cell", "left_semi")
-    flagged = flagged.groupBy("row_id").agg(F.collect_list("place").alias("places"))
+    repeated = stored(repeated_keys(docs, window, gram, width), "substring-sketch")
+    flagged = key_places(docs, window, gram, width).join(repeated, "cell", "left_semi")
+    flagged = stored(flagged.groupBy("row_id").agg(F.collect_list("place").alias("places")), "substring-places")
     # every text once, with its repeated key places; texts that may lose words are
     # stored with their candidate windows, the others are finished
     joined = docs.join(flagged, "row_id", "left").join(copies, "row_id", "left")
@@ -183,7 +184,9 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width:
     # shuffled, and joined as an ordinary skewed key
     seen = judged.filter("done is null").select("row_id", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("row_id", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash"))
     firsts = seen.groupBy("hash").agg(F.min(F.struct("row_id", "start")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("hash", "f")
+    firsts = stored(firsts, "substring-firsts")
     later = seen.join(firsts, "hash").filter("row_id != f.row_id or start != f.start").groupBy("row_id").agg(F.collect_list("start").alias("later"))
+    later = stored(later, "substring-later")
     pending = judged.filter("done is null").select("doc_id", "row_id", "n_words", "text").join(later, "row_id", "left")
     result = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
