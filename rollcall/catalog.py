@@ -1272,6 +1272,16 @@ def q_planned_features(spark, sf_dir):
     return out.withColumn("student_attendance_std", F.bround("student_attendance_std", 6))
 
 
+@register("planned_event_features_asof", O.with_features(_ASOF_SQL + _D3_SQL.replace("0.0e0 AS past_attendance_rate", "round_even(CASE WHEN st.student_total_events > 0 THEN st.student_rolling_attendance ELSE 0 END, 3) AS past_attendance_rate")
+    .replace("CAST(0 AS BIGINT) AS past_events_count", "CAST(st.student_total_events AS BIGINT) AS past_events_count") + _d3_interactions_sql() + _d3_select_sql()))
+def q_planned_features_asof(spark, sf_dir):
+    """D3 with each student's own past as of the event's day."""
+    state = _serving_state(spark, sf_dir)
+    valid = PR.required_fields(planned(spark, sf_dir)).filter("size(missing) = 0").drop("missing")
+    out = PR.planned_event_features(flat(spark, sf_dir), valid, state, past="asof")
+    return out.withColumn("student_attendance_std", F_.bround("student_attendance_std", 6))
+
+
 def _d3_include_sql() -> str:
     """D3 where each event's own planned rows (outcome 0) enter its rates and means."""
     sums = "".join(

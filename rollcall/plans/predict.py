@@ -197,28 +197,43 @@ def _include_placeholders(rows: DataFrame, state: FeatureState) -> DataFrame:
     return out.withColumn("registration_density", F.col("num_registrations") / F.col("_mean_regs"))
 
 
+def _with_past(rows: DataFrame, past: str) -> DataFrame:
+    if past == "zero":
+        return rows
+    known = F.when(F.col("student_total_events") > 0, F.col("student_rolling_attendance"))
+    return rows.withColumns({
+        "past_attendance_rate": F.bround(F.coalesce(known, F.lit(0.0)), 3),
+        "past_events_count": F.col("student_total_events"),
+    })
+
+
 def planned_event_features(
-    history: DataFrame, planned_valid: DataFrame, state: FeatureState, seed: int = K.SEED, placeholder: str = "exclude"
+    history: DataFrame, planned_valid: DataFrame, state: FeatureState, seed: int = K.SEED, placeholder: str = "exclude", past: str = "zero"
 ) -> DataFrame:
     """D3: model-ready features of the candidate rows (keys + feature columns).
 
     ``placeholder='exclude'`` (default): rates and means come from the history only,
     an unseen category gets the overall rate. ``'include'``: the original behaviour,
-    where each event's placeholder rows enter its own rates (an unseen category -> 0.0)."""
+    where each event's placeholder rows enter its own rates (an unseen category -> 0.0).
+
+    ``past='zero'`` (default) serves a past rate and count of 0, as the original does;
+    ``'asof'`` the student's own as of the event's day, as the training rows have them."""
+    if past not in ("zero", "asof"):
+        raise ValueError("past is 'zero' or 'asof'")
     from rollcall.functions import scalar as S
     from rollcall.plans.features import RATE_FEATURES
 
     cands = candidate_rows(planned_valid, history, seed)
     if placeholder == "include":
         hist_state = asof_student_state(history, cands, F.lit(None).cast("double"))
-        rows = cands.join(hist_state, ["student_id", "event_id"])
+        rows = _with_past(cands.join(hist_state, ["student_id", "event_id"]), past)
         out = _include_placeholders(rows, state)
         out = out.withColumns({c: F.coalesce(F.col(c), F.col("_overall")) for c in ("student_rolling_attendance", "student_recent_3_rate")})
         out = temporal_features(out)
     else:
         overall = F.lit(float(state.overall_rate))
         hist_state = asof_student_state(history, cands, overall)
-        rows = cands.join(hist_state, ["student_id", "event_id"])
+        rows = _with_past(cands.join(hist_state, ["student_id", "event_id"]), past)
         out = temporal_features(rows)
         out = popularity_features(out, state)
         # an unseen category falls back to the overall rate
@@ -269,12 +284,12 @@ def event_turnout(scored: DataFrame, threshold: float) -> DataFrame:
 
 
 def predict_planned_events(
-    model: PipelineModel, state: FeatureState, threshold: float, history: DataFrame, planned: DataFrame, placeholder: str = "exclude"
+    model: PipelineModel, state: FeatureState, threshold: float, history: DataFrame, planned: DataFrame, placeholder: str = "exclude", past: str = "zero"
 ) -> DataFrame:
     """D1 for a whole table of planned events."""
     checked = required_fields(planned)
     valid = checked.filter(F.size("missing") == 0).drop("missing")
-    feats = planned_event_features(history, valid, state, placeholder=placeholder)
+    feats = planned_event_features(history, valid, state, placeholder=placeholder, past=past)
     return event_turnout(score_rows(model, feats, state.feature_columns()), threshold)
 
 
