@@ -121,8 +121,10 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width:
 
     whole = docs.select("row_id", "text").mapInArrow(digests, "row_id long, digest binary, n int")
     whole = whole.filter(F.col("n") >= window)
-    first = whole.groupBy("digest").agg(F.min("row_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    copies = whole.join(first, "digest").filter("row_id != first").select("row_id", F.lit(True).alias("copy"))
+    # the first of each is found by a partial aggregate; the others are those that are
+    # no first, by row, so that a text with very many copies is no key of a join
+    first = whole.groupBy("digest").agg(F.min("row_id").alias("row_id")).select("row_id")
+    copies = whole.select("row_id").join(first, "row_id", "left_anti").withColumn("copy", F.lit(True))
 
     repeated = stored(repeated_keys(docs, window, gram, width), "substring-sketch")
     flagged = key_places(docs, window, gram, width).join(repeated, "cell", "left_semi")
