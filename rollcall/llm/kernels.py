@@ -23,7 +23,7 @@ _LOWER[65:91] += 32
 LETTER = np.zeros(256, bool)
 LETTER[48:58] = LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 #: Bytes of text treated at once; one longer text is treated alone.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 
 

@@ -20,10 +20,10 @@ from rollcall.llm import kernels as K
 
 #: Characters that count as white space for the pattern but not for the cutting.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_SLOT_BITS = 21
+_SLOT_BITS = 20
 _SLOTS = 1 << _SLOT_BITS
 #: Ids that the cache holds at most before it starts again: bounded memory.
-_MOST_IDS = 12_000_000
+_MOST_IDS = 5_000_000
 #: Split pattern of the byte-level vocabularies, a fixed value, and a text on which
 #: both tokenizers are compared when a vocabulary is loaded.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
