@@ -38,11 +38,18 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Rows that a task of a narrow intermediate table takes at least.
+NARROW_ROWS = 250_000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a reliable cut of the
     lineage that any executor can reread after a loss. What was shuffled for it is not
-    needed any more, and its files go at once."""
+    needed any more, and its files go at once. ``rows``, a bound on the rows of a narrow
+    table where it is known, keeps a small table from being dealt over many tasks."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(12, -(-rows // NARROW_ROWS)))
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")

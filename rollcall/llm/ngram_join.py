@@ -17,7 +17,8 @@ completely in some block that is not empty. A block of a row is one signature, a
    about as many products as it has rows;
 3. what is left, pairs of different components, is multiplied out block by block: the
    counts of equal blocks are accumulated and pairs below the bound that the sizes
-   give are discarded; for the others the overlap is counted exactly.
+   give are discarded; for the others the overlap is counted exactly. Blocks that very
+   many rows share are multiplied only among rows that have little else.
 
 A row with more empty blocks than its class allows for adds the n-grams of its prefix
 (its smallest hashes) as signatures; two such rows meet there.
@@ -30,6 +31,8 @@ text); extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,12 +41,15 @@ from pyspark.sql import functions as F
 
 from rollcall.llm import kernels as K
 from rollcall.llm.common import in_batches, numbered, stored
-from rollcall.llm.components import components
+from rollcall.llm.components import components, joined
 
 #: Words of an n-gram and the threshold as a ratio.
 WORDS, NUM, DEN = 4, 85, 100
-#: Size classes grow by this; rounds in which rows meet single rows of a component.
-GROWTH, ROUNDS = 1.5, 6
+#: Size classes grow by this; rounds in which rows meet single rows of a component, and
+#: how many rows they meet in a round.
+GROWTH, ROUNDS, MEET = 1.5, 2, 4
+#: Rows of different components from which a shared block is hot.
+HOT = 64
 
 
 def class_of(size: int) -> tuple[int, int]:
@@ -54,6 +60,15 @@ def class_of(size: int) -> tuple[int, int]:
     return number, top
 
 
+@functools.lru_cache(256)
+def class_top(number: int) -> int:
+    """Largest size of a class."""
+    top = 1
+    for _ in range(number):
+        top = max(top + 1, int(top * GROWTH))
+    return top
+
+
 def blocks_of(top: int, num: int, den: int) -> tuple[int, int]:
     """Number of blocks of a class and how many empty ones it allows for; (0, 0) if
     only equal sets can be linked."""
@@ -64,30 +79,47 @@ def blocks_of(top: int, num: int, den: int) -> tuple[int, int]:
     return differ + 1 + spare, spare
 
 
-def signatures(grams: np.ndarray, num: int, den: int):
-    """Signatures of a set and how many equal ones a linked set has at least: (hashes,
-    needed) for each size class that a linked set, as large or larger, may have."""
-    size = len(grams)
-    first, _ = class_of(size)
+def class_blocks(size: int, num: int, den: int):
+    """Yield (class, blocks) of each size class in which a set meets linked ones as large
+    or larger; classes of equal sets only are left out."""
+    first, top = class_of(size)
     last, _ = class_of(size * den // num)
     for number in range(first, last + 1):
-        top = 1
-        for _ in range(number):
-            top = max(top + 1, int(top * GROWTH))
-        k, spare = blocks_of(top, num, den)
-        if not k:
-            continue
-        block = ((grams >> K.U64(17)) % K.U64(k)).astype(np.int64)
-        order = np.argsort(block, kind="stable")
-        block = block[order]
-        at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        total = np.add.reduceat(K.mix(grams[order] ^ K.U64(0x5851F42D4C957F2D)), at)
-        hashes = K.mix(total + (block[at].astype(K.U64) << K.U64(20)) + K.U64((number + 1) << 50))
-        empty = k - len(at)
-        if empty > spare:
+        k, _ = blocks_of(top, num, den)
+        if k:
+            yield number, k
+        top = max(top + 1, int(top * GROWTH))
+
+
+def blocks_in(grams: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of a set that are not empty, and the sums of their mixed hashes."""
+    block = ((grams >> K.U64(17)) % K.U64(k)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    block = block[order]
+    at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    return block[at], np.add.reduceat(K.mix(grams[order] ^ K.U64(0x5851F42D4C957F2D)), at)
+
+
+def marked_signatures(grams: np.ndarray, num: int, den: int):
+    """Signatures of a set in each of its size classes: (hashes, blocks of the class,
+    blocks that are not empty)."""
+    size = len(grams)
+    for number, k in class_blocks(size, num, den):
+        place, total = blocks_in(grams, k)
+        hashes = K.mix(total + (place.astype(K.U64) << K.U64(20)) + K.U64((number + 1) << 50))
+        spare = k - 2 * class_top(number) * (den - num) // (den + num) - 1
+        if k - len(place) > spare:
             prefix = np.sort(grams)[: size - -(-size * num // den) + 1]
             hashes = np.r_[hashes, K.mix(prefix ^ K.U64(0xA24BAED4963EE407 + number))]
-        yield hashes, max(1, 1 + spare - empty)
+        yield hashes, k, len(place)
+
+
+def signatures(grams: np.ndarray, num: int, den: int):
+    """Signatures of a set and how many equal ones a linked set has at least: (hashes,
+    needed) for each of its size classes."""
+    for hashes, k, filled in marked_signatures(grams, num, den):
+        number = next(c for c, blocks in class_blocks(len(grams), num, den) if blocks == k)
+        yield hashes, max(1, filled - 2 * class_top(number) * (den - num) // (den + num))
 
 
 def class_rows(docs: DataFrame, n: int) -> DataFrame:
@@ -107,8 +139,9 @@ def class_rows(docs: DataFrame, n: int) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(sig, row_id, key, n, need) of every document."""
-    names = ["sig", "row_id", "key", "n", "need"]
+    """(sig, row_id, key, n, k, filled) of every document: its signatures with the number
+    of blocks of the class and of those that are not empty."""
+    names = ["sig", "row_id", "key", "n", "k", "filled"]
 
     def rows(batches):
         for batch in batches:
@@ -120,20 +153,20 @@ def signature_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     if not len(g):
                         continue
                     key = xxhash.xxh3_64_intdigest(g.tobytes())
-                    for hashes, need in signatures(g, num, den):
+                    for hashes, k, filled in marked_signatures(g, num, den):
                         sig.append(hashes)
                         rep.append(len(hashes))
-                        reps.append((ids[row + i], key, len(g), need))
+                        reps.append((ids[row + i], key, len(g), k, filled))
                 if not sig:
                     continue
                 times = np.array(rep)
                 cols = [np.concatenate(sig).view(np.int64)]
-                for j, kind in enumerate((np.int64, np.uint64, np.int32, np.int32)):
+                for j, kind in enumerate((np.int64, np.uint64, np.int32, np.int32, np.int32)):
                     cols.append(np.repeat(np.array([r[j] for r in reps], kind), times))
                 cols[2] = cols[2].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
-    return docs.mapInArrow(rows, "sig long, row_id long, key long, n int, need int")
+    return docs.mapInArrow(rows, "sig long, row_id long, key long, n int, k int, filled int")
 
 
 def gram_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -150,17 +183,84 @@ def gram_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(rows, "row_id long, grams array<long>")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b) those that are linked: the exact overlap of two rows."""
+def block_rows(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(row_id, n, cls, blocks): a row's blocks in each of its size classes, as 32-bit
+    hashes, 0 for an empty block."""
+
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for row, grams in zip(batch.column("row_id").to_pylist(), batch.column("grams")):
+                g = np.asarray(grams.values).view(K.U64)
+                for number, k in class_blocks(len(g), num, den):
+                    place, total = blocks_in(g, k)
+                    blocks = np.zeros(k, np.int32)
+                    blocks[place] = (K.mix(total) >> K.U64(32)).astype(np.uint32).view(np.int32)
+                    out.append((row, len(g), number, blocks))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())))], ["row_id", "n", "cls", "blocks"])
+
+    return sets.mapInArrow(rows, "row_id long, n int, cls int, blocks array<int>")
+
+
+def linked(pairs: DataFrame, blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b) those that are linked. First the product over blocks: a pair in
+    which more blocks differ than n-grams may by the two sizes is discarded (a hash
+    that is equal by chance only lets a pair pass). Then the exact overlap."""
+    a, b = (blocks.select(F.col("row_id").alias(x), F.col("n").alias(f"n{x}"), "cls", F.col("blocks").alias(f"k{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, ["b", "cls"])
+    differ = F.size(F.filter(F.zip_with("ka", "kb", lambda x, y: x != y), lambda x: x))
+    near = both.filter(differ * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b").distinct()
+    near = stored(near, "join-near")
     a, b = (sets.select(F.col("row_id").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b").withColumn("i", F.size(F.array_intersect("ga", "gb")))
-    return both.filter(F.col("i") * den >= num * (F.size("ga") + F.size("gb") - F.col("i"))).select("a", "b")
+    exact = near.join(a, "a").join(b, "b").withColumn("i", F.size(F.array_intersect("ga", "gb")))
+    return exact.filter(F.col("i") * den >= num * (F.size("ga") + F.size("gb") - F.col("i"))).select("a", "b")
 
 
 def _sizes_fit(x, y, num: int, den: int):
     return (F.least(x, y) * den) >= (F.greatest(x, y) * num)
 
 
+def _most_differ(num: int, den: int):
+    """n-grams that may differ between a row and the largest row that it can be linked to."""
+    return F.floor((F.col("n") + F.floor(F.col("n") * den / num)) * (den - num) / (den + num))
+
+
+def _cores(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Rows that may still be linked to another component. A link asks for as many equal
+    blocks as the sizes leave, all of them shared between components; a row with fewer
+    such blocks has no link left. What goes leaves others with fewer, so it is done
+    again."""
+    for _ in range(2):
+        spread = rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("sig")
+        rows = stored(rows.join(spread, "sig"), "join-spread", size)
+        enough = rows.groupBy("row_id", "k").agg(F.count("*").alias("m"), F.first("filled").alias("f"), F.first("n").alias("n"))
+        enough = enough.filter(F.col("m") >= F.col("f") - _most_differ(num, den)).select("row_id", "k")
+        rows = stored(rows.join(enough, ["row_id", "k"]), "join-cores", size)
+    return rows
+
+
+def _block_product(apart: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of rows of different components with as many equal blocks as a link needs.
+
+    Linked rows of ``k`` blocks have at least k - D equal ones, D by their sizes, and
+    at most as many of these are empty or of a hot signature as either row has of such
+    blocks. So a row with few of them meets all its links in blocks that are not hot;
+    hot blocks are multiplied among the other rows only, those that are mostly made of
+    hot blocks."""
+    hot = apart.groupBy("row_id", "k").agg(F.count(F.when(F.col("hot"), 1)).alias("h"))
+    rows = apart.join(hot, ["row_id", "k"]).withColumn("all_met", F.col("filled") - F.col("h") > _most_differ(num, den))
+    rows = rows.filter(~(F.col("hot") & F.col("all_met")))
+    x, y = (rows.select("sig", "k", F.col("row_id").alias(e), *[F.col(c).alias(f"{c}_{e}") for c in ("n", "filled", "h", "c", "all_met")]) for e in "ab")
+    both = x.join(y, ["sig", "k"]).filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), num, den))
+    # equal blocks that are looked at: all, or those that are not hot
+    whole = ~F.col("all_met_a") & ~F.col("all_met_b")
+    seen = F.when(whole, F.greatest("filled_a", "filled_b")).otherwise(F.greatest(F.col("filled_a") - F.col("h_a"), F.col("filled_b") - F.col("h_b")))
+    differ = F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num))
+    counted = both.groupBy("a", "b", "k", (seen - differ).alias("least")).agg(F.count("*").alias("equal"))
+    return counted.filter(F.col("equal") >= F.col("least")).select("a", "b").distinct()
+
+
 def classes(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """(row_id, doc_id, n_shingles, component): documents with the smallest row of
     their component."""
@@ -173,48 +273,49 @@ def classes(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) ->
     # blocks that at least two different sets share; a partial aggregate, so that the
     # copies of a set shrink before the shuffle
     shared = sigs.groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.min("row_id").alias("anchor")).filter("lo != hi").select("sig", "anchor")
-    block = sigs.drop("key").join(stored(shared, "join-shared"), "sig").join(reps.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
-    block = stored(block, "join-blocks")
+    # stored in between, or the join with the rows that stand for a class, which leaves
+    # most signatures, would be moved below the one that leaves few
+    hits = stored(sigs.drop("key").join(stored(shared, "join-shared"), "sig"), "join-hits")
+    block = stored(hits.join(reps.select(F.col("rep").alias("row_id")), "row_id", "left_semi"), "join-blocks")
+    size = block.count()  # no table of signatures below has more rows
     met = block.select("row_id").distinct()
     sets = stored(gram_sets(docs.select("row_id", "text").join(met, "row_id", "left_semi"), n), "join-sets")
+    blocks = stored(block_rows(sets, num, den), "join-block-rows")
 
-    sizes = met.join(block.groupBy("row_id").agg(F.first("n").alias("n")), "row_id")
     # first round: each row and the smallest row of most of its shared blocks
     first = block.filter("row_id != anchor").groupBy("row_id", "anchor").agg(F.count("*").alias("c"))
     first = first.groupBy("row_id").agg(F.max_by("anchor", F.struct("c", -F.col("anchor"))).alias("anchor"))
-    pairs = stored(first.select(F.least("row_id", "anchor").alias("a"), F.greatest("row_id", "anchor").alias("b")).distinct(), "join-pairs")
-    edges = stored(linked(pairs, sets, num, den), "join-links")
+    pairs = stored(first.select(F.least("row_id", "anchor").alias("a"), F.greatest("row_id", "anchor").alias("b")).distinct(), "join-pairs", size)
+    label = components(stored(linked(pairs, blocks, sets, num, den), "join-links"))
     tested = pairs
     for round_no in range(ROUNDS + 1):
-        label = components(edges)
         by_block = block.join(label.select(F.col("node").alias("row_id"), F.col("component").alias("c")), "row_id", "left")
-        by_block = by_block.select("sig", "row_id", "n", "need", F.coalesce("c", "row_id").alias("c"))
-        # how many rows of each component a block has
-        parts = by_block.groupBy("sig", "c").agg(F.count("*").alias("m"), F.min_by("row_id", F.xxhash64("row_id", F.lit(round_no))).alias("some"), F.min_by("n", F.xxhash64("row_id", F.lit(round_no))).alias("some_n"))
-        mixed = parts.groupBy("sig").agg(F.count("*").alias("parts"), F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("sq"), F.max_by(F.struct("c", "some", "some_n"), F.struct("m", "c")).alias("main")).filter("parts > 1")
-        mixed = stored(mixed, "join-mixed")
+        by_block = stored(by_block.select("sig", "row_id", "n", "k", "filled", F.coalesce("c", "row_id").alias("c")), "join-labelled", size)
+        by_block = _cores(by_block, size, num, den)
+        # how many rows of each component a block has, and a few of them
+        some = [F.min_by(F.struct("row_id", "n"), F.xxhash64("row_id", F.lit(round_no * MEET + i))) for i in range(MEET)]
+        parts = by_block.groupBy("sig", "c").agg(F.count("*").alias("m"), F.array(*some).alias("some"))
+        mixed = parts.groupBy("sig").agg(F.count("*").alias("parts"), F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("sq"), F.max_by(F.struct("c", "some"), F.struct("m", "c")).alias("main")).filter("parts > 1")
+        mixed = stored(mixed, "join-mixed", size)
         left = mixed.agg(F.sum((F.col("rows") * F.col("rows") - F.col("sq")) / 2).alias("pairs"), F.sum("rows").alias("rows")).first()
         if not left["pairs"]:
             break
-        apart = stored(by_block.join(mixed.select("sig", "main"), "sig"), "join-apart")
-        if round_no < ROUNDS and left["pairs"] > 8 * left["rows"]:
-            # rows outside a block's largest component meet some row of it
-            some = apart.filter(F.col("c") != F.col("main.c")).filter(_sizes_fit(F.col("n"), F.col("main.some_n"), num, den))
-            some = some.groupBy("row_id", F.col("main.some").alias("other")).agg(F.count("*").alias("k")).groupBy("row_id").agg(F.max_by("other", F.struct("k", "other")).alias("other"))
-            pairs = some.select(F.least("row_id", "other").alias("a"), F.greatest("row_id", "other").alias("b")).distinct()
-            final = False
+        apart = stored(by_block.join(mixed.select("sig", "main", (F.col("rows") > HOT).alias("hot")), "sig"), "join-apart", size)
+        final = round_no == ROUNDS or left["pairs"] <= 8 * left["rows"]
+        if not final:
+            # rows outside a block's largest component meet some rows of it, those that
+            # they share most blocks with
+            met_by = apart.filter(F.col("c") != F.col("main.c")).select("row_id", "n", F.explode("main.some").alias("other"))
+            met_by = met_by.filter(_sizes_fit(F.col("n"), F.col("other.n"), num, den)).groupBy("row_id", F.col("other.row_id").alias("other")).agg(F.count("*").alias("k"))
+            # at most MEET for each of the row's blocks
+            best = met_by.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("k", "other")), False).alias("o"))
+            best = best.select("row_id", F.explode(F.slice("o", 1, MEET)).alias("o")).select("row_id", F.col("o.other").alias("other"))
+            pairs = best.select(F.least("row_id", "other").alias("a"), F.greatest("row_id", "other").alias("b")).distinct()
         else:
-            # all pairs of rows of different components that share enough blocks
-            x = apart.select("sig", F.col("row_id").alias("a"), F.col("n").alias("na"), F.col("need").alias("wa"), F.col("c").alias("ca"))
-            y = apart.select("sig", F.col("row_id").alias("b"), F.col("n").alias("nb"), F.col("need").alias("wb"), F.col("c").alias("cb"))
-            both = x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_fit(F.col("na"), F.col("nb"), num, den))
-            pairs = both.groupBy("a", "b", "wa", "wb").agg(F.count("*").alias("k")).filter(F.col("k") >= F.greatest("wa", "wb")).select("a", "b").distinct()
-            final = True
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "join-pairs")
-        more = stored(linked(pairs, sets, num, den), "join-links")
-        edges = edges.unionByName(more)
+            pairs = _block_product(apart, num, den)
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "join-pairs", None if final else size)
+        label = stored(joined(label, stored(linked(pairs, blocks, sets, num, den), "join-links")), "join-labels", size)
         if final:
-            label = components(edges)
             break
         tested = tested.unionByName(pairs)
 

@@ -71,8 +71,9 @@ def test_rounds_and_full_product(spark, monkeypatch):
     vocabulary = [f"w{i}" for i in range(50)]
     rows = family(rng, 1, 70, 50, 6, vocabulary) + family(rng, 500, 40, 30, 5, vocabulary)
     want = brute(rows, 4, 85, 100)
-    for rounds in (0, 6):
+    for rounds, hot in ((0, 64), (0, 2), (0, 5), (6, 3)):
         monkeypatch.setattr(J, "ROUNDS", rounds)
+        monkeypatch.setattr(J, "HOT", hot)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.op6_ngram_jaccard_join(documents(spark, rows)).collect()}
         assert got == want
 
