@@ -3,9 +3,10 @@ words adjust their score. DataFrame functions only.
 
 The base kinds have fixed patterns and leftmost non-overlapping matches; the patterns
 below are written so that Java's matcher needs time in proportion to the text, with
-the same matches. A proposed match that fails its check is dropped, without a second
-try inside it. The method adds two kinds, ``iban`` (mod 97) and ``phone_local``
-(only with a word for telephone shortly before it); base spans always stay.
+the same matches. A proposed match of these that fails its check is dropped, without a second
+try inside it. The method adds two kinds, ``iban`` (mod 97; looked for at every place
+where one can begin, with every end at a space) and ``phone_local`` (only with a word for
+telephone shortly before it); base spans always stay.
 
 Defined results: a null text counts as empty; a text without matches has an empty
 list; repeated rows each have their own result; extra columns are ignored. Places are
@@ -26,11 +27,23 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11})",
     "phone_local": r"(?<![0-9+(.-])\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
 }
 #: What a text must hold for a kind to be looked for at all.
 NEEDED = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "phone_local": r"[0-9][\x20./-][0-9]"}
+#: Whole words of an account number and what may follow it, at its place.
+_RUN = r"^[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![a-z])(?:\x20[A-Z0-9]++(?![a-z]))*"
+#: Signs of an account number by country; of others, the least and the most. Characters
+#: that the longest can take with a space after each sign.
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+LENGTH = {country: n for n, countries in _LENGTHS.items() for country in countries.split()}
+SHORTEST, LONGEST = 15, 34
+_WIDTH = 2 * LONGEST
 #: Characters before a span that are searched for context words, and the words.
 NEAR = 40
 CONTEXT = {
@@ -85,6 +98,12 @@ def confirmed(kind: str, m: Column) -> Column:
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
 
+def _last(before: Column, more: Column) -> Column:
+    """The last ``NEAR`` characters of a text that goes on."""
+    both = F.concat(before, F.substring(more, F.greatest(F.length(more) - NEAR + 1, F.lit(1)), F.lit(NEAR)))
+    return F.substring(both, F.greatest(F.length(both) - NEAR + 1, F.lit(1)), F.lit(NEAR))
+
+
 def _spans(df: DataFrame, text: str, kind: str) -> DataFrame:
     """Add column ``pii_<kind>``: confirmed spans of a kind. Places come from the
     lengths of the matches and of what lies between them."""
@@ -94,28 +113,64 @@ def _spans(df: DataFrame, text: str, kind: str) -> DataFrame:
     has = t.rlike(NEEDED[kind])
     df = df.withColumn(m, F.when(has, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none))
     df = df.withColumn(g, F.when(F.size(m) > 0, F.split(t, pattern, -1)).otherwise(none))
-    start_type = "struct<at:bigint,spans:" + SPAN + ">"
+    start_type = "struct<at:bigint,before:string,spans:" + SPAN + ">"
 
     def step(acc, i):
         gap, hit = F.get(F.col(g), i), F.get(F.col(m), i)
         start = acc["at"] + F.length(gap)
         end = start + F.length(hit)
-        near = F.substring(gap, F.greatest(F.length(gap) - NEAR + 1, F.lit(1)), F.lit(NEAR))
+        near = _last(acc["before"], gap)  # of the whole text, matches included
         score = F.lit(SCORE[kind]) + F.when(near.rlike(CONTEXT[kind]), BOOST).otherwise(0.0)
         keep = confirmed(kind, hit) if kind in BASE else confirmed(kind, hit) & (score >= LEAST)
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans")).cast(start_type)
+        return F.struct(end.alias("at"), _last(near, hit).alias("before"), F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans")).cast(start_type)
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans")).cast(start_type)
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("before"), F.array().cast(SPAN).alias("spans")).cast(start_type)
     found = F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step, lambda acc: acc["spans"])
     return df.withColumn(out, F.when(F.size(m) > 0, found).otherwise(F.array().cast(SPAN))).drop(m, g)
 
 
+def _iban_at(ahead: Column) -> Column:
+    """The account number that a text begins with, or null: of the ends at a space whose
+    remainder is right, the one of the country's length, else the farthest."""
+    run = F.split(F.regexp_extract(ahead, _RUN, 0), " ")
+    signs = lambda m: F.length(F.regexp_replace(m, r"\x20", ""))
+    ends = F.transform(F.sequence(F.lit(1), F.size(run)), lambda i: F.array_join(F.slice(run, F.lit(1), i), " "))
+    right = F.filter(ends, lambda m: F.when(signs(m).between(SHORTEST, LONGEST), confirmed("iban", m)).otherwise(False))
+    lengths = F.create_map(*[F.lit(x) for pair in LENGTH.items() for x in pair])
+    usual = F.filter(right, lambda m: signs(m) == F.try_element_at(lengths, F.substring(m, 1, 2)))
+    return F.coalesce(F.get(usual, F.lit(0)), F.try_element_at(right, F.lit(-1)))
+
+
+def _ibans(df: DataFrame, text: str, kind: str = "iban") -> DataFrame:
+    """Add column ``pii_iban``. The text is cut at every place where an account number
+    can begin; it may reach over later cuts, which are passed over then."""
+    t, g, out = F.col(text), f"_{kind}_g", f"pii_{kind}"
+    # a text that begins with an account number has no cut there, so a sign goes before it
+    df = df.withColumn(g, F.when(t.rlike(PATTERNS[kind]), F.split(F.concat(F.lit(" "), t), PATTERNS[kind], -1)).otherwise(F.array().cast("array<string>")))
+    start_type = "struct<at:bigint,past:bigint,before:string,spans:" + SPAN + ">"
+    reach = _WIDTH // 5 + 2  # a cut is at least five characters before the next
+
+    def step(acc, i):
+        part = F.get(F.col(g), i)
+        heads = F.transform(F.slice(F.col(g), i + 1, F.lit(reach)), lambda p: F.substring(p, 1, _WIDTH))
+        hit = F.when((i > 0) & (acc["at"] >= acc["past"]), _iban_at(F.substring(F.array_join(heads, ""), 1, _WIDTH)))
+        end = acc["at"] + F.length(hit)
+        score = F.lit(SCORE[kind]) + F.when(acc["before"].rlike(CONTEXT[kind]), BOOST).otherwise(0.0)
+        span = F.struct(F.lit(kind).alias("kind"), acc["at"].alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
+        spans = F.when(hit.isNotNull() & (score >= LEAST), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
+        return F.struct((acc["at"] + F.length(part)).alias("at"), F.coalesce(end, acc["past"]).alias("past"), _last(acc["before"], part).alias("before"), spans.alias("spans")).cast(start_type)
+
+    zero = F.struct(F.lit(-1).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("past"), F.lit("").alias("before"), F.array().cast(SPAN).alias("spans")).cast(start_type)
+    found = F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), zero, step, lambda acc: acc["spans"])
+    return df.withColumn(out, F.when(F.size(g) > 0, found).otherwise(F.array().cast(SPAN))).drop(g)
+
+
 def find_pii(df: DataFrame, text: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
     """Add ``pii_<kind>`` (spans by start) for each kind; the text column must not be
     null."""
     for kind in kinds:
-        df = _spans(df, text, kind)
+        df = _ibans(df, text) if kind == "iban" else _spans(df, text, kind)
     return df
 
 

@@ -83,3 +83,35 @@ def test_native_and_empty(spark):
     assert out.collect() == []
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+IBANS = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "DE89370400440532013000"]
+
+
+def test_account_numbers_among_other_words(spark):
+    rows, want = [], {}
+    for i, iban in enumerate(IBANS):
+        for j, (before, after) in enumerate([("", ""), ("IBAN ", " BIC COBADEFFXXX"), ("é😀 ", " 2024 A B C"), ("NO12 AB12 ", " Bank"), ("", " GB82"), ("x", ""), ("", "x")]):
+            rows.append((100 * i + j, f"{before}{iban}{after}"))
+            want[100 * i + j] = [] if j > 4 else [(len(before), len(before) + len(iban))]
+    rows.append((9000, " ".join(IBANS)))
+    want[9000] = [(at := sum(len(x) + 1 for x in IBANS[:k]), at + len(x)) for k, x in enumerate(IBANS)]
+    other = f"XX{98 - int('123456789012345' + '333300') % 97:02d} 1234 5678 9012 345"  # a country without a known length
+    rows.append((9001, f"{other} BIC AB"))
+    want[9001] = [(0, len(other))]
+    for r in pii.op1_pii(documents(spark, rows)).collect():
+        got = [tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s.startswith("iban:")]
+        assert got == want[r["doc_id"]], (dict(rows)[r["doc_id"]], got)
+
+
+def test_context_reaches_over_other_matches(spark):
+    rows = [(1, "Tel. 030 123 4567, 030 123 4568"), (2, "Tel. 12 345 678 or 030 123 4568"), (3, "Tel. 030 123 4567, " + "x" * 40 + " 030 123 4568")]
+    got = {r["doc_id"]: [s for s in r["spans"].split(",") if s.startswith("phone_local")] for r in pii.op1_pii(documents(spark, rows)).collect()}
+    assert got[1] == ["phone_local:5:17", "phone_local:19:31"]
+    assert got[2][-1] == "phone_local:19:31"
+    assert got[3] == ["phone_local:5:17"]
+
+
+def test_time_is_in_proportion_on_many_matches(spark):
+    rows = [(1, "é " + "AB12 " * 6_000), (2, "é " + "a@b.c " * 5_000), (3, "AB12" * 75_000)]
+    assert len(pii.op1_pii(documents(spark, rows)).collect()) == 3
