@@ -16,8 +16,9 @@ shingle hashes.
 
 Defined results: null or blank documents contain nothing; null or blank items are
 contained in nothing; a document or item with fewer words than a shingle has one shingle,
-the whole; equal items are reported each; repeated ids of documents are reported once
-for each row with the largest containment of the id; extra columns are ignored.
+the whole; equal items are reported each; rows of either table are judged each on its
+own, also where ids are null or repeated, and a pair of ids is reported once, with the
+largest containment among its rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import ascii_lower, shingle_hashes, words
+from rollcall.llm.common import ascii_lower, numbered, shingle_hashes, words
 
 #: Words of a shingle, share of an item's shingles, sketch hashes that are broadcast.
 WORDS, SHARE, MOST = 5, 0.8, 500_000
@@ -43,44 +44,51 @@ def _least(m: Column, share: float) -> Column:
     return F.ceil((m * round(share * 1000)) / F.lit(1000))
 
 
+def _by_row(df: DataFrame, key: str, row: str) -> DataFrame:
+    """Table of (key, text) with a number of its own for each row, for keys of any type."""
+    keyed = df.select(F.xxhash64(key).alias("doc_id"), "text", F.col(key).alias("key"))
+    return numbered(keyed, "doc_id", "text", "key").select(F.col("row_id").alias(row), F.col("key").alias(key), "text")
+
+
 def item_sketches(items: DataFrame, n: int, share: float) -> DataFrame:
-    """(item_id, size, needed, grams, sketch): sketch is the smallest hashes, as many
+    """(item_row, item_id, size, needed, grams, sketch): sketch is the smallest hashes, as many
     as the size asks for."""
     # blank items are left out by their text: a filter on the hashes would be pushed
     # below them and would work them out once for each word. For the same reason arrays
     # are exploded with explode_outer, which asks for no filter on their size
     written = items.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    g = with_shingles(written.select("item_id", "text"), "text", "all_grams", n)
+    g = with_shingles(_by_row(written, "item_id", "item_row"), "text", "all_grams", n)
     g = g.withColumn("grams", F.sort_array(F.array_distinct("all_grams")))
     g = g.withColumn("size", F.size("grams")).withColumn("needed", _least(F.col("size"), share).cast("int"))
-    return g.withColumn("sketch", F.slice("grams", F.lit(1), F.col("size") - F.col("needed") + 1)).select("item_id", "size", "needed", "grams", "sketch")
+    return g.withColumn("sketch", F.slice("grams", F.lit(1), F.col("size") - F.col("needed") + 1)).select("item_row", "item_id", "size", "needed", "grams", "sketch")
 
 
 def contained(docs: DataFrame, items: DataFrame, n: int = WORDS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment) of every contained item."""
     sketches = item_sketches(items, n, share)
-    keys = sketches.select("item_id", "size", "needed", F.explode_outer("sketch").alias("h"))
+    keys = sketches.select("item_row", "size", "needed", F.explode_outer("sketch").alias("h"))
     few = keys.count() <= most
     held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    g = with_shingles(held, "text", "grams_of_doc", n).select("doc_id", "grams_of_doc")
+    whole = sketches.select("item_row", "item_id", F.col("grams").alias("item_grams"))
     if few:
+        g = with_shingles(held, "text", "grams_of_doc", n).select("doc_id", "grams_of_doc")
         # the hashes of all sketches as one array: a document is looked through once,
         # and only its sketch hashes are joined with items
         every = keys.agg(F.collect_set("h").alias("every"))
         hit = g.crossJoin(F.broadcast(every)).withColumn("hits", F.array_intersect("grams_of_doc", "every")).filter(F.size("hits") > 0)
         hit = hit.select("doc_id", "grams_of_doc", F.explode_outer("hits").alias("h"))
-        pairs = hit.join(F.broadcast(keys), "h")
-        whole = F.broadcast(sketches.select("item_id", F.col("grams").alias("item_grams")))
-        pairs = pairs.join(whole, "item_id")
+        pairs = hit.join(F.broadcast(keys), "h").join(F.broadcast(whole), "item_row")
     else:
-        hashes = g.select("doc_id", F.explode_outer(F.array_distinct("grams_of_doc")).alias("h"))
-        found = hashes.join(keys, "h").select("doc_id", "item_id", "size", "needed").distinct()
-        pairs = found.join(g, "doc_id").join(sketches.select("item_id", F.col("grams").alias("item_grams")), "item_id")
+        g = with_shingles(_by_row(held, "doc_id", "doc_row"), "text", "grams_of_doc", n).select("doc_row", "doc_id", "grams_of_doc")
+        hashes = g.select("doc_row", F.explode_outer(F.array_distinct("grams_of_doc")).alias("h"))
+        found = hashes.join(keys, "h").select("doc_row", "item_row", "size", "needed").distinct()
+        pairs = found.join(g, "doc_row").join(whole, "item_row")
     shared = F.size(F.array_intersect("item_grams", "grams_of_doc"))
     pairs = pairs.select("doc_id", "item_id", "size", "needed", shared.alias("shared"))
     pairs = pairs.filter(F.col("shared") >= F.col("needed"))
-    best = pairs.groupBy("doc_id", "item_id").agg(F.max("size").cast("long").alias("n_item"), F.max("shared").cast("long").alias("n_shared"))
-    return best.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+    most_held = F.max(F.struct((F.col("shared") / F.col("size")).alias("containment"), "size", "shared")).alias("best")
+    best = pairs.groupBy("doc_id", "item_id").agg(most_held)
+    return best.select("doc_id", "item_id", F.col("best.size").cast("long").alias("n_item"), F.col("best.shared").cast("long").alias("n_shared"), "best.containment")
 
 
 def op8_benchmark_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:

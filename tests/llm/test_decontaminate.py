@@ -52,3 +52,14 @@ def test_odd_tables_and_native(spark):
     assert sorted((r["doc_id"], r["containment"]) for r in out.collect()) == [(6, 1.0), (7, 1.0)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_null_and_repeated_ids(spark, most):
+    line = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    items = [(None, line("a", 9)), (None, line("b", 9)), (1, line("c", 40)), (1, line("d", 9)), (2, line("e", 9)), (2, line("e", 9))]
+    half = line("c", 25)  # 21 of 36 shingles: enough for the short text of the same id only
+    docs = [(None, "x " + line("a", 9)), (None, "y"), (7, line("b", 9)), (7, "z"), (8, half + " d0 d1 d2 d3 d4"), (9, line("d", 9)), (9, line("c", 36)), (9, line("c", 39)), (10, line("e", 9))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((tuple(r)[:4] for r in D.contained(documents(spark, docs), bench, most=most).collect()), key=str)
+    assert got == sorted([(None, None, 5, 5), (7, None, 5, 5), (9, 1, 5, 5), (10, 2, 5, 5)], key=str)
