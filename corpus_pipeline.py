@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.llm import decontaminate, ngram_join, packing, pii, quality
-from rollcall.llm.common import numbered, table
+from rollcall.llm.common import numbered, stored, table
 
 #: Near copies: word shingles and the likeness from which two documents are linked.
 NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
@@ -70,8 +70,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``."""
+    """All stages on ``documents``; what a stage returns is stored for the next one."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if k == 0 else stored(docs, f"stage{k}"), sf_dir)
     return docs

@@ -41,3 +41,18 @@ def test_run_and_empty_input(spark):
     for _, stage in P.STAGES:
         out = stage(spark, docs, SMALL)
         assert out.count() == 0
+
+
+def test_stages_read_what_is_stored(spark, monkeypatch):
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(docs)
+        return docs.filter("doc_id % 7 > 0").withColumn("text", docs.text)
+
+    monkeypatch.setattr(P, "STAGES", [("a", stage), ("b", stage), ("c", stage)])
+    out = P.run(spark, SMALL)
+    files = [set(d.inputFiles()) for d in seen]
+    assert all(files) and not (files[0] & files[1] or files[0] & files[2] or files[1] & files[2])
+    assert all("Filter" not in d._jdf.queryExecution().optimizedPlan().toString() for d in seen)
+    assert set(out.inputFiles()) == files[2] and out.schema == seen[0].schema and out.count() == seen[0].filter("doc_id % 7 > 0").count()
