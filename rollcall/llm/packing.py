@@ -33,9 +33,8 @@ from rollcall.llm import tokens
 from rollcall.llm.common import in_batches, stored
 
 LENGTH, CLOSING, SHARD = 1024, 0, 4096
-#: BM25 parameters; terms of a seed that ask (those of the largest weight); neighbours
-#: that are looked at before one is cut.
-K1, B, TERMS, AHEAD = 1.2, 0.75, 48, 8
+#: BM25 parameters; neighbours that are looked at before one is cut.
+K1, B, AHEAD = 1.2, 0.75, 8
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 TAILS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>, tail binary, place long"
@@ -107,16 +106,15 @@ class Index:
         doc, term = pair // len(idf), pair % len(idf)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
         self.of_doc = np.searchsorted(doc, np.arange(len(tails) + 1))
-        self.terms, self.weights = term, weight
+        self.terms = term
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order].astype(np.float32)
+        self.doc, self.weight = doc[order], weight[order].astype(np.float64)
         self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
         self.tails = len(tails)
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 score of every tail for the terms of one."""
-        own = slice(self.of_doc[seed], self.of_doc[seed + 1])
-        terms = self.terms[own][np.argsort(-self.weights[own], kind="stable")[:TERMS]]
+        """BM25 score of every tail for all terms of one."""
+        terms = self.terms[self.of_doc[seed]: self.of_doc[seed + 1]]
         places = [slice(self.first[t], self.first[t + 1]) for t in terms.tolist()]
         return np.bincount(np.concatenate([self.doc[p] for p in places]), weights=np.concatenate([self.weight[p] for p in places]), minlength=self.tails)
 

@@ -80,3 +80,15 @@ def test_bm25_matches_the_formula():
     index = P.Index(tails, idf, 3.0)
     want = [sum(idf[t] * (tail == t).sum() * (P.K1 + 1) / ((tail == t).sum() + P.K1 * (1 - P.B + P.B * len(tail) / 3.0)) for t in (1, 2)) for tail in tails]
     assert np.allclose(index.scores(0), want, atol=1e-5)
+
+
+def test_all_terms_of_a_seed_ask():
+    """A tail that shares only one of the seed's lightest terms is a neighbour."""
+    tails = [np.arange(1, 601), np.array([600, 900]), np.array([901, 902])]
+    idf = np.linspace(2.0, 1.0, 1000, dtype=np.float32)
+    index = P.Index(tails, idf, 200.0)
+    scores = index.scores(0)
+    assert scores[1] > 0 == scores[2]
+    for i, tail in enumerate(tails):
+        want = sum(idf[t] * (P.K1 + 1) / (1 + P.K1 * (1 - P.B + P.B * len(tail) / 200.0)) for t in tail if t <= 600)
+        assert np.isclose(scores[i], want, rtol=1e-5)
