@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,15 +45,24 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 NARROW_ROWS = 250_000
 
 
-def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+#: Folders that open ``scratch`` blocks have to delete, innermost last.
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a reliable cut of the
     lineage that any executor can reread after a loss. What was shuffled for it is not
     needed any more, and its files go at once. ``rows``, a bound on the rows of a narrow
-    table where it is known, keeps a small table from being dealt over many tasks."""
+    table where it is known, keeps a small table from being dealt over many tasks.
+    Inside a ``scratch`` block the table goes at the block's end, with ``keep`` at the end
+    of the block around it."""
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(12, -(-rows // NARROW_ROWS)))
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    scopes = _scopes.get()[: -1 if keep else None]
+    if scopes:
+        scopes[-1].append(path)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -60,6 +72,22 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """Tables that ``stored`` writes inside the block, and operators called in it, are
+    deleted at its end. What is returned must be read from tables that are kept."""
+    paths: list[str] = []
+    token = _scopes.set((*_scopes.get(), paths))
+    try:
+        yield stored
+    finally:
+        _scopes.reset(token)
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        for place in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def in_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches handed to Python by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rollcall.llm import attribution, decontaminate, fingerprints, html, ngram_join, packing, pii, quality, substring, warc
+from rollcall.llm import attribution, bestfit, decontaminate, fingerprints, html, merkle, ngram_join, packing, pii, quality, substring, warc, whitening
 from rollcall.llm.common import table
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_benchmark_decontamination": lambda spark, d: decontaminate.op8_benchmark_decontamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_document_fingerprints": lambda spark, d: fingerprints.op9_document_fingerprints(table(spark, d, "documents")),
     "op10_substring_dedup": lambda spark, d: substring.op10_substring_dedup(table(spark, d, "documents")),
+    "op11_merkle_manifest": lambda spark, d: merkle.op11_merkle_manifest(table(spark, d, "documents")),
+    "op12_embedding_whitening": lambda spark, d: whitening.op12_embedding_whitening(table(spark, d, "embeddings")),
+    "op13_best_fit_packing": lambda spark, d: bestfit.op13_best_fit_packing(table(spark, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE, "op10_substring_dedup": substring.ORACLE, "op6_ngram_jaccard_join": ngram_join.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE, "op10_substring_dedup": substring.ORACLE, "op6_ngram_jaccard_join": ngram_join.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE, "op11_merkle_manifest": merkle.ORACLE}
