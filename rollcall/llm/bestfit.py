@@ -64,9 +64,21 @@ class Rule:
         return min(self.length, int(self.capacity[2] ** 0.5))
 
 
+_CAPITAL = np.zeros(256, bool)
+_CAPITAL[65:91] = True
+#: ASCII letters and digits, and the signs that are cut from a word's end behind them.
+_PLAIN, _CLOSERS = np.zeros(256, bool), np.zeros(256, bool)
+_PLAIN[48:58] = _PLAIN[65:91] = _PLAIN[97:123] = True
+_CLOSERS[[ord(c) for c in ".,;:!?"]] = True
+
+
 class WordEncoder(tokens.Encoder):
-    """Ids of texts by a vocabulary of words: white space goes and never matters to the
-    words around it, so ids are kept per word between ASCII white space."""
+    """Ids of texts by a vocabulary of words in lower case: white space goes and never
+    matters to the words around it, so ids are kept per word between ASCII white space. A
+    sign that ends a word after an ASCII letter or digit is a word of its own, as in the
+    vocabulary's split pattern. A capital is lowered only before an ASCII byte, as it may
+    otherwise be one character with the mark behind it; nothing is changed in texts
+    that could hold a special token's string."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -89,6 +101,15 @@ class WordEncoder(tokens.Encoder):
         if self.used > tokens._MOST_IDS:
             self._forget()
         starts, ends, first = K.word_bounds(data, offsets)
+        if b"<|" not in data.tobytes() and len(starts):
+            lower = _CAPITAL[data]
+            lower[:-1] &= data[1:] < 128
+            data = np.where(lower, data + np.uint8(32), data)
+            last = ends - 1
+            cut = (last > starts) & _CLOSERS[data[last]] & _PLAIN[data[np.maximum(last - 1, 0)]]
+            starts = np.insert(starts, np.flatnonzero(cut) + 1, last[cut])
+            ends = np.insert(ends, np.flatnonzero(cut), last[cut])
+            first = first + np.concatenate([[0], np.cumsum(cut)])[first]
         hashes = K.run_hashes(data, starts, ends)
         slot = (hashes >> K.U64(64 - tokens._SLOT_BITS)).astype(np.int64)
         place, count = self.place[slot], self.count[slot].astype(np.int64)

@@ -64,8 +64,9 @@ def test_words_have_the_ids_of_whole_texts():
     import pyarrow as pa
 
     rng = random.Random(3)
-    signs = "abAB12.,'́Éé😀　​\x00\x1c\x1f_-ſİΣς日本 \t\n\x0b\x0c\r "
+    signs = "abABHh12.,:!?'̱́Éé😀　​\x00\x1c\x1f_-ſİΣς日本 \t\n\x0b\x0c\r "
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(80))) for _ in range(3000)]
+    texts += ["Hẖ H̱. E\u0301, I\u0307! A.\u0301 a..", "The END. (x). 1, <|ENDOFTEXT|>.", "a,b. c.d, ..."]
     texts += ["it's I'LL '  s  ' ll", "<|endoftext|>a <|endoftext |>", ""]
     encoder = B.encoder(tokens.vocabulary("word_bpe_49k.json"))
     got = []
