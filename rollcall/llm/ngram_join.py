@@ -15,10 +15,13 @@ completely in some block that is not empty. A block of a row is one signature, a
    row of their most shared blocks, then the components so found. Pairs inside a
    component decide nothing and are skipped, so a large group of near copies costs
    about as many products as it has rows;
-3. what is left, pairs of different components, is multiplied out block by block: the
-   counts of equal blocks are accumulated and pairs below the bound that the sizes
-   give are discarded; for the others the overlap is counted exactly. Blocks that very
-   many rows share are multiplied only among rows that have little else.
+3. what is left, pairs of different components, is multiplied out n-gram by n-gram, for
+   the rows only that still share as many blocks and then n-grams with other components
+   as a link needs. Columns are the rarest such n-grams of a row, as many as a linked row
+   cannot miss all; by its place in a row's order of columns each bounds the overlap that
+   is left, and with it the sizes of the rows it may be linked to. Rows meet only in
+   columns and size bands that both bounds allow, so a column that very many near copies
+   share is multiplied only for those of them that can have a link elsewhere.
 
 A row with more empty blocks than its class allows for adds the n-grams of its prefix
 (its smallest hashes) as signatures; two such rows meet there.
@@ -40,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm import kernels as K
-from rollcall.llm.common import in_batches, numbered, stored
+from rollcall.llm.common import in_batches, numbered, scratch, stored
 from rollcall.llm.components import components, joined
 
 #: Words of an n-gram and the threshold as a ratio.
@@ -48,8 +51,8 @@ WORDS, NUM, DEN = 4, 85, 100
 #: Size classes grow by this; rounds in which rows meet single rows of a component, and
 #: how many rows they meet in a round.
 GROWTH, ROUNDS, MEET = 1.5, 2, 4
-#: Rows of different components from which a shared block is hot.
-HOT = 64
+#: Ratio of neighbouring size bands in which rows meet in a column.
+BAND = 1.02
 
 
 def class_of(size: int) -> tuple[int, int]:
@@ -139,9 +142,9 @@ def class_rows(docs: DataFrame, n: int) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(sig, row_id, key, n, k, filled) of every document: its signatures with the number
-    of blocks of the class and of those that are not empty."""
-    names = ["sig", "row_id", "key", "n", "k", "filled"]
+    """(sig, row_id, key, k, need) of every document: its signatures with the number of
+    blocks of the class and how many equal ones any linked row has."""
+    names = ["sig", "row_id", "key", "k", "need"]
 
     def rows(batches):
         for batch in batches:
@@ -153,20 +156,21 @@ def signature_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     if not len(g):
                         continue
                     key = xxhash.xxh3_64_intdigest(g.tobytes())
+                    differ = (len(g) + len(g) * den // num) * (den - num) // (den + num)
                     for hashes, k, filled in marked_signatures(g, num, den):
                         sig.append(hashes)
                         rep.append(len(hashes))
-                        reps.append((ids[row + i], key, len(g), k, filled))
+                        reps.append((ids[row + i], key, k, max(1, filled - differ)))
                 if not sig:
                     continue
                 times = np.array(rep)
                 cols = [np.concatenate(sig).view(np.int64)]
-                for j, kind in enumerate((np.int64, np.uint64, np.int32, np.int32, np.int32)):
+                for j, kind in enumerate((np.int64, np.uint64, np.int32, np.int32)):
                     cols.append(np.repeat(np.array([r[j] for r in reps], kind), times))
                 cols[2] = cols[2].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
-    return docs.mapInArrow(rows, "sig long, row_id long, key long, n int, k int, filled int")
+    return docs.mapInArrow(rows, "sig long, row_id long, key long, k int, need int")
 
 
 def gram_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -221,44 +225,43 @@ def _sizes_fit(x, y, num: int, den: int):
     return (F.least(x, y) * den) >= (F.greatest(x, y) * num)
 
 
-def _most_differ(num: int, den: int):
-    """n-grams that may differ between a row and the largest row that it can be linked to."""
-    return F.floor((F.col("n") + F.floor(F.col("n") * den / num)) * (den - num) / (den + num))
+def _enough(hits: DataFrame) -> DataFrame:
+    """Of rows' signatures (row_id, k, need, sig) those of rows that have as many as a
+    link needs, as arrays."""
+    return hits.groupBy("row_id", "k").agg(F.first("need").alias("need"), F.collect_list("sig").alias("sigs")).filter(F.size("sigs") >= F.col("need"))
 
 
-def _cores(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Rows that may still be linked to another component. A link asks for as many equal
-    blocks as the sizes leave, all of them shared between components; a row with fewer
-    such blocks has no link left. What goes leaves others with fewer, so it is done
-    again."""
+def _one_by_one(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("row_id", "k", "need", *more, F.explode("sigs").alias("sig"))
+
+
+def _column_product(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of ``rows`` (row_id, c) of different components that their n-grams allow to
+    be linked."""
+    n_of = F.size("grams")
+    entries = sets.join(rows, "row_id").select("row_id", "c", n_of.alias("n"), F.explode("grams").alias("g"))
+    least = F.floor((F.col("n") * num + (den - 1)) / den)  # overlap with any linked row
     for _ in range(2):
-        spread = rows.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("sig")
-        rows = stored(rows.join(spread, "sig"), "join-spread", size)
-        enough = rows.groupBy("row_id", "k").agg(F.count("*").alias("m"), F.first("filled").alias("f"), F.first("n").alias("n"))
-        enough = enough.filter(F.col("m") >= F.col("f") - _most_differ(num, den)).select("row_id", "k")
-        rows = stored(rows.join(enough, ["row_id", "k"]), "join-cores", size)
-    return rows
-
-
-def _block_product(apart: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of rows of different components with as many equal blocks as a link needs.
-
-    Linked rows of ``k`` blocks have at least k - D equal ones, D by their sizes, and
-    at most as many of these are empty or of a hot signature as either row has of such
-    blocks. So a row with few of them meets all its links in blocks that are not hot;
-    hot blocks are multiplied among the other rows only, those that are mostly made of
-    hot blocks."""
-    hot = apart.groupBy("row_id", "k").agg(F.count(F.when(F.col("hot"), 1)).alias("h"))
-    rows = apart.join(hot, ["row_id", "k"]).withColumn("all_met", F.col("filled") - F.col("h") > _most_differ(num, den))
-    rows = rows.filter(~(F.col("hot") & F.col("all_met")))
-    x, y = (rows.select("sig", "k", F.col("row_id").alias(e), *[F.col(c).alias(f"{c}_{e}") for c in ("n", "filled", "h", "c", "all_met")]) for e in "ab")
-    both = x.join(y, ["sig", "k"]).filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), num, den))
-    # equal blocks that are looked at: all, or those that are not hot
-    whole = ~F.col("all_met_a") & ~F.col("all_met_b")
-    seen = F.when(whole, F.greatest("filled_a", "filled_b")).otherwise(F.greatest(F.col("filled_a") - F.col("h_a"), F.col("filled_b") - F.col("h_b")))
-    differ = F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / (den + num))
-    counted = both.groupBy("a", "b", "k", (seen - differ).alias("least")).agg(F.count("*").alias("equal"))
-    return counted.filter(F.col("equal") >= F.col("least")).select("a", "b").distinct()
+        # n-grams of several components; without the others a row must have enough left.
+        # What goes leaves others with fewer, so it is done again
+        shared = entries.groupBy("g").agg(F.count("*").alias("many"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("g", "many")
+        left = entries.join(shared, "g").groupBy("row_id").agg(F.first("c").alias("c"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("many", "g"))).alias("cols"))
+        left = stored(left.filter(F.size("cols") >= least), "join-columns")
+        entries = left.select("row_id", "c", "n", F.explode("cols.g").alias("g"))
+    # two linked rows share one of the first columns of each, in the same order
+    first = left.withColumn("least", least.cast("int")).select("row_id", "c", "n", "least", F.size("cols").alias("all"), F.posexplode(F.expr("slice(cols, 1, size(cols) - least + 1)")).alias("at", "col"))
+    rest = F.col("all") - F.col("at")  # columns from this one on: the overlap is no larger
+    widest = F.floor(rest * (num + den) / num) - F.col("n")
+    first = first.select("row_id", "c", "n", F.col("col.g").alias("g"), F.least(F.floor(F.col("n") * den / num), widest).alias("most"), "least")
+    first = stored(first.filter("most >= least"), "join-first")
+    band = lambda size: F.floor(F.log(size.cast("double")) / float(np.log(BAND))).cast("int")
+    # pairs inside the largest component of a column decide nothing
+    main = first.groupBy("g", "c").agg(F.count("*").alias("m")).groupBy("g").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    mine = first.join(main.select("g", "main"), "g")
+    x = mine.filter("c != main").select("g", F.col("row_id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("least").alias("la"), F.col("most").alias("ma"), F.explode(F.sequence(band(F.col("least")), band(F.col("most")))).alias("band"))
+    y = mine.select("g", F.col("row_id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("least").alias("lb"), F.col("most").alias("mb"), band(F.col("n")).alias("band"))
+    both = x.join(y, ["g", "band"]).filter("ca != cb and nb between la and ma and na between lb and mb")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -267,60 +270,78 @@ def classes(docs: DataFrame, n: int = WORDS, num: int = NUM, den: int = DEN) ->
     spark = docs.sparkSession
     in_batches(spark)
     docs = numbered(docs)
-    info = stored(class_rows(docs.select("row_id", "doc_id", "text"), n), "join-classes")
-    reps = info.filter("n > 0").groupBy("key").agg(F.min("row_id").alias("rep"))
+    with scratch(spark):
+        info = stored(class_rows(docs.select("row_id", "doc_id", "text"), n), "join-classes")
+        reps = info.filter("n > 0").groupBy("key").agg(F.min("row_id").alias("rep"))
+        label = _components(docs, reps, n, num, den)
+        rows = info.join(reps, "key", "left").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        rows = rows.select("row_id", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "row_id").alias("component"))
+        return stored(rows, "join-components", keep=True)
+
+
+def _components(docs: DataFrame, reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(node, component) of the rows that are linked."""
+    spark = docs.sparkSession
     sigs = signature_rows(docs.select("row_id", "text"), n, num, den)
-    # blocks that at least two different sets share; a partial aggregate, so that the
-    # copies of a set shrink before the shuffle
-    shared = sigs.groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.min("row_id").alias("anchor")).filter("lo != hi").select("sig", "anchor")
-    # stored in between, or the join with the rows that stand for a class, which leaves
-    # most signatures, would be moved below the one that leaves few
-    hits = stored(sigs.drop("key").join(stored(shared, "join-shared"), "sig"), "join-hits")
-    block = stored(hits.join(reps.select(F.col("rep").alias("row_id")), "row_id", "left_semi"), "join-blocks")
-    size = block.count()  # no table of signatures below has more rows
-    met = block.select("row_id").distinct()
-    sets = stored(gram_sets(docs.select("row_id", "text").join(met, "row_id", "left_semi"), n), "join-sets")
+    with scratch(spark):
+        # blocks that at least two different sets share; a partial aggregate, so that the
+        # copies of a set shrink before the shuffle
+        shared = sigs.groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo != hi").select("sig")
+        # stored in between, or the join with the rows that stand for a class, which leaves
+        # most signatures, would be moved below the one that leaves few
+        hits = stored(sigs.drop("key").join(stored(shared, "join-shared"), "sig"), "join-hits")
+        own = stored(_enough(hits.join(reps.select(F.col("rep").alias("row_id")), "row_id", "left_semi")), "join-own")
+        # blocks that such rows share with each other
+        of_block = _one_by_one(own).groupBy("sig").agg(F.min("row_id").alias("anchor"), F.max("row_id").alias("last")).filter("anchor != last").select("sig", "anchor")
+        block = _one_by_one(own).join(of_block, "sig").groupBy("row_id", "k").agg(F.first("need").alias("need"), F.collect_list(F.struct("sig", "anchor")).alias("s"))
+        block = block.filter(F.size("s") >= F.col("need")).select("row_id", "k", "need", F.col("s.sig").alias("sigs"), F.col("s.anchor").alias("anchors"))
+        block = stored(block, "join-blocks", keep=True)
+    size = block.count()
+    sets = stored(gram_sets(docs.select("row_id", "text").join(block.select("row_id").distinct(), "row_id", "left_semi"), n), "join-sets")
     blocks = stored(block_rows(sets, num, den), "join-block-rows")
-
     # first round: each row and the smallest row of most of its shared blocks
-    first = block.filter("row_id != anchor").groupBy("row_id", "anchor").agg(F.count("*").alias("c"))
+    first = block.select("row_id", F.explode("anchors").alias("anchor")).filter("row_id != anchor").groupBy("row_id", "anchor").agg(F.count("*").alias("c"))
     first = first.groupBy("row_id").agg(F.max_by("anchor", F.struct("c", -F.col("anchor"))).alias("anchor"))
     pairs = stored(first.select(F.least("row_id", "anchor").alias("a"), F.greatest("row_id", "anchor").alias("b")).distinct(), "join-pairs", size)
     label = components(stored(linked(pairs, blocks, sets, num, den), "join-links"))
     tested = pairs
     for round_no in range(ROUNDS + 1):
-        by_block = block.join(label.select(F.col("node").alias("row_id"), F.col("component").alias("c")), "row_id", "left")
-        by_block = stored(by_block.select("sig", "row_id", "n", "k", "filled", F.coalesce("c", "row_id").alias("c")), "join-labelled", size)
-        by_block = _cores(by_block, size, num, den)
-        # how many rows of each component a block has, and a few of them
-        some = [F.min_by(F.struct("row_id", "n"), F.xxhash64("row_id", F.lit(round_no * MEET + i))) for i in range(MEET)]
-        parts = by_block.groupBy("sig", "c").agg(F.count("*").alias("m"), F.array(*some).alias("some"))
-        mixed = parts.groupBy("sig").agg(F.count("*").alias("parts"), F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("sq"), F.max_by(F.struct("c", "some"), F.struct("m", "c")).alias("main")).filter("parts > 1")
-        mixed = stored(mixed, "join-mixed", size)
-        left = mixed.agg(F.sum((F.col("rows") * F.col("rows") - F.col("sq")) / 2).alias("pairs"), F.sum("rows").alias("rows")).first()
-        if not left["pairs"]:
-            break
-        apart = stored(by_block.join(mixed.select("sig", "main", (F.col("rows") > HOT).alias("hot")), "sig"), "join-apart", size)
-        final = round_no == ROUNDS or left["pairs"] <= 8 * left["rows"]
-        if not final:
-            # rows outside a block's largest component meet some rows of it, those that
-            # they share most blocks with
-            met_by = apart.filter(F.col("c") != F.col("main.c")).select("row_id", "n", F.explode("main.some").alias("other"))
-            met_by = met_by.filter(_sizes_fit(F.col("n"), F.col("other.n"), num, den)).groupBy("row_id", F.col("other.row_id").alias("other")).agg(F.count("*").alias("k"))
-            # at most MEET for each of the row's blocks
-            best = met_by.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("k", "other")), False).alias("o"))
-            best = best.select("row_id", F.explode(F.slice("o", 1, MEET)).alias("o")).select("row_id", F.col("o.other").alias("other"))
-            pairs = best.select(F.least("row_id", "other").alias("a"), F.greatest("row_id", "other").alias("b")).distinct()
-        else:
-            pairs = _block_product(apart, num, den)
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "join-pairs", None if final else size)
-        label = stored(joined(label, stored(linked(pairs, blocks, sets, num, den), "join-links")), "join-labels", size)
+        with scratch(spark):
+            rows = block.drop("anchors").join(label.select(F.col("node").alias("row_id"), F.col("component").alias("c")), "row_id", "left").withColumn("c", F.coalesce("c", "row_id"))
+            rows = stored(rows, "join-labelled", size)
+            # rows that share enough blocks with other components
+            by_block = _one_by_one(rows, "c")
+            spread = by_block.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("sig")
+            rows = by_block.join(spread, "sig").groupBy("row_id", "k").agg(F.first("need").alias("need"), F.first("c").alias("c"), F.collect_list("sig").alias("sigs"))
+            rows = stored(rows.filter(F.size("sigs") >= F.col("need")), "join-cores", size)
+            by_block = _one_by_one(rows, "c").join(sets.select("row_id", F.size("grams").alias("n")), "row_id")
+            # how many rows of each component a block has, and a few of them
+            some = [F.min_by(F.struct("row_id", "n"), F.xxhash64("row_id", F.lit(round_no * MEET + i))) for i in range(MEET)]
+            parts = by_block.groupBy("sig", "c").agg(F.count("*").alias("m"), F.array(*some).alias("some"))
+            mixed = parts.groupBy("sig").agg(F.count("*").alias("parts"), F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("sq"), F.max_by(F.struct("c", "some"), F.struct("m", "c")).alias("main")).filter("parts > 1")
+            mixed = stored(mixed, "join-mixed")
+            left = mixed.agg(F.sum((F.col("rows") * F.col("rows") - F.col("sq")) / 2).alias("pairs"), F.sum("rows").alias("rows")).first()
+            if not left["pairs"]:
+                break
+            final = round_no == ROUNDS or left["pairs"] <= 8 * left["rows"]
+            if not final:
+                # rows outside a block's largest component meet some rows of it, those that
+                # they share most blocks with
+                apart = by_block.join(mixed.select("sig", "main"), "sig")
+                met_by = apart.filter(F.col("c") != F.col("main.c")).select("row_id", "n", F.explode("main.some").alias("other"))
+                met_by = met_by.filter(_sizes_fit(F.col("n"), F.col("other.n"), num, den)).groupBy("row_id", F.col("other.row_id").alias("other")).agg(F.count("*").alias("k"))
+                # at most MEET for each of the row's blocks
+                best = met_by.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("k", "other")), False).alias("o"))
+                best = best.select("row_id", F.explode(F.slice("o", 1, MEET)).alias("o")).select("row_id", F.col("o.other").alias("other"))
+                pairs = best.select(F.least("row_id", "other").alias("a"), F.greatest("row_id", "other").alias("b")).distinct()
+            else:
+                pairs = _column_product(rows.select("row_id", "c").distinct(), sets, num, den)
+            pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "join-pairs", None if final else size, keep=True)
+            label = stored(joined(label, stored(linked(pairs, blocks, sets, num, den), "join-links")), "join-labels", size, keep=True)
         if final:
             break
         tested = tested.unionByName(pairs)
-
-    rows = info.join(reps, "key", "left").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return rows.select("row_id", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "row_id").alias("component"))
+    return label
 
 
 def op6_ngram_jaccard_join(docs: DataFrame) -> DataFrame:

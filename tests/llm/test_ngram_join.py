@@ -66,14 +66,14 @@ def test_components_match_brute_force(spark, n, num, den):
 
 
 def test_rounds_and_full_product(spark, monkeypatch):
-    """The same with no rounds and with very many."""
+    """The same with no rounds and with many, and with other bands."""
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(50)]
     rows = family(rng, 1, 70, 50, 6, vocabulary) + family(rng, 500, 40, 30, 5, vocabulary)
     want = brute(rows, 4, 85, 100)
-    for rounds, hot in ((0, 64), (0, 2), (0, 5), (6, 3)):
+    for rounds, band in ((0, 1.5), (4, 1.02)):
         monkeypatch.setattr(J, "ROUNDS", rounds)
-        monkeypatch.setattr(J, "HOT", hot)
+        monkeypatch.setattr(J, "BAND", band)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.op6_ngram_jaccard_join(documents(spark, rows)).collect()}
         assert got == want
 
