@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from conftest import SMALL, documents
+from pyspark.sql import functions as F
 from test_decontaminate import brute as contaminated
 from test_ngram_join import brute as groups
 from test_packing import verify
@@ -43,6 +44,21 @@ def test_run_and_empty_input(spark):
         assert out.count() == 0
 
 
+def test_extra_columns_with_clashing_names(spark):
+    names = ["p_top", "expected_grade", "row_id", "_new", "_null", "pii_email", "bad_id", "key", "component", "item_id", "start", "a.b"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs = docs.select(*docs.columns, *[F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names])
+    before = {r["doc_id"]: r for r in docs.collect()}
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and len({r["doc_id"] for r in rows}) == len(rows)
+        for r in rows:
+            assert all(r[n] == before[r["doc_id"]][n] for n in (*names, "lang", "source")), name
+    assert verify(P.STAGES[-1][1](spark, docs, SMALL).collect(), [(k, r["text"]) for k, r in before.items()]) == 0
+
+
 def test_stages_read_what_is_stored(spark, monkeypatch):
     seen = []
 
