@@ -51,6 +51,9 @@ WORDS, NUM, DEN = 4, 85, 100
 #: Size classes grow by this; rounds in which rows meet single rows of a component, and
 #: how many rows they meet in a round.
 GROWTH, ROUNDS, MEET = 1.5, 2, 4
+#: One more block for so many that may differ: with too few, blocks of a single n-gram,
+#: which are equal by chance, would make up what a link needs.
+SPARE = 5
 #: Ratio of neighbouring size bands in which rows meet in a column.
 BAND = 1.02
 
@@ -78,7 +81,7 @@ def blocks_of(top: int, num: int, den: int) -> tuple[int, int]:
     differ = 2 * top * (den - num) // (den + num)
     if not differ:
         return 0, 0
-    spare = 0 if differ < 2 else 1 + differ // 16
+    spare = 0 if differ < 2 else 1 + differ // SPARE
     return differ + 1 + spare, spare
 
 
