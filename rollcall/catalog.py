@@ -752,6 +752,28 @@ def q_prepare(spark, sf_dir):
     return tr.unionByName(te)
 
 
+@register("similar_events", O.with_flat(
+    ", r_ev AS (SELECT event_id, row_number() OVER (ORDER BY md5('42|' || event_id)) - 1 AS id, CAST(min(duration_minutes) AS DOUBLE) AS d, "
+    "CAST(count(*) AS DOUBLE) AS n, CAST(sum(attended) AS DOUBLE) AS a FROM r_flat WHERE duration_minutes IS NOT NULL GROUP BY event_id)\n"
+    ", r_pair AS (SELECT x.event_id, y.event_id AS similar_id, (x.d - y.d) * (x.d - y.d) + (x.n - y.n) * (x.n - y.n) + (x.a - y.a) * (x.a - y.a) AS dist, y.id "
+    "FROM r_ev x JOIN r_ev y ON x.id <> y.id)\n"
+    "SELECT event_id, CAST(place AS INTEGER) AS place, similar_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY dist, id) - 1 AS place FROM r_pair) WHERE place < 5"))
+def q_similar_events(spark, sf_dir):
+    """The neighbours that M4 rests on, over events: duration, registrations, attendees."""
+    from pyspark.sql import functions as F
+
+    from rollcall.operators.knn import nearest_neighbours
+    from rollcall.operators.sampling import hash_rank
+    from rollcall.session import cut_lineage
+
+    known = flat(spark, sf_dir).filter("duration_minutes IS NOT NULL").groupBy("event_id")
+    events = known.agg(F.min("duration_minutes").cast("double").alias("d"), F.count(F.lit(1)).cast("double").alias("n"), F.sum("attended").cast("double").alias("a"))
+    events = cut_lineage(hash_rank(events, ["event_id"], [], out="id").select("event_id", "id", F.array("d", "n", "a").alias("x")))
+    got = nearest_neighbours(events.select("id", "x"), 5).table
+    names, others = events.select("event_id", F.col("id").alias("qid")), events.select(F.col("event_id").alias("similar_id"), F.col("id").alias("rid"))
+    return got.join(names, "qid").join(others, "rid").select("event_id", F.col("nn").cast("int").alias("place"), "similar_id", "dist")
+
+
 @register("smote_oversample", None)
 def q_smote(spark, sf_dir):
     p = _prepared(spark, sf_dir)
@@ -1324,7 +1346,7 @@ def q_predict(spark, sf_dir):
     "USING (student_id, event_id))\n"
     "SELECT event_id, CAST(sum(CASE WHEN p >= 0.5e0 THEN 1 ELSE 0 END) AS BIGINT) AS predicted_attendees, CAST(min(num_registrations) AS BIGINT) AS total_registered, "
     "round_even(sum(CASE WHEN p >= 0.5e0 THEN 1 ELSE 0 END) / CAST(greatest(min(num_registrations), 1) AS DOUBLE), 6) AS attendance_rate, "
-    "round_even(avg(p), 6) AS avg_probability, CAST(count(*) AS BIGINT) AS scored_students FROM r_cs GROUP BY event_id")))
+    "round_even(CAST(sum(CAST(round(p * 100) AS BIGINT)) AS DOUBLE) / (100 * count(*)), 6) AS avg_probability, CAST(count(*) AS BIGINT) AS scored_students FROM r_cs GROUP BY event_id")))
 def q_event_turnout(spark, sf_dir):
     """A18 over the candidates of planned events, scored by the scorecard."""
     from pyspark.sql import functions as F

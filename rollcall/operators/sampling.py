@@ -1,11 +1,13 @@
 """Reproducible sampling, stratified split and folds.
 
 All three rest on ``hash_rank``: an exact 0-based rank of rows inside a group by a
-seeded md5 order, computed without sending a group to one task. Rows are put in
-ordered buckets by the first hex digits of the hash (buckets are ranges of the
-order); a tiny (group, bucket) count table gives each bucket its offset, and only
-the rows of one bucket are ranked together. md5 over text is computed the same
-way by Spark and by SQL engines, so the ranks are reproducible anywhere.
+seeded md5 order, computed without sending a group to one task. Rows are put in ordered
+buckets by the first hex digits of the hash (buckets are ranges of the order); buckets
+with too many rows are split again by the next digits, and so on. The counts form a tree:
+a node's offset is the sum of its smaller siblings, of which there are at most 4096, and
+a row's rank is the sum of the offsets on its way down and its place among the rows of
+its last, bounded bucket. md5 over text is computed the same way by Spark and by SQL
+engines, so the ranks are reproducible anywhere.
 """
 
 from __future__ import annotations
@@ -16,8 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall import constants as K
+from rollcall.session import cut_lineage
 
-BUCKET_HEX_DIGITS = 3  # 4096 ordered buckets
+#: Hex digits that a level of buckets looks at (4096 children), of 32 in all, and the rows
+#: from which a bucket is split again.
+BUCKET_HEX_DIGITS, HEX_DIGITS = 3, 32
+BUCKET_ROWS = 1 << 18
 
 
 def seeded_hash(cols: Sequence[str], seed: int = K.SEED) -> Column:
@@ -25,22 +31,34 @@ def seeded_hash(cols: Sequence[str], seed: int = K.SEED) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def hash_rank(df: DataFrame, key_cols: Sequence[str], group_cols: Sequence[str] = (), seed: int = K.SEED, out: str = "_rank") -> DataFrame:
+def hash_rank(df: DataFrame, key_cols: Sequence[str], group_cols: Sequence[str] = (), seed: int = K.SEED, out: str = "_rank", most: int = BUCKET_ROWS) -> DataFrame:
     """Add ``out``: exact 0-based rank of each row within ``group_cols`` ordered by
-    md5(seed|keys) (keys must be unique within a group)."""
+    md5(seed|keys) (keys must be unique within a group; null groups are one group). The
+    rows are checkpointed once, as they are counted level by level; no window holds more
+    than ``most`` rows or 4096 offsets."""
     groups = list(group_cols)
-    h = df.withColumn("_h", seeded_hash(key_cols, seed)).withColumn("_bk", F.substring("_h", 1, BUCKET_HEX_DIGITS))
-    counts = h.groupBy(*groups, "_bk").agg(F.count(F.lit(1)).alias("_n"))
-    ow = Window.partitionBy(*groups).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1) if groups else (
-        Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    # (#groups x buckets) rows; Spark broadcasts them if they are few
-    offsets = counts.select(*groups, "_bk", F.coalesce(F.sum("_n").over(ow), F.lit(0)).alias("_off"))
-    within = Window.partitionBy(*groups, "_bk").orderBy("_h")
-    ranked = h.join(offsets, [*groups, "_bk"]).withColumn(
-        out, (F.col("_off") + F.row_number().over(within) - 1).cast("long")
-    )
-    return ranked.drop("_h", "_bk", "_off")
+    rows = cut_lineage(df.withColumn("_h", seeded_hash(key_cols, seed))).withColumn("_off", F.lit(0).cast("long")).withColumn("_open", F.lit(True))
+    path: list[str] = []
+    for at in range(1, HEX_DIGITS, BUCKET_HEX_DIGITS):
+        child = f"_b{at}"
+        rows = rows.withColumn(child, F.when(F.col("_open"), F.substring("_h", at, BUCKET_HEX_DIGITS)))
+        counts = rows.filter("_open").groupBy(*groups, *path, child).agg(F.count(F.lit(1)).alias("_n"))
+        smaller = Window.partitionBy(*[F.col(c) for c in groups + path] or [F.lit(0)]).orderBy(child).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select(*[F.col(c).alias(f"_k_{c}") for c in (*groups, *path, child)], F.coalesce(F.sum("_n").over(smaller), F.lit(0)).alias("_add"), (F.col("_n") > most).alias("_more"))
+        offsets = cut_lineage(offsets)  # as many rows as buckets; Spark broadcasts them if they are few
+        # a closed row has no child and meets no offset
+        same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in groups] + [F.col(c) == F.col(f"_k_{c}") for c in (*path, child)]
+        on = same[0]
+        for one in same[1:]:
+            on = on & one
+        rows = rows.join(offsets, on, "left").withColumn("_off", F.col("_off") + F.coalesce("_add", F.lit(0))).withColumn("_open", F.coalesce("_more", F.lit(False)))
+        path.append(child)
+        rows = rows.drop(*[f"_k_{c}" for c in (*groups, *path)], "_add", "_more")
+        if offsets.filter("_more").isEmpty():
+            break
+    within = Window.partitionBy(*groups, *path).orderBy("_h")
+    ranked = rows.withColumn(out, (F.col("_off") + F.row_number().over(within) - 1).cast("long"))
+    return ranked.drop("_h", "_off", "_open", *path)
 
 
 def class_test_sizes(df: DataFrame, label: str = "label", test_fraction: float = K.TEST_FRACTION) -> DataFrame:

@@ -5,26 +5,20 @@ M3 is one aggregate. M4 follows the SMOTE recipe -- a synthetic row is
 minority neighbours -- with exact neighbours:
 
 * minority rows get a dense 0-based id (seeded hash rank) and a block number;
-* every (query block, reference block) pair is one ``applyInPandas`` group
-  holding at most 2 x ``block_rows`` rows (distances computed in 1024-row tiles),
-  which keeps every task bounded no matter how large the class is; it emits each query's k best candidates in that
-  block (partial top-k), and a ``row_number`` over (query) merges them;
+* neighbours come from the pivot join of ``knn.py``: a row is compared only with the
+  rows of cells that can hold a nearer one;
 * the i-th synthetic row draws its base, neighbour slot and lambda from seeded
   hashes of i, and meets its two parents through equi-joins on the ids; the
   interpolation is a native ``zip_with`` over the feature arrays.
-
-The work is quadratic in the minority class size (exact kNN is); it is spread
-evenly over (blocks^2) tasks with no group ever larger than two blocks.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall import constants as K
+from rollcall.operators.knn import nearest_neighbours
 from rollcall.operators.sampling import hash_rank
 
 
@@ -55,61 +49,11 @@ def smote_plan(train: DataFrame, label: str = "label") -> DataFrame:
     )
 
 
-def _knn_schema(k: int) -> str:
-    return "qid long, rid long, dist double"
-
-
-def _block_knn(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = pdf[pdf["_side"] == 0]
-        r = pdf[pdf["_side"] == 1]
-        if q.empty or r.empty:
-            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "rid": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
-        qx_all = np.stack(q["x"].to_numpy()).astype(np.float64)
-        rx = np.stack(r["x"].to_numpy()).astype(np.float64)
-        r2 = (rx * rx).sum(1)
-        qid_all = q["id"].to_numpy()
-        rid = r["id"].to_numpy()
-        kk = min(k, rx.shape[0])
-        parts = []
-        for lo in range(0, qx_all.shape[0], 1024):  # bounded distance tile (1024 x block)
-            qx, qid = qx_all[lo : lo + 1024], qid_all[lo : lo + 1024]
-            d = (qx * qx).sum(1)[:, None] + r2[None, :] - 2.0 * qx @ rx.T
-            np.maximum(d, 0.0, out=d)
-            d[qid[:, None] == rid[None, :]] = np.inf  # a row is not its own neighbour
-            idx = np.argpartition(d, kk - 1, axis=1)[:, :kk]
-            rows = np.repeat(np.arange(d.shape[0]), kk)
-            cols = idx.ravel()
-            dist = d[rows, cols]
-            keep = np.isfinite(dist)
-            parts.append(pd.DataFrame({"qid": qid[rows][keep], "rid": rid[cols][keep], "dist": dist[keep]}))
-        return pd.concat(parts, ignore_index=True)
-
-    return run
-
-
 def knn_minority(minority: DataFrame, k: int = K.SMOTE_K, block_rows: int = 8192, query_ids: DataFrame | None = None) -> DataFrame:
     """Exact k nearest neighbours (euclidean) among ``minority`` rows (columns id, x),
     for every row or only for the ids in ``query_ids`` (column id).
     Returns (qid, rid, dist, nn) with nn = 0..k-1 in distance order (ties by rid)."""
-    m = minority.agg(F.max("id").alias("m")).first()["m"]
-    m = 0 if m is None else m + 1
-    qsrc = minority if query_ids is None else minority.join(query_ids.select("id").distinct(), "id", "left_semi")
-    nq = m if query_ids is None else qsrc.count()
-    rblocks = max(1, -(-m // block_rows))
-    qblocks = max(1, -(-nq // block_rows))
-    refs = minority.select(
-        "id", "x", F.lit(1).alias("_side"), F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))).alias("qb"),
-        (F.col("id") % rblocks).cast("int").alias("rb"),
-    )
-    queries = qsrc.select(
-        "id", "x", F.lit(0).alias("_side"), (F.xxhash64("id") % qblocks).cast("int").alias("_qb0"),
-        F.explode(F.sequence(F.lit(0), F.lit(rblocks - 1))).alias("rb"),
-    ).withColumn("qb", F.pmod(F.col("_qb0"), F.lit(qblocks))).drop("_qb0")
-    pairs = queries.unionByName(refs)
-    partial = pairs.groupBy("qb", "rb").applyInPandas(_block_knn(k), _knn_schema(k))
-    w = Window.partitionBy("qid").orderBy("dist", "rid")
-    return partial.withColumn("nn", F.row_number().over(w) - 1).filter(F.col("nn") < k)
+    return nearest_neighbours(minority, k, block_rows, query_ids).table
 
 
 def _unit(seed: int, j: F.Column, tag: str) -> F.Column:

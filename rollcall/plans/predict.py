@@ -265,11 +265,14 @@ def score_rows(model: PipelineModel, featured: DataFrame, cols: list[str]) -> Da
 
 def event_turnout(scored: DataFrame, threshold: float) -> DataFrame:
     """Per planned event predicted attendees (p >= threshold), the requested
-    registrations, their ratio, mean probability, confidence band, scored students."""
+    registrations, their ratio, mean probability, confidence band, scored students.
+    Probabilities are added as whole units of 1e-12, so that the mean does not depend on
+    the order in which partitions are added up."""
+    units = F.sum(F.round(F.col("p") * F.lit(1e12)).cast("decimal(38,0)"))
     g = scored.groupBy("event_id").agg(
         F.sum(F.when(F.col("p") >= F.lit(threshold), 1).otherwise(0)).cast("long").alias("predicted_attendees"),
         F.first("num_registrations").alias("total_registered"),
-        F.avg("p").alias("avg_probability"),
+        (units.cast("double") / (F.count("p") * F.lit(1e12))).alias("avg_probability"),
         F.count(F.lit(1)).alias("scored_students"),
     )
     return g.select(

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from rollcall.operators import sampling
 from rollcall.operators.sampling import hash_rank, sample_students_per_event, stratified_split
 
 
@@ -36,3 +37,25 @@ def test_more_registered_than_students(spark):
     s = sample_students_per_event(planned, students)
     c = {r["event_id"]: r["count"] for r in s.groupBy("event_id").count().collect()}
     assert c == {"P1": 3, "P2": 5}
+
+
+def test_buckets_split_until_they_are_small(spark):
+    """Ranks of the plain md5 order, at any bucket size; null groups are a group."""
+    import hashlib
+
+    rows = [(i, ("a", "b", None)[i % 3 if i % 5 else 0]) for i in range(700)]
+    df = spark.createDataFrame(rows, "k long, g string")
+    want = {}
+    for g in ("a", "b", None):
+        for rank, k in enumerate(sorted((k for k, x in rows if x == g), key=lambda k: hashlib.md5(f"42|{k}".encode()).hexdigest())):
+            want[k] = rank
+    for digits, most in ((1, 1), (1, 20), (2, 3), (3, 1000)):
+        old = sampling.BUCKET_HEX_DIGITS
+        sampling.BUCKET_HEX_DIGITS = digits
+        try:
+            got = {r["k"]: r["r"] for r in sampling.hash_rank(df, ["k"], ["g"], 42, out="r", most=most).collect()}
+        finally:
+            sampling.BUCKET_HEX_DIGITS = old
+        assert got == want
+    whole = {r["k"]: r["r"] for r in sampling.hash_rank(df, ["k"], [], 42, out="r", most=10).collect()}
+    assert sorted(whole.values()) == list(range(700))
