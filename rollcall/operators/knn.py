@@ -1,7 +1,7 @@
 """Exact k nearest neighbours by a pivot (Voronoi) join.
 
-1. Some rows, the square root of their number and at most ``MOST_PIVOTS``, chosen by the
-   smallest hashes, are pivots; every row goes
+1. Some rows, chosen by the smallest hashes, are pivots: four for ``block_rows`` rows, but
+   no more than the square root of all or ``MOST_PIVOTS``; every row goes
    to the cell of its nearest pivot, and a cell is cut into rings of about ``block_rows``
    rows by the distance from the pivot. Rings are told by approximate quantiles, so no
    cell is sorted by one task.
@@ -109,7 +109,7 @@ def nearest_neighbours(rows: DataFrame, k: int, block_rows: int = 8192, query_id
     total = rows.count()
     if total < 2 or k < 1:
         return Neighbours(empty, 0)
-    wanted = min(MOST_PIVOTS, math.isqrt(total))
+    wanted = min(MOST_PIVOTS, math.isqrt(total), 4 * -(-total // block_rows))
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).select("x").collect()  # bounded: MOST_PIVOTS
     pivots = np.unique(np.array([r["x"] for r in chosen], float), axis=0)
     size = pivots.shape[1]

@@ -8,8 +8,11 @@ feature). Lineage is cut with reliable checkpoints (the shared
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
@@ -86,14 +89,28 @@ ROW_BYTES_PER_FEATURE = 8
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 
 
+#: Training input that is worth a partition of its own, and fits that run side by side.
+LEAST_PARTITION_BYTES = 8 * 1024 * 1024
+PARALLEL_FITS = 6
+
+
 def fit_partitions(df: DataFrame, rows: int, n_features: int) -> DataFrame:
-    """Repartition the training input once before an iterative fit: one partition per
-    core, or more when that would exceed ~128 MB per partition (large data)."""
+    """Repartition the training input once before an iterative fit: a partition of 8 MB at
+    least, as every one of some thousand passes pays for each; one per core at most, or
+    more when that would exceed ~128 MB per partition (large data)."""
     dp = df.sparkSession.sparkContext.defaultParallelism
-    target = max(dp, -(-rows * n_features * ROW_BYTES_PER_FEATURE // TARGET_PARTITION_BYTES))
+    size = rows * n_features * ROW_BYTES_PER_FEATURE
+    target = max(min(dp, max(1, -(-size // LEAST_PARTITION_BYTES))), -(-size // TARGET_PARTITION_BYTES))
     return df if df.rdd.getNumPartitions() == target else df.repartition(target)
 
 
+def side_by_side(spark, tasks: list, parallel: int = PARALLEL_FITS) -> list:
+    """Results of tasks (functions without arguments) in their order. Boosting is a long
+    chain of short jobs that leaves most cores idle; several chains fill them."""
+    with ThreadPoolExecutor(max(1, min(parallel, len(tasks)))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(task)) for task in tasks]]
+
+
 def weight_table(train: DataFrame, label: str = "label") -> DataFrame:
     """M5 as one row: class counts and weights; null where a class has no rows."""
     c = train.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(label), F.lit(0)).cast("long").alias("n_pos"))
@@ -204,16 +221,23 @@ def evaluate(scored: DataFrame) -> dict:
     return {"accuracy": cm["accuracy"], "f1_score": cm["f1"], "auc_roc": auc, "threshold": t}
 
 
-def cv_f1(name: str, train: DataFrame, folds: int = K.N_FOLDS) -> list[float]:
-    """F1 at the model's own 0.5 on each held-out fold of the (over-sampled) train set."""
-    scores = []
-    for f in range(folds):
-        fit_part = class_weights(train.filter(F.col("fold") != f), WEIGHT_MODE[name])
-        model = estimator_for(name, fit_part).fit(_vec(fit_part))
-        held = score(model, train.filter(F.col("fold") == f))
-        cm = MT.accuracy_f1(MT.confusion_matrix(held, K.DEFAULT_THRESHOLD)).first()
-        scores.append(cm["f1"])
-    return scores
+def fold_f1(name: str, train: DataFrame, fold: int) -> float:
+    """F1 at the model's own 0.5 on one held-out fold."""
+    part = class_weights(train.filter(F.col("fold") != fold), WEIGHT_MODE[name])
+    size = part.agg(F.count(F.lit(1)).alias("n"), F.first(F.size("x")).alias("width")).first()
+    part = fit_partitions(_vec(part), size["n"], size["width"] or 1).persist()
+    try:
+        model = estimator_for(name, part).fit(part)
+        held = score(model, train.filter(F.col("fold") == fold))
+        return MT.accuracy_f1(MT.confusion_matrix(held, K.DEFAULT_THRESHOLD)).first()["f1"]
+    finally:
+        part.unpersist()
+
+
+def cv_f1(name: str, train: DataFrame, folds: int = K.N_FOLDS, parallel: int = PARALLEL_FITS) -> list[float]:
+    """F1 at the model's own 0.5 on each held-out fold of the (over-sampled) train set;
+    the folds are fitted side by side from the one stored matrix."""
+    return side_by_side(train.sparkSession, [partial(fold_f1, name, train, f) for f in range(folds)], parallel)
 
 
 def feature_importance(model: PipelineModel, feature_cols: list[str]) -> list[tuple[str, float]] | None:
@@ -228,21 +252,38 @@ def feature_importance(model: PipelineModel, feature_cols: list[str]) -> list[tu
     return sorted(zip(feature_cols, imp), key=lambda t: -t[1])
 
 
-def train_one(name: str, prep: Prepared, cv: bool = True) -> TrainedModel:
+def fit_one(name: str, prep: Prepared) -> tuple[PipelineModel, dict]:
+    """A model fitted on the training part and its metrics on the test part."""
     rows = prep.plan["n"] + (prep.plan["n_synthetic"] or 0)
     weighted = fit_partitions(_vec(class_weights(prep.train, WEIGHT_MODE[name])), rows, len(prep.feature_cols)).persist()
-    model = estimator_for(name, weighted).fit(weighted)
-    metrics = evaluate(score(model, prep.test))
-    scores = cv_f1(name, prep.train) if cv else []
-    weighted.unpersist()
-    return TrainedModel(name, model, metrics, scores, feature_importance(model, prep.feature_cols))
+    try:
+        model = estimator_for(name, weighted).fit(weighted)
+        return model, evaluate(score(model, prep.test))
+    finally:
+        weighted.unpersist()
+
+
+def train_many(names: list[str], prep: Prepared, cv: bool = True) -> list[TrainedModel]:
+    """The models and the folds of their cross-validation, side by side."""
+    tasks = [partial(fit_one, n, prep) for n in names]
+    folds = range(K.N_FOLDS) if cv else ()
+    tasks += [partial(fold_f1, n, prep.train, f) for n in names for f in folds]
+    done = side_by_side(prep.train.sparkSession, tasks)
+    out, scores = [], done[len(names):]
+    for i, (name, (model, metrics)) in enumerate(zip(names, done)):
+        own = scores[i * len(folds): (i + 1) * len(folds)]
+        out.append(TrainedModel(name, model, metrics, own, feature_importance(model, prep.feature_cols)))
+    return out
+
+
+def train_one(name: str, prep: Prepared, cv: bool = True) -> TrainedModel:
+    return train_many([name], prep, cv)[0]
 
 
 def train_all_models(flat: DataFrame, cv: bool = True, models: list[str] | None = None) -> tuple[list[TrainedModel], Prepared]:
-    """Prepare once, fit the three models in order, evaluate each."""
+    """Prepare once, fit the three models, evaluate each."""
     prep = prepare_data(flat)
-    results = [train_one(n, prep, cv) for n in (models or K.MODEL_ORDER)]
-    return results, prep
+    return train_many(models or K.MODEL_ORDER, prep, cv), prep
 
 
 def comparison_frame(spark, results: list[TrainedModel]) -> DataFrame:
