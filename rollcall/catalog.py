@@ -813,11 +813,14 @@ for _qname, _mname in [("cv_f1", "logistic_regression"), ("cv_f1_random_forest",
     register(_qname, None)(lambda spark, sf_dir, _m=_mname: _cv(spark, sf_dir, _m))
 
 
-@register("feature_importance", None)
-def q_importance(spark, sf_dir):
-    fitted, _ = _fit(spark, sf_dir, "logistic_regression")
-    return spark.createDataFrame([("logistic_regression", f, float(v)) for f, v in fitted.importances],
-                                 "model_name string, feature string, importance double")
+def _importances(spark, sf_dir, model_name):
+    """One row for each of the model's features."""
+    fitted, _ = _fit(spark, sf_dir, model_name)
+    return spark.createDataFrame([(model_name, f, float(v)) for f, v in fitted.importances], "model_name string, feature string, importance double")
+
+
+for _qname, _mname in [("feature_importance", "logistic_regression"), ("feature_importance_random_forest", "random_forest"), ("feature_importance_gbt", "xgboost")]:
+    register(_qname, None)(lambda spark, sf_dir, _m=_mname: _importances(spark, sf_dir, _m))
 
 
 @register("train_all_models", None)
@@ -1440,6 +1443,60 @@ def q_scan_csv(spark, sf_dir):
     return TB.scan_registrations(spark, path)
 
 
+_BAD = (("semester", "x"), ("cgpa", "3;1"), ("event_date", "soon"), ("num_registrations", "many"))
+_BAD_SQL = ", r_bad AS (SELECT " + ", ".join(f"CASE WHEN md5('{c}|' || student_id || '|' || event_id) < '1' THEN '{c}' END AS b{i}" for i, (c, _) in enumerate(_BAD)) + " FROM r_flat)\n"
+
+
+@register("scan_quarantine", O.with_flat(_BAD_SQL + (
+    ", r_reason AS (" + " UNION ALL ".join(f"SELECT b{i} AS reason FROM r_bad WHERE b{i} IS NOT NULL" for i in range(len(_BAD)))
+    + " UNION ALL SELECT 'accepted' FROM r_bad WHERE coalesce(" + ", ".join(f"b{i}" for i in range(len(_BAD))) + ") IS NULL "
+    "UNION ALL SELECT 'quarantined' FROM r_bad WHERE coalesce(" + ", ".join(f"b{i}" for i in range(len(_BAD))) + ") IS NOT NULL)\n"
+    "SELECT reason, count(*) AS rows FROM r_reason GROUP BY reason")))
+def q_quarantine(spark, sf_dir):
+    """S1 on a CSV in which a sixteenth of four columns' values cannot be read: rows
+    accepted, rows set aside, and rows for each reason."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from rollcall.session import shared_folder
+
+    path = f"{shared_folder(spark)}/rollcall_csv/{uuid.uuid4().hex}"
+    f = flat(spark, sf_dir).withColumn("event_date", F.date_format("event_date", "yyyy-MM-dd"))
+    hit = lambda c: F.md5(F.concat_ws("|", F.lit(c), "student_id", "event_id")) < "1"
+    spoilt = dict(_BAD)
+    f.select(*[F.when(hit(c), F.lit(spoilt[c])).otherwise(F.col(c).cast("string")).alias(c) if c in spoilt else F.col(c) for c in f.columns]).write.option("header", True).csv(path)
+    checked = TB.scan_checked(spark, path)
+    kind = F.when(F.size("reasons") > 0, F.array_append("reasons", F.lit("quarantined"))).otherwise(F.array(F.lit("accepted")))
+    return checked.select(F.explode(kind).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("bernoulli_sample", O.with_flat(
+    "SELECT student_id, event_id, attended FROM r_flat WHERE substr(md5('42|' || student_id || '|' || event_id), 1, 8) < CASE attended WHEN 1 THEN '40000000' WHEN 0 THEN '19999999' END"))
+def q_bernoulli(spark, sf_dir):
+    """T6, approximate: a quarter of those who came and a tenth of the others."""
+    return SP.bernoulli_sample(flat(spark, sf_dir), ["student_id", "event_id"], {1: 0.25, 0: 0.1}, "attended").select("student_id", "event_id", "attended")
+
+
+@register("overview_sketches", O.with_flat(
+    "SELECT CAST(date_trunc('month', event_date) AS DATE) AS month, count(*) AS registrations, round_even(avg(CAST(attended AS DOUBLE)), 6) AS avg_attendance, "
+    "count(DISTINCT event_id) AS events, count(DISTINCT student_id) AS students, true AS within_bound FROM r_flat WHERE event_date IS NOT NULL GROUP BY 1"))
+def q_overview_sketches(spark, sf_dir):
+    """A1 by month from sketches kept per day, beside the exact counts: ``within_bound``
+    tells that both estimates are within four standard errors."""
+    from pyspark.sql import functions as F
+
+    month = F.trunc("event_date", "month").alias("month")
+    f = flat(spark, sf_dir).filter("event_date IS NOT NULL")
+    about = A.overview_of_days(A.day_sketches(f), month)
+    exact = f.groupBy(month).agg(F.count_distinct("event_id").alias("events"), F.count_distinct("student_id").alias("students"))
+    bound = 4 * 1.04 / 2 ** (A.SKETCH_BITS / 2)
+    near = lambda e, x: F.abs(F.col(e) - F.col(x)) <= bound * F.col(x)
+    return about.join(exact, "month").select(
+        "month", "registrations", F.bround("avg_attendance", 6).alias("avg_attendance"), "events", "students",
+        (near("total_events", "events") & near("total_students", "students")).alias("within_bound"))
+
+
 @register("load_with_fallback", O.with_flat("SELECT * FROM r_flat"))
 def q_fallback(spark, sf_dir):
     """Star tables are absent in a fresh folder -> the loader falls back to the CSV."""

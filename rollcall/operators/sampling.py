@@ -101,6 +101,17 @@ def stratified_split(
     return j.withColumn("is_test", is_test).withColumn("fold", fold).drop("_rank", "test_n")
 
 
+def bernoulli_sample(df: DataFrame, key_cols: Sequence[str], fractions: dict, label: str = "label", seed: int = K.SEED) -> DataFrame:
+    """T6, approximate: each row is in with its class's chance, by its own seeded hash: one
+    pass, no shuffle, and the same rows on every run. A class has its share of rows but for
+    a standard deviation of sqrt(n f (1 - f)); classes without a fraction are left out."""
+    most = F.lit(None).cast("string")
+    for value, f in fractions.items():
+        bound = "g" if f >= 1 else format(int(f * 2**32), "08x")  # above every hex digit
+        most = F.when(F.col(label).eqNullSafe(F.lit(value)), F.lit(bound)).otherwise(most)
+    return df.filter(F.substring(seeded_hash(key_cols, seed), 1, 8) < most)
+
+
 def first_n_per_group(df: DataFrame, n_col: Column | int, key_cols: Sequence[str], group_cols: Sequence[str], seed: int = K.SEED) -> DataFrame:
     """Rows whose seeded rank within the group is below n."""
     n = F.lit(n_col) if isinstance(n_col, int) else n_col

@@ -40,6 +40,32 @@ def overview(df: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
+#: log2 of a sketch's registers; the standard error of an estimate is below 1.04 / sqrt(2^k).
+SKETCH_BITS = 12
+
+
+def day_sketches(df: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """A1, approximate: one row a day with counts and mergeable sketches of the distinct
+    events and students. Stored once, it answers A1 for any span of days without the rows."""
+    return df.groupBy("event_date").agg(
+        F.hll_sketch_agg("event_id", bits).alias("events"),
+        F.hll_sketch_agg("student_id", bits).alias("students"),
+        F.count(F.lit(1)).alias("registrations"),
+        F.sum("attended").alias("attended"),
+        F.count("attended").alias("known"),
+    )
+
+
+def overview_of_days(days: DataFrame, *by) -> DataFrame:
+    """A1 over the days given, for each group of them: sketches are merged, not rows."""
+    return days.groupBy(*by).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("events")).alias("total_events"),
+        F.hll_sketch_estimate(F.hll_union_agg("students")).alias("total_students"),
+        F.sum("registrations").alias("registrations"),
+        F.coalesce(F.try_divide(F.sum("attended"), F.sum("known")), F.lit(0.0)).alias("avg_attendance"),
+    )
+
+
 # ---- A2 / A3 / A4 / A6 / A7 --------------------------------------------------------
 def rate_by(df: DataFrame, col: str, outcome: str = "attended") -> DataFrame:
     """A2: mean outcome per label, highest first (ties by label)."""

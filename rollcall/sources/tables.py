@@ -51,6 +51,31 @@ def scan_registrations(spark: SparkSession, path: str, lenient_dates: bool = Tru
     return df.withColumn("event_date", parse_event_date(F.col("event_date"), lenient=lenient_dates))
 
 
+def scan_checked(spark: SparkSession, path: str) -> DataFrame:
+    """S1 with its faults: all rows of the flat CSV, typed, and ``reasons``: the columns
+    whose value could not be read, and ``fields`` for a line with too few or too many.
+    One scan; a field that is empty is null and no fault."""
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in REGISTRATION_FLAT] + [T.StructField("_line", T.StringType())])
+    raw = spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").csv(path)
+    value, fault = [], [F.when(F.col("_line").isNotNull(), F.lit("fields"))]
+    for f in REGISTRATION_FLAT:
+        c = F.col(f.name)
+        typed = parse_event_date(c) if f.name == "event_date" else c.try_cast(f.dataType) if f.dataType != T.StringType() else c
+        value.append(typed.alias(f.name))
+        if f.dataType != T.StringType() or f.name == "event_date":
+            fault.append(F.when(c.isNotNull() & typed.isNull(), F.lit(f.name)))
+    return raw.select(*value, "_line", F.array_compact(F.array(*fault)).alias("reasons"))
+
+
+def accepted(checked: DataFrame) -> DataFrame:
+    return checked.filter(F.size("reasons") == 0).drop("_line", "reasons")
+
+
+def quarantined(checked: DataFrame) -> DataFrame:
+    """Rows with a fault, to be stored beside the accepted ones and mended."""
+    return checked.filter(F.size("reasons") > 0)
+
+
 def parse_event_date(col: F.Column, lenient: bool = True) -> F.Column:
     """S2 lenient (``try_to_date``) or S3 strict (``to_date``, fails on bad input under ANSI)."""
     if lenient:
