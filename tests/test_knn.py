@@ -56,5 +56,5 @@ def test_some_queries_and_few_rows(spark):
 
 def test_pairs_grow_less_than_quadratically(spark):
     rng = np.random.default_rng(3)
-    few, many = (run(spark, rng.uniform(0, 1000, (n, 2)), 5, 10)[1] for n in (900, 3600))
-    assert few < 900**2 / 4 and many < 3600**2 / 8 and many < 4**1.7 * few, (few, many)
+    few, many = (run(spark, rng.uniform(0, 1000, (n, 2)), 5, 10)[1] for n in (400, 1600))
+    assert few < 400**2 / 2 and many < 1600**2 / 5 and many < 4**1.7 * few, (few, many)
