@@ -35,6 +35,8 @@ from rollcall.llm.common import in_batches, stored
 LENGTH, CLOSING, SHARD = 1024, 0, 4096
 #: BM25 parameters; neighbours that are looked at before one is cut.
 K1, B, AHEAD = 1.2, 0.75, 8
+#: Postings of used tails go when the unused ones are below this share of those indexed.
+REBUILD = 0.8
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 TAILS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>, tail binary, place long"
@@ -118,6 +120,20 @@ class Index:
         places = [slice(self.first[t], self.first[t + 1]) for t in terms.tolist()]
         return np.bincount(np.concatenate([self.doc[p] for p in places]), weights=np.concatenate([self.weight[p] for p in places]), minlength=self.tails)
 
+    def keep(self, unused: np.ndarray) -> None:
+        """Leave out the postings of used tails; the scores of the others stay as they are."""
+        kept = unused[self.doc]
+        self.first = np.concatenate([[0], np.cumsum(kept)])[self.first]
+        self.doc, self.weight = self.doc[kept], self.weight[kept]
+
+
+def nearest(score: np.ndarray, least: int) -> np.ndarray:
+    """Places by falling score, equal ones by place: all, or a prefix with ``least`` or more."""
+    if least >= len(score):
+        return np.argsort(-score, kind="stable")
+    near = np.flatnonzero(score >= np.partition(score, len(score) - least)[len(score) - least])
+    return near[np.argsort(-score[near], kind="stable")]
+
 
 def fill(tails: list[np.ndarray], index: Index, length: int):
     """Sequences of a shard as lists of (tail, from, to)."""
@@ -126,6 +142,7 @@ def fill(tails: list[np.ndarray], index: Index, length: int):
     order = np.argsort(-left, kind="stable")
     at, rest = 0, -1  # rest: a cut tail that is the next seed
     total = int(left.sum())
+    indexed = len(tails)  # tails with postings
 
     def take(i: int, most: int):
         n = min(int(left[i]), most)
@@ -144,10 +161,16 @@ def fill(tails: list[np.ndarray], index: Index, length: int):
         part, n = take(seed, length)
         window, room, rest = [part], length - n, -1
         if room:
-            score = np.where(left > 0, index.scores(seed), -1.0)
-            near = np.argsort(-score, kind="stable")
-            k, unused = 0, int(np.sum(left > 0))
+            live = left > 0
+            k, unused = 0, int(live.sum())
+            if unused < REBUILD * indexed:
+                index.keep(live)
+                indexed = unused
+            score = np.where(live, index.scores(seed), -1.0)
+            near = nearest(score, 8 * AHEAD)
             while room and k < unused:
+                if k + AHEAD > len(near) < len(score):
+                    near = nearest(score, len(score))
                 ahead = near[k: min(k + AHEAD, unused)]
                 fits = ahead[(left[ahead] <= room) & (left[ahead] > 0)]
                 waiting = ahead[left[ahead] > 0]

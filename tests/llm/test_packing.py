@@ -92,3 +92,40 @@ def test_all_terms_of_a_seed_ask():
     for i, tail in enumerate(tails):
         want = sum(idf[t] * (P.K1 + 1) / (1 + P.K1 * (1 - P.B + P.B * len(tail) / 200.0)) for t in tail if t <= 600)
         assert np.isclose(scores[i], want, rtol=1e-5)
+
+
+def plain_windows(tails, idf, mean, length):
+    """The same filling with all postings kept and every tail ranked for each seed."""
+
+    class All(P.Index):
+        def keep(self, unused):
+            pass
+
+    lazy, P.nearest = P.nearest, lambda score, least: np.argsort(-score, kind="stable")
+    try:
+        return list(P.fill(tails, All(tails, idf, mean), length))
+    finally:
+        P.nearest = lazy
+
+
+def test_dropped_postings_change_no_window():
+    rng = np.random.default_rng(7)
+    for case in range(6):
+        # skewed terms, many equal tails (ties) and lengths from 1 to the window
+        base = [np.minimum(rng.zipf(1.4, rng.integers(1, 128)), 800) for _ in range(300)]
+        tails = base + [base[0]] * 120 + [np.array([0])] * 50
+        n = len(tails)
+        df = np.bincount(np.concatenate([np.unique(t) for t in tails]), minlength=801)
+        idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        got = list(P.fill(tails, P.Index(tails, idf, 60.0), 128))
+        assert got == plain_windows(tails, idf, 60.0, 128)
+        assert sum(b - a for w in got for _, a, b in w) == sum(map(len, tails))
+
+
+def test_nearest_is_a_prefix_of_the_whole_order():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        score = rng.integers(-1, 6, rng.integers(1, 200)).astype(float)
+        whole = np.argsort(-score, kind="stable")
+        near = P.nearest(score, 16)
+        assert len(near) >= min(16, len(score)) and (near == whole[: len(near)]).all()
