@@ -312,12 +312,15 @@ def _components(docs: DataFrame, reps: DataFrame, n: int, num: int, den: int) ->
         with scratch(spark):
             rows = block.drop("anchors").join(label.select(F.col("node").alias("row_id"), F.col("component").alias("c")), "row_id", "left").withColumn("c", F.coalesce("c", "row_id"))
             rows = stored(rows, "join-labelled", size)
-            # rows that share enough blocks with other components
+            # rows that share enough blocks with other components. Of m such blocks, at
+            # least ``need`` of them shared, linked rows share one of the first
+            # m - need + 1 in an order that is the same for all rows: rare blocks first
             by_block = _one_by_one(rows, "c")
-            spread = by_block.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("sig")
-            rows = by_block.join(spread, "sig").groupBy("row_id", "k").agg(F.first("need").alias("need"), F.first("c").alias("c"), F.collect_list("sig").alias("sigs"))
-            rows = stored(rows.filter(F.size("sigs") >= F.col("need")), "join-cores", size)
-            by_block = _one_by_one(rows, "c").join(sets.select("row_id", F.size("grams").alias("n")), "row_id")
+            spread = by_block.groupBy("sig").agg(F.count("*").alias("many"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("sig", "many")
+            rows = by_block.join(spread, "sig").groupBy("row_id", "k").agg(F.first("need").alias("need"), F.first("c").alias("c"), F.sort_array(F.collect_list(F.struct("many", "sig"))).alias("s"))
+            rows = rows.filter(F.size("s") >= F.col("need")).select("row_id", "k", "need", "c", F.expr("slice(s, 1, size(s) - need + 1).sig").alias("sigs"))
+            rows = stored(rows, "join-cores", size)
+            by_block = _one_by_one(rows.join(sets.select("row_id", F.size("grams").alias("n")), "row_id"), "c", "n")
             # how many rows of each component a block has, and a few of them
             some = [F.min_by(F.struct("row_id", "n"), F.xxhash64("row_id", F.lit(round_no * MEET + i))) for i in range(MEET)]
             parts = by_block.groupBy("sig", "c").agg(F.count("*").alias("m"), F.array(*some).alias("some"))
@@ -338,7 +341,7 @@ def _components(docs: DataFrame, reps: DataFrame, n: int, num: int, den: int) ->
                 best = best.select("row_id", F.explode(F.slice("o", 1, MEET)).alias("o")).select("row_id", F.col("o.other").alias("other"))
                 pairs = best.select(F.least("row_id", "other").alias("a"), F.greatest("row_id", "other").alias("b")).distinct()
             else:
-                pairs = _column_product(rows.select("row_id", "c").distinct(), sets, num, den)
+                pairs = _column_product(by_block.join(mixed.select("sig"), "sig", "left_semi").select("row_id", "c").distinct(), sets, num, den)
             pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "join-pairs", None if final else size, keep=True)
             label = stored(joined(label, stored(linked(pairs, blocks, sets, num, den), "join-links")), "join-labels", size, keep=True)
         if final:
