@@ -1,9 +1,9 @@
 """Model registry and gated retraining.
 
-The registry is a folder of tables: ``model_versions`` (append-only generations,
-the active flag rewritten by producing a new generation), ``meta`` (one row per
-saved model: features, metrics, threshold, fitted feature state as JSON),
-``comparison`` (per training run), ``feature_importance`` and ``retrain_log``.
+The registry is a folder of tables: ``model_versions`` (a generation for each model
+that is made active), ``meta`` (one row per saved model: features, metrics, threshold,
+fitted feature state as JSON), ``comparison`` (per training run),
+``feature_importance`` and ``retrain_log``.
 Models are Spark ML ``PipelineModel`` folders. Every decision is a DataFrame
 expression over those tables; the functions also accept in-memory DataFrames.
 """
@@ -12,13 +12,15 @@ from __future__ import annotations
 
 import datetime as _dt
 import json
+import uuid
+from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollcall import constants as K
 from rollcall.functions.scalar import model_display_name
+from rollcall.sources.tables import RETRAIN_LOG_SCHEMA
 
 VERSIONS_SCHEMA = (
     "model_name string, trained_on timestamp, num_training_rows long, f1_score double, auc_roc double, "
@@ -122,27 +124,74 @@ def retrain_due(history: DataFrame, trained_on: str, min_new_events: int = K.RET
 
 # ---- storage -------------------------------------------------------------------------------------
 class Registry:
+    """Tables under ``root``. A table that is replaced (versions, comparison, importances)
+    is a folder of generations, and the highest is the table; one that grows (meta,
+    retrain log) is a folder of entries. Both are written aside and renamed into place, so
+    a reader sees a whole generation or entry or none, and of two writers that aim at the
+    same generation one takes the next. The file system must rename folders atomically."""
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _read(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.root}/{name}")
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
-
-    def versions(self) -> DataFrame | None:
-        df = self._read("model_versions")
-        if df is None:
+    def _file_system(self, path: str):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+    def _names(self, folder: str) -> list[str]:
+        fs, path = self._file_system(folder)
+        return [str(f.getPath().getName()) for f in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _stage(self, df: DataFrame, name: str) -> str:
+        """Write ``df`` to a folder that readers skip, marked as this writer's."""
+        token = uuid.uuid4().hex
+        staged = f"{self.root}/{name}/_staged-{token}"
+        df.write.parquet(staged)
+        fs, mark = self._file_system(f"{staged}/_by-{token}")
+        fs.create(mark).close()
+        return token
+
+    def _place(self, name: str, token: str, target: str) -> bool:
+        """Rename what was staged to ``target``; False where another writer has it."""
+        fs, staged = self._file_system(f"{self.root}/{name}/_staged-{token}")
+        _, there = self._file_system(f"{self.root}/{name}/{target}")
+        if not fs.exists(there) and fs.rename(staged, there):
+            # a rename onto a folder that has come in between moves below it
+            _, mark = self._file_system(f"{self.root}/{name}/{target}/_by-{token}")
+            if fs.exists(mark):
+                return True
+            staged = self._file_system(f"{self.root}/{name}/{target}/_staged-{token}")[1]
+        fs.delete(staged, True)
+        return False
+
+    def _newest(self, name: str) -> int:
+        """The highest generation, 0 where there is none."""
+        return max((int(n[4:]) for n in self._names(f"{self.root}/{name}") if n.startswith("gen=")), default=0)
+
+    def _replace(self, name: str, make: Callable[[DataFrame | None], DataFrame]) -> DataFrame:
+        """Commit ``make(newest generation)`` as the next; when another writer was first,
+        again from theirs, so that nothing is lost."""
+        while True:
+            newest = self._newest(name)
+            token = self._stage(make(self._generation(name, newest)), name)
+            if self._place(name, token, f"gen={newest + 1}"):
+                return self._generation(name, newest + 1)
+
+    def _generation(self, name: str, number: int) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.root}/{name}/gen={number}") if number else None
+
+    def _add(self, name: str, df: DataFrame) -> None:
+        token = self._stage(df, name)
+        if not self._place(name, token, f"entry={token}"):
+            raise FileExistsError(f"{self.root}/{name}/entry={token}")
+
+    def _entries(self, name: str) -> DataFrame | None:
+        """All entries, or None where there is none yet."""
+        if not any(n.startswith("entry=") for n in self._names(f"{self.root}/{name}")):
             return None
-        top = df.agg(F.max("gen")).first()[0]
-        return df.filter(F.col("gen") == top).drop("gen")
+        return self.spark.read.parquet(f"{self.root}/{name}").drop("entry")
 
-    def _next_gen(self) -> int:
-        df = self._read("model_versions")
-        return 1 if df is None else int(df.agg(F.max("gen")).first()[0]) + 1
+    def versions(self) -> DataFrame | None:
+        return self._generation("model_versions", self._newest("model_versions"))
 
     def log_version(self, model_name: str, num_rows: int, metrics: dict, model_path: str) -> DataFrame:
         row = self.spark.createDataFrame(
@@ -150,13 +199,7 @@ class Registry:
               float(metrics["accuracy"]), model_path, True)],
             VERSIONS_SCHEMA,
         )
-        from rollcall.session import cut_lineage
-
-        # materialise before appending to the folder it was read from
-        nxt = cut_lineage(log_model_version(self.versions(), row))
-        gen = self._next_gen()
-        nxt.withColumn("gen", F.lit(gen)).write.mode("append").partitionBy("gen").parquet(f"{self.root}/model_versions")
-        return nxt
+        return self._replace("model_versions", lambda versions: log_model_version(versions, row))
 
     def save_model(self, trained, feature_cols: list[str], state_json: str) -> str:
         ts = _dt.datetime.now().strftime("%Y%m%d_%H%M%S_%f")
@@ -168,39 +211,38 @@ class Registry:
               float(m["threshold"]), path, state_json)],
             META_SCHEMA,
         )
-        meta.write.mode("append").parquet(f"{self.root}/meta")
+        self._add("meta", meta)
         return path
 
     def meta(self) -> DataFrame | None:
-        return self._read("meta")
+        return self._entries("meta")
 
     def save_comparison(self, comparison: DataFrame) -> None:
-        comparison.write.mode("overwrite").parquet(f"{self.root}/comparison")
+        self._replace("comparison", lambda _: comparison)
 
     def comparison(self) -> DataFrame | None:
-        return self._read("comparison")
+        return self._generation("comparison", self._newest("comparison"))
 
     def save_importance(self, importances: list[tuple[str, float]] | None) -> None:
         if importances:
-            self.spark.createDataFrame(importances, "feature string, importance double").write.mode("overwrite").parquet(
-                f"{self.root}/feature_importance"
-            )
+            rows = self.spark.createDataFrame(importances, "feature string, importance double")
+            self._replace("feature_importance", lambda _: rows)
 
-    def log_retrain(self, model: str, f1: float, auc: float, deployed: bool, rows: int) -> None:
-        from rollcall.sources.tables import retrain_log_append
+    def importance(self) -> DataFrame | None:
+        return self._generation("feature_importance", self._newest("feature_importance"))
 
-        retrain_log_append(self.spark, f"{self.root}/retrain_log", [(_dt.datetime.now(), model, float(f1), float(auc or 0.0), bool(deployed), int(rows))])
+    def log_retrain(self, model: str, f1: float, auc: float, deployed: bool, rows: int) -> None:
+        attempt = [(_dt.datetime.now(), model, float(f1), float(auc or 0.0), bool(deployed), int(rows))]
+        self._add("retrain_log", self.spark.createDataFrame(attempt, RETRAIN_LOG_SCHEMA))
 
     def retrain_log(self) -> DataFrame | None:
-        return self._read("retrain_log")
+        return self._entries("retrain_log")
 
     def saved_models(self) -> DataFrame:
         """Model folders that exist, by their metadata files; the list is as long as the
         registry has models."""
         schema = "model_path string"
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/models")
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [str(f.getPath().getName()) for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        names = self._names(f"{self.root}/models")
         return self.spark.createDataFrame([(f"{self.root}/models/{n}",) for n in names], schema)
 
     def load_winner(self):
@@ -233,9 +275,8 @@ def publish(reg: Registry, results, prep, deploy: bool = True) -> DataFrame:
     reg.save_importance(best.importances)
     rows = [(r.name, f, float(v)) for r in results for f, v in (r.importances or [])]
     if rows:
-        reg.spark.createDataFrame(rows, "model_name string, feature string, importance double").write.mode("overwrite").parquet(
-            f"{reg.root}/feature_importance_all"
-        )
+        every = reg.spark.createDataFrame(rows, "model_name string, feature string, importance double")
+        reg._replace("feature_importance_all", lambda _: every)
     reg.log_version(winner, prep.n_rows, best.metrics, paths[winner])
     return comp
 
