@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm import tokens
@@ -31,18 +31,12 @@ from rollcall.llm.common import in_batches
 RULES = ("most", "first", "split")
 
 
-def lines(text: Column) -> Column:
-    """Sections of a text: its lines, without the line feeds, as (start, end) in code
-    points. Every text has at least one line."""
-    parts = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    kind = "struct<at:int,out:array<struct<start:int,end:int>>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")).cast(kind)
-
-    def step(acc, p):
-        end = acc["at"] + F.length(p)
-        return F.struct((end + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end")))).alias("out")).cast(kind)
-
-    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
+def lines(data: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sections of a text given by its bytes: its lines, without the line feeds, as starts
+    and ends in code points. ``chars`` is where its code points begin. Every text has at
+    least one line."""
+    feeds = np.searchsorted(chars, np.flatnonzero(data == 10))
+    return np.append(0, feeds + 1), np.append(feeds, len(chars))
 
 
 def allocate(begin: np.ndarray, end: np.ndarray, lo: np.ndarray, hi: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray, float]:
@@ -77,9 +71,9 @@ def allocate(begin: np.ndarray, end: np.ndarray, lo: np.ndarray, hi: np.ndarray,
 SCHEMA = "doc_id long, section int, start int, end int, n_tokens double, n_crossing long, doc_tokens long"
 
 
-def attributed(docs: DataFrame, sections: str = "sections", rule: str = "most", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
+def attributed(docs: DataFrame, sections: str | None = "sections", rule: str = "most", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """One row per document and section (-1: outside). ``sections`` is an array of
-    structs with ``start`` and ``end``."""
+    structs with ``start`` and ``end``; with None the sections of a text are its lines."""
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
     in_batches(docs.sparkSession)
@@ -89,11 +83,13 @@ def attributed(docs: DataFrame, sections: str = "sections", rule: str = "most",
     def rows(batches):
         encoder = tokens.encoder(tokens.vocabulary(vocabulary))
         for batch in batches:
-            ids_of, spans = batch.column("doc_id").to_pylist(), batch.column("sections")
-            flat = spans.flatten()
-            starts, ends = (flat.field(k).fill_null(0).to_numpy(zero_copy_only=False) for k in ("start", "end"))
-            sizes = np.nan_to_num(pa.compute.list_value_length(spans).fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
-            place = np.concatenate([[0], np.cumsum(sizes)])
+            ids_of = batch.column("doc_id").to_pylist()
+            if sections:
+                spans = batch.column("sections")
+                flat = spans.flatten()
+                starts, ends = (flat.field(k).fill_null(0).to_numpy(zero_copy_only=False) for k in ("start", "end"))
+                sizes = np.nan_to_num(pa.compute.list_value_length(spans).fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+                place = np.concatenate([[0], np.cumsum(sizes)])
             for row, data, offsets, ids, bounds in encoder.texts(batch.column("text")):
                 out: list[list] = [[] for _ in names]
                 edges = np.concatenate([[0], np.cumsum(encoder.bytes[ids])])
@@ -104,7 +100,10 @@ def attributed(docs: DataFrame, sections: str = "sections", rule: str = "most",
                     token = edges[first: last + 1] - edges[first]
                     c0, c1 = np.searchsorted(begins_char, offsets[j: j + 2])
                     byte_of = np.append(begins_char[c0:c1] - offsets[j], offsets[j + 1] - offsets[j])
-                    s, e = starts[place[i]: place[i + 1]], ends[place[i]: place[i + 1]]
+                    if sections:
+                        s, e = starts[place[i]: place[i + 1]], ends[place[i]: place[i + 1]]
+                    else:
+                        s, e = lines(data[offsets[j]: offsets[j + 1]], byte_of[:-1])
                     order = np.lexsort((e, s))
                     lo = byte_of[np.clip(s[order], 0, len(byte_of) - 1)]
                     hi = byte_of[np.clip(e[order], 0, len(byte_of) - 1)]
@@ -116,11 +115,11 @@ def attributed(docs: DataFrame, sections: str = "sections", rule: str = "most",
                         c += v
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col(sections).alias("sections"))
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([F.col(sections).alias("sections")] if sections else []))
     return kept.mapInArrow(rows, SCHEMA)
 
 
 def op3_token_counts(docs: DataFrame) -> DataFrame:
     """Tokens of every line of every document."""
-    rows = attributed(docs.select("doc_id", "text", lines(F.col("text")).alias("sections")))
+    rows = attributed(docs, sections=None)
     return rows.select("doc_id", "section", "start", "end", F.col("n_tokens").cast("long").alias("n_tokens"), "n_crossing", "doc_tokens")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -74,3 +75,14 @@ def test_rules_for_crossing_tokens(spark):
 
 def test_empty_table(spark):
     assert A.op3_token_counts(documents(spark, [])).collect() == []
+
+
+def test_time_is_in_proportion_to_lines(spark):
+    took = {}
+    for n in (20_000, 200_000):
+        docs = documents(spark, [(1, "é a line.\n" * n)])
+        began = time.perf_counter()
+        rows = A.op3_token_counts(docs).selectExpr("count(*) as n", "sum(n_tokens) as t", "max(doc_tokens) as d", "max(end) as e").first()
+        took[n] = time.perf_counter() - began
+        assert (rows["n"], rows["t"], rows["e"]) == (n + 2, rows["d"], 10 * n)
+    assert took[200_000] < 20 * took[20_000] + 5
