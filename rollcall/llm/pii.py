@@ -98,6 +98,38 @@ def confirmed(kind: str, m: Column) -> Column:
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
 
+#: Matches that are folded into one array. A match is added by copying the array, so a
+#: text's matches are folded in blocks, whose arrays are joined once at the end.
+BLOCK = 256
+
+
+def _folded(n: Column, zero: Column, state: str, step, out: str, most: int = BLOCK) -> Column:
+    """Fold over 0 .. n - 1 (n > 0) and list what the steps find: ``step(state, i)`` gives the
+    next state and an array. Above ``most`` steps the states between blocks are found first,
+    then each block lists its own."""
+    both = f"struct<state:{state},found:{out}>"
+
+    def block(start: Column, first: Column, last: Column) -> Column:
+        def add(acc, i):
+            new, found = step(acc["state"], i)
+            return F.struct(new.alias("state"), F.concat(acc["found"], found).alias("found")).cast(both)
+
+        return F.aggregate(F.sequence(first, last), F.struct(start.alias("state"), F.array().cast(out).alias("found")).cast(both), add, lambda acc: acc["found"])
+
+    blocks = F.sequence(F.lit(0), F.floor((n - 1) / most).cast("int"))
+    bounds = lambda b: (b * most, F.least((b + 1) * most, n) - 1)
+    heads = f"struct<state:{state},heads:array<{state}>>"
+
+    def head(acc, b):
+        after = F.aggregate(F.sequence(*bounds(b)), acc["state"], lambda at, i: step(at, i)[0].cast(state))
+        return F.struct(after.alias("state"), F.concat(acc["heads"], F.array(acc["state"])).alias("heads")).cast(heads)
+
+    begin = F.struct(zero.alias("state"), F.array().cast(f"array<{state}>").alias("heads")).cast(heads)
+    starts = F.aggregate(blocks, begin, head, lambda acc: acc["heads"])
+    parts = F.transform(starts, lambda start, b: block(start, *bounds(b)))
+    return F.when(n <= most, block(zero, F.lit(0), n - 1)).otherwise(F.flatten(parts))
+
+
 def _last(before: Column, more: Column) -> Column:
     """The last ``NEAR`` characters of a text that goes on."""
     both = F.concat(before, F.substring(more, F.greatest(F.length(more) - NEAR + 1, F.lit(1)), F.lit(NEAR)))
@@ -113,7 +145,7 @@ def _spans(df: DataFrame, text: str, kind: str) -> DataFrame:
     has = t.rlike(NEEDED[kind])
     df = df.withColumn(m, F.when(has, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none))
     df = df.withColumn(g, F.when(F.size(m) > 0, F.split(t, pattern, -1)).otherwise(none))
-    start_type = "struct<at:bigint,before:string,spans:" + SPAN + ">"
+    state = "struct<at:bigint,before:string>"
 
     def step(acc, i):
         gap, hit = F.get(F.col(g), i), F.get(F.col(m), i)
@@ -123,10 +155,10 @@ def _spans(df: DataFrame, text: str, kind: str) -> DataFrame:
         score = F.lit(SCORE[kind]) + F.when(near.rlike(CONTEXT[kind]), BOOST).otherwise(0.0)
         keep = confirmed(kind, hit) if kind in BASE else confirmed(kind, hit) & (score >= LEAST)
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
-        return F.struct(end.alias("at"), _last(near, hit).alias("before"), F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans")).cast(start_type)
+        return F.struct(end.alias("at"), _last(near, hit).alias("before")), F.when(keep, F.array(span)).otherwise(F.array().cast(SPAN))
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("before"), F.array().cast(SPAN).alias("spans")).cast(start_type)
-    found = F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step, lambda acc: acc["spans"])
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("before")).cast(state)
+    found = _folded(F.size(m), zero, state, step, SPAN)
     return df.withColumn(out, F.when(F.size(m) > 0, found).otherwise(F.array().cast(SPAN))).drop(m, g)
 
 
@@ -148,7 +180,7 @@ def _ibans(df: DataFrame, text: str, kind: str = "iban") -> DataFrame:
     t, g, out = F.col(text), f"_{kind}_g", f"pii_{kind}"
     # a text that begins with an account number has no cut there, so a sign goes before it
     df = df.withColumn(g, F.when(t.rlike(PATTERNS[kind]), F.split(F.concat(F.lit(" "), t), PATTERNS[kind], -1)).otherwise(F.array().cast("array<string>")))
-    start_type = "struct<at:bigint,past:bigint,before:string,spans:" + SPAN + ">"
+    state = "struct<at:bigint,past:bigint,before:string>"
     reach = _WIDTH // 5 + 2  # a cut is at least five characters before the next
 
     def step(acc, i):
@@ -158,11 +190,11 @@ def _ibans(df: DataFrame, text: str, kind: str = "iban") -> DataFrame:
         end = acc["at"] + F.length(hit)
         score = F.lit(SCORE[kind]) + F.when(acc["before"].rlike(CONTEXT[kind]), BOOST).otherwise(0.0)
         span = F.struct(F.lit(kind).alias("kind"), acc["at"].alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
-        spans = F.when(hit.isNotNull() & (score >= LEAST), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((acc["at"] + F.length(part)).alias("at"), F.coalesce(end, acc["past"]).alias("past"), _last(acc["before"], part).alias("before"), spans.alias("spans")).cast(start_type)
+        new = F.struct((acc["at"] + F.length(part)).alias("at"), F.coalesce(end, acc["past"]).alias("past"), _last(acc["before"], part).alias("before"))
+        return new, F.when(hit.isNotNull() & (score >= LEAST), F.array(span)).otherwise(F.array().cast(SPAN))
 
-    zero = F.struct(F.lit(-1).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("past"), F.lit("").alias("before"), F.array().cast(SPAN).alias("spans")).cast(start_type)
-    found = F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), zero, step, lambda acc: acc["spans"])
+    zero = F.struct(F.lit(-1).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("past"), F.lit("").alias("before")).cast(state)
+    found = _folded(F.size(g), zero, state, step, SPAN)
     return df.withColumn(out, F.when(F.size(g) > 0, found).otherwise(F.array().cast(SPAN))).drop(g)
 
 
@@ -178,16 +210,38 @@ def redacted(text: Column, spans: Column) -> Column:
     """Text with each span replaced by its kind in brackets; of overlapping spans the
     one that starts first counts (ties: the longer one)."""
     by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("stop"), s["kind"].alias("kind"))))
-    kind_of = "struct<at:bigint,out:array<string>>"
+    piece = "array<struct<start:bigint,stop:bigint,end:bigint,mark:string>>"
+    zero = F.lit(0).cast("bigint")
+
+    def once(value: Column, then) -> Column:
+        """``then`` of a value that is worked out once."""
+        return F.get(F.transform(F.array(value), then), F.lit(0))
+
+    def pieces(ordered: Column) -> Column:
+        """What is left before each span that counts, with the span's end and mark."""
+
+        def step(at, i):
+            s = F.get(ordered, i)
+            mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            found = F.array(F.struct(at.alias("start"), s["start"].alias("stop"), (-s["stop"]).alias("end"), mark.alias("mark")))
+            return F.when(s["start"] < at, at).otherwise(-s["stop"]), F.when(s["start"] < at, F.array().cast(piece)).otherwise(found)
+
+        return _folded(F.size(ordered), zero, "bigint", step, piece)
+
+    def cut(t: Column, start: Column, stop: Column) -> Column:
+        return F.substring(t, (start + 1).cast("int"), (stop - start).cast("int"))
+
+    def written(some: Column) -> Column:
+        # a part of the text is cut out for each block of spans, as a cut walks from the start
+        def block(b):
+            mine = F.slice(some, b * BLOCK + 1, F.lit(BLOCK))
+            return once(mine, lambda own: once(cut(text, F.get(own, F.lit(0))["start"], F.element_at(own, -1)["stop"]), lambda part: F.array_join(
+                F.transform(own, lambda p: F.concat(cut(part, p["start"] - F.get(own, F.lit(0))["start"], p["stop"] - F.get(own, F.lit(0))["start"]), p["mark"])), "")))
 
-    def step(acc, s):
-        between = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct((-s["stop"]).alias("at"), F.concat(acc["out"], F.array(between, mark)).alias("out")).cast(kind_of))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(some) - 1) / BLOCK).cast("int")), block)
+        return F.concat(F.array_join(blocks, ""), F.substring(text, (F.element_at(some, -1)["end"] + 1).cast("int"), F.length(text)))
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")).cast(kind_of)
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(by_start, zero, step, rest)).otherwise(text)
+    return F.when(F.size(spans) > 0, once(by_start, lambda o: once(pieces(o), written))).otherwise(text)
 
 
 def joined(spans: Column) -> Column:

@@ -3,7 +3,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
+import pytest
 from conftest import ODD, documents
 from pyspark.sql import functions as F
 
@@ -115,3 +117,26 @@ def test_context_reaches_over_other_matches(spark):
 def test_time_is_in_proportion_on_many_matches(spark):
     rows = [(1, "é " + "AB12 " * 6_000), (2, "é " + "a@b.c " * 5_000), (3, "AB12" * 75_000)]
     assert len(pii.op1_pii(documents(spark, rows)).collect()) == 3
+
+
+def test_many_matches_in_proportion(spark):
+    took = {}
+    for n in (20_000, 200_000):
+        docs = documents(spark, [(1, "é a@b.c; " * n)])
+        began = time.perf_counter()
+        row = pii.find_pii(docs, kinds=("email",)).select(F.size("pii_email").alias("n"), F.element_at("pii_email", -1).alias("last"), pii.redacted(F.col("text"), F.col("pii_email")).alias("t")).first()
+        took[n] = time.perf_counter() - began
+        assert row["n"] == n and (row["last"]["start"], row["last"]["end"]) == (9 * n - 7, 9 * n - 2)
+        assert row["t"] == "é [EMAIL]; " * n
+    assert took[200_000] < 20 * took[20_000] + 5, took
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 7])
+def test_blocks_of_matches_change_nothing(spark, most, monkeypatch):
+    rows = [(1, "mail a@b.c " + "x " * 30 + "1.2.3.4, tel. 030 123 4567, 030 123 4568 " + " ".join(IBANS) + " a@b.c, 1.2.3.4, +49 30 1234567"), (2, "a@b.c"), (3, "a@1.2.3.4 a@b.c 5.6.7.8")]
+    every = F.concat(*[F.col(f"pii_{k}") for k in pii.PATTERNS])
+    read = lambda: pii.find_pii(documents(spark, rows)).select("doc_id", every.alias("s"), pii.redacted(F.col("text"), every).alias("t")).orderBy("doc_id").collect()
+    want = read()
+    monkeypatch.setattr(pii._folded, "__defaults__", (most,))
+    monkeypatch.setattr(pii, "BLOCK", most)
+    assert read() == want
