@@ -207,6 +207,16 @@ def q_day_slot_heatmap(spark, sf_dir):
     return A.day_slot_heatmap(flat(spark, sf_dir))
 
 
+@register("day_slot_rates", O.with_flat("""
+, r_days AS (SELECT DISTINCT day_of_week FROM r_flat WHERE day_of_week IS NOT NULL),
+r_slots AS (SELECT DISTINCT time_slot FROM r_flat WHERE day_of_week IS NOT NULL AND time_slot IS NOT NULL)
+SELECT d.day_of_week, s.time_slot, coalesce(round_even(avg(CAST(f.attended AS DOUBLE)), 4), 0.0) AS rate
+FROM r_days d CROSS JOIN r_slots s LEFT JOIN r_flat f ON f.day_of_week = d.day_of_week AND f.time_slot = s.time_slot
+GROUP BY d.day_of_week, s.time_slot"""))
+def q_day_slot_rates(spark, sf_dir):
+    return A.day_slot_rates(flat(spark, sf_dir))
+
+
 # P11 slice used by the topic analysis queries (parameters of the feature, not row caps)
 SLICE = {"topic": "Data Science", "school": "School of Technology", "date_from": "2024-09-01", "date_to": "2025-01-31"}
 _SLICE_SQL = (", r_slice AS (SELECT * FROM r_flat WHERE department = 'School of Technology' "
@@ -540,6 +550,46 @@ def q_features_skew(spark, sf_dir):
                      *[F.bround(c, 6).alias(c) if c == "student_attendance_std" else F.col(f"`{c}`") for c in cols])
 
 
+_ENCODING_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", {c} AS value, CAST(sum(attended) AS BIGINT) AS y_sum, CAST(count(attended) AS BIGINT) AS y_n, "
+    f"round_even(avg(CAST(attended AS DOUBLE)), 9) AS rate, CAST(row_number() OVER (ORDER BY {c}) - 1 AS BIGINT) AS place "
+    f"FROM r_flat WHERE {c} IS NOT NULL GROUP BY {c}" for c in K.NOMINAL_COLUMNS)
+
+
+@register("encoding_table", O.with_flat(_ENCODING_SQL))
+def q_encoding_table(spark, sf_dir):
+    """A5 as a table, for any number of categories."""
+    from pyspark.sql import functions as F
+
+    from rollcall.plans.encodings import encoding_table
+
+    return encoding_table(flat(spark, sf_dir)).withColumn("rate", F.bround("rate", 9))
+
+
+_WIDTH_SQL = "SELECT " + ", ".join(f"count(CASE WHEN \"column\" = '{c}' THEN 1 END) - 1 AS w{i}" for i, c in enumerate(K.NOMINAL_COLUMNS)) + " FROM r_enc"
+
+
+@register("wide_features", O.with_features(
+    f", r_enc AS ({_ENCODING_SQL}), r_width AS ({_WIDTH_SQL})\n"
+    "SELECT f.student_id, f.event_id, round_even(f.topic_popularity, 9) AS topic_popularity, round_even(f.event_attractiveness, 9) AS event_attractiveness, "
+    "concat_ws(',', " + ", ".join(
+        f"CASE WHEN e{i}.place > 0 THEN CAST(e{i}.place - 1" + "".join(f" + w.w{k}" for k in range(i)) + " AS BIGINT) END" for i in range(len(K.NOMINAL_COLUMNS)))
+    + ") AS hot FROM r_features f JOIN r_flat r USING (student_id, event_id) CROSS JOIN r_width w "
+    + " ".join(f"LEFT JOIN r_enc e{i} ON e{i}.\"column\" = '{c}' AND e{i}.value = r.{c}" for i, c in enumerate(K.NOMINAL_COLUMNS))))
+def q_wide_features(spark, sf_dir):
+    """M1 with rates by a join and the one-hot columns as one sparse vector, whose places
+    are listed here."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    from rollcall.plans.encodings import wide_features
+
+    df, _ = wide_features(flat(spark, sf_dir))
+    hot = F.filter(F.transform(vector_to_array("one_hot"), lambda v, i: F.when(v == 1, i)), lambda i: i.isNotNull())
+    return df.select("student_id", "event_id", F.bround("topic_popularity", 9).alias("topic_popularity"), F.bround("event_attractiveness", 9).alias("event_attractiveness"),
+                     F.array_join(hot.cast("array<string>"), ",").alias("hot"))
+
+
 # ---- M9-M15 metrics kit (scored by the rule scorecard) ----------------------------------------
 from rollcall.operators import metrics as MT  # noqa: E402
 
@@ -1008,6 +1058,22 @@ _LOG_SQL = (", r_log AS (SELECT TIMESTAMP '2025-01-01' + INTERVAL 1 DAY * row_nu
             "round_even(avg(CAST(attended AS DOUBLE)), 6) AS f1 FROM r_flat GROUP BY topic))\n")
 
 
+@register("sink_dataset", O.with_flat("SELECT '1' AS version, * FROM r_flat WHERE event_date < DATE '2024-08-01' UNION ALL SELECT '2', * FROM r_flat"))
+def q_sink_dataset(spark, sf_dir):
+    """Two versions of the dataset written, the earlier one kept, both read back."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from rollcall.session import shared_folder
+    from rollcall.sources.tables import sink_dataset
+
+    path, f = f"{shared_folder(spark)}/rollcall_dataset/{uuid.uuid4().hex}", flat(spark, sf_dir)
+    parts = {"1": f.filter(F.col("event_date") < CUTOFF), "2": f}
+    read = [spark.read.parquet(sink_dataset(df, path, v)).select(F.lit(v).alias("version"), *f.columns) for v, df in parts.items()]
+    return read[0].unionByName(read[1])
+
+
 @register("retrain_log_tail", O.with_flat(_LOG_SQL + "SELECT * FROM r_log ORDER BY ts DESC LIMIT 10"))
 def q_log_tail(spark, sf_dir):
     """The log appended in two parts to a table, read back, its last ten rows."""
@@ -1516,7 +1582,7 @@ def q_fallback(spark, sf_dir):
 _UW = "PARTITION BY user_id ORDER BY ts, event_id"
 
 
-@register("activity_history", f"""
+_ACTIVITY_SQL = f"""
 WITH a AS (SELECT user_id, ts, event_id, CAST(event_type = 'purchase' AS INTEGER) AS outcome FROM events),
 o AS (SELECT avg(CAST(outcome AS DOUBLE)) AS overall FROM a),
 h1 AS (SELECT *, row_number() OVER (w) AS rn, coalesce(outcome <> lag(outcome) OVER (w), true) AS chg FROM a WINDOW w AS ({_UW})),
@@ -1529,14 +1595,17 @@ SELECT user_id, event_id,
   CAST(coalesce(lag(run) OVER ({_UW}), 0) AS BIGINT) AS streak,
   round_even(coalesce(stddev_samp(outcome) OVER ({_UW} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.5), 6) AS consistency,
   round_even(coalesce(avg(outcome) OVER ({_UW} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), o.overall), 9) AS recent_3_rate
-FROM h3 CROSS JOIN o""")
-def q_activity_history(spark, sf_dir):
+FROM h3 CROSS JOIN o"""
+
+
+@register("activity_history", _ACTIVITY_SQL)
+def q_activity_history(spark, sf_dir, **split):
     from pyspark.sql import functions as F
 
     from rollcall.operators.history import history_features
 
     a = X.activity_events(spark, sf_dir)
-    h = history_features(a, entity="user_id", order=("ts", "event_id"), outcome="outcome")
+    h = history_features(a, entity="user_id", order=("ts", "event_id"), outcome="outcome", **split)
     return h.select(
         "user_id", "event_id",
         F.bround("student_rolling_attendance", 9).alias("rolling_rate"),
@@ -1548,6 +1617,12 @@ def q_activity_history(spark, sf_dir):
     )
 
 
+@register("activity_history_split", _ACTIVITY_SQL)
+def q_activity_history_split(spark, sf_dir):
+    """W1-W6 on activity with every user on the segmented route, a segment an hour."""
+    return q_activity_history(spark, sf_dir, hot_rows=0, span="hour")
+
+
 @register("activity_rate_by_type", """
 SELECT event_type AS label, round_even(avg(CAST(event_type = 'purchase' AS INTEGER)), 4) AS rate, count(*) AS n
 FROM events WHERE event_type IS NOT NULL GROUP BY event_type""")

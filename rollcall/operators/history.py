@@ -7,7 +7,7 @@ partial/final aggregate, no join).
 
 Skew: an entity holding a large share of all rows would make its window
 partition a single task. With ``hot_rows`` set, entities above that many rows go
-through a segmented scan instead: a segment is one (entity, calendar day), a
+through a segmented scan instead: a segment is one (entity, calendar day; for times also hour or minute), a
 function of the row alone, so a segment never depends on how the rows happen to
 be dealt out. Each segment is scanned locally and a summary of one row per
 segment supplies the carry-in (counts, sums, trailing run, last three outcomes).
@@ -82,18 +82,18 @@ def _plain(df: DataFrame, entity, order, outcome: str, overall: Column, prior_ou
     )
 
 
-def _segment_of(df: DataFrame, column: str) -> Column:
-    """Segment of a row by its first order column: the calendar day of a time, else the
-    value itself."""
-    return F.to_date(column) if df.schema[column].dataType.typeName().startswith("timestamp") else F.col(column)
+def _segment_of(df: DataFrame, column: str, span: str) -> Column:
+    """Segment of a row by its first order column: the ``span`` (day, hour, minute) that a
+    time lies in, else the value itself."""
+    return F.date_trunc(span, column) if df.schema[column].dataType.typeName().startswith("timestamp") else F.col(column)
 
 
-def _segmented(df: DataFrame, entity: str, order: Sequence[str], outcome: str, overall: Column, prior_outcomes: bool = False) -> DataFrame:
+def _segmented(df: DataFrame, entity: str, order: Sequence[str], outcome: str, overall: Column, prior_outcomes: bool = False, span: str = "day") -> DataFrame:
     """History features for hot entities only (see module docstring)."""
     y = F.col(outcome)
     w = Window.partitionBy(entity, "_seg").orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    loc = _runs(df.withColumn("_seg", _segment_of(df, order[0])), y, w)
+    loc = _runs(df.withColumn("_seg", _segment_of(df, order[0], span)), y, w)
     recent = [F.lag(y, i).over(w) for i in (1, 2, 3)]
     loc = (
         loc.withColumn("_n0", (F.row_number().over(w) - 1).cast("long"))
@@ -166,11 +166,16 @@ def history_features(
     overall: Column | None = None,
     hot_rows: int | None = None,
     prior_outcomes: bool = False,
+    span: str = "day",
 ) -> DataFrame:
     """W1-W6 on ``df``. A null outcome counts as an event, takes part in no rate, and
     leaves a streak of 0 behind without ending the run. ``hot_rows`` sends entities
     with more rows through the segmented route. ``prior_outcomes`` adds the up-to-three
-    previous outcomes, most recent first."""
+    previous outcomes, most recent first. ``span`` is the length of a segment where the
+    first order column is a time: take hours or minutes where an entity's day is too much
+    for a task; an entity's summaries are then as many as the spans it has rows in."""
+    if span not in ("day", "hour", "minute"):
+        raise ValueError("span is 'day', 'hour' or 'minute'")
     order = list(order)
     overall = overall if overall is not None else overall_rate(df, outcome)
     if hot_rows is None:
@@ -179,7 +184,7 @@ def history_features(
     hot = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_cnt")).filter(F.col("_cnt") > hot_rows).select(entity)
     cold_part, hot_part = df.join(hot, entity, "left_anti").select(*df.columns), df.join(hot, entity, "left_semi").select(*df.columns)
     return _plain(cold_part, entity, order, outcome, overall, prior_outcomes).unionByName(
-        _segmented(hot_part, entity, order, outcome, overall, prior_outcomes)
+        _segmented(hot_part, entity, order, outcome, overall, prior_outcomes, span)
     )
 
 

@@ -134,6 +134,18 @@ def drop_null_dates(df: DataFrame, col: str = "event_date") -> DataFrame:
     return df.filter(F.col(col).isNotNull())
 
 
+def day_slot_rates(df: DataFrame) -> DataFrame:
+    """A9 in long form, for any number of slots and without a look at the data: one row
+    for each canonical day and slot that occur, also where no row has both (rate 0.0)."""
+    known = df.filter(F.col("day_of_week").isNotNull() & F.col("time_slot").isNotNull())
+    cells = known.groupBy("day_of_week", "time_slot").agg(_rate().alias("rate"))
+    # the days are seven at most, so each slot is written out for all that occur
+    day = F.array(*[F.lit(d) for d in K.DAY_ORDER])
+    present = df.agg(F.collect_set(F.when(F.array_contains(day, F.col("day_of_week")), F.col("day_of_week")))).scalar()
+    grid = cells.select("time_slot").distinct().select(F.explode(present).alias("day_of_week"), "time_slot")
+    return grid.join(cells, ["day_of_week", "time_slot"], "left").select("day_of_week", "time_slot", F.coalesce("rate", F.lit(0.0)).alias("rate"))
+
+
 # ---- A9 ---------------------------------------------------------------------------
 def day_slot_heatmap(df: DataFrame, slots: Sequence[str] | None = None) -> DataFrame:
     """Days (canonical order, present only) x slots (sorted) of mean rate; missing 0.0.

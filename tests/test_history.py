@@ -126,3 +126,15 @@ def test_history_plan_has_one_exchange_and_sort(spark):
     plan = history_features(df, hot_rows=None, overall=F.lit(0.5))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "BatchEvalPython" not in plan
+
+
+@pytest.mark.parametrize("span", ["day", "hour", "minute"])
+def test_segments_of_any_span_equal_the_plain_route(spark, span):
+    # one user with all rows on two days, runs and nulls across hours and minutes
+    df = spark.range(4000).select(
+        (F.col("id") % 7 == 0).cast("int").alias("u"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 37).alias("ts"), "id",
+        F.when(F.hash("id") % 11 != 0, (F.hash(F.col("id") / 5) % 3 == 0).cast("int")).alias("y"))
+    kw = {"entity": "u", "order": ("ts", "id"), "outcome": "y", "prior_outcomes": True}
+    key = lambda out: sorted(tuple(r) for r in out.withColumns({c: F.round(c, 9) for c in ("student_rolling_attendance", "student_attendance_std", "student_recent_3_rate")})
+                             .withColumn("prior_outcomes", F.size(F.filter("prior_outcomes", lambda v: v.isNotNull()))).drop("y", "ts").collect())
+    assert key(history_features(df, **kw)) == key(history_features(df, hot_rows=0, span=span, **kw))
