@@ -99,13 +99,14 @@ def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Add payload, digest, kind and refers_to. The smallest page of each payload is
     found by a partial aggregate over all pages; only payloads that occur again are
     joined, so a payload held by a third of all pages is an ordinary key that
-    adaptive execution may split."""
+    adaptive execution may split. The narrow side is hashed, so payloads are streamed
+    through the join and never sorted."""
     p = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256))
     again = (
         p.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     )
-    p = p.join(again, "digest", "left")
+    p = p.join(again.hint("shuffle_hash"), "digest", "left")
     other = F.col("first").isNotNull() & (F.col("page_id") > F.col("first"))
     return p.select("page_id", "url", "payload", "digest", F.when(other, "revisit").otherwise("response").alias("kind"), F.when(other, F.col("first")).alias("refers_to"))
 
