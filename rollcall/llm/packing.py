@@ -86,8 +86,10 @@ def frequencies(tails: DataFrame, wide: bool) -> tuple[np.ndarray, int, float]:
 
     def rows(batches):
         for batch in batches:
-            seen = [np.unique(_tail_ids(t, wide)) for t in batch.column("tail").to_pylist()]
-            term, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.empty(0, np.int64), np.empty(0, np.int64))
+            own = [_tail_ids(t, wide) for t in batch.column("tail").to_pylist()]
+            # each id of a tail once, all tails of the batch in one sort
+            pair = np.unique(np.concatenate([t * len(own) + i for i, t in enumerate(own)])) if own else np.empty(0, np.int64)
+            term, n = np.unique(pair // max(1, len(own)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n.astype(np.int64))], ["term", "n"])
 
     got = tails.select("tail").mapInArrow(rows, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
@@ -109,7 +111,8 @@ class Index:
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
         self.of_doc = np.searchsorted(doc, np.arange(len(tails) + 1))
         self.terms = term
-        order = np.argsort(term, kind="stable")
+        # numpy sorts 16-bit numbers by radix
+        order = np.argsort(term.astype(np.uint16) if len(idf) <= 65536 else term, kind="stable")
         self.doc, self.weight = doc[order], weight[order].astype(np.float64)
         self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
         self.tails = len(tails)
