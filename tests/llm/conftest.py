@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-SMALL = "/root/testdata/sf0.001"
+SMALL = SF0001 = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
