@@ -35,6 +35,7 @@ from rollcall.plans.features import (
     popularity_features,
     temporal_features,
 )
+from rollcall.session import cut_lineage
 from rollcall.sources.tables import normalise_students
 
 REQUIRED = [
@@ -179,10 +180,13 @@ def _include_placeholders(rows: DataFrame, state: FeatureState) -> DataFrame:
     sharing the key). Planned events never affect each other."""
     from rollcall.plans.features import RATE_FEATURES
 
-    # planned rows per (event, department) and per event: partial aggregates joined back
+    # planned rows per event, and of each department there: partial aggregates of the stored
+    # rows, one row an event, joined back once
+    rows = cut_lineage(rows)
     per_dept = rows.groupBy("event_id", "department").agg(F.count(F.lit(1)).cast("double").alias("_md"))
-    per_event = per_dept.groupBy("event_id").agg(F.sum("_md").alias("_m"))
-    out = rows.join(per_dept, ["event_id", "department"], "left").join(per_event, "event_id", "left")
+    of_dept = F.collect_list(F.when(F.col("department").isNotNull(), F.struct("department", "_md")))
+    per_event = per_dept.groupBy("event_id").agg(F.sum("_md").alias("_m"), F.map_from_entries(of_dept).alias("_mds"))
+    out = rows.join(per_event, "event_id", "left").withColumn("_md", F.try_element_at("_mds", "department")).drop("_mds")
     n_tot = F.lit(float(state.total_count)) + F.col("_m")
     out = out.withColumn("_overall", F.lit(state.total_sum) / n_tot)
     out = out.withColumn(
@@ -223,7 +227,7 @@ def planned_event_features(
     from rollcall.functions import scalar as S
     from rollcall.plans.features import RATE_FEATURES
 
-    cands = candidate_rows(planned_valid, history, seed)
+    cands = cut_lineage(candidate_rows(planned_valid, history, seed))  # the lookup and the join read them
     if placeholder == "include":
         hist_state = asof_student_state(history, cands, F.lit(None).cast("double"))
         rows = _with_past(cands.join(hist_state, ["student_id", "event_id"]), past)
