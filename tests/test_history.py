@@ -138,3 +138,14 @@ def test_segments_of_any_span_equal_the_plain_route(spark, span):
     key = lambda out: sorted(tuple(r) for r in out.withColumns({c: F.round(c, 9) for c in ("student_rolling_attendance", "student_attendance_std", "student_recent_3_rate")})
                              .withColumn("prior_outcomes", F.size(F.filter("prior_outcomes", lambda v: v.isNotNull()))).drop("y", "ts").collect())
     assert key(history_features(df, **kw)) == key(history_features(df, hot_rows=0, span=span, **kw))
+
+
+def test_when_all_entities_are_hot_nothing_is_looked_up(spark):
+    """Rows are dealt by segment only; rows without an entity are those of the plain route."""
+    day = dt.date(2024, 9, 1)
+    rows = [(s, f"E{i:02d}", day + dt.timedelta(days=i // 2), y) for s in ("A", "B", None) for i, y in enumerate([1, 0, 0, None, 1, 1, 0])]
+    df = _hist(spark, rows)
+    out = history_features(df, hot_rows=0, overall=F.lit(0.5))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "LeftSemi" not in plan and plan.count("Join") == 1
+    assert out.count() == len(rows) and _same(out, history_features(df, overall=F.lit(0.5)))
