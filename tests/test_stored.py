@@ -76,3 +76,18 @@ def test_forest_caches_no_node_ids():
     from rollcall.plans.training import rf_estimator
 
     assert not rf_estimator().getStages()[0].getCacheNodeIds()
+
+
+def test_facts_are_joined_once_for_registrations_and_planned_events(spark, monkeypatch):
+    from rollcall import catalog
+    from rollcall.sources import fixtures
+
+    joined, join = [], fixtures.registration_grain
+    monkeypatch.setattr(fixtures, "registration_grain", lambda *a: joined.append(a) or join(*a))
+    stored, store = [], catalog.stored_flat
+    monkeypatch.setattr(catalog, "stored_flat", lambda *a: stored.append(store(*a)) or stored[-1])
+    state = catalog.q_asof(spark, SMALL)
+    assert len(joined) == 1 and "past_attendance_rate" not in stored[0].columns
+    want = catalog.q_candidates(spark, SMALL).select("student_id", "event_id")
+    assert len(joined) == 2 and state.count() == want.count() > 0
+    assert state.select("student_id", "event_id").exceptAll(want).count() == 0
