@@ -56,6 +56,9 @@ GROWTH, ROUNDS, MEET = 1.5, 2, 4
 SPARE = 5
 #: Ratio of neighbouring size bands in which rows meet in a column.
 BAND = 1.02
+#: Pairs of different components, to rows, from which a block, and all such blocks together,
+#: are worth rounds.
+CROWD = 8
 
 
 def class_of(size: int) -> tuple[int, int]:
@@ -238,6 +241,48 @@ def _one_by_one(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select("row_id", "k", "need", *more, F.explode("sigs").alias("sig"))
 
 
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """``rows`` with the component c of each; a row without links is its own."""
+    return rows.join(label.select(F.col("node").alias("row_id"), F.col("component").alias("c")), "row_id", "left").withColumn("c", F.coalesce("c", "row_id"))
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """Of labelled rows those that share enough blocks with other components, with these
+    blocks in an order that is the same for all rows: rare ones first."""
+    by_block = _one_by_one(rows, "c")
+    spread = by_block.groupBy("sig").agg(F.count("*").alias("many"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("sig", "many")
+    rows = by_block.join(spread, "sig").groupBy("row_id", "k").agg(F.first("need").alias("need"), F.first("c").alias("c"), F.sort_array(F.collect_list(F.struct("many", "sig"))).alias("s"))
+    return rows.filter(F.size("s") >= F.col("need")).select("row_id", "k", "need", "c", F.col("s.sig").alias("sigs"))
+
+
+def _rare_blocks(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """(row_id, c, n, sig): of m blocks of a row, at least ``need`` of them shared, linked
+    rows share one of the first m - need + 1."""
+    cores = apart.withColumn("sigs", F.expr("slice(sigs, 1, size(sigs) - need + 1)"))
+    return _one_by_one(cores.join(sets.select("row_id", F.size("grams").alias("n")), "row_id"), "c", "n")
+
+
+def _mixed(by_block: DataFrame, *more) -> DataFrame:
+    """Blocks of several components: how many these are, their rows, the sum of their
+    squares and, with the aggregates of ``more``, the largest component."""
+    parts = by_block.groupBy("sig", "c").agg(F.count("*").alias("m"), *more)
+    main = [F.max_by(F.struct("c", *[x for x in parts.columns if x not in ("sig", "c", "m")]), F.struct("m", "c")).alias("main")]
+    return parts.groupBy("sig").agg(F.count("*").alias("parts"), F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("sq"), *main).filter("parts > 1")
+
+
+def _met(crowd: DataFrame, round_no: int, num: int, den: int) -> DataFrame:
+    """Pairs of rows outside a block's largest component and some rows of it, for each row
+    those that it shares most blocks with."""
+    some = [F.min_by(F.struct("row_id", "n"), F.xxhash64("row_id", F.lit(round_no * MEET + i))) for i in range(MEET)]
+    apart = crowd.join(_mixed(crowd, F.array(*some).alias("some")).select("sig", "main"), "sig")
+    met_by = apart.filter(F.col("c") != F.col("main.c")).select("row_id", "n", F.explode("main.some").alias("other"))
+    met_by = met_by.filter(_sizes_fit(F.col("n"), F.col("other.n"), num, den)).groupBy("row_id", F.col("other.row_id").alias("other")).agg(F.count("*").alias("k"))
+    # at most MEET for each of the row's blocks
+    best = met_by.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("k", "other")), False).alias("o"))
+    best = best.select("row_id", F.explode(F.slice("o", 1, MEET)).alias("o")).select("row_id", F.col("o.other").alias("other"))
+    return best.select(F.least("row_id", "other").alias("a"), F.greatest("row_id", "other").alias("b")).distinct()
+
+
 def _column_product(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of ``rows`` (row_id, c) of different components that their n-grams allow to
     be linked."""
@@ -308,46 +353,30 @@ def _components(docs: DataFrame, reps: DataFrame, n: int, num: int, den: int) ->
     pairs = stored(first.select(F.least("row_id", "anchor").alias("a"), F.greatest("row_id", "anchor").alias("b")).distinct(), "join-pairs", size)
     label = components(stored(linked(pairs, blocks, sets, num, den), "join-links"))
     tested = pairs
-    for round_no in range(ROUNDS + 1):
-        with scratch(spark):
-            rows = block.drop("anchors").join(label.select(F.col("node").alias("row_id"), F.col("component").alias("c")), "row_id", "left").withColumn("c", F.coalesce("c", "row_id"))
-            rows = stored(rows, "join-labelled", size)
-            # rows that share enough blocks with other components. Of m such blocks, at
-            # least ``need`` of them shared, linked rows share one of the first
-            # m - need + 1 in an order that is the same for all rows: rare blocks first
-            by_block = _one_by_one(rows, "c")
-            spread = by_block.groupBy("sig").agg(F.count("*").alias("many"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("sig", "many")
-            rows = by_block.join(spread, "sig").groupBy("row_id", "k").agg(F.first("need").alias("need"), F.first("c").alias("c"), F.sort_array(F.collect_list(F.struct("many", "sig"))).alias("s"))
-            rows = rows.filter(F.size("s") >= F.col("need")).select("row_id", "k", "need", "c", F.expr("slice(s, 1, size(s) - need + 1).sig").alias("sigs"))
-            rows = stored(rows, "join-cores", size)
-            by_block = _one_by_one(rows.join(sets.select("row_id", F.size("grams").alias("n")), "row_id"), "c", "n")
-            # how many rows of each component a block has, and a few of them
-            some = [F.min_by(F.struct("row_id", "n"), F.xxhash64("row_id", F.lit(round_no * MEET + i))) for i in range(MEET)]
-            parts = by_block.groupBy("sig", "c").agg(F.count("*").alias("m"), F.array(*some).alias("some"))
-            mixed = parts.groupBy("sig").agg(F.count("*").alias("parts"), F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("sq"), F.max_by(F.struct("c", "some"), F.struct("m", "c")).alias("main")).filter("parts > 1")
-            mixed = stored(mixed, "join-mixed")
-            left = mixed.agg(F.sum((F.col("rows") * F.col("rows") - F.col("sq")) / 2).alias("pairs"), F.sum("rows").alias("rows")).first()
-            if not left["pairs"]:
-                break
-            final = round_no == ROUNDS or left["pairs"] <= 8 * left["rows"]
-            if not final:
-                # rows outside a block's largest component meet some rows of it, those that
-                # they share most blocks with
-                apart = by_block.join(mixed.select("sig", "main"), "sig")
-                met_by = apart.filter(F.col("c") != F.col("main.c")).select("row_id", "n", F.explode("main.some").alias("other"))
-                met_by = met_by.filter(_sizes_fit(F.col("n"), F.col("other.n"), num, den)).groupBy("row_id", F.col("other.row_id").alias("other")).agg(F.count("*").alias("k"))
-                # at most MEET for each of the row's blocks
-                best = met_by.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("k", "other")), False).alias("o"))
-                best = best.select("row_id", F.explode(F.slice("o", 1, MEET)).alias("o")).select("row_id", F.col("o.other").alias("other"))
-                pairs = best.select(F.least("row_id", "other").alias("a"), F.greatest("row_id", "other").alias("b")).distinct()
-            else:
-                pairs = _column_product(by_block.join(mixed.select("sig"), "sig", "left_semi").select("row_id", "c").distinct(), sets, num, den)
-            pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "join-pairs", None if final else size, keep=True)
-            label = stored(joined(label, stored(linked(pairs, blocks, sets, num, den), "join-links")), "join-labels", size, keep=True)
-        if final:
-            break
-        tested = tested.unionByName(pairs)
-    return label
+    with scratch(spark):
+        rows = stored(_apart(_labelled(block.drop("anchors"), label)), "join-apart", size)
+        by_block = _rare_blocks(rows, sets)
+        mixed = stored(_mixed(by_block), "join-mixed", size)
+        crowded = (F.col("rows") * F.col("rows") - F.col("sq")) / 2 > CROWD * F.col("rows")
+        of_pairs = lambda x: F.sum(F.when(crowded, x))
+        left = mixed.agg(F.count("*").alias("blocks"), F.sum("rows").alias("rows"), of_pairs((F.col("rows") * F.col("rows") - F.col("sq")) / 2).alias("pairs")).first()
+        if not left["blocks"]:
+            return stored(label, "join-labels", size, keep=True)
+        if (left["pairs"] or 0) > CROWD * left["rows"]:
+            # only blocks of very many pairs are worth more rounds, and only their rows meet
+            crowd = stored(by_block.join(mixed.filter(crowded).select("sig"), "sig", "left_semi").select("sig", "row_id", "n"), "join-crowd", size)
+            for round_no in range(ROUNDS):
+                pairs = _met(_labelled(crowd, label), round_no, num, den).join(tested, ["a", "b"], "left_anti")
+                pairs = stored(pairs, "join-pairs", size)
+                label = stored(joined(label, stored(linked(pairs, blocks, sets, num, den), "join-links")), "join-labels", size)
+                tested = tested.unionByName(pairs)
+            # components only grow: a row that had too few blocks in common with others
+            # still has, and a block of one component is still one
+            by_block = _rare_blocks(stored(_apart(_labelled(rows.drop("c"), label)), "join-apart", size), sets)
+            mixed = stored(_mixed(by_block), "join-mixed", size)
+        pairs = _column_product(by_block.join(mixed.select("sig"), "sig", "left_semi").select("row_id", "c").distinct(), sets, num, den)
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "join-pairs")
+        return stored(joined(label, stored(linked(pairs, blocks, sets, num, den), "join-links")), "join-labels", size, keep=True)
 
 
 def op6_ngram_jaccard_join(docs: DataFrame) -> DataFrame:

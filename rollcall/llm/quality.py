@@ -169,7 +169,12 @@ def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     # the same order on every run
     got = got.sort_by([("doc_id", "ascending"), ("grade", "ascending")]).combine_chunks()
     index, value = (got.column(c).chunk(0) for c in ("index", "value"))
-    return fit(index.offsets.to_numpy(), index.flatten().to_numpy(), value.flatten().to_numpy() / np.float32(SCALE), got.column("grade").to_numpy().astype(np.int64))
+    # numpy's own copies: the table goes before the fit takes memory
+    first, grade = index.offsets.to_numpy().copy(), got.column("grade").to_numpy().astype(np.int64)
+    index, value = index.flatten().to_numpy().copy(), value.flatten().to_numpy() / np.float32(SCALE)
+    del got
+    pa.default_memory_pool().release_unused()
+    return fit(first, index, value, grade)
 
 
 def scored(docs: DataFrame, weights: np.ndarray, cuts: np.ndarray) -> DataFrame:

@@ -78,6 +78,39 @@ def test_rounds_and_full_product(spark, monkeypatch):
         assert got == want
 
 
+def test_later_rounds_read_only_rows_that_are_still_apart(spark, monkeypatch):
+    """Unlike texts with a common passage take rounds; families that are whole after the
+    first links are not read again, however many they are."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    line = " ".join(rng.choice(vocabulary) for _ in range(60))
+    rows = [(i, line + " " + " ".join(rng.choice(vocabulary) for _ in range(60))) for i in range(40)]
+    for f in range(12):
+        rows += family(rng, 1000 * (f + 1), 6, 80, 2, vocabulary)
+    seen, explode = [], J._one_by_one
+
+    def counted(table, *more):
+        out = explode(table, *more)
+        if more == ("c",):
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "_one_by_one", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component"]) for r in J.classes(documents(spark, rows), 3, 1, 2).collect()}
+    assert got == brute(rows, 3, 1, 2)
+    assert len(seen) > 1 and all(2 * later < seen[0] for later in seen[1:])
+
+
+def test_crowded_blocks(spark, monkeypatch):
+    """The same if every block with rows of two components takes rounds."""
+    monkeypatch.setattr(J, "CROWD", 0)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = family(rng, 1, 50, 50, 6, vocabulary) + family(rng, 500, 30, 20, 4, vocabulary)
+    got = {r["doc_id"]: (r["n_shingles"], r["component"]) for r in J.classes(documents(spark, rows), 4, 85, 100).collect()}
+    assert got == brute(rows, 4, 85, 100)
+
+
 def test_linked_sets_share_a_signature():
     """The bound: any two sets at the threshold agree in some signature."""
     rng = np.random.default_rng(4)
