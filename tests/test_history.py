@@ -149,3 +149,24 @@ def test_when_all_entities_are_hot_nothing_is_looked_up(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan and "LeftSemi" not in plan and plan.count("Join") == 1
     assert out.count() == len(rows) and _same(out, history_features(df, overall=F.lit(0.5)))
+
+
+def test_rows_are_shuffled_once_for_both_routes(spark, tmp_path):
+    """The parts of hot and of other students differed by a filter, so all rows were shuffled for each."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 50 > 0, F.concat(F.lit("S"), (F.col("id") % 7 * (F.col("id") % 3)).cast("string"))).alias("student_id"),
+        F.concat(F.lit("E"), F.col("id").cast("string")).alias("event_id"), F.expr("date_add(DATE'2024-01-01', int(id % 40))").alias("event_date"),
+        (F.col("id") % 5 < 2).cast("int").alias("attended"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        split = history_features(df, overall=F.lit(0.4), hot_rows=300)
+        got = sorted(map(tuple, split.collect()), key=repr)
+        final = split._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted(map(tuple, history_features(df, overall=F.lit(0.4)).collect()), key=repr) and len(got) == 3000
+    # the exchange of the whole rows is used by both routes, the second of them in two places
+    assert sum("ReusedExchange" in x and "attended" in x for x in final.splitlines()) == 2, final
