@@ -53,3 +53,11 @@ def _stored(spark):
         registrations_flat(spark, SF0001).write.parquet(p)
         _PATH["p"] = p
     return _PATH["p"]
+
+
+def test_long_generated_loops_are_not_interpreted(spark):
+    """HotSpot compiles no method of more than 8000 bytes; wide projections were interpreted."""
+    from rollcall.session import tune
+
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    assert tune(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
