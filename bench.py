@@ -51,7 +51,7 @@ def main() -> None:
     run("threshold_sweep", lambda: C.q_threshold_sweep(spark, sf_dir).collect())
     run("auc_roc", lambda: C.q_auc(spark, sf_dir).collect())
     run("stratified_split", lambda: sink(C.q_split(spark, sf_dir)))
-    prep = run("prepare_data", lambda: T.prepare_data(C.flat(spark, sf_dir)))
+    prep = run("prepare_data", lambda: T.prepare_data(C.flat(spark, sf_dir), stored=True))
     models = {}
     if prep is not None:
         # the logistic fit with its 5-fold cross-validation, as training does it; the folds

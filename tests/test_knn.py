@@ -58,3 +58,19 @@ def test_pairs_grow_less_than_quadratically(spark):
     rng = np.random.default_rng(3)
     few, many = (run(spark, rng.uniform(0, 1000, (n, 2)), 5, 10)[1] for n in (400, 1600))
     assert few < 400**2 / 2 and many < 1600**2 / 5 and many < 4**1.7 * few, (few, many)
+
+
+def test_only_rows_within_a_bound_are_told():
+    from rollcall.operators.knn import _nearest
+
+    rng = np.random.default_rng(4)
+    q, r = rng.normal(size=(300, 5)) + 50.0, rng.normal(size=(400, 5)) + 50.0
+    ids, others = np.arange(300), np.arange(200, 600)
+    bound = np.where(ids % 3 == 0, np.inf, rng.uniform(0, 3, 300))
+    got = {}
+    for row in _nearest(ids, q, bound, others, r, 4).to_pylist():
+        got.setdefault(row["qid"], []).append((row["dist"], row["rid"]))
+    for i in ids:
+        d = ((r - q[i]) ** 2).sum(1)
+        want = sorted((x, int(j)) for x, j in zip(d, others) if j != i and x <= bound[i])[:4]
+        assert got.get(i, []) == want
