@@ -56,3 +56,20 @@ def test_fits_side_by_side_fit_into_memory(spark, train, monkeypatch):
     monkeypatch.setattr(T, "fits_at_once", lambda spark, name, rows, width, parallel=6: (name, rows, width))
     T.cv_f1("random_forest", train)
     assert asked == [(5, ("random_forest", 200, 2))]
+
+
+def test_boosting_stores_no_node_ids():
+    """One tree is grown at a time; ids of nodes were stored again for every level."""
+    assert not T.gbt_estimator().getStages()[0].getCacheNodeIds()
+
+
+def test_whole_matrix_is_stored_before_the_fits_only(spark, monkeypatch):
+    from tests.conftest import SF0001
+    from rollcall.sources.fixtures import registrations_flat
+
+    stored, cut = [], T.cut_lineage
+    monkeypatch.setattr(T, "cut_lineage", lambda df: stored.append(df.columns) or cut(df))
+    prep = T.prepare_data(registrations_flat(spark, SF0001))
+    assert len(prep.feature_cols) == 69 and stored
+    assert not any("x" in c or any(n.startswith("topic_") and n != "topic_popularity" for n in c) for c in stored)
+    assert prep.train.count() == prep.train_rows and prep.train.filter("size(x) != 69").isEmpty()
